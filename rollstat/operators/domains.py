@@ -25,7 +25,8 @@ def route_teachers(df: DataFrame, domain: str, teachers: Mapping[str, str], name
     rows = df.withColumn("_w", domain_weights(domain, order))
     out: Column | None = None
     for i, d in enumerate(order):
-        part = F.transform(F.col(teachers[d]), lambda x, i=i: x * F.col("_w")[i])
+        weight = F.element_at("_w", i + 1)
+        part = F.transform(F.col(teachers[d]), lambda x: x * weight)
         out = part if out is None else F.zip_with(out, part, lambda a, b: a + b)
     return rows.withColumn(name, out).drop("_w")
 
@@ -143,14 +144,14 @@ def teacher_conflict_policy(
         rows = rows.withColumn("_k", kept)
         scale = F.greatest(F.col("_k.n"), F.lit(1.0)) / F.greatest(F.col("_k.k"), F.lit(1.0))
         return rows.withColumn("target", F.col(routed)).withColumn(
-            "token_weight", F.when("_ok", scale).otherwise(0.0)).drop("_s", "_m", "_ok", "_k")
+            "token_weight", F.when(F.col("_ok"), scale).otherwise(0.0)).drop("_s", "_m", "_ok", "_k")
     if policy != "consensus":
         raise ValueError(f"unknown policy {policy!r}")
     mean: Column = F.col(teachers[0])
     for t in teachers[1:]:
         mean = F.zip_with(mean, F.col(t), lambda a, b: a + b)
     mean = F.transform(mean, lambda x: x / len(teachers))
-    return rows.withColumn("target", F.when("_ok", mean).otherwise(F.col(routed))).withColumn(
+    return rows.withColumn("target", F.when(F.col("_ok"), mean).otherwise(F.col(routed))).withColumn(
         "token_weight", F.lit(1.0)).drop("_s", "_m", "_ok")
 
 

@@ -30,7 +30,7 @@ def scalar_struct(df: DataFrame, **aggs: Column) -> Column:
     return df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_s")).scalar()
 
 
-def _cumulate(
+def cumulate(
     df: DataFrame, order: Sequence[Column], group: Sequence[str], name: str,
     weight: Column | None = None, keep: int | None = None,
 ) -> DataFrame:
@@ -76,7 +76,7 @@ def hash_position(
     """
     bucketed = df.withColumn("_bucket", F.substring(F.col(key), 1, hex_digits))
     order = [F.col(key), *[col(t) for t in tie]]
-    return _cumulate(bucketed, order, group, name, keep=keep)
+    return cumulate(bucketed, order, group, name, keep=keep)
 
 
 def _range_bucket(value: Column, bounds: list) -> Column:
@@ -99,7 +99,7 @@ def _range_bucket(value: Column, bounds: list) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), low_high, halve, lambda a: a["low"])
 
 
-def _with_range_bucket(df: DataFrame, column: str, rows_per_bucket: int) -> DataFrame:
+def with_range_bucket(df: DataFrame, column: str, rows_per_bucket: int) -> DataFrame:
     total = df.count()
     if total <= rows_per_bucket:
         return df.withColumn("_bucket", F.lit(0))
@@ -126,8 +126,8 @@ def position(
     sample of ``order[0]``.  The limits enter the plan as literals, so a recomputed
     task puts every row into the same bucket again.
     """
-    bucketed = _with_range_bucket(df, order[0], rows_per_bucket)
-    return _cumulate(bucketed, [F.col(c) for c in order], group, name, keep=keep)
+    bucketed = with_range_bucket(df, order[0], rows_per_bucket)
+    return cumulate(bucketed, [F.col(c) for c in order], group, name, keep=keep)
 
 
 def cumulative_counts(
@@ -138,8 +138,8 @@ def cumulative_counts(
     Ties shrink to one row before any ordering.
     """
     distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    bucketed = _with_range_bucket(distinct, value, rows_per_bucket)
-    return _cumulate(bucketed, [F.col(value)], group, "cum", weight=F.col("n"))
+    bucketed = with_range_bucket(distinct, value, rows_per_bucket)
+    return cumulate(bucketed, [F.col(value)], group, "cum", weight=F.col("n"))
 
 
 def exact_quantiles(

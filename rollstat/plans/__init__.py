@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["groups", "tokens"]
+MODULES = ["groups", "tokens", "correction"]
 
 
 def load_all():
