@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["groups", "tokens", "correction"]
+MODULES = ["groups", "tokens", "correction", "mixing"]
 
 
 def load_all():
