@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["groups", "tokens", "correction", "mixing"]
+MODULES = ["groups", "tokens", "correction", "mixing", "records"]
 
 
 def load_all():
