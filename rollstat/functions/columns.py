@@ -1,7 +1,7 @@
 """Column helpers used across the operators. All stay on the JVM side."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,5 +69,6 @@ def clamp(c: str | Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(c)))
 
 
-def to_struct_map(entries: Column) -> Column:
-    return F.map_from_entries(entries)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -306,7 +306,7 @@ def split_tool_transcript(df: DataFrame, key: str, text: str) -> DataFrame:
     grab = lambda tag: F.regexp_extract("_p", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
     before = lambda tag: F.regexp_extract("_p", rf"(?s)^(.*?)<{tag}>", 1)
     is_ = lambda tag: F.contains(F.col("_p"), F.lit(f"<{tag}>"))
-    fenced = F.regexp_extract(grab("code"), r"(?s)```(?:python|py)?\n?(.*?)```", 1)
+    fenced = F.regexp_extract(grab("code"), r"(?s)```python(.*?)```", 1)
     return rows.select(
         key, "step", F.when(is_("interpreter"), "tool").otherwise("assistant").alias("role"),
         F.when(is_("code"), strip(before("code"))).when(is_("interpreter"), strip(grab("interpreter"))).otherwise(

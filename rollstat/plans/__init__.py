@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["groups", "tokens", "correction", "mixing", "records"]
+MODULES = ["groups", "tokens", "correction", "mixing", "records", "scores"]
 
 
 def load_all():
