@@ -11,9 +11,13 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters a plain strip removes.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: str | Column) -> Column:
-    """Python-style strip: every Unicode blank on both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Every Unicode blank on both ends removed."""
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def blank_to_null(c: str | Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollstat.functions.columns import any_contains, strip, text_or_empty
+from rollstat.operators.ranking import spread
 from rollstat.operators.scoring import find_all
 
 Args = Callable[[str], Column]
@@ -28,9 +29,9 @@ def words(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """Language with the most marker words (ties in the order above); null without a letter."""
-    tokens = words(F.lower(text))
+    low = F.lower(text)
     score = F.array(*[F.struct(
-        F.size(F.filter(tokens, lambda w: w.isin(list(marks)))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
+        F.regexp_count(low, F.lit(rf"(?U)\b(?:{'|'.join(marks)})\b")).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
         for i, (lang, marks) in enumerate(LANGUAGE_WORDS.items())])
     return F.when(F.rlike(text, F.lit(r"\p{L}")), F.array_max(score)["lang"])
 
@@ -177,16 +178,15 @@ def check_instructions(
     response (the strict check fails an empty one). ``only`` names the ids that occur, to
     keep the expression short.
     """
-    rows = df.select(key, F.col(prompt).alias("_p"), strip_think(F.col(response)).alias("_t"),
+    rows = spread(df).select(key, F.col(prompt).alias("_p"), strip_think(F.col(response)).alias("_t"),
                      F.posexplode(instructions).alias("ordinal", "_i"))
     rows = rows.select(key, "ordinal", F.col("_i.id").alias("instruction_id"), F.col("_i.kwargs").alias("_k"), "_p", "_t")
     verdict = lambda t: F.coalesce((strip(t) != "") & check_instruction(t, F.col("instruction_id"), F.col("_k"), F.col("_p"), only), F.lit(False))
     out = rows.withColumn("strict", verdict(F.col("_t")))
     if loose:
-        # the same check over eight texts: evaluated as rows so that it stays compiled code
-        texts = out.withColumn("_v", F.explode(F.array_distinct(loose_variants(F.col("_t")))))
-        any_of = texts.groupBy(key, "ordinal").agg(F.max(verdict(F.col("_v"))).alias("loose"))
-        out = out.join(any_of, [key, "ordinal"])
+        # a strict pass is a loose pass; the other texts are only looked at when it fails
+        others = F.array_except(loose_variants(F.col("_t")), F.array("_t"))
+        out = out.withColumn("loose", F.col("strict") | F.exists(others, verdict))
     return out.drop("_k", "_p", "_t")
 
 

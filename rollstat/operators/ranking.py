@@ -19,6 +19,20 @@ from rollstat.functions.columns import col
 ROWS_PER_BUCKET = 2_000_000
 
 
+SMALL_SCAN_BYTES = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for heavy per-row work on a scan too small to fill the cores.
+
+    Only when the estimated input is below 16 MiB per core; larger scans split by
+    themselves and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL_SCAN_BYTES else df
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Append per-group aggregates to every row (aggregate, then join back)."""
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
