@@ -29,7 +29,7 @@ def spread(df: DataFrame) -> DataFrame:
     themselves and are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_SCAN_BYTES else df
 
 

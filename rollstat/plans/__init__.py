@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["groups", "tokens", "correction", "mixing", "records", "scores"]
+MODULES = ["storage", "groups", "tokens", "correction", "mixing", "records", "scores", "reports"]
 
 
 def load_all():
