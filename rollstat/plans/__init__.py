@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["storage", "groups", "tokens", "correction", "mixing", "records", "scores", "reports"]
+MODULES = ["storage", "groups", "tokens", "correction", "mixing", "records", "scores", "reports", "streams"]
 
 
 def load_all():
