@@ -31,7 +31,7 @@ def stream_score_rates(spark, sf):
 
 @query("stream_group_assembly", "SELECT CAST(user_id AS VARCHAR) AS uid, (count(*) // 8)::BIGINT AS n_groups, 8::INTEGER AS size FROM events GROUP BY 1 HAVING count(*) >= 8")
 def stream_group_assembly(spark, sf):
-    groups = J.stream_group_assembly(_events(spark, sf), "user_id", "ts", "value", 8, "60 days")
+    groups = J.stream_group_assembly(_events(spark, sf), "user_id", "ts", "value", 8, "60 days", late="60 days")
     out = J.collect_to_table(groups, "groups")
     return out.groupBy("uid").agg(F.count(F.lit(1)).alias("n_groups"), F.max("size").alias("size"))
 

@@ -70,9 +70,11 @@ GROUP_OUT = "uid string, group_no bigint, size int, score double"
 GROUP_STATE = "done bigint, pending int, total double"
 
 
-def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int, timeout: str) -> DataFrame:
+def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int, timeout: str, late: str = "1 day") -> DataFrame:
     """Emit a prompt group once n responses are in; a group without news for ``timeout`` is dropped.
 
+    Rows later than ``late`` are left out.
+
     The state of a prompt is three numbers, however many responses it gets.
     """
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
@@ -95,7 +97,7 @@ def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int
         yield pd.DataFrame(out, columns=["uid", "group_no", "size", "score"])
 
     slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.col(score).cast("double").alias("score"))
-    return slim.withWatermark("ts", "1 day").groupBy("uid").applyInPandasWithState(
+    return slim.withWatermark("ts", late).groupBy("uid").applyInPandasWithState(
         assemble, GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
