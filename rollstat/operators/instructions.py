@@ -273,7 +273,11 @@ def tiered_instruction_reward(
     """
     o = dict(options or {})
     on = lambda name: bool(o.get(name, False))
-    rows = df.withColumn("answer_text", answer_text(F.col(response))).withColumn("think", exact_think(F.col(response)))
+    rows = spread(df).withColumn("answer_text", answer_text(F.col(response))).withColumn("think", exact_think(F.col(response)))
+    # the tests on the text are columns of their own: each is evaluated once
+    rows = rows.withColumn("_x", strip("answer_text"))
+    rows = rows.withColumn("_n", F.length("_x")).withColumn("_digits", digit_sequence(F.col("_x"))).withColumn(
+        "_one", single_token(F.col("_x"))).withColumn("_nothing", says_nothing(F.col("_x")))
     passed = F.size(F.filter(checks, lambda c: c))
     rows = rows.withColumn("n_checks", F.size(checks)).withColumn("n_failed", F.size(checks) - passed)
     rows = rows.withColumn("base_score", F.when(F.col("n_checks") > 0, passed / F.col("n_checks")).otherwise(0.0))
@@ -281,7 +285,7 @@ def tiered_instruction_reward(
     tier = _tiers(content, F.col("think"))
     rows = rows.withColumn("tiered_score", tier).withColumn(
         "score", F.col("base_score") if o.get("mode") == "legacy" else F.col("tiered_score"))
-    fam, txt, n = F.col(family), strip("answer_text"), F.length(strip("answer_text"))
+    fam, txt, n = F.col(family), F.col("_x"), F.col("_n")
     zero = F.lit(0.0)
 
     # short answers with full score
@@ -313,7 +317,7 @@ def tiered_instruction_reward(
 
     # passive guard
     guarded = fam.isin(*o.get("guard_families", GUARDED))
-    hollow = (n <= o.get("guard_max_len", 50)) & (single_token(txt) | says_nothing(txt))
+    hollow = (n <= o.get("guard_max_len", 50)) & (F.col("_one") | F.col("_nothing"))
     guard = F.when((F.col("score") == 1) & guarded & hollow, float(o.get("guard_penalty", 0.5))).otherwise(0.0) if on("guard") else zero
     rows = rows.withColumn("guard_penalty", guard).withColumn("score", F.greatest(F.col("score") - F.col("guard_penalty"), zero))
 
@@ -321,9 +325,9 @@ def tiered_instruction_reward(
     heavy = fam.isin("count_or_pattern", "lexical_constraints") | _has_prefix(F.col(ids), ("count:", "words:", "ratio:"))
     limit = o.get("active_max_len", 50)
     fits = n <= limit
-    reason = (F.when(fits & digit_sequence(txt), "digit_only").when(fits & says_nothing(txt), "semantically_empty")
+    reason = (F.when(fits & F.col("_digits"), "digit_only").when(fits & F.col("_nothing"), "semantically_empty")
               .when(fits & (n <= o.get("active_tiny_len", 20)) & F.rlike(txt, F.lit("^[A-Za-z0-9]$")), "trivial_tiny_output")
-              .when(fits & single_token(txt), "single_tokenish")
+              .when(fits & F.col("_one"), "single_tokenish")
               .when((n <= o.get("active_constraint_max_len", limit)) & heavy, "constraint_only_short_answer").otherwise(""))
     watch = (F.col("base_score") == 1) & fam.isin(*o.get("active_families", GUARDED)) & ~fam.isin(*o.get("active_exempt", LENGTH_EXEMPT))
     rows = rows.withColumn("active_reason", F.when(watch, reason).otherwise("") if on("active_guard") else F.lit(""))
@@ -347,8 +351,8 @@ def tiered_instruction_reward(
         *df.columns, "score", "base_score", F.col("base_score").alias("constraint_ratio"), "tiered_score", flag(F.col("think")).alias("think_format_ok"),
         flag(content).alias("content_ok"), F.lit(o.get("mode", "tiered_think_format")).alias("scoring_mode"), F.col("n_checks").alias("num_constraints"),
         F.col("n_failed").alias("num_failed_constraints"), F.col(errors).alias("num_checker_errors"), flag(content).alias("all_constraints_passed"),
-        "answer_text", failed.alias("failed_constraints_text"), n.alias("response_char_len"), flag(single_token(txt)).alias("is_single_tokenish"),
-        flag(says_nothing(txt)).alias("looks_semantically_empty"), F.col("short_penalty").alias("short_fullscore_penalty"),
+        "answer_text", failed.alias("failed_constraints_text"), n.alias("response_char_len"), flag(F.col("_one")).alias("is_single_tokenish"),
+        flag(F.col("_nothing")).alias("looks_semantically_empty"), F.col("short_penalty").alias("short_fullscore_penalty"),
         F.col("band_penalty").alias("short_fullscore_band_penalty"), F.col("band_bucket").alias("short_fullscore_band_bucket"),
         F.col("band_mode").alias("short_fullscore_band_mode"), (F.col("short_penalty") + F.col("band_penalty")).alias("short_fullscore_total_penalty"),
         F.col("guard_penalty").alias("semantic_guard_penalty"), F.col("active_penalty").alias("semantic_guard_active_penalty"),

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollstat.functions.columns import any_contains, blank_to_null, collapse_ws, last, sha, strip, text_or_empty
-from rollstat.operators.ranking import exact_quantiles
+from rollstat.functions.columns import any_contains, blank_to_null, collapse_ws, last, let, sha, strip, text_or_empty
+from rollstat.session import materialize
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -116,7 +116,10 @@ FAMILY_PATTERN = r"\b(include )?exactly \d+ numbers?\b|\b\d+ numbers? in the res
 
 def classify_family(prompt: Column) -> Column:
     """First family whose phrase occurs in the collapsed lower-case prompt."""
-    text = F.lower(collapse_ws(text_or_empty(prompt)))
+    return let(F.lower(collapse_ws(text_or_empty(prompt))), _family)
+
+
+def _family(text: Column) -> Column:
     out = F.lit("other")
     for family, phrases in reversed(FAMILY_PHRASES.items()):
         hit = any_contains(text, phrases)
@@ -227,12 +230,25 @@ def merge_testcases(public: Column, private: Column, metadata: Column) -> Column
 def filter_overlong(df: DataFrame, tokens: Column, max_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Rows within the limit, and a one-row length report. A null count is an error row and is dropped."""
     rows = df.withColumn("prompt_tokens", tokens)
-    n = F.col("prompt_tokens")
-    quant = exact_quantiles(rows.filter("prompt_tokens is not null").withColumn("_n", n.cast("double")), "_n", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
-    report = rows.agg(
-        F.count_if(n <= max_tokens).alias("kept"), F.count_if(n > max_tokens).alias("dropped"), F.count_if(n.isNull()).alias("errors"),
-        F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean")).withColumn(
-        "_q", quant.select(F.struct("p50", "p90", "p99").alias("q")).scalar()).select("*", "_q.p50", "_q.p90", "_q.p99").drop("_q")
+    # everything in the report follows from the histogram of lengths, so the texts are read once
+    hist = materialize(rows.groupBy("prompt_tokens").agg(F.count(F.lit(1)).alias("c")), "lengths")
+    n, c = F.col("prompt_tokens"), F.col("c")
+    known = hist.filter("prompt_tokens is not null")
+    cums = known.withColumn("cum", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("prompt_tokens"))).withColumn(
+        "_all", known.agg(F.sum("c").alias("t")).scalar())
+
+    def quantile(q: float) -> Column:
+        h = F.lit(q) * (F.col("_all") - 1)
+        low = F.min(F.when(F.col("cum") >= F.floor(h) + 1, n))
+        high = F.min(F.when(F.col("cum") >= F.ceil(h) + 1, n))
+        return low + (high - low) * F.max(h - F.floor(h))
+
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0)).cast("bigint")
+    quant = cums.agg(F.struct(*[quantile(q).alias(k) for k, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]).alias("q")).scalar()
+    report = hist.agg(
+        count(n <= max_tokens).alias("kept"), count(n > max_tokens).alias("dropped"), count(n.isNull()).alias("errors"),
+        F.min(n).alias("min"), F.max(n).alias("max"), (F.sum(n * c) / F.sum(F.when(n.isNotNull(), c))).alias("mean")).withColumn(
+        "_q", quant).select("*", "_q.p50", "_q.p90", "_q.p99").drop("_q")
     return rows.filter(n <= max_tokens), report
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollstat.functions.columns import col
+from rollstat.session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
 
@@ -51,10 +52,17 @@ def cumulate(
     """Inclusive running sum of ``weight`` (default: row count) inside ``group``.
 
     Rows carry a ``_bucket`` that follows ``order``: the window runs inside a bucket
-    and the total of the earlier buckets is added.
+    and the total of the earlier buckets is added.  Rows without one are few.
     """
     counted = weight is None
     rows = df.withColumn("_w", F.lit(1) if counted else weight)
+    if "_bucket" not in df.columns:
+        # few rows in all: one window per group is enough
+        alone = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
+        run = F.row_number().over(alone).cast("bigint") if counted else F.sum("_w").over(
+            alone.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = rows.withColumn(name, run).drop("_w")
+        return out if keep is None else out.filter(F.col(name) <= keep)
     keys = [*group, "_bucket"]
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*keys).agg(F.sum("_w").alias("_t")).select(
@@ -79,7 +87,7 @@ def hash_position(
     tie: Sequence[str] = (),
     name: str = "position",
     keep: int | None = None,
-    hex_digits: int = 2,
+    hex_digits: int = 4,
 ) -> DataFrame:
     """1-based rank by a hex hash column, optionally only the first ``keep`` per group.
 
@@ -93,35 +101,44 @@ def hash_position(
     return cumulate(bucketed, order, group, name, keep=keep)
 
 
-def _range_bucket(value: Column, bounds: list) -> Column:
+def _range_bucket(value: Column, bounds: Column, count: int) -> Column:
     """Number of bounds at or below ``value``, by binary search over a literal array."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    steps = max(1, len(bounds).bit_length())
-    low_high = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    low_high = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        below = F.element_at(array, mid + 1) <= value
+        below = F.element_at(bounds, F.least(mid + 1, F.lit(count))) <= value
         open_ = acc["low"] < acc["high"]
         return F.struct(
             F.when(open_ & below, mid + 1).otherwise(acc["low"]).alias("low"),
             F.when(open_ & ~below, mid).otherwise(acc["high"]).alias("high"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), low_high, halve, lambda a: a["low"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count.bit_length())), low_high, halve, lambda a: a["low"])
+
 
+def with_range_bucket(df: DataFrame, columns: str | Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``_bucket`` = range of the order columns; left out when all rows fit into one bucket.
 
-def with_range_bucket(df: DataFrame, column: str, rows_per_bucket: int) -> DataFrame:
+    The limits are whole order keys taken from a sample (a few hundred keys per bucket), so
+    a value that a third of the rows share is still split by the columns after it.  They
+    enter the plan as literals: a recomputed task puts every row into the same bucket again.
+    """
+    columns = [columns] if isinstance(columns, str) else list(columns)
     total = df.count()
     if total <= rows_per_bucket:
-        return df.withColumn("_bucket", F.lit(0))
+        return df
     wanted = -(-total // rows_per_bucket)
-    sample = df.select(column).sample(min(1.0, 200.0 * wanted / total), seed=17)
-    values = sorted(r[0] for r in sample.collect() if r[0] is not None)
-    step = max(1, len(values) // wanted)
-    return df.withColumn("_bucket", _range_bucket(F.col(column), sorted(set(values[step::step]))))
+    keys = df.select(*columns).dropna()
+    sample = sorted(tuple(r) for r in keys.sample(min(1.0, 200.0 * wanted / total), seed=17).collect())
+    step = max(1, len(sample) // wanted)
+    bounds = sorted(set(sample[step::step]))
+    if not bounds:
+        return df
+    fields = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    literal = F.array(*[F.struct(*[F.lit(v).alias(f"c{i}") for i, v in enumerate(b)]) for b in bounds])
+    value = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return df.withColumn("_bucket", _range_bucket(value, literal.cast(f"array<struct<{fields}>>"), len(bounds)))
 
 
 def position(
@@ -135,12 +152,10 @@ def position(
 ) -> DataFrame:
     """1-based position in the ascending order of ``order`` (a total order), per group.
 
-    ``order[0]`` must be a number, date, timestamp or string without heavy ties.  Up to
-    ``rows_per_bucket`` rows one window is enough; above, bucket limits are taken from a
-    sample of ``order[0]``.  The limits enter the plan as literals, so a recomputed
-    task puts every row into the same bucket again.
+    Up to ``rows_per_bucket`` rows one window per group is enough; above, the rows are
+    split into ranges of the order key.
     """
-    bucketed = with_range_bucket(df, order[0], rows_per_bucket)
+    bucketed = with_range_bucket(df, order, rows_per_bucket)
     return cumulate(bucketed, [F.col(c) for c in order], group, name, keep=keep)
 
 
@@ -152,6 +167,8 @@ def cumulative_counts(
     Ties shrink to one row before any ordering.
     """
     distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    # narrow and used several times: written once, so the source is read once
+    distinct = materialize(distinct, "values")
     bucketed = with_range_bucket(distinct, value, rows_per_bucket)
     return cumulate(bucketed, [F.col(value)], group, "cum", weight=F.col("n"))
 

@@ -131,16 +131,30 @@ def dynamic_sampling_metrics(df: DataFrame, group: str, acc: str, length: str, b
 def subspace_energy(df: DataFrame, vector: str, keys: Sequence[str], ranks: Sequence[int], *, seed: int = 0) -> DataFrame:
     """Share of squared norm in the leading directions, next to a random-coordinate control of the same size.
 
-    The Gram matrix is summed on the cluster; only its width x width cells (fixed by the vector
-    width, not by the rows) reach the driver for the eigenvalues.
+    Every Arrow batch gives its partial Gram matrix per key (width x width cells instead of
+    one row per vector and cell); the partial cells are summed on the cluster and only the
+    sums, fixed in number by the vector width, reach the driver for the eigenvalues.
     """
     import numpy as np
-
-    cells = df.select(*keys, F.posexplode(vector).alias("i", "x"), F.col(vector).alias("_v")).select(
-        *keys, "i", F.posexplode("_v").alias("j", "y"), "x").filter("j >= i")
-    gram = cells.groupBy(*keys, "i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("g")).toPandas()
+    import pandas as pd
+
+    keys = list(keys)
+
+    def partial_gram(batches):
+        for batch in batches:
+            for key, part in (batch.groupby(keys) if keys else [((), batch)]):
+                x = np.stack(part[vector].to_numpy()).astype(np.float64)
+                i, j = np.triu_indices(x.shape[1])
+                out = pd.DataFrame({"i": i, "j": j, "g": (x.T @ x)[i, j]})
+                for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
+                    out[name] = value
+                yield out[[*keys, "i", "j", "g"]]
+
+    kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+    cells = df.select(*keys, vector).mapInPandas(partial_gram, f"{kinds}i int, j int, g double")
+    gram = cells.groupBy(*keys, "i", "j").agg(F.sum("g").alias("g")).toPandas()
     rows = []
-    for key, part in (gram.groupby(list(keys)) if keys else [((), gram)]):
+    for key, part in (gram.groupby(keys) if keys else [((), gram)]):
         width = int(part["j"].max()) + 1
         g = np.zeros((width, width))
         g[part["i"], part["j"]] = part["g"]

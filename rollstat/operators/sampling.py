@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from rollstat.functions.columns import col, collapse_ws, hash_unit, sha
 from rollstat.operators.ranking import (
-    ROWS_PER_BUCKET, cumulate, first_per_key, hash_position, position, scalar_struct, with_range_bucket,
+    cumulate, first_per_key, hash_position, position, scalar_struct, with_range_bucket,
 )
+from rollstat.session import materialize
 
 
 def informative_groups(df: DataFrame, group: str, metric: str) -> DataFrame:
@@ -53,10 +54,12 @@ def govern_rows(
         .when(answer.isNull(), "answer").when(tokens > max_tokens, "prompt_too_long").otherwise("ok"))
     rows = df.withColumn("reject_reason", reason).withColumn("prompt_sha256", F.sha2(collapse_ws(question), 256))
     ok = rows.filter("reject_reason = 'ok'").drop("reject_reason")
-    unique = first_per_key(ok, ["prompt_sha256"], [F.col(source_row)]).withColumn(
+    # dedup and ranking run on (hash, row id); the texts are only fetched for the chosen rows
+    unique = ok.groupBy("prompt_sha256").agg(F.min(source_row).alias(source_row)).withColumn(
         "sample_key", sha(F.lit(seed), "prompt_sha256"))
-    chosen = hash_position(unique, "sample_key", keep=target_rows, name="index").withColumn(
+    picked = hash_position(unique, "sample_key", keep=target_rows, name="index").withColumn(
         "index", F.col("index") - 1)
+    chosen = df.join(picked, source_row)
     hit = lambda r: F.count_if(F.col("reject_reason") == r).alias(f"rejected_{r}")
     stats = rows.agg(
         F.count(F.lit(1)).alias("raw_rows"), hit("prompt_schema"), hit("difficulty"), hit("answer"), hit("prompt_too_long"),
@@ -72,7 +75,8 @@ def govern_rows(
 
 def dedup_first(df: DataFrame, key: Column, pos: str) -> DataFrame:
     """First row per key in source order."""
-    return first_per_key(df.withColumn("_key", F.sha2(key.cast("string"), 256)), ["_key"], [F.col(pos)]).drop("_key")
+    firsts = df.groupBy(F.sha2(key.cast("string"), 256).alias("_key")).agg(F.min(pos).alias(pos))
+    return df.join(firsts.select(pos), pos, "left_semi")
 
 
 def latest_success_per_prompt(
@@ -425,7 +429,7 @@ def band_filter_downsample(
     groups = df.groupBy(group).agg(
         F.avg(acc).alias("_a"), F.max(length).alias("_l"), F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_n"))
     groups = groups.withColumn("_pass", F.col("_a").between(low, high) & (F.col("_l") < max_length - 1))
-    runs = cumulate(with_range_bucket(groups, "_first", ROWS_PER_BUCKET), [F.col("_first")], ["_pass"], "_until", weight=F.col("_n"))
+    runs = cumulate(with_range_bucket(groups, "_first"), [F.col("_first")], ["_pass"], "_until", weight=F.col("_n"))
     totals = scalar_struct(groups, all=F.sum("_n"), ok=F.sum(F.when(F.col("_pass"), F.col("_n")).otherwise(0)))
     runs = runs.withColumn("_t", totals).withColumn(
         "_start", F.col("_until") - F.col("_n") + F.when(F.col("_pass"), 0).otherwise(F.col("_t.ok")))
@@ -460,16 +464,20 @@ def importance_resample(df: DataFrame, key: str, weight: str, draws: int, seed:
     number of draws up to each end is a running count, so no draw is ever compared with
     a range of rows.
     """
-    ends = cumulate(with_range_bucket(df.select(key, weight), key, ROWS_PER_BUCKET), [F.col(key)], [], "_end", weight=F.col(weight))
-    total = df.agg(F.sum(weight)).first()[0]
+    slim = materialize(df.select(key, weight), "weights")
+    ends = cumulate(with_range_bucket(slim, key), [F.col(key)], [], "_end", weight=F.col(weight))
+    total = slim.agg(F.sum(weight)).first()[0]
     hits = df.sparkSession.range(draws).select(
         (hash_unit(sha(F.lit(seed), "id")) * total).alias("_x"), F.lit(1).alias("_d"),
         F.lit(None).cast(df.schema[key].dataType).alias(key))
     marks = ends.select(F.col("_end").alias("_x"), F.lit(0).alias("_d"), key)
-    axis = with_range_bucket(hits.unionByName(marks), "_x", ROWS_PER_BUCKET)
+    axis = with_range_bucket(hits.unionByName(marks), "_x")
     # a draw equal to an end belongs to the next row: ends sort first
-    counts = cumulate(axis, [F.col("_x"), F.col("_d"), F.col(key)], [], "_seen", weight=F.col("_d")).filter(F.col(key).isNotNull())
-    ordered = with_range_bucket(counts.select(key, "_seen"), key, ROWS_PER_BUCKET)
+    seen = cumulate(axis, [F.col("_x"), F.col("_d"), F.col(key)], [], "_seen", weight=F.col("_d")).filter(F.col(key).isNotNull())
+    seen = materialize(seen.select(key, "_seen"), "draws")
+    ordered = with_range_bucket(seen, key)
+    if "_bucket" not in ordered.columns:
+        ordered = ordered.withColumn("_bucket", F.lit(0))
     before = Window.partitionBy("_bucket").orderBy(key)
     edges = ordered.groupBy("_bucket").agg(F.max("_seen").alias("_m"))
     edge = edges.select("_bucket", F.coalesce(F.lag("_m").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")), F.lit(0)).alias("_p"))

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from rollstat.functions.columns import word_count
 from rollstat.operators import normalize as N
+from rollstat.operators.ranking import spread
 from rollstat.plans.registry import query
-from rollstat.plans.views import MSG, ROLL, q8, rounded, table, v_msg, v_roll, with_ctes
+from rollstat.plans.views import MSG, ROLL, documents, q8, rounded, table, v_msg, v_roll, with_ctes
 
 FLAT = lambda m: F.sha2(F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit("|"), x["content"])), "\n"), 256)
 FLAT_SQL = lambda m: f"sha256(array_to_string(list_transform({m}, lambda x: x.role || '|' || x.content), chr(10)))"
@@ -100,7 +101,7 @@ def normalize_math_eval(spark, sf):
 
 
 def _if_rows(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     ids = ["punctuation:no_comma", "length_constraints:number_words", "count:count_increment_word"]
     return d.select("doc_id", "source", F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("text"),
                     F.when(F.col("doc_id") % 10 == 1, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(i) for i in ids])).alias("ids"),
@@ -146,7 +147,7 @@ KW_IN = """'{"n": 3.0, "keyword1": ["' || event_type || '"], "k": ' || json_extr
 
 
 def _kw(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     return e.withColumn("kw", F.concat(F.lit('{"n": 3.0, "keyword1": ["'), F.col("event_type"), F.lit('"], "k": '), F.get_json_object("props", "$.k"), F.lit(', "a": null}')))
 
 
@@ -163,7 +164,7 @@ MARKED = """concat(text, CASE doc_id % 8 WHEN 0 THEN ' Your ENTIRE response shou
 
 @query("classify_family", f"SELECT doc_id, {FAMILY_SQL('t')} AS family FROM (SELECT doc_id, lower(trim(regexp_replace({MARKED}, '\\s+', ' ', 'g'))) AS t FROM documents)")
 def classify_family(spark, sf):
-    d = table(spark, sf, "documents").withColumn("m", F.expr(MARKED))
+    d = documents(spark, sf).withColumn("m", F.expr(MARKED))
     return d.select("doc_id", N.classify_family(F.col("m")).alias("family"))
 
 
@@ -191,13 +192,13 @@ WORDS = "len(regexp_extract_all(text, '\\S+'))"
 
 @query("filter_overlong", f"SELECT doc_id, {WORDS}::INTEGER AS prompt_tokens FROM documents WHERE {WORDS} <= 300")
 def filter_overlong(spark, sf):
-    return N.filter_overlong(table(spark, sf, "documents"), word_count("text"), 300)[0].select("doc_id", "prompt_tokens")
+    return N.filter_overlong(documents(spark, sf), word_count("text"), 300)[0].select("doc_id", "prompt_tokens")
 
 
 @query("filter_overlong_report", f"""SELECT count(*) FILTER (n <= 300)::BIGINT AS kept, count(*) FILTER (n > 300)::BIGINT AS dropped, 0::BIGINT AS errors, min(n)::INTEGER AS "min", max(n)::INTEGER AS "max",
  {q8("avg(n)", "mean")}, {q8("quantile_cont(n, 0.5)", "p50")}, {q8("quantile_cont(n, 0.9)", "p90")}, {q8("quantile_cont(n, 0.99)", "p99")} FROM (SELECT {WORDS} AS n FROM documents)""")
 def filter_overlong_report(spark, sf):
-    return rounded(N.filter_overlong(table(spark, sf, "documents"), word_count("text"), 300)[1], "mean", "p50", "p90", "p99")
+    return rounded(N.filter_overlong(documents(spark, sf), word_count("text"), 300)[1], "mean", "p50", "p90", "p99")
 
 
 @query("shuffle_choices", """WITH o AS (SELECT p_partkey, unnest([{'i': 0, 'o': p_type}, {'i': 1, 'o': p_brand}, {'i': 2, 'o': p_name}, {'i': 3, 'o': CAST(p_size AS VARCHAR)}]) AS x FROM part),
@@ -297,7 +298,7 @@ x AS (SELECT doc_id, np, n, k, {PAD_SQL("CASE WHEN i < k THEN ids[i + 1 + n - k]
 SELECT doc_id, array_to_string(l, ' ') AS left_ids, array_to_string(r, ' ') AS right_ids, array_to_string(m, '') AS mask, array_to_string(ps, ' ') AS positions, array_to_string(lm, '') AS loss_mask FROM x""")
 def truncate_pad_tokens(spark, sf):
     size = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda t: t != ""), lambda t: F.length(t))
-    d = table(spark, sf, "documents").select("doc_id", size(F.concat_ws(" ", "lang", "source", F.lit("x"))).alias("p"), size(F.col("text")).alias("r"))
+    d = documents(spark, sf).select("doc_id", size(F.concat_ws(" ", "lang", "source", F.lit("x"))).alias("p"), size(F.col("text")).alias("r"))
     right = N.truncate_pad_tokens(d, "p", "r", 48)
     left = N.truncate_pad_tokens(d, "p", "r", 48, truncation="left").select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("left_ids"))
     text = lambda c, s: F.array_join(F.col(c).cast("array<string>"), s)

@@ -7,11 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollstat.operators.ranking import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for text work; a table too small to fill the cores is spread over them."""
+    return spread(table(spark, sf, "documents"))
+
+
 def v_roll(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select(
@@ -81,7 +88,7 @@ FROM conversations GROUP BY conv_id)"""
 
 
 def v_doc(spark: SparkSession, sf: str) -> DataFrame:
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, l = documents(spark, sf), table(spark, sf, "labels")
     return d.join(l, "doc_id", "left").select(
         "doc_id", F.col("lang").alias("domain"), F.col("source").alias("dataset"),
         F.col("text").alias("completion"), "n_chars", F.col("quality").alias("acc"), "toxic",
