@@ -132,8 +132,8 @@ def subspace_energy(df: DataFrame, vector: str, keys: Sequence[str], ranks: Sequ
     """Share of squared norm in the leading directions, next to a random-coordinate control of the same size.
 
     Every Arrow batch gives its partial Gram matrix per key (width x width cells instead of
-    one row per vector and cell); the partial cells are summed on the cluster and only the
-    sums, fixed in number by the vector width, reach the driver for the eigenvalues.
+    one row per vector and cell); the partial cells are summed by Spark, and the eigenvalues
+    of a key are taken from its width x width sums, a fixed number of rows.
     """
     import numpy as np
     import pandas as pd
@@ -152,19 +152,21 @@ def subspace_energy(df: DataFrame, vector: str, keys: Sequence[str], ranks: Sequ
 
     kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
     cells = df.select(*keys, vector).mapInPandas(partial_gram, f"{kinds}i int, j int, g double")
-    gram = cells.groupBy(*keys, "i", "j").agg(F.sum("g").alias("g")).toPandas()
-    rows = []
-    for key, part in (gram.groupby(keys) if keys else [((), gram)]):
+    gram = cells.groupBy(*keys, "i", "j").agg(F.sum("g").alias("g"))
+
+    def energies(part: pd.DataFrame) -> pd.DataFrame:
         width = int(part["j"].max()) + 1
         g = np.zeros((width, width))
         g[part["i"], part["j"]] = part["g"]
         g = g + np.triu(g, 1).T
         values = np.sort(np.clip(np.linalg.eigvalsh(g), 0, None))[::-1]
         total = values.sum()
-        for r in ranks:
-            k = min(r, width)
-            picked = np.random.default_rng(seed).permutation(width)[:k]
-            rows.append((*(key if isinstance(key, tuple) else (key,)), r, float(values[:k].sum() / total) if total > 0 else 0.0,
-                         float(np.diag(g)[picked].sum() / total) if total > 0 else 0.0))
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.sparkSession.createDataFrame(rows, (fields + ", " if fields else "") + "rank int, energy double, random_energy double")
+        picked = np.random.default_rng(seed).permutation(width)
+        share = lambda x: float(x.sum() / total) if total > 0 else 0.0
+        out = pd.DataFrame({"rank": list(ranks), "energy": [share(values[:r]) for r in ranks],
+                            "random_energy": [share(np.diag(g)[picked[:r]]) for r in ranks]})
+        for name in keys:
+            out[name] = part[name].iloc[0]
+        return out[[*keys, "rank", "energy", "random_energy"]]
+
+    return gram.groupBy(*keys).applyInPandas(energies, f"{kinds}rank int, energy double, random_energy double")

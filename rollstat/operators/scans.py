@@ -38,14 +38,14 @@ def _carry(
     """Carry into every chunk of a long sequence, folded from its last chunk to its first.
 
     ``step(state, chunk)`` gives the state after the chunk; the result has (seq, _chunk,
-    and the state fields *before* the chunk).
+    and the state fields *before* the chunk, as ``_in_<field>``).
     """
     names = list(start)
     long = chunked.filter("_chunk > 0").select(seq).distinct()
     parts = chunked.join(long, seq, "left_semi").groupBy(seq, "_chunk").agg(
-        *[a.alias(n) for n, a in summary.items()])
+        *[a.alias(f"_q_{n}") for n, a in summary.items()])
     chain = parts.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("_chunk")).alias("k"), *summary))).alias("s"))
+        (-F.col("_chunk")).alias("k"), *[F.col(f"_q_{n}").alias(n) for n in summary]))).alias("_list"))
     fields = ",".join(f"{n}:double" for n in names)
     init = F.struct(*[start[n].cast("double").alias(n) for n in names], F.expr(
         f"cast(array() as array<struct<_chunk:bigint,{fields}>>)").alias("out"))
@@ -56,7 +56,8 @@ def _carry(
         return F.struct(*[after[n].cast("double").alias(n) for n in names],
                         F.concat(acc["out"], F.array(here)).alias("out"))
 
-    return chain.select(seq, F.explode(F.aggregate("s", init, fold, lambda a: a["out"])).alias("c")).select(seq, "c.*")
+    states = F.explode(F.aggregate("_list", init, fold, lambda a: a["out"])).alias("_c")
+    return chain.select(seq, states).select(seq, "_c._chunk", *[F.col(f"_c.{n}").alias(f"_in_{n}") for n in names])
 
 
 def running_sums(
@@ -126,7 +127,7 @@ def discounted_return(
     carries = _carry(rows, seq, summary, {"y": F.lit(0.0)}, lambda s, c: {
         "y": c["m"] * (c["x"] + F.when(c["whole"] == 1, F.pow(F.lit(gamma), c["n"]) * s["y"]).otherwise(0.0))})
     out = rows.join(carries, [seq, "_chunk"], "left")
-    reach = F.when(F.col("_open"), F.pow(F.lit(gamma), F.col("_u")) * F.coalesce("y", F.lit(0.0))).otherwise(0.0)
+    reach = F.when(F.col("_open"), F.pow(F.lit(gamma), F.col("_u")) * F.coalesce("_in_y", F.lit(0.0))).otherwise(0.0)
     return out.withColumn(name, F.col("_x") + reach).select(*df.columns, name)
 
 
@@ -160,6 +161,6 @@ def advantage_recursion(
         "nv": F.when(k["n"] > 0, k["v"]).otherwise(s["nv"]),
         "ac": F.when(k["n"] > 0, k["a"] + into(s, k["n"])).otherwise(s["ac"])})
     out = rows.join(carries, [seq, "_chunk"], "left")
-    nv, ac = F.coalesce("nv", F.lit(0.0)), F.coalesce("ac", F.lit(0.0))
+    nv, ac = F.coalesce("_in_nv", F.lit(0.0)), F.coalesce("_in_ac", F.lit(0.0))
     reach = F.pow(F.lit(c), F.col("_u") - 1) * (gamma * nv + c * ac)
     return out.withColumn(name, F.when(F.col("_u") > 0, F.col("_a") + reach).otherwise(ac)).select(*df.columns, name)
