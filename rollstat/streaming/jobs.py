@@ -67,7 +67,7 @@ def last_state(stream: DataFrame, label: str) -> DataFrame:
 # ---- group assembly ---------------------------------------------------------------------
 
 GROUP_OUT = "uid string, group_no bigint, size int, score double"
-GROUP_STATE = "done bigint, pending int, total double"
+GROUP_STATE = "done bigint, pending int, total double, deadline bigint"
 
 
 def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int, timeout: str, late: str = "1 day") -> DataFrame:
@@ -75,7 +75,7 @@ def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int
 
     Rows later than ``late`` are left out.
 
-    The state of a prompt is three numbers, however many responses it gets.
+    The state of a prompt is four numbers, however many responses it gets.
     """
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
@@ -83,7 +83,9 @@ def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int
         if state.hasTimedOut:
             state.remove()
             return
-        done, pending, total = state.get if state.exists else (0, 0, 0.0)
+        done, pending, total, deadline = state.get if state.exists else (0, 0, 0.0, 0)
+        if pending and state.getCurrentWatermarkMs() > deadline:
+            pending, total = 0, 0.0  # new rows came in the batch that would have timed out
         out, newest = [], 0
         for batch in batches:
             newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
@@ -92,8 +94,9 @@ def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int
                 if pending == n:
                     out.append((key[0], done, n, total))
                     done, pending, total = done + 1, 0, 0.0
-        state.update((done, pending, total))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + wait)
+        deadline = max(newest, state.getCurrentWatermarkMs()) + wait
+        state.update((done, pending, total, deadline))
+        state.setTimeoutTimestamp(deadline)
         yield pd.DataFrame(out, columns=["uid", "group_no", "size", "score"])
 
     slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.col(score).cast("double").alias("score"))
