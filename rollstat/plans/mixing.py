@@ -410,9 +410,9 @@ def balanced_sharding_exact(spark, sf):
     return exact(rows, "batch", "doc_id", "cost", 8)
 
 
-# the selection is every source row whose text is not the last of its copies, in order; copies share a key
+# the selection is the last copy of every labelled document, in order; copies share a key
 RESTORE = """src AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS p, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id DESC) AS back, count(*) OVER (PARTITION BY lang, text) AS n FROM documents),
-sel AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM src WHERE back = 1 AND p % 2 = 0),
+sel AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM src WHERE back = 1 AND doc_id IN (SELECT doc_id FROM labels)),
 go(lang, i, p) AS (SELECT lang, i, (SELECT min(s.p) FROM src s WHERE s.lang = sel.lang AND s.text = sel.text) FROM sel WHERE i = 0
  UNION ALL SELECT sel.lang, sel.i, (SELECT min(s.p) FROM src s WHERE s.lang = sel.lang AND s.text = sel.text AND s.p > go.p) FROM go JOIN sel ON sel.lang = go.lang AND sel.i = go.i + 1)"""
 
@@ -424,6 +424,6 @@ def ordered_subset_restore(spark, sf):
     d = table(spark, sf, "documents").select("lang", "doc_id", "text")
     source = position(d, ["doc_id"], ["lang"], name="p")
     lasts = d.groupBy("lang", "text").agg(F.max("doc_id").alias("doc_id"))
-    picked = source.join(lasts.select("doc_id"), "doc_id", "left_semi").filter("p % 2 = 0")
+    picked = source.join(lasts.select("doc_id"), "doc_id", "left_semi").join(table(spark, sf, "labels"), "doc_id", "left_semi")
     selection = position(picked, ["doc_id"], ["lang"], name="i").withColumn("index", F.col("i") - 1)
     return restore(selection, source, domain="lang", index="index", pos="p", key=F.col("text"))

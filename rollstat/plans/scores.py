@@ -194,25 +194,22 @@ def check_instructions(spark, sf):
     return _checked(spark, sf)
 
 
-# the report queries use the cheaper half of the checkers; check_instructions runs them all
-REPORTED = ["detectable_content:number_placeholders", "detectable_format:title", "punctuation:no_comma", "startend:quotation", "keywords:existence"]
-REPORT_SQL = f"""{STRICT_SQL}, {LOOSE_SQL}, st AS (SELECT * FROM ({UNION_CHECKS('base')}) WHERE instruction_id IN ({', '.join(repr(r) for r in REPORTED)})),
-lo AS (SELECT doc_id, instruction_id, max(ok) AS loose FROM ({UNION_CHECKS('vars')}) WHERE instruction_id IN ({', '.join(repr(r) for r in REPORTED)}) GROUP BY ALL),
-ck AS (SELECT st.doc_id, st.instruction_id, st.ok AS strict, lo.loose, split_part(st.instruction_id, ':', 1) AS family FROM st JOIN lo USING (doc_id, instruction_id))"""
+REPORT_SQL = CHECKED_SQL.removesuffix("ck AS (SELECT st.doc_id, st.ordinal, st.instruction_id, st.ok AS strict, lo.loose FROM st JOIN lo USING (doc_id, ordinal))") + (
+    "ck AS (SELECT st.doc_id, st.instruction_id, st.ok AS strict, lo.loose, split_part(st.instruction_id, ':', 1) AS family FROM st JOIN lo USING (doc_id, ordinal))")
 SHARE = lambda c: f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END)"
 
 
 @query("instruction_accuracy", f"""WITH {REPORT_SQL} SELECT family, instruction_id, count(*)::BIGINT AS n, {q8(SHARE('strict'), 'strict')}, {q8(SHARE('loose'), 'loose')}
  FROM ck GROUP BY GROUPING SETS ((), (family), (family, instruction_id))""")
 def instruction_accuracy(spark, sf):
-    return rounded(I.instruction_accuracy(_checked(spark, sf, REPORTED), "doc_id"), "strict", "loose")
+    return rounded(I.instruction_accuracy(_checked(spark, sf), "doc_id"), "strict", "loose")
 
 
 @query("prompt_accuracy", f"""WITH {REPORT_SQL}, b AS (SELECT doc_id, min(strict) AS s, min(loose) AS l, count(*) AS n, count(*) FILTER (strict) AS ns, count(*) FILTER (loose) AS nl FROM ck GROUP BY 1)
 SELECT count(*)::BIGINT AS prompt_total, count(*) FILTER (s)::BIGINT AS prompt_correct, sum(n)::BIGINT AS instruction_total, sum(ns)::BIGINT AS instruction_correct,
  {q8(SHARE('s'), 'strict_prompt')}, {q8(SHARE('l'), 'loose_prompt')}, {q8('sum(ns) / sum(n)', 'strict_instruction')}, {q8('sum(nl) / sum(n)', 'loose_instruction')} FROM b""")
 def prompt_accuracy(spark, sf):
-    out = I.prompt_accuracy(_checked(spark, sf, REPORTED), "doc_id")
+    out = I.prompt_accuracy(_checked(spark, sf), "doc_id")
     return rounded(out, "strict_prompt", "loose_prompt", "strict_instruction", "loose_instruction")
 
 
