@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollstat.operators.advantages import MASK_EPS  # noqa: F401  (shared convention)
 from rollstat.operators.distill import array_sum
 from rollstat.operators.ranking import cumulative_counts, exact_quantiles, scalar_struct
+from rollstat.session import materialize
 
 
 def domain_weights(domain: str, order: Sequence[str]) -> Column:
@@ -35,7 +35,8 @@ def domain_shares(df: DataFrame, domain: str, seq: str, mask: str, reward: str)
     """Per domain prompt and token share, count, mean length, mean absolute reward per token."""
     per_seq = df.groupBy(domain, seq).agg(
         F.sum(mask).alias("_t"), F.sum(F.abs(reward) * F.col(mask)).alias("_r"))
-    by = per_seq.groupBy(domain).agg(F.count(F.lit(1)).alias("n"), F.sum("_t").alias("t"), F.sum("_r").alias("r"))
+    by = materialize(per_seq.groupBy(domain).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_t").alias("t"), F.sum("_r").alias("r")), "domain-totals")
     total = scalar_struct(by, n=F.sum("n"), t=F.sum("t"))
     return by.withColumn("_a", total).select(
         domain, F.col("n").alias("prompt_count"), (F.col("n") / F.col("_a.n")).alias("prompt_share"),
@@ -70,7 +71,8 @@ def domain_loss_weights(
 
     The token-weighted mean of the weights is 1.
     """
-    by = df.groupBy(domain).agg(F.sum(mask).cast("double").alias("tokens"))
+    # one row per domain, used by every later total: written once
+    by = materialize(df.groupBy(domain).agg(F.sum(mask).cast("double").alias("tokens")), "domain-tokens")
     wanted = F.lit(0.0)
     for d, share in (targets or {}).items():
         wanted = F.when(F.col(domain).cast("string") == d, float(share)).otherwise(wanted)
@@ -82,7 +84,7 @@ def domain_loss_weights(
     by = by.select(domain, "tokens", share.alias("token_share"), target.alias("target_share"),
                    F.try_divide(target, share).alias("_scale"))
     if alpha > 0:
-        by = by.join(_magnitudes(df, domain, mask, reward, stat), domain, "left")
+        by = by.join(materialize(_magnitudes(df, domain, mask, reward, stat), "magnitudes"), domain, "left")
         mag = F.col("magnitude")
         if direction == "divide":
             by = by.withColumn("_scale", F.when(mag > 1e-8, F.col("_scale") / F.pow(mag, F.lit(alpha))).otherwise(F.col("_scale")))

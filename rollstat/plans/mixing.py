@@ -21,12 +21,12 @@ def _govern(spark, sf):
     return S.govern_rows(
         rows, question=collapse_ws("completion"), difficulty=F.floor(F.col("n_chars") / 200), answer=F.col("acc"),
         tokens=word_count("completion"), source_row="doc_id", seed=42, min_difficulty=1, max_difficulty=40,
-        max_tokens=1000, target_rows=50)
+        max_tokens=1000, target_rows=20)
 
 
 @query("govern_rows", with_ctes(FUNNEL) + """, u AS (SELECT h, min(doc_id) AS doc_id FROM r WHERE reason = 'ok' GROUP BY h),
 k AS (SELECT *, sha256('42:' || h) AS sample_key, row_number() OVER (ORDER BY sha256('42:' || h)) - 1 AS i FROM u)
-SELECT doc_id, h AS prompt_sha256, sample_key, i::BIGINT AS "index" FROM k WHERE i < 50""")
+SELECT doc_id, h AS prompt_sha256, sample_key, i::BIGINT AS "index" FROM k WHERE i < 20""")
 def govern_rows(spark, sf):
     return _govern(spark, sf)[0].select("doc_id", "prompt_sha256", "sample_key", F.col("index").cast("bigint").alias("index"))
 
@@ -35,7 +35,7 @@ def govern_rows(spark, sf):
  count(*) FILTER (reason = 'difficulty')::BIGINT AS rejected_difficulty, count(*) FILTER (reason = 'answer')::BIGINT AS rejected_answer,
  count(*) FILTER (reason = 'prompt_too_long')::BIGINT AS rejected_prompt_too_long, count(*) FILTER (reason = 'ok')::BIGINT AS eligible,
  count(DISTINCT h) FILTER (reason = 'ok')::BIGINT AS unique_rows, (count(*) FILTER (reason = 'ok') - count(DISTINCT h) FILTER (reason = 'ok'))::BIGINT AS deduplicated,
- 50::BIGINT AS selected FROM r""")
+ 20::BIGINT AS selected FROM r""")
 def govern_counters(spark, sf):
     return _govern(spark, sf)[1]
 
@@ -82,9 +82,9 @@ EX_SQL = "('src3', 'src7', 'src11')"
 
 @query("bottom_k_hash_sample", f"""SELECT doc_id, lang, (rn - 1)::BIGINT AS mix_index, lang || '-' || (rn - 1) AS "index" FROM (
  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('7:' || lang || ':' || doc_id), 1, 16), doc_id) AS rn
- FROM documents WHERE source NOT IN {EX_SQL}) WHERE rn <= 20""")
+ FROM documents WHERE source NOT IN {EX_SQL}) WHERE rn <= 8""")
 def bottom_k_hash_sample(spark, sf):
-    out = S.bottom_k_hash_sample(table(spark, sf, "documents"), "lang", "doc_id", 20, 7, source="source", excluded=EXCLUDED)
+    out = S.bottom_k_hash_sample(table(spark, sf, "documents"), "lang", "doc_id", 8, 7, source="source", excluded=EXCLUDED)
     return out.select("doc_id", "lang", F.col("mix_index").cast("bigint").alias("mix_index"), "index")
 
 
@@ -103,11 +103,11 @@ def balanced_domain_sample(spark, sf):
     return S.balanced_domain_sample(table(spark, sf, "documents"), "lang", "doc_id", 5).select("doc_id", "lang")
 
 
-# 120 rows over weights 5:2:2:1
+# 60 rows over weights 5:2:2:1
 @query("weighted_allocation", """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('9:' || lang || ':' || doc_id)) AS rn FROM documents)
- WHERE rn <= CASE lang WHEN 'en' THEN 60 WHEN 'fr' THEN 24 WHEN 'de' THEN 24 ELSE 12 END""")
+ WHERE rn <= CASE lang WHEN 'en' THEN 30 WHEN 'fr' THEN 12 WHEN 'de' THEN 12 ELSE 6 END""")
 def weighted_allocation(spark, sf):
-    return S.weighted_allocation(table(spark, sf, "documents"), "lang", "doc_id", 9, total=120,
+    return S.weighted_allocation(table(spark, sf, "documents"), "lang", "doc_id", 9, total=60,
                                  weights={"en": 5, "fr": 2, "de": 2, "es": 1}).select("doc_id", "lang")
 
 
@@ -296,9 +296,9 @@ def importance_resample(spark, sf):
 
 
 @query("pad_to_divisor", """SELECT o_orderkey, false AS is_pad FROM orders UNION ALL
- SELECT o_orderkey, true FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders) WHERE rn <= (4096 - n % 4096) % 4096""")
+ SELECT o_orderkey, true FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders) WHERE rn <= (1024 - n % 1024) % 1024""")
 def pad_to_divisor(spark, sf):
-    return S.pad_to_divisor(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 4096)
+    return S.pad_to_divisor(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1024)
 
 
 @query("range_slice_ranks", """WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 101 AS i FROM orders),
