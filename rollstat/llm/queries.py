@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollstat.llm.common import table
 from rollstat.llm.exact_dedup import exact_duplicates
+from rollstat.llm.mixing import mixture
+from rollstat.llm.packing import pack
 from rollstat.llm.simhash import simhash_near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,47 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def tokenizer_path(name: str) -> str:
+    """Vocabularies are read where they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op1_mixing", r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 16) as hash_key
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size,
+         [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight
+  from d group by source
+), o as (
+  select *, row_number() over (order by 3.0 * source_size / weight, source nulls last) as place, 3.0 * source_size as top from s
+), p as (
+  select *, sum(source_size) over () - coalesce(sum(top) over (order by place rows between unbounded preceding and 1 preceding), 0) as left_words,
+         sum(weight) over (order by place rows between current row and unbounded following) as left_weight
+  from o
+), w as (
+  select left_words, left_weight from p where top >= weight * left_words / left_weight order by place limit 1
+), t as (
+  select p.source, p.source_size, least(p.top, p.weight * cast(w.left_words as double) / w.left_weight) as target from p, w
+), r as (
+  select d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5) as budget,
+         sum(d.size) over (partition by d.source order by d.hash_key, d.doc_id, d.size rows between unbounded preceding and current row) as until_words
+  from d join t on d.source is not distinct from t.source
+), e as (
+  select *, case when source_size > 0 then floor(budget / source_size) else 0 end as epochs from r
+)
+select doc_id, cast(size as bigint) as size, source_size, cast(target as double) as target,
+       cast(epochs * size + least(greatest(budget - epochs * source_size - (until_words - size), 0), size) as bigint) as taken
+from e
+""")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3.0)
+
+
 @register("op6_exact_dedup", r"""
 with t as (
   select doc_id, coalesce(text, '') as body from documents
@@ -43,3 +86,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@register("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
