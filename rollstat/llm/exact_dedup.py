@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollstat.llm.common import WHITE
+from rollstat.llm.common import without_white
 
 
 def content_hash(body: Column) -> Column:
@@ -25,7 +25,7 @@ def content_hash(body: Column) -> Column:
 
 def _bodies(docs: DataFrame, id_column: str, text_column: str, hash_of: Callable[[Column], Column], *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(*more, F.col(id_column).alias("id"), F.length(text).alias("points"), F.translate(text, WHITE, "").alias("body"))
+    rows = docs.select(*more, F.col(id_column).alias("id"), F.length(text).alias("points"), without_white(text).alias("body"))
     return rows.withColumn("hash", hash_of(F.col("body")))
 
 
