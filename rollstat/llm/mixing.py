@@ -53,6 +53,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 def _taken(rows: DataFrame, order: Sequence[str], weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
     """``rows`` (id, source, size, ...) with source_size, target, epochs and the words of the partial epoch."""
+    rows = materialize(rows, "sizes")  # texts are read once
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(per_source, weights, share, most)
     key = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 16)

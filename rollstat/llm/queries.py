@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollstat.llm.common import table
 from rollstat.llm.exact_dedup import exact_duplicates
+from rollstat.llm.language import identify
 from rollstat.llm.mixing import mixture
 from rollstat.llm.packing import pack
+from rollstat.llm.quality import score_quality
 from rollstat.llm.simhash import simhash_near_duplicates
+from rollstat.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +69,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3.0)
 
 
+@register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out_fold=0, threshold=0.5)
+
+
+@register("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), folds=4, held_out_fold=2)
+
+
+@register("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=5, held_out_fold=0)
+
+
 @register("op6_exact_dedup", r"""
 with t as (
   select doc_id, coalesce(text, '') as body from documents
