@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; every other character belongs to a word.
 WHITE = " \t\n\x0b\f\r"
-WHITE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -100,15 +99,3 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if np.array_equal(label, before):
             break
     return label
-
-
-def learned(rows: DataFrame, fit: Callable, schema: str) -> DataFrame:
-    """``fit`` over each ``member`` group; only for samples with a documented bound."""
-    return rows.groupBy("member").applyInPandas(fit, schema)
-
-
-def documents_only(stage: Callable) -> Callable:
-    """A stage keeps exactly the columns it was given."""
-    def run(spark, docs, sf_dir):
-        return stage(spark, docs, sf_dir).select(*docs.columns)
-    return run
