@@ -122,7 +122,8 @@ def learn(
     part = F.pmod(F.xxhash64(F.lit("member"), "id"), F.lit(members)).cast("int")
     share = members / max(members - 1, 1)  # of the sample that one member doesn't see
     toxic = known.filter("label = 1").select("id").filter(chance < share * positives / max(n_toxic, 1)).withColumn("toxic", F.lit(True))
-    picked = rows.join(toxic, "id", "left").filter(F.col("toxic") | (chance < share * unlabelled / max(n_rows, 1)))
+    # the sampled ids of positives are bounded: texts stay where they are
+    picked = rows.join(F.broadcast(toxic), "id", "left").filter(F.col("toxic") | (chance < share * unlabelled / max(n_rows, 1)))
     sample = materialize(picked.select("id", "text", F.coalesce("toxic", F.lit(False)).alias("positive"), part.alias("part")), "sample")
     names = vocabulary(sample, size, prior)
     if not names:
