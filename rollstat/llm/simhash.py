@@ -139,26 +139,25 @@ def _search(max_bits: int):
     return run
 
 
-def _shards(prints: DataFrame, trees: list[tuple[int, list[int]]], bound: int) -> DataFrame:
-    """(parent, fp) to (tree, shard, fp): one row per band, and one per overlapped shard beyond its own."""
+def _shards(prints: DataFrame, masks: dict[int, int], bound: int) -> DataFrame:
+    """(parent, fp) to (tree, shard, fp): one row per band, and one per overlapped shard beyond its own.
+
+    ``masks`` has the bits of each tree's band; a parent's trees are its number times ``BANDS`` and on.
+    """
     # at bound 0 more points cost nothing: fifteen tell the values of a 16-bit band apart
     points = _vantage_points(15 if bound == 0 else 2)
-    width = BITS + 1 + 2 * bound
-    options = []
-    for tree, bits in trees:
-        shard = F.lit(0).cast("bigint")
-        for p in points:
-            ring = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_mask(bits)))).cast("bigint")
-            if bound == 0:
-                shard = shard * (len(bits) + 1) + ring
-            else:
-                # every ring the bound reaches; the pair meets in the shards both reach
-                shard = shard * width + ring
-        options.append(F.struct(F.lit(tree).alias("tree"), shard.alias("shard")))
-    rows = prints.select("fp", "parent", F.explode(F.array(*options)).alias("o")).filter(
-        F.floor(F.col("o.tree") / BANDS) == F.col("parent")).select("o.tree", "o.shard", "fp")
+    width = BITS // BANDS + 1 if bound == 0 else BITS + 1 + 2 * bound
+    known = F.array(*[F.lit(masks.get(t, 0)) for t in range(max(masks) + 1)])
+    rows = prints.select("fp", F.explode(F.transform(
+        F.array(*[F.lit(k) for k in range(BANDS)]), lambda k: F.col("parent") * BANDS + k)).alias("tree"))
+    rows = rows.withColumn("mask", F.element_at(known, F.col("tree") + 1))
+    shard = F.lit(0).cast("bigint")
+    for p in points:
+        shard = shard * width + F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.col("mask"))).cast("bigint")
+    rows = rows.select("tree", shard.alias("shard"), "fp")
     if bound == 0:
         return rows
+    # every ring the bound reaches; a pair meets in the shards that both reach
     shifts = [a * width + b for a in range(-bound, bound + 1) for b in range(-bound, bound + 1)]
     return rows.withColumn("shift", F.explode(F.array(*[F.lit(s) for s in shifts]))).select(
         "tree", (F.col("shard") + F.col("shift")).alias("shard"), "fp")
@@ -171,12 +170,12 @@ def linked_prints(prints: DataFrame, max_bits: int = 3, shard_rows: int = SHARD)
     free = {0: list(range(BITS))}
     rows, found = prints.select("fp", F.lit(0).alias("parent")), []
     while True:
-        trees, rest = [], {}
+        masks, rest = {}, {}
         for parent, bits in free.items():
             for k, band in enumerate(_parts(bits, BANDS)):
-                trees.append((parent * BANDS + k, band))
+                masks[parent * BANDS + k] = _mask(band)
                 rest[parent * BANDS + k] = [b for b in bits if b not in band]
-        shards = materialize(_shards(rows, trees, bound), "shards")
+        shards = materialize(_shards(rows, masks, bound), "shards")
         sizes = shards.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shards = shards.join(sizes, ["tree", "shard"])
         # behind the last bits a shard holds no more than the values of the bits left
