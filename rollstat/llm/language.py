@@ -42,7 +42,7 @@ def normalised(text: str) -> bytes:
 def pieces(text: str) -> Iterator[bytes]:
     for start in range(0, len(text), _BLOCK):
         data = normalised(text[start:start + _BLOCK])
-        if len(data) > 2:
+        if data.strip():  # it has a letter
             for at in range(0, len(data), PIECE):
                 yield data[at:at + PIECE]
 

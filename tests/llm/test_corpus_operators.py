@@ -181,9 +181,9 @@ def test_simhash_components(odd, none):
 def test_links_are_complete(spark, max_bits, shard_rows):
     """Random fingerprints, dense balls around a few, pairs at exactly the bound; also with tiny shards."""
     rng = np.random.default_rng(5)
-    values = set(rng.integers(0, 1 << 62, 300).tolist())
-    for center in rng.integers(0, 1 << 62, 4).tolist():
-        for _ in range(80):
+    values = set(rng.integers(0, 1 << 62, 200).tolist())
+    for center in rng.integers(0, 1 << 62, 3).tolist():
+        for _ in range(80 if max_bits == 3 else 25):
             v = center
             for b in rng.choice(64, rng.integers(1, 5), replace=False):
                 v ^= 1 << int(b)
@@ -250,7 +250,7 @@ def test_mix_copies(odd, none):
     assert sum(len(WORD.findall(r["text"] or "")) for r in rows) == sum(r["taken"] for r in plan)
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     for r in rows:
-        assert texts[r["doc_id"]].startswith(r["text"].rstrip()) or texts[r["doc_id"]] == r["text"]
+        assert texts[r["doc_id"]] == r["text"] or texts[r["doc_id"]].startswith(r["text"])
     assert not plain(mixing.mix(none))
 
 
@@ -373,7 +373,7 @@ def test_toxicity(spark, odd, none):
     for i, text in enumerate(clean):
         toxic = i % 6 == 0
         rows.append((i, text + (" you Badword! nasty" + "ing" * int(rng.integers(2)) if toxic else "")))
-        if i % 2 == 0 or toxic:
+        if i // 6 % 2 == 0:
             marks.append((i, int(toxic)))
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
     got = toxicity.score_toxicity(docs, labels).collect()
