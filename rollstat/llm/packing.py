@@ -18,7 +18,10 @@ ignored.  Whole texts are tokenized, in blocks that end at white space.
 from __future__ import annotations
 
 import bisect
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +34,29 @@ from rollstat.llm.common import bounded_batches
 from rollstat.session import materialize
 
 BUCKETS = 1024
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 _SPLIT = regex.compile(r"[\x20\x09-\x0D]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]|[\s--[\x00-\x7f]]", regex.V1)
 #: Words of these characters are split and lower-cased here as the tokenizer does it.
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
+#: Marks that end words; a run of them is one part.
+_TAIL = ".,;:!?%*&#|)\""
 _BLOCK = 1 << 20
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones as they are, others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Token ids (little-endian uint32 bytes) of white-space separated words, cached.
 
     The tokenizer lower-cases, cuts at white space and then by its own pattern, and merges
-    inside each part alone, so a text's ids are those of its words in turn.
+    inside each part alone, so a text's ids are those of its words in turn, and a word's those
+    of its parts, which are words themselves.
     """
 
     def __init__(self, path: str):
@@ -51,34 +64,44 @@ class WordIds(dict):
 
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.parts[part] = self.encode(part)
-        return found
+        self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        if 2 * len(self) >= CACHED_WORDS:  # what was used since the last time stays at hand
+            self.older = dict(self)
             self.clear()
-        if len(self.parts) >= CACHED_WORDS:
-            self.parts.clear()
-        if _PLAIN.fullmatch(word) and "<|" not in word and "İ" not in word:
-            found = b"".join(map(self._part, self.pattern.findall(word.lower())))
-        else:
-            found = self.encode(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self._ids(word)
         if len(word) <= 64:
             self[word] = found
         return found
 
+    def _ids(self, word: str) -> bytes:
+        low = word.lower()
+        core = low.rstrip(_TAIL)
+        plain = word.isascii() and core.isalpha() or _PLAIN.fullmatch(word) and "İ" not in word and "<|" not in word
+        if not plain:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if core.isalpha():
+            if len(core) == len(word):
+                return self._merged(core) if low == word else self[core]
+            return self[core] + self[low[len(core):]]
+        parts = self.pattern.findall(low)
+        return self._merged(word) if parts == [word] else b"".join([self[p] for p in parts])
+
+    def _merged(self, part: str) -> bytes:
+        """Ids of one part, lower case already: the merges alone."""
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def text(self, text: str) -> Iterator[bytes]:
         start, end = 0, len(text)
         while start < end:
@@ -92,11 +115,19 @@ class WordIds(dict):
             start = stop
 
 
+def word_ids(path: str) -> WordIds:
+    """One cache per worker process and vocabulary; the next tasks there go on with it."""
+    store = sys.modules.setdefault("_packing_word_ids", types.ModuleType("_packing_word_ids")).__dict__
+    if path not in store:
+        store[path] = WordIds(path)
+    return store[path]
+
+
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, size = WordIds(path), 4 * capacity
+        ids, size = word_ids(path), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
