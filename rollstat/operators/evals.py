@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollstat.functions.columns import col, let, sha, strip, text_or_empty
-from rollstat.operators.ranking import cumulative_counts, spread
+from rollstat.operators.ranking import cumulative_counts, position
 
 # Rows of the published evaluation sets.
 DATASET_TOTALS = {
@@ -115,7 +115,7 @@ def phrase_score(text: Column) -> Column:
 def repetition_metrics(df: DataFrame, text: str) -> DataFrame:
     """Append the three measures and ``repetitive``. Every text is read whole."""
     t = text_or_empty(text)
-    rows = spread(df).withColumn("phrase_score", phrase_score(t)).withColumn("ngram_ratio", repeated_ngram_ratio(t)).withColumn(
+    rows = df.withColumn("phrase_score", phrase_score(t)).withColumn("ngram_ratio", repeated_ngram_ratio(t)).withColumn(
         "line_ratio", trailing_repeat_ratio(t))
     return rows.withColumn("repetitive", (t != "") & (
         (F.col("phrase_score") >= 8) | (F.col("ngram_ratio") >= 0.18) | (F.col("line_ratio") >= 0.25)))
@@ -176,8 +176,6 @@ def majority_metrics(df: DataFrame, source: str, uid: str, pos: str, pred: str,
     Draw j of a round picks a row of the prompt by hash; the most frequent prediction wins,
     the one drawn first among equals, and its first drawn value counts.
     """
-    from rollstat.operators.ranking import position
-
     rows = position(df.select(source, uid, pos, pred, F.col(value).cast("double").alias("_v")), [pos], [uid], name="_i")
     sizes = df.groupBy(source, uid).agg(F.count(F.lit(1)).alias("N"))
     plan = sizes.select("*", F.explode(_sizes(F.col("N"))).alias("k")).select(
@@ -300,4 +298,4 @@ def _overlap_share(text: str) -> float:
 def self_overlap_flag(df: DataFrame, text: str, threshold: float = 0.2) -> DataFrame:
     """Append ``overlap`` and ``overlapping``: how much of a text repeats inside itself."""
     overlap = F.pandas_udf(lambda texts: texts.map(lambda t: _overlap_share(t or "")), "double")
-    return spread(df).withColumn("overlap", overlap(F.col(text))).withColumn("overlapping", F.col("overlap") > threshold)
+    return df.withColumn("overlap", overlap(F.col(text))).withColumn("overlapping", F.col("overlap") > threshold)

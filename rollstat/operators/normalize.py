@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollstat.functions.columns import any_contains, blank_to_null, collapse_ws, last, let, sha, strip, text_or_empty
+from rollstat.operators.ranking import cumulate, position, with_range_bucket
 from rollstat.session import materialize
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -51,7 +52,7 @@ def pair_to_messages(df: DataFrame, user: str, assistant: str, pos: Sequence[str
     both = df.filter((strip(text_or_empty(user)) != "") & (strip(text_or_empty(assistant)) != ""))
     out = both.withColumn("messages", F.array(
         message("user", text_or_empty(user)), message("assistant", text_or_empty(assistant))))
-    return out if max_samples is None else out.orderBy(*pos).limit(max_samples)
+    return out if max_samples is None else position(out, pos, name="_p", keep=max_samples).drop("_p")
 
 
 # Instruction wordings to remove, and the wording to add.
@@ -234,7 +235,7 @@ def filter_overlong(df: DataFrame, tokens: Column, max_tokens: int) -> tuple[Dat
     hist = materialize(rows.groupBy("prompt_tokens").agg(F.count(F.lit(1)).alias("c")), "lengths")
     n, c = F.col("prompt_tokens"), F.col("c")
     known = hist.filter("prompt_tokens is not null")
-    cums = known.withColumn("cum", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("prompt_tokens"))).withColumn(
+    cums = cumulate(with_range_bucket(known, "prompt_tokens"), [n], [], "cum", weight=c).withColumn(
         "_all", known.agg(F.sum("c").alias("t")).scalar())
 
     def quantile(q: float) -> Column:

@@ -6,38 +6,38 @@ task.  The helpers below avoid that:
 * statistics are aggregated (partial aggregation on the map side) and joined back;
 * ranks are split into buckets of the order key, so a group is spread over many
   tasks and each row's rank is its rank in the bucket plus the rows before it.
+
+There is one plan for every size.  Buckets are hash prefixes, or the partitions of a range
+sort over the whole order key that is written once; Spark sizes them.  Group keys are joined
+null-safe: rows without a group form one.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollstat.functions.columns import col
 from rollstat.session import materialize
 
-ROWS_PER_BUCKET = 2_000_000
-
 
-SMALL_SCAN_BYTES = 16 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for heavy per-row work on a scan too small to fill the cores.
-
-    Only when the estimated input is below 16 MiB per core; larger scans split by
-    themselves and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SCAN_BYTES else df
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls included; the keys come from the left side."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in right.columns if c not in names])
+    if not names:
+        return left.join(renamed, F.lit(True), how)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(renamed, on, how).drop(*names.values())
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Append per-group aggregates to every row (aggregate, then join back)."""
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(stats, list(keys))
+    return join_null_safe(df, stats, keys)
 
 
 def scalar_struct(df: DataFrame, **aggs: Column) -> Column:
@@ -51,18 +51,11 @@ def cumulate(
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (default: row count) inside ``group``.
 
-    Rows carry a ``_bucket`` that follows ``order``: the window runs inside a bucket
-    and the total of the earlier buckets is added.  Rows without one are few.
+    ``_bucket`` follows ``order``: the window runs inside a bucket and the total of the
+    earlier buckets, one row each, is added.
     """
     counted = weight is None
     rows = df.withColumn("_w", F.lit(1) if counted else weight)
-    if "_bucket" not in df.columns:
-        # few rows in all: one window per group is enough
-        alone = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
-        run = F.row_number().over(alone).cast("bigint") if counted else F.sum("_w").over(
-            alone.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = rows.withColumn(name, run).drop("_w")
-        return out if keep is None else out.filter(F.col(name) <= keep)
     keys = [*group, "_bucket"]
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*keys).agg(F.sum("_w").alias("_t")).select(
@@ -73,7 +66,8 @@ def cumulate(
     inside = Window.partitionBy(*keys).orderBy(*order)
     run = F.row_number().over(inside) if counted else F.sum("_w").over(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = rows.join(offsets, keys).withColumn(name, F.col("_before") + run)
+    # the bucket tells most rows apart; the null-safe part is for the group
+    out = join_null_safe(rows, offsets, keys).withColumn(name, F.col("_before") + run)
     if keep is not None:
         out = out.filter(F.col(name) <= keep)
     return out.drop("_bucket", "_before", "_w")
@@ -101,44 +95,17 @@ def hash_position(
     return cumulate(bucketed, order, group, name, keep=keep)
 
 
-def _range_bucket(value: Column, bounds: Column, count: int) -> Column:
-    """Number of bounds at or below ``value``, by binary search over a literal array."""
-    low_high = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        below = F.element_at(bounds, F.least(mid + 1, F.lit(count))) <= value
-        open_ = acc["low"] < acc["high"]
-        return F.struct(
-            F.when(open_ & below, mid + 1).otherwise(acc["low"]).alias("low"),
-            F.when(open_ & ~below, mid).otherwise(acc["high"]).alias("high"),
-        )
+def with_range_bucket(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """``_bucket`` = partition of a range sort by ``columns``; written once, so it stays what it is.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(count.bit_length())), low_high, halve, lambda a: a["low"])
-
-
-def with_range_bucket(df: DataFrame, columns: str | Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``_bucket`` = range of the order columns; left out when all rows fit into one bucket.
-
-    The limits are whole order keys taken from a sample (a few hundred keys per bucket), so
-    a value that a third of the rows share is still split by the columns after it.  They
-    enter the plan as literals: a recomputed task puts every row into the same bucket again.
+    A value that a third of the rows share is split by the columns after it.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
-    total = df.count()
-    if total <= rows_per_bucket:
-        return df
-    wanted = -(-total // rows_per_bucket)
-    keys = df.select(*columns).dropna()
-    sample = sorted(tuple(r) for r in keys.sample(min(1.0, 200.0 * wanted / total), seed=17).collect())
-    step = max(1, len(sample) // wanted)
-    bounds = sorted(set(sample[step::step]))
-    if not bounds:
-        return df
-    fields = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    literal = F.array(*[F.struct(*[F.lit(v).alias(f"c{i}") for i, v in enumerate(b)]) for b in bounds])
-    value = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    return df.withColumn("_bucket", _range_bucket(value, literal.cast(f"array<struct<{fields}>>"), len(bounds)))
+    return materialize(df.repartitionByRange(*columns).withColumn("_bucket", F.spark_partition_id()), "ranges")
+
+
+#: Types that may be large: they stay out of range sorts and windows.
+_WIDE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
 def position(
@@ -148,40 +115,38 @@ def position(
     *,
     name: str = "position",
     keep: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """1-based position in the ascending order of ``order`` (a total order), per group.
 
-    Up to ``rows_per_bucket`` rows one window per group is enough; above, the rows are
-    split into ranges of the order key.
+    Texts and nested columns are fetched for the ranked rows afterwards; then ``order`` has
+    to tell the rows of a group apart, and raises where it does not.
     """
-    bucketed = with_range_bucket(df, order, rows_per_bucket)
-    return cumulate(bucketed, [F.col(c) for c in order], group, name, keep=keep)
+    keys = list(dict.fromkeys([*group, *order]))
+    wide = any(isinstance(f.dataType, _WIDE) for f in df.schema if f.name not in keys)
+    rows = with_range_bucket(df.select(*keys) if wide else df, order)
+    if wide and not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        raise ValueError(f"rows share one place in the order of {keys}")
+    ranked = cumulate(rows, [F.col(c) for c in order], group, name, keep=keep)
+    return join_null_safe(df, ranked, keys) if wide else ranked
 
 
-def cumulative_counts(
-    df: DataFrame, value: str, group: Sequence[str] = (), *, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Distinct (group, value) with the row count ``n`` and the count of rows at or below, ``cum``.
 
     Ties shrink to one row before any ordering.
     """
     distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    # narrow and used several times: written once, so the source is read once
-    distinct = materialize(distinct, "values")
-    bucketed = with_range_bucket(distinct, value, rows_per_bucket)
-    return cumulate(bucketed, [F.col(value)], group, "cum", weight=F.col("n"))
+    return cumulate(with_range_bucket(distinct, value), [F.col(value)], group, "cum", weight=F.col("n"))
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, quantiles: dict[str, float], group: Sequence[str] = (),
-    *, discrete: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, value: str, quantiles: dict[str, float], group: Sequence[str] = (), *, discrete: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group: linear interpolation, or the lower value when ``discrete``."""
-    cums = cumulative_counts(df, value, group, rows_per_bucket=rows_per_bucket)
+    cums = cumulative_counts(df, value, group)
     sizes = cums.groupBy(*group).agg(F.sum("n").alias("_total"))
     if group:
-        cums = cums.join(sizes, list(group))
+        cums = join_null_safe(cums, sizes, list(group))
     else:
         cums = cums.withColumn("_total", sizes.scalar())
     aggs, v = [], F.col(value)

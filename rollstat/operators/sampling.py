@@ -1,6 +1,7 @@
 """Dedup, seeded sampling, mixing and batch composition."""
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -172,8 +173,15 @@ def _by_name(column: str, values: Mapping[str, int | float]) -> Column:
     return out
 
 
-def seeded_split(df: DataFrame, key: str, seed: int, val_size: int) -> DataFrame:
-    """``split`` = validation for the first val_size rows in hash order, train for the rest."""
+def seeded_split(df: DataFrame, key: str, seed: int, val_size: int | float) -> DataFrame:
+    """``split`` = validation for the first rows in hash order, train for the rest.
+
+    ``val_size`` is a number of rows, or a fraction below 1 of all rows (rounded up).
+    """
+    if isinstance(val_size, float):
+        if not 0 <= val_size < 1:
+            raise ValueError("a fraction must be in [0, 1)")
+        val_size = math.ceil(val_size * df.count() - 1e-9)
     ranked = hash_position(df.withColumn("_key", sha(F.lit(seed), key)), "_key", name="_rank")
     return ranked.withColumn("split", F.when(F.col("_rank") <= val_size, "validation").otherwise("train")).drop("_key", "_rank")
 
@@ -181,8 +189,8 @@ def seeded_split(df: DataFrame, key: str, seed: int, val_size: int) -> DataFrame
 def max_samples(df: DataFrame, pos: str, n: int, *, seed: int | None = None) -> DataFrame:
     """The first n rows, or n seeded rows without replacement."""
     if seed is None:
-        return df.orderBy(pos).limit(n)
-    return df.withColumn("_key", sha(F.lit(seed), pos)).orderBy("_key").limit(n).drop("_key")
+        return position(df, [pos], name="_p", keep=n).drop("_p")
+    return hash_position(df.withColumn("_key", sha(F.lit(seed), pos)), "_key", name="_p", keep=n).drop("_key", "_p")
 
 
 # ---- quotas, mixes and batch plans ------------------------------------------------
@@ -222,8 +230,11 @@ def round_robin_mix(df: DataFrame, pool: str, pools: Sequence[str], key: str) ->
 
     The place of a row follows from its rank and the pool sizes, so nothing is sorted globally.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(pool).count().collect()}
-    ranked = hash_position(df, key, [pool], name="_up").withColumn(
+    known = df.filter(F.col(pool).isin(list(pools)))
+    if not df.filter(~F.coalesce(F.col(pool).isin(list(pools)), F.lit(False))).isEmpty():
+        raise ValueError(f"rows of other pools than {list(pools)}; filter them first")
+    sizes = {r[0]: r[1] for r in known.groupBy(pool).count().collect()}  # one row per listed pool
+    ranked = hash_position(known, key, [pool], name="_up").withColumn(
         "_r", _by_name(pool, sizes) - F.col("_up") + 1)
     ordinal = F.array_position(F.array(*[F.lit(p) for p in pools]), F.col(pool))
     place = F.lit(1)
@@ -260,7 +271,7 @@ def _cycled_pools(df: DataFrame, domain: str, key: str, seed: int, sizes: Mappin
 
 
 def _pool_sizes(df: DataFrame, domain: str, weights: Mapping[str, float]) -> dict[str, int]:
-    sizes = {str(r[0]): r[1] for r in df.groupBy(domain).count().collect()}
+    sizes = {str(r[0]): r[1] for r in df.filter(F.col(domain).cast("string").isin(list(weights))).groupBy(domain).count().collect()}
     missing = [d for d in weights if not sizes.get(d)]
     if missing:
         raise ValueError(f"empty domain pools: {missing}")
@@ -286,9 +297,10 @@ def weighted_batch_plan(
         raise ValueError("fewer rows than one batch")
     even = quotas(batch_size, weights)
     odd, names = dict(even), list(weights)
-    first, second = names[0], names[1]
-    if weights[first] == weights[second] and even[first] == even[second] + 1:
-        odd[first], odd[second] = even[second], even[first]
+    if len(names) > 1:
+        first, second = names[0], names[1]
+        if weights[first] == weights[second] and even[first] == even[second] + 1:
+            odd[first], odd[second] = even[second], even[first]
     needed = {d: even[d] * ((batches + 1) // 2) + odd[d] * (batches // 2) for d in names}
     pool = _cycled_pools(df, domain, key, seed, sizes, {d: n for d, n in needed.items() if n})
     pair = _by_name(domain, {d: even[d] + odd[d] for d in names})
@@ -476,8 +488,6 @@ def importance_resample(df: DataFrame, key: str, weight: str, draws: int, seed:
     seen = cumulate(axis, [F.col("_x"), F.col("_d"), F.col(key)], [], "_seen", weight=F.col("_d")).filter(F.col(key).isNotNull())
     seen = materialize(seen.select(key, "_seen"), "draws")
     ordered = with_range_bucket(seen, key)
-    if "_bucket" not in ordered.columns:
-        ordered = ordered.withColumn("_bucket", F.lit(0))
     before = Window.partitionBy("_bucket").orderBy(key)
     edges = ordered.groupBy("_bucket").agg(F.max("_seen").alias("_m"))
     edge = edges.select("_bucket", F.coalesce(F.lag("_m").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")), F.lit(0)).alias("_p"))
@@ -495,7 +505,7 @@ def pad_to_divisor(df: DataFrame, pos: str, k: int) -> DataFrame:
     rounds = -(-pad // n) if pad else 0
     out = df.withColumn("is_pad", F.lit(False))
     for r in range(rounds):
-        head = df.orderBy(pos).limit(min(n, pad - r * n))
+        head = position(df, [pos], name="_p", keep=min(n, pad - r * n)).drop("_p")
         out = out.unionByName(head.withColumn("is_pad", F.lit(True)))
     return out
 

@@ -3,8 +3,8 @@
 Everything is windows over (sequence, chunk of positions): one shuffle and one sort,
 and no task ever holds more of a sequence than one chunk.  Sequences longer than a
 chunk get a carry: chunk summaries (one row per chunk) are folded per sequence and
-joined back.  Whether any such sequence exists is checked first (a maximum over one
-column), so the usual case pays for no extra join.
+joined back.  Where no sequence is longer the join has an empty side, which adaptive
+execution drops.
 """
 from __future__ import annotations
 
@@ -21,10 +21,6 @@ def _chunked(df: DataFrame, pos: str, size: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor((F.col(pos) - 1) / size))
 
 
-def _fits(df: DataFrame, pos: str, size: int) -> bool:
-    return (df.agg(F.max(pos)).first()[0] or 0) <= size
-
-
 def _to_end(seq: str, pos: str, *more: str):
     """From this position to the end of the chunk."""
     return Window.partitionBy(seq, "_chunk", *more).orderBy(F.col(pos).desc()).rowsBetween(
@@ -69,8 +65,6 @@ def running_sums(
     inside = Window.partitionBy(seq, "_chunk").orderBy(sort(pos)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     out = chunked.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in values])
-    if _fits(df, pos, chunk):
-        return out.select(*df.columns, *[F.col(f"_i_{n}").alias(n) for n in values])
     earlier = Window.partitionBy(seq).orderBy(sort("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     long = chunked.filter("_chunk > 0").select(seq).distinct()
     totals = (
@@ -116,8 +110,6 @@ def discounted_return(
     local = F.sum(F.col("_r") * lift).over(_to_end(seq, pos, "_seg")) / lift
     whole = Window.partitionBy(seq, "_chunk")
     rows = rows.withColumn("_x", local)
-    if _fits(df, pos, size):
-        return rows.withColumn(name, F.col("_x")).select(*df.columns, name)
     rows = rows.withColumn("_open", F.col("_seg") == F.max("_seg").over(whole))
     summary = {
         "n": F.max(F.when(F.col("_open"), F.col("_u"))), "whole": F.min(F.col("_open").cast("int")),
@@ -150,8 +142,6 @@ def advantage_recursion(
     lift = F.pow(F.lit(c), -F.col("_u").cast("double"))
     delta = F.col(reward) + gamma * F.col("_nv") - F.col(value)
     rows = rows.withColumn("_a", F.sum(F.when(valid, delta * lift).otherwise(0.0)).over(right) / lift)
-    if _fits(df, pos, size):
-        return rows.withColumn(name, F.when(F.col("_u") > 0, F.col("_a")).otherwise(0.0)).select(*df.columns, name)
     summary = {
         "n": F.max("_u"), "a": F.min_by("_a", pos),
         "v": F.min_by(F.when(valid, F.col(value)), F.when(valid, F.col(pos))),

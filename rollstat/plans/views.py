@@ -7,16 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollstat.operators.ranking import spread
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents for text work; a table too small to fill the cores is spread over them."""
-    return spread(table(spark, sf, "documents"))
+    """Documents for text work.
+
+    ``rollstat.scan.partitions`` deals the rows out anew, for tables of few row groups; unset, a scan is left as it is.
+    """
+    docs, parts = table(spark, sf, "documents"), spark.conf.get("rollstat.scan.partitions", None)
+    return docs.repartition(int(parts)) if parts else docs
 
 
 def v_roll(spark: SparkSession, sf: str) -> DataFrame:
