@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from rollstat.llm.common import runs
 from rollstat.llm.components import components
+from rollstat.llm.positions import numbered
 from rollstat.session import materialize
 
 BLOCK = 512
@@ -284,19 +285,18 @@ def embedding_near_duplicates(
     rows = materialize(unit_vectors(vectors, id_column, vector_column), "units")
     distinct = rows.filter("unit is not null").groupBy("unit").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     # numbers of their own: ids may be null or repeat
-    distinct = materialize(distinct.select(F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"), "unit", "first", "copies"), "distinct")
-    nodes = distinct.select(F.col("h1").alias("node"), "unit", "copies")
+    distinct = materialize(numbered(distinct.withColumn("hash", F.xxhash64("unit")), ["first", "hash", "unit"], "node").drop("hash"), "distinct")
+    nodes = distinct.select("node", "unit", "copies")
     lists, _ = neighbour_lists(nodes.select("node", "unit"), threshold, k, tables, rounds, recall)
     roots = materialize(components(lists.filter(F.col("sim") >= threshold), "a", "b"), "roots")
     links = component_links(nodes, roots, threshold)
-    named = distinct.select("h1", "first", "copies").join(roots.withColumnRenamed("node", "h1"), "h1", "left").join(
-        links.withColumnRenamed("node", "h1"), "h1", "left")
-    named = named.select("h1", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "h1").alias("root"))
+    named = distinct.select("node", "first", "copies").join(roots, "node", "left").join(links, "node", "left")
+    named = named.select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(groups, "root").select(F.col("h1").alias("h"), "n_links", "component_id")
-    out = rows.select("id", F.when(F.col("unit").isNotNull(), F.xxhash64("unit")).alias("h")).join(named, "h", "left")
-    component = F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = named.join(groups, "root").select("node", "n_links", "component_id").join(distinct.select("node", "unit"), "node").select("unit", "n_links", "component_id")
+    out = rows.join(named, "unit", "left")
+    component = F.when(F.col("unit").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"))

@@ -295,7 +295,7 @@ def test_pack(odd, docs, none, capacity):
 
 def test_words_tokenize_as_texts():
     words = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
-    texts = ["a\x1cb c\x85d\xa0e", "ΣΑΣ ΟΔΟΣ", "İstanbul x×y ÷ naïve ﬁ", "<|endoftext|> hi", "don't I'LL", "x y", "é é Å Å", " a\tb\n\nc ", "1234 5,6",
+    texts = ["a\x1cb c\x85d\xa0e", "ΣΑΣ ΟΔΟΣ", "İstanbul x×y ÷ naïve ﬁ", "<|endoftext|> hi", "<|ENDOFTEXT|> Hi", "don't I'LL", "x y", "é é Å Å", " a\tb\n\nc ", "1234 5,6",
              "😀👍🏽 ok", "İı ß ẞ ŉ ǅ", "a" * 3000 + " b", "​zero ﻿", "fo\xadobar", ("lorem Ipsum, " * 200_000)]
     for t in texts:
         assert b"".join(words.text(t)) == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
