@@ -34,9 +34,10 @@ from rollstat.llm.common import bounded_batches
 from rollstat.session import materialize
 
 BUCKETS = 1024
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 _SPLIT = regex.compile(r"[\x20\x09-\x0D]+")
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]|[\s--[\x00-\x7f]]", regex.V1)
+#: White space to Python but not to the contract's words, or beyond ASCII; each is looked for by itself, which is fastest.
+_ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\x0b\f\r"]
 #: Words of these characters are split and lower-cased here as the tokenizer does it.
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ɏ]+")
 #: Marks that end words; a run of them is one part.
@@ -51,6 +52,16 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds(dict):
     """Token ids (little-endian uint32 bytes) of white-space separated words, cached.
 
@@ -110,8 +121,10 @@ class WordIds(dict):
                 gap = _SPLIT.search(text, start + _BLOCK)
                 stop = gap.start() if gap else end
             block = text[start:stop]
-            words = block.split() if not _ODD_SPACE.search(block) else [w for w in _SPLIT.split(block) if w]
-            yield b"".join(map(self.__getitem__, words))
+            if _latin(block) and "<|" not in block:  # lower case letter by letter, composed: what the tokenizer makes of it
+                block = block.lower()
+            odd = any(c in block for c in _ODD_SPACES)
+            yield b"".join(map(self.__getitem__, [w for w in _SPLIT.split(block) if w] if odd else block.split()))
             start = stop
 
 
