@@ -1,12 +1,16 @@
 """Instruction checkers, instruction accuracy and the tiered instruction reward."""
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollstat.functions.columns import any_contains, strip, text_or_empty
+from rollstat.functions.columns import any_contains, let, strip, text_or_empty
 from rollstat.operators.scoring import find_all
 
 Args = Callable[[str], Column]
@@ -17,6 +21,12 @@ LANGUAGE_WORDS = {
     "fr": ("le", "la", "les", "et", "de", "des", "un", "une", "en", "que", "dans", "est", "pour", "du", "on"),
     "de": ("der", "die", "das", "und", "ist", "ein", "eine", "zu", "den", "mit", "von", "nicht", "sich", "in", "es"),
     "es": ("el", "la", "los", "las", "y", "de", "que", "en", "un", "una", "es", "por", "con", "para", "del"),
+    "it": ("il", "lo", "gli", "di", "che", "per", "non", "sono", "una", "della", "del", "nel", "con", "anche", "più"),
+    "pt": ("o", "os", "as", "não", "uma", "um", "do", "da", "em", "que", "para", "com", "dos", "são", "mais"),
+    "pl": ("i", "w", "nie", "na", "się", "że", "jest", "do", "z", "to", "jak", "ale", "dla", "są", "od"),
+    "fi": ("ja", "on", "ei", "se", "että", "ovat", "mutta", "kun", "niin", "myös", "tai", "oli", "hän", "joka", "kuin"),
+    "vi": ("và", "của", "là", "có", "không", "được", "cho", "trong", "một", "những", "với", "các", "người", "này", "đã"),
+    "sw": ("na", "ya", "wa", "ni", "kwa", "katika", "za", "la", "kuwa", "hii", "ambao", "kama", "lakini", "pia", "cha"),
 }
 # Answers of the constrained-response checker.
 CONSTRAINED_ANSWERS = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
@@ -26,13 +36,37 @@ def words(text: Column) -> Column:
     return find_all(text, r"(?U)\w+")
 
 
+# Languages told by their script (a language's letters are more than half of all).
+LANGUAGE_SCRIPTS = {
+    "ar": r"\p{IsArabic}", "ur": r"\p{IsArabic}", "fa": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}", "ne": r"\p{IsDevanagari}", "mr": r"\p{IsDevanagari}",
+    "ru": r"\p{IsCyrillic}", "uk": r"\p{IsCyrillic}", "bg": r"\p{IsCyrillic}", "ja": r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]", "zh": r"\p{IsHan}",
+    "ko": r"\p{IsHangul}", "bn": r"\p{IsBengali}", "th": r"\p{IsThai}", "ta": r"\p{IsTamil}", "te": r"\p{IsTelugu}", "he": r"\p{IsHebrew}", "kn": r"\p{IsKannada}",
+    "gu": r"\p{IsGujarati}", "pa": r"\p{IsGurmukhi}", "ml": r"\p{IsMalayalam}", "el": r"\p{IsGreek}",
+}
+
+
 def detect_language(text: Column) -> Column:
-    """Language with the most marker words (ties in the order above); null without a letter."""
-    low = F.lower(text)
-    score = F.array(*[F.struct(
-        F.regexp_count(low, F.lit(rf"(?U)\b(?:{'|'.join(marks)})\b")).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
-        for i, (lang, marks) in enumerate(LANGUAGE_WORDS.items())])
-    return F.when(F.rlike(text, F.lit(r"\p{L}")), F.array_max(score)["lang"])
+    """Language with the most marker words (ties in the order above); null without a letter, ``other`` if most letters aren't Latin."""
+    every = sorted({w for marks in LANGUAGE_WORDS.values() for w in marks})
+
+    def count(found: Column, marks: Sequence[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*marks)))
+
+    def best(found: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(count(found, marks).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
+                                     for i, (lang, marks) in enumerate(LANGUAGE_WORDS.items())]))["lang"]
+
+    marked = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w.isin(*every))
+    letters, latin = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{IsLatin}"))
+    return F.when(letters == 0, F.lit(None)).when(2 * latin < letters, "other").otherwise(let(marked, best))
+
+
+def in_language(text: Column, language: Column, detected: Column) -> Column:
+    """Whether a text is in a language; true where that can't be told: no letter, or a language without markers and script."""
+    by_script = F.lit(True)
+    for code, letters in LANGUAGE_SCRIPTS.items():
+        by_script = F.when(language == code, 2 * F.regexp_count(text, F.lit(letters)) > F.regexp_count(text, F.lit(r"\p{L}"))).otherwise(by_script)
+    return F.when(detected.isNull(), True).when(language.isin(*LANGUAGE_WORDS), detected == language).otherwise(by_script)
 
 
 def sentence_count(text: Column) -> Column:
@@ -59,9 +93,16 @@ def _strings(arg: Column) -> Column:
     return F.from_json(arg, "array<string>")
 
 
-def _english(text: Column) -> Column:
-    lang = detect_language(text)
-    return lang.isNull() | (lang == "en")
+@dataclass(frozen=True)
+class Shared:
+    """What several checks need of one text, computed once."""
+
+    language: Column
+    hits: Column
+
+    @property
+    def english(self) -> Column:
+        return self.language.isNull() | (self.language == "en")
 
 
 def _paragraphs(text: Column, a: Args) -> Column:
@@ -75,13 +116,6 @@ def _highlights(text: Column, a: Args) -> Column:
     return F.size(single) + F.size(double) >= a("num_highlights").cast("int")
 
 
-def _postscript(text: Column, a: Args) -> Column:
-    mark = a("postscript_marker")
-    pattern = F.when(mark == "P.P.S", r"(?m)\s*p\.\s?p\.\s?s.*$").when(mark == "P.S.", r"(?m)\s*p\.\s?s\..*$").otherwise(
-        F.concat(F.lit(r"(?m)\s*"), F.lower(mark), F.lit(".*$")))
-    return F.rlike(F.lower(text), pattern)
-
-
 def _first_word(text: Column, a: Args) -> Column:
     parts = F.split(text, "\n\n")
     n, nth = F.size(_not_blank(parts)), a("nth_paragraph").cast("int")
@@ -112,46 +146,97 @@ def _capital_words(text: Column, a: Args) -> Column:
     return _relation(F.size(capital), a("capital_relation"), a("capital_frequency").cast("int"))
 
 
-CHECKS: dict[str, Callable[[Column, Args, Column], Column]] = {
-    "language:response_language": lambda t, a, p: F.coalesce(detect_language(t) == a("language"), F.lit(True)),
-    "length_constraints:number_sentences": lambda t, a, p: _relation(sentence_count(t), a("relation"), a("num_sentences").cast("int")),
-    "detectable_content:number_placeholders": lambda t, a, p: F.regexp_count(t, F.lit(r"\[.*?\]")) >= a("num_placeholders").cast("int"),
-    "detectable_format:number_bullet_lists": lambda t, a, p: (
+CHECKS: dict[str, Callable[[Column, Args, Column, Shared], Column]] = {
+    "language:response_language": lambda t, a, p, s: in_language(t, a("language"), s.language),
+    "length_constraints:number_sentences": lambda t, a, p, s: _relation(sentence_count(t), a("relation"), a("num_sentences").cast("int")),
+    "detectable_content:number_placeholders": lambda t, a, p, s: F.regexp_count(t, F.lit(r"\[.*?\]")) >= a("num_placeholders").cast("int"),
+    "detectable_format:number_bullet_lists": lambda t, a, p, s: (
         F.regexp_count(t, F.lit(r"(?m)^\s*\*[^\*].*$")) + F.regexp_count(t, F.lit(r"(?m)^\s*-.*$")) == a("num_bullets").cast("int")),
-    "detectable_format:constrained_response": lambda t, a, p: any_contains(t, CONSTRAINED_ANSWERS),
-    "detectable_format:number_highlighted_sections": lambda t, a, p: _highlights(t, a),
-    "detectable_format:multiple_sections": lambda t, a, p: F.regexp_count(
-        t, F.concat(F.lit(r"\s?"), a("section_spliter"), F.lit(r"\s?\d+\s?"))) >= a("num_sections").cast("int"),
-    "length_constraints:number_paragraphs": lambda t, a, p: _paragraphs(t, a),
-    "detectable_content:postscript": lambda t, a, p: _postscript(t, a),
-    "keywords:existence": lambda t, a, p: F.forall(_strings(a("keywords")), lambda k: F.rlike(t, F.concat(F.lit("(?iu)"), k))),
-    "keywords:frequency": lambda t, a, p: _relation(
-        F.regexp_count(t, F.concat(F.lit("(?iu)"), a("keyword"))), a("relation"), a("frequency").cast("int")),
-    "length_constraints:number_words": lambda t, a, p: _relation(F.size(words(t)), a("relation"), a("num_words").cast("int")),
-    "detectable_format:json_format": lambda t, a, p: _json_format(t),
-    "length_constraints:nth_paragraph_first_word": lambda t, a, p: _first_word(t, a),
-    "keywords:forbidden_words": lambda t, a, p: ~F.exists(
-        _strings(a("forbidden_words")), lambda k: F.rlike(t, F.concat(F.lit(r"(?iU)\b"), k, F.lit(r"\b")))),
-    "combination:two_responses": lambda t, a, p: _two_responses(t),
-    "combination:repeat_prompt": lambda t, a, p: F.startswith(F.lower(strip(t)), F.lower(strip(F.coalesce(a("prompt_to_repeat"), p)))),
-    "startend:end_checker": lambda t, a, p: F.endswith(F.lower(F.btrim(strip(t), F.lit('"'))), F.lower(strip(a("end_phrase")))),
-    "detectable_format:title": lambda t, a, p: F.exists(
+    "detectable_format:constrained_response": lambda t, a, p, s: any_contains(t, CONSTRAINED_ANSWERS),
+    "detectable_format:number_highlighted_sections": lambda t, a, p, s: _highlights(t, a),
+    "detectable_format:multiple_sections": lambda t, a, p, s: s.hits[0] >= a("num_sections").cast("int"),
+    "length_constraints:number_paragraphs": lambda t, a, p, s: _paragraphs(t, a),
+    "detectable_content:postscript": lambda t, a, p, s: s.hits[0] > 0,
+    "keywords:existence": lambda t, a, p, s: F.forall(s.hits, lambda n: n > 0),
+    "keywords:frequency": lambda t, a, p, s: _relation(s.hits[0], a("relation"), a("frequency").cast("int")),
+    "length_constraints:number_words": lambda t, a, p, s: _relation(F.regexp_count(t, F.lit(r"(?U)\w+")), a("relation"), a("num_words").cast("int")),
+    "detectable_format:json_format": lambda t, a, p, s: _json_format(t),
+    "length_constraints:nth_paragraph_first_word": lambda t, a, p, s: _first_word(t, a),
+    "keywords:forbidden_words": lambda t, a, p, s: F.forall(s.hits, lambda n: n == 0),
+    "combination:two_responses": lambda t, a, p, s: _two_responses(t),
+    "combination:repeat_prompt": lambda t, a, p, s: F.startswith(F.lower(strip(t)), F.lower(strip(F.coalesce(a("prompt_to_repeat"), p)))),
+    "startend:end_checker": lambda t, a, p, s: F.endswith(F.lower(F.btrim(strip(t), F.lit('"'))), F.lower(strip(a("end_phrase")))),
+    "detectable_format:title": lambda t, a, p, s: F.exists(
         find_all(t, r"<<[^\n]+>>"), lambda x: strip(F.regexp_replace(x, "^<+|>+$", "")) != ""),
-    "keywords:letter_frequency": lambda t, a, p: _letter(t, a),
-    "change_case:english_capital": lambda t, a, p: (F.upper(t) == t) & (F.lower(t) != t) & _english(t),
-    "change_case:english_lowercase": lambda t, a, p: (F.lower(t) == t) & (F.upper(t) != t) & _english(t),
-    "punctuation:no_comma": lambda t, a, p: ~F.contains(t, F.lit(",")),
-    "change_case:capital_word_frequency": lambda t, a, p: _capital_words(t, a),
-    "startend:quotation": lambda t, a, p: F.rlike(strip(t), F.lit(r'(?s)\A".*"\z')) & (F.length(strip(t)) > 1),
+    "keywords:letter_frequency": lambda t, a, p, s: _letter(t, a),
+    "change_case:english_capital": lambda t, a, p, s: (F.upper(t) == t) & (F.lower(t) != t) & s.english,
+    "change_case:english_lowercase": lambda t, a, p, s: (F.lower(t) == t) & (F.upper(t) != t) & s.english,
+    "punctuation:no_comma": lambda t, a, p, s: ~F.contains(t, F.lit(",")),
+    "change_case:capital_word_frequency": lambda t, a, p, s: _capital_words(t, a),
+    "startend:quotation": lambda t, a, p, s: F.rlike(strip(t), F.lit(r'(?s)\A".*"\z')) & (F.length(strip(t)) > 1),
 }
 
 
-def check_instruction(text: Column, instruction: Column, kwargs: Column, prompt: Column, only: Sequence[str] | None = None) -> Column:
-    """Verdict of one instruction on one text; null for an id without a checker."""
+# ---- patterns that users write -----------------------------------------------------
+# The words, separators and markers of a checker are used as patterns. Plain ones stay on the
+# JVM; those with pattern signs may be unreadable, and are tried one by one: an unreadable one
+# is a failed check and a checker error, never a failed job.
+
+_SIGNS = F.lit(r"[\\^$.|?*+()\[\]{}]")
+
+
+def _patterns(instruction: Column, a: Args) -> Column:
+    """(text of the user, before, after, flags) of the patterns of one instruction; null for instructions without."""
+    one = lambda user, before="", after="", flags="": F.transform(user, lambda u: F.struct(
+        u.alias("user"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(flags).alias("flags")))
+    mark = a("postscript_marker")
+    fixed = lambda pattern: F.array(F.struct(F.lit("").alias("user"), F.lit(pattern).alias("before"), F.lit("").alias("after"), F.lit("m").alias("flags")))
+    return (
+        F.when(instruction == "keywords:existence", one(_strings(a("keywords")), flags="i"))
+        .when(instruction == "keywords:frequency", one(F.array(a("keyword")), flags="i"))
+        .when(instruction == "keywords:forbidden_words", one(_strings(a("forbidden_words")), r"\b", r"\b", "i"))
+        .when(instruction == "detectable_format:multiple_sections", one(F.array(a("section_spliter")), r"\s?", r"\s?\d+\s?"))
+        .when(instruction == "detectable_content:postscript", F.when(mark == "P.P.S", fixed(r"\s*p\.\s?p\.\s?s.*$")).when(
+            mark == "P.S.", fixed(r"\s*p\.\s?s\..*$")).otherwise(one(F.array(F.lower(mark)), r"\s*", ".*$", "m"))))
+
+
+def _plain_hits(text: Column, patterns: Column) -> Column:
+    flags = lambda p: F.when(p["flags"] == "i", "(?iU)").when(p["flags"] == "m", "(?m)").otherwise("")
+    return F.transform(patterns, lambda p: F.regexp_count(text, F.concat(flags(p), p["before"], p["user"], p["after"])))
+
+
+@F.pandas_udf("array<array<int>>")
+def _tried_hits(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Number of matches of each pattern of each instruction, -1 for an unreadable one; rows without a text have none.
+
+    ``patterns`` has a JSON list per instruction, or null.
+    """
+    known: dict[tuple, re.Pattern | None] = {}
+
+    def read(pattern: str, flags: str) -> re.Pattern | None:
+        if (pattern, flags) not in known:
+            try:
+                known[pattern, flags] = re.compile(pattern, {"i": re.IGNORECASE, "m": re.MULTILINE}.get(flags, 0))
+            except (re.error, OverflowError, RecursionError):
+                known[pattern, flags] = None
+        return known[pattern, flags]
+
+    def count(text: str, p) -> int:
+        pattern = None if p.get("user") is None else read(p["before"] + p["user"] + p["after"], p["flags"])
+        return -1 if pattern is None else sum(1 for _ in pattern.finditer(text.lower() if p["flags"] == "m" else text))
+
+    def every(text: str | None, items) -> list | None:
+        return None if text is None else [None if ps is None else [count(text, p) for p in json.loads(ps)] for ps in items]
+
+    return pd.Series([every(t, ps) for t, ps in zip(texts, patterns, strict=True)], dtype=object)
+
+
+def check_instruction(text: Column, instruction: Column, kwargs: Column, prompt: Column, shared: Shared, only: Sequence[str] | None = None) -> Column:
+    """Verdict of one instruction on one text; null for an id without a checker or arguments that don't fit."""
     arg: Args = lambda name: F.get_json_object(kwargs, f"$.{name}")
     out = F.lit(None).cast("boolean")
     for name in only or CHECKS:
-        out = F.when(instruction == name, CHECKS[name](text, arg, prompt)).otherwise(out)
+        out = F.when(instruction == name, CHECKS[name](text, arg, prompt, shared)).otherwise(out)
     return out
 
 
@@ -171,22 +256,103 @@ def loose_variants(text: Column) -> Column:
 def check_instructions(
     df: DataFrame, key: str, response: str, prompt: str, instructions: str, *, loose: bool = True, only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per (key, ordinal) with strict and loose verdicts.
+    """One row per (key, ordinal) with the strict and loose verdicts and ``error``.
+
+    ``instructions`` is an array of struct(id, kwargs JSON); ``key`` tells the rows apart.  Each
+    row is judged on its own response (the strict check fails an empty one).  The distinct variants
+    of a response are rows of their own: what several checks need of a text is computed once, and
+    each check looks at its own instruction only.  ``error`` marks checks that could not be made:
+    an unknown id, arguments that don't fit, an unreadable pattern; they count as failed.
+    ``only`` names the ids that occur, to keep the expression short.
+    """
+    names = list(only or CHECKS)
+    variants = F.array_distinct(F.concat(F.array(F.col("_t")), loose_variants(F.col("_t")))) if loose else F.array("_t")
+    rows = df.select(key, F.col(prompt).alias("_p"), F.col(instructions).alias("_is"), strip_think(F.col(response)).alias("_t"))
+    patterned = any(n.startswith("keywords:") or n in ("detectable_format:multiple_sections", "detectable_content:postscript") for n in names)
+    if patterned:
+        of = lambda i: _patterns(i["id"], lambda name: F.get_json_object(i["kwargs"], f"$.{name}"))
+        odd = lambda ps: F.exists(ps, lambda p: F.coalesce(F.rlike(p["user"], _SIGNS), F.lit(True)))
+        rows = rows.withColumn("_pats", F.transform("_is", of))
+        rows = rows.withColumn("_odd", F.transform("_pats", lambda ps: F.when(odd(ps), F.to_json(ps))))
+        carried = ["_pats", "_odd", F.exists("_odd", lambda ps: ps.isNotNull()).alias("_any")]
+    rows = rows.select(key, "_p", "_is", *(carried if patterned else []), F.posexplode(variants).alias("_v", "_t"))
+    needs_language = any(n.startswith(("language:", "change_case:english")) for n in names)
+    rows = rows.withColumn("_lang", detect_language(F.col("_t")) if needs_language else F.lit(None).cast("string"))
+    if patterned:
+        rows = rows.withColumn("_tried", _tried_hits(F.when(F.col("_any"), F.col("_t")), F.when(F.col("_any"), F.col("_odd"))))
+    rows = rows.select("*", F.posexplode("_is").alias("ordinal", "_i")).withColumns(
+        {"instruction_id": F.col("_i.id"), "_k": F.col("_i.kwargs")})
+    hits = F.lit(None).cast("array<int>")
+    if patterned:
+        seen = F.when(F.col("instruction_id") == "detectable_content:postscript", F.lower("_t")).otherwise(F.col("_t"))
+        hits = F.when(F.get("_odd", F.col("ordinal")).isNotNull(), F.get("_tried", F.col("ordinal"))).otherwise(
+            _plain_hits(seen, F.get("_pats", F.col("ordinal"))))
+    rows = rows.select(key, "ordinal", "instruction_id", "_k", "_p", "_t", "_v", "_lang", hits.alias("_hits"))
+    shared = Shared(F.col("_lang"), F.col("_hits"))
+    verdict = check_instruction(F.col("_t"), F.col("instruction_id"), F.col("_k"), F.col("_p"), shared, names)
+    unreadable = F.coalesce(F.exists("_hits", lambda n: n < 0), F.lit(False))
+    rows = rows.withColumn("_ok", F.when(unreadable, F.lit(None)).otherwise(verdict))
+    passed = F.coalesce((strip("_t") != "") & F.col("_ok"), F.lit(False))
+    first = F.col("_v") == 0
+    aggs = [F.max(F.when(first, passed)).alias("strict")] + ([F.max(passed).alias("loose")] if loose else []) + [
+        F.max(F.when(first, F.col("_ok").isNull())).alias("error")]
+    if not loose:
+        return rows.select(key, "ordinal", "instruction_id", passed.alias("strict"), F.col("_ok").isNull().alias("error"))
+    return rows.groupBy(key, "ordinal", "instruction_id").agg(*aggs)
+
+
+def reward_inputs(checked: DataFrame, key: str) -> DataFrame:
+    """Per key: ``ids`` and ``checks`` in order, and ``errors``, the number of checks that could not be made."""
+    items = F.array_sort(F.collect_list(F.struct("ordinal", "instruction_id", "strict")))
+    by = checked.groupBy(key).agg(items.alias("_i"), F.count_if("error").cast("int").alias("errors"))
+    return by.select(key, F.col("_i.instruction_id").alias("ids"), F.col("_i.strict").alias("checks"), "errors")
+
+
+# Data sets and evaluators whose rows are judged as in their evaluation.
+OFFICIAL_EVALUATORS = ("ifeval", "ifbench")
+OFFICIAL_DATASETS = ("ifeval", "ifbench_test", "ifbench_mt_ifbench")
+
+
+def official_eval(eval_prompt: Column, evaluator: Column, metadata: Column, dataset: Column) -> Column:
+    """Rows that are judged by the evaluation's own rule: by their prompt, evaluator, or metadata and data set."""
+    low = lambda c: F.lower(strip(text_or_empty(c)))
+    return (text_or_empty(eval_prompt) != "") | low(evaluator).isin(*OFFICIAL_EVALUATORS) | (
+        (text_or_empty(metadata) != "") & low(dataset).isin(*OFFICIAL_DATASETS))
+
+
+def official_scores(checked: DataFrame, key: str) -> DataFrame:
+    """Per key the official evaluation: score 1 if every strict check passes, and the strict and loose shares."""
+    by = checked.groupBy(key).agg(F.min("strict").alias("s"), F.min("loose").alias("l"), F.count(F.lit(1)).cast("int").alias("num_constraints"),
+                                  F.count_if("strict").alias("ns"), F.count_if("loose").alias("nl"))
+    flag, n = lambda c: F.when(F.col(c), 1.0).otherwise(0.0), F.col("num_constraints")
+    return by.select(
+        key, flag("s").alias("score"), (F.col("ns") / n).alias("base_score"), flag("s").alias("official_eval_strict_prompt"),
+        flag("l").alias("official_eval_loose_prompt"), (F.col("ns") / n).alias("official_eval_strict_instruction"),
+        (F.col("nl") / n).alias("official_eval_loose_instruction"), "num_constraints", (n - F.col("ns")).cast("int").alias("num_failed_constraints"))
+
+
+def instruction_reward(
+    df: DataFrame, key: str, response: str, prompt: str, instructions: str, *, family: str, official: Column | None = None,
+    mode: str = "tiered_think_format", options: Mapping[str, object] | None = None, only: Sequence[str] | None = None,
+) -> DataFrame:
+    """(key, score, base_score, num_constraints, num_failed_constraints, num_checker_errors, scoring_mode) of every row.
 
-    ``instructions`` is an array of struct(id, kwargs JSON). Each row is judged on its own
-    response (the strict check fails an empty one). ``only`` names the ids that occur, to
-    keep the expression short.
+    Rows where ``official`` holds, or all with mode ``official_eval``, are judged by the official rule on the response
+    without its thinking part; the others by the tiered reward on the answer behind an exact think prefix.
     """
-    rows = df.select(key, F.col(prompt).alias("_p"), strip_think(F.col(response)).alias("_t"),
-                     F.posexplode(instructions).alias("ordinal", "_i"))
-    rows = rows.select(key, "ordinal", F.col("_i.id").alias("instruction_id"), F.col("_i.kwargs").alias("_k"), "_p", "_t")
-    verdict = lambda t: F.coalesce((strip(t) != "") & check_instruction(t, F.col("instruction_id"), F.col("_k"), F.col("_p"), only), F.lit(False))
-    out = rows.withColumn("strict", verdict(F.col("_t")))
-    if loose:
-        # a strict pass is a loose pass; the other texts are only looked at when it fails
-        others = F.array_except(loose_variants(F.col("_t")), F.array("_t"))
-        out = out.withColumn("loose", F.col("strict") | F.exists(others, verdict))
-    return out.drop("_k", "_p", "_t")
+    all_official = mode in ("official_eval", "eval_official", "standalone_eval")
+    rule = F.lit(True) if all_official else F.coalesce(official, F.lit(False)) if official is not None else F.lit(False)
+    rows = df.withColumn("_official", rule)
+    columns = ["score", "base_score", "num_constraints", "num_failed_constraints", "num_checker_errors", "scoring_mode"]
+    judged = check_instructions(rows.filter("_official"), key, response, prompt, instructions, only=only)
+    errors = reward_inputs(judged, key).select(key, F.col("errors").alias("num_checker_errors"))
+    name = "official_eval" if all_official else "official_eval_auto"
+    out = official_scores(judged, key).join(errors, key).withColumn("scoring_mode", F.lit(name)).select(key, *columns)
+    rest = rows.filter("not _official").drop("_official").withColumn("_answer", answer_text(F.col(response)))
+    inputs = reward_inputs(check_instructions(rest, key, "_answer", prompt, instructions, loose=False, only=only), key)
+    joined = rest.drop("_answer").join(inputs.select(key, F.col("ids").alias("_ids"), F.col("checks").alias("_checks"), F.col("errors").alias("_errors")), key)
+    tiered = tiered_instruction_reward(joined, response, checks="_checks", errors="_errors", ids="_ids", family=family, prompt=prompt, options=options)
+    return out.unionByName(tiered.select(key, *columns))
 
 
 def instruction_accuracy(checked: DataFrame, key: str) -> DataFrame:

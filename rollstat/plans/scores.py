@@ -7,7 +7,7 @@ from rollstat.operators import instructions as I
 from rollstat.operators import normalize as N
 from rollstat.operators import scoring as D
 from rollstat.plans.registry import query
-from rollstat.plans.views import TOK, q8, rounded, table, v_tok, with_ctes
+from rollstat.plans.views import TOK, documents, q8, rounded, table, v_tok, with_ctes
 
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 f_ = F.col
@@ -180,18 +180,18 @@ ck AS (SELECT st.doc_id, st.ordinal, st.instruction_id, st.ok AS strict, lo.loos
 def _checked(spark, sf, only=None, loose=True):
     names = only or list(INSTRUCTIONS)
     arr = F.array(*[F.struct(F.lit(n).alias("id"), F.lit(INSTRUCTIONS[n]).alias("kwargs")) for n in names])
-    d = table(spark, sf, "documents").withColumn("response", F.expr(DECOR)).withColumn("instructions", arr)
+    d = documents(spark, sf).withColumn("response", F.expr(DECOR)).withColumn("instructions", arr)
     return I.check_instructions(d, "doc_id", "response", "lang", "instructions", only=names, loose=loose)
 
 
 @query("check_instructions_strict", f"WITH {STRICT_SQL}, st AS ({UNION_CHECKS('base')}) SELECT doc_id, ordinal, instruction_id, ok AS strict FROM st")
 def check_instructions_strict(spark, sf):
-    return _checked(spark, sf, loose=False)
+    return _checked(spark, sf, loose=False).drop("error")
 
 
 @query("check_instructions", f"WITH {CHECKED_SQL} SELECT doc_id, ordinal, instruction_id, strict, loose FROM ck")
 def check_instructions(spark, sf):
-    return _checked(spark, sf)
+    return _checked(spark, sf).drop("error")
 
 
 REPORT_SQL = CHECKED_SQL.removesuffix("ck AS (SELECT st.doc_id, st.ordinal, st.instruction_id, st.ok AS strict, lo.loose FROM st JOIN lo USING (doc_id, ordinal))") + (
@@ -213,6 +213,60 @@ def prompt_accuracy(spark, sf):
     return rounded(out, "strict_prompt", "loose_prompt", "strict_instruction", "loose_instruction")
 
 
+# patterns as users write them, unreadable ones among them, and languages with and without marker words
+ODD_INSTRUCTIONS = (
+    ("keywords:existence", '{"keywords": ["f("]}', "NULL"),
+    ("keywords:frequency", '{"keyword": "th.", "frequency": 3, "relation": "at least"}', "len(regexp_extract_all(t, '(?i)th.')) >= 3"),
+    ("keywords:forbidden_words", '{"forbidden_words": ["de", "["]}', "NULL"),
+    ("keywords:forbidden_words", '{"forbidden_words": ["an+d"]}', "NOT regexp_matches(lower(t), '(^|[^\\p{L}\\p{N}_])an+d($|[^\\p{L}\\p{N}_])')"),
+    ("detectable_format:multiple_sections", '{"section_spliter": "*part", "num_sections": 1}', "NULL"),
+    ("no:such_check", "{}", "NULL"),
+    ("keywords:frequency", "{}", "NULL"),
+    *[("language:response_language", f'{{"language": "{code}"}}', f"coalesce({LANG} = {-i}, true)") for i, code in ((0, "en"), (1, "fr"), (4, "it"), (5, "pt"), (7, "fi"))],
+    *[("language:response_language", f'{{"language": "{code}"}}', "NOT regexp_matches(t, '\\p{L}')") for code in ("hi", "ru", "ar", "ja")],
+    ("language:response_language", '{"language": "sv"}', "true"),
+)
+ODD_SQL = " UNION ALL ".join(f"SELECT doc_id, {i}::INTEGER AS ordinal, NOT {BLANK('t')} AND coalesce({sql}, false) AS strict, ({sql}) IS NULL AS error FROM base"
+                             for i, (_, _, sql) in enumerate(ODD_INSTRUCTIONS))
+
+
+def _odd_checks(spark, sf):
+    arr = F.array(*[F.struct(F.lit(n).alias("id"), F.lit(k).alias("kwargs")) for n, k, _ in ODD_INSTRUCTIONS])
+    return I.check_instructions(documents(spark, sf).withColumn("instructions", arr), "doc_id", "text", "lang", "instructions", loose=False)
+
+
+ODD_BASE = f"base AS MATERIALIZED (SELECT doc_id, {STRIP('text')} AS t FROM documents)"
+
+
+@query("check_odd_instructions", f"WITH {ODD_BASE} {ODD_SQL}")
+def check_odd_instructions(spark, sf):
+    return _odd_checks(spark, sf).select("doc_id", "ordinal", "strict", "error")
+
+
+@query("instruction_errors", f"WITH {ODD_BASE}, c AS ({ODD_SQL}) SELECT doc_id, count(*) FILTER (strict)::INTEGER AS passed, count(*) FILTER (error)::INTEGER AS errors FROM c GROUP BY 1")
+def instruction_errors(spark, sf):
+    inputs = I.reward_inputs(_odd_checks(spark, sf), "doc_id")
+    return inputs.select("doc_id", F.size(F.filter("checks", lambda c: c)).alias("passed"), "errors")
+
+
+REWARD_IDS = ("punctuation:no_comma", "startend:quotation", "keywords:existence")
+REWARD_SQL = f"""WITH {STRICT_SQL}, {LOOSE_SQL}, st AS ({" UNION ALL ".join(f"SELECT doc_id, NOT {BLANK('t')} AND ({CHECK_SQL[n]}) AS ok, '{n}' AS id FROM base" for n in REWARD_IDS)}),
+lo AS (SELECT doc_id, id, max(ok) AS ok FROM ({" UNION ALL ".join(f"SELECT doc_id, NOT {BLANK('t')} AND ({CHECK_SQL[n]}) AS ok, '{n}' AS id FROM vars" for n in REWARD_IDS)}) GROUP BY ALL),
+b AS (SELECT doc_id, count(*) FILTER (st.ok) AS ns, count(*) FILTER (lo.ok) AS nl FROM st JOIN lo USING (doc_id, id) GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR ns = 3 THEN CASE WHEN ns = 3 THEN CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.8 END ELSE 0.0 END ELSE 0.0 END::DOUBLE AS score,
+ {q8('ns / 3', 'base_score')}, 3::INTEGER AS num_constraints, (3 - ns)::INTEGER AS num_failed_constraints, 0::INTEGER AS num_checker_errors, CASE WHEN doc_id % 3 = 0 THEN 'official_eval_auto' ELSE 'tiered_think_format' END AS scoring_mode FROM b"""
+
+
+@query("instruction_reward", REWARD_SQL)
+def instruction_reward(spark, sf):
+    arr = F.array(*[F.struct(F.lit(n).alias("id"), F.lit(INSTRUCTIONS[n]).alias("kwargs")) for n in REWARD_IDS])
+    d = documents(spark, sf).withColumn("response", F.expr(DECOR)).withColumn("instructions", arr).withColumn("family", F.lit("other"))
+    evaluator = F.when(f_("doc_id") % 3 == 0, " IFEval").otherwise("other")
+    none = F.lit(None).cast("string")
+    official = I.official_eval(none, evaluator, none, f_("source"))
+    return rounded(I.instruction_reward(d, "doc_id", "response", "lang", "instructions", family="family", official=official, only=REWARD_IDS), "base_score")
+
+
 # short and empty answers among the documents, with a think prefix on every other row
 RESPONSE = """concat(CASE WHEN doc_id % 2 = 0 THEN concat('<think>', chr(10), '</think>') ELSE '' END, CASE doc_id % 9 WHEN 0 THEN '7' WHEN 1 THEN '12, 13; 14' WHEN 2 THEN 'ok' WHEN 3 THEN 'single' WHEN 4 THEN 'q'
  WHEN 5 THEN 'a short one here' WHEN 6 THEN concat(lang, ' is what I would say here, roughly') ELSE text END)"""

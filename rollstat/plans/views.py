@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for text work.
 
-    ``rollstat.scan.partitions`` deals the rows out anew, for tables of few row groups; unset, a scan is left as it is.
+    ``spark.rollstat.scan.partitions`` deals the rows out anew, for tables of few row groups; unset, a scan is left as it is.
     """
-    docs, parts = table(spark, sf, "documents"), spark.conf.get("rollstat.scan.partitions", None)
+    docs, parts = table(spark, sf, "documents"), spark.conf.get("spark.rollstat.scan.partitions", None)
     return docs.repartition(int(parts)) if parts else docs
 
 

@@ -12,7 +12,7 @@ from rollstat.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "rollstat.scan.partitions": "8"})
+    s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.rollstat.scan.partitions": "8"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
