@@ -316,9 +316,15 @@ def validate_conversation(df: DataFrame, conv: str, turn: str, role: str, conten
 
 
 def split_tool_transcript(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One assistant text to rows (key, step, role, content, code) at its code / interpreter / answer tags."""
-    pieces = F.regexp_extract_all(text, F.lit(
-        r"(?s)(.*?(?:<code>.*?</code>|<interpreter>.*?</interpreter>|<answer>.*?</answer>))"), 1)
+    """One assistant text to rows (key, step, role, content, code) at its code / interpreter / answer tags.
+
+    Text behind the last tag, or without any, is a last assistant row.
+    """
+    tags = r"(?s)(.*?(?:<code>.*?</code>|<interpreter>.*?</interpreter>|<answer>.*?</answer>))"
+    found = F.regexp_extract_all(text, F.lit(tags), 1)
+    # the pieces follow each other without gaps, so the rest starts behind their joint length
+    rest = F.substring(F.col(text), F.length(F.array_join(found, "")) + 1, F.length(text))
+    pieces = F.concat(found, F.when(strip(rest) != "", F.array(rest)).otherwise(F.array().cast("array<string>")))
     rows = df.select(key, F.posexplode(pieces).alias("step", "_p"))
     grab = lambda tag: F.regexp_extract("_p", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
     before = lambda tag: F.regexp_extract("_p", rf"(?s)^(.*?)<{tag}>", 1)
@@ -326,8 +332,8 @@ def split_tool_transcript(df: DataFrame, key: str, text: str) -> DataFrame:
     fenced = F.regexp_extract(grab("code"), r"(?s)```python(.*?)```", 1)
     return rows.select(
         key, "step", F.when(is_("interpreter"), "tool").otherwise("assistant").alias("role"),
-        F.when(is_("code"), strip(before("code"))).when(is_("interpreter"), strip(grab("interpreter"))).otherwise(
-            strip(F.concat(before("answer"), grab("answer")))).alias("content"),
+        F.when(is_("code"), strip(before("code"))).when(is_("interpreter"), strip(grab("interpreter"))).when(
+            is_("answer"), strip(F.concat(before("answer"), grab("answer")))).otherwise(strip("_p")).alias("content"),
         F.when(is_("code"), F.when(fenced != "", strip(fenced)).otherwise(grab("code"))).alias("code"))
 
 

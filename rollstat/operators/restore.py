@@ -47,7 +47,7 @@ def _occurrences_up_to(state: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def ordered_subset_restore(
-    selection: DataFrame, source: DataFrame, *, domain: str, index: str, pos: str, key: Column, max_rounds: int = 200
+    selection: DataFrame, source: DataFrame, *, domain: str, index: str, pos: str, key: Column
 ) -> DataFrame:
     """(domain, index, source_pos) for an ordered selection (``index`` 0..n-1 per domain) of a source stream.
 
@@ -61,7 +61,7 @@ def ordered_subset_restore(
     stream = stream.join(targets.select("dom", "key").distinct(), ["dom", "key"], "left_semi")
     stream = materialize(position(stream, ["pos"], ["dom", "key"], name="occ"), "restore-source")
     state = position(targets, ["idx"], ["dom", "key"], name="c").withColumn("o", F.col("c"))
-    for _ in range(max_rounds):
+    while True:  # every round but the last pushes a target up, so it ends
         placed = state.join(stream, [state["dom"] == stream["dom"], state["key"] == stream["key"], state["o"] == stream["occ"]], "left").select(
             state["dom"], state["idx"], state["key"], "c", "o", "pos")
         placed = materialize(placed, "restore-round")
@@ -77,4 +77,3 @@ def ordered_subset_restore(
         if state.filter("o2 <> o").isEmpty():
             return placed.select(F.col("dom").alias(domain), F.col("idx").alias(index), F.col("pos").alias("source_pos"))
         state = state.drop("o").withColumnRenamed("o2", "o")
-    raise RuntimeError("no fixed point within the allowed rounds")

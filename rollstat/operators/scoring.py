@@ -369,14 +369,22 @@ def scorer_route(source: Column, routes: Mapping[str, Sequence[str]] = SOURCE_RO
     return out
 
 
-def dispatch_scorer(df: DataFrame, source: str, completion: str, answer: str, *, strict: bool = True) -> DataFrame:
-    """Score every row with its source's scorer; sources without one raise (or score null)."""
+def dispatch_scorer(
+    df: DataFrame, source: str, completion: str, answer: str, *, strict: bool = True, given: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Score every row with its source's scorer; sources without one raise (or score null).
+
+    Test cases and instructions are scored by jobs of their own: ``given`` names the column with
+    such a route's score; a route with neither raises as well.
+    """
     rows = df.withColumn("route", scorer_route(F.col(source)))
-    fail = F.raise_error(F.concat(F.lit("no scorer for "), F.col(source))) if strict else F.lit(None)
+    fail = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(F.col(source), F.lit("null")))) if strict else F.lit(None)
     score = F.when(F.col("route").isNull(), fail.cast("double"))
+    for name, column in (given or {}).items():
+        score = score.when(F.col("route") == name, F.col(column).cast("double"))
     for name, fn in SCORERS.items():
         score = score.when(F.col("route") == name, fn(F.col(completion), F.col(answer)).cast("double"))
-    return rows.withColumn("score", score)
+    return rows.withColumn("score", score.otherwise(fail.cast("double")))
 
 
 # ---- adjustments ----------------------------------------------------------------------

@@ -243,6 +243,14 @@ def split_tool_transcript(spark, sf):
     return N.split_tool_transcript(p, "p_partkey", "text")
 
 
+@query("split_tool_transcript_rest", """SELECT p_partkey, i::INTEGER AS step, 'assistant' AS role, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN i = 0 THEN 'so ' || p_brand ELSE 'more ' || p_name END AS content
+ FROM part, range(2) t(i) WHERE i = 0 OR p_partkey % 2 = 1""")
+def split_tool_transcript_rest(spark, sf):
+    tagged = F.concat(F.lit("so <answer>"), F.col("p_brand"), F.lit("</answer>\n more "), F.col("p_name"), F.lit(" \n"))
+    p = table(spark, sf, "part").withColumn("text", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(tagged))
+    return N.split_tool_transcript(p, "p_partkey", "text").drop("code")
+
+
 def _calls(spark, sf):
     p = table(spark, sf, "part").withColumn("text", F.concat(
         F.lit("look up "), F.col("p_name"), F.lit(' <tool_call>{"name": "find", "arguments": {"size": '), F.col("p_size"),

@@ -386,6 +386,15 @@ def dispatch_scorer(spark, sf):
     return D.dispatch_scorer(p, "ds", "t", "a", strict=False).select("p_partkey", "route", "score")
 
 
+@query("dispatch_scorer_given", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'hash_answer' WHEN 1 THEN 'instructions' ELSE 'testcases' END AS route,
+ CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE (p_size % 2) END::DOUBLE AS score FROM part""")
+def dispatch_scorer_given(spark, sf):
+    src = F.when(K(3) == 0, "openai/gsm8k").when(K(3) == 1, "my_ifeval").otherwise("codecontests")
+    p = table(spark, sf, "part").select("p_partkey", src.alias("ds"), _cat("#### ", f_("p_size").cast("string")).alias("t"), f_("p_size").cast("string").alias("a"),
+                                        F.lit(0.5).alias("followed"), (f_("p_size") % 2).alias("passed"))
+    return D.dispatch_scorer(p, "ds", "t", "a", given={"instructions": "followed", "testcases": "passed"}).select("p_partkey", "route", "score")
+
+
 @query("adjusted_scores", f"""SELECT o_orderkey, {q8("CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 3 <> 0 THEN 0 ELSE 1 END ELSE -1 END", "flawed_score")},
  o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_custkey % 3 <> 0 AS is_flawed_positive, {q8("CASE WHEN o_orderstatus = 'F' THEN 1 ELSE least(-0.6, -1 + (o_custkey % 10 - 2) / 2.0::DOUBLE * 0.1) END", "tool_score")},
  (o_custkey % 2 = 0)::INTEGER AS boxed_score FROM orders""")

@@ -86,7 +86,7 @@ def write_back_scores(spark, sf):
     o = io.with_source_file(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("score"), "_src_file")
     e = io.with_source_file(table(spark, sf, "events")).select(F.col("event_id").alias("id"), F.col("value").alias("score"), "_src_file")
     path = shared_dir(spark, "scored")
-    io.write_back_scores(o.unionByName(e), path)
+    io.write_back_scores(o.unionByName(e), path, root=sf)
     return rounded(spark.read.parquet(path).select("source_file", "id", "score"), "score")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from rollstat.functions.columns import blank_to_null
 from rollstat.operators.ranking import position
+from rollstat.session import materialize
 
 
 def scan_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -83,22 +84,22 @@ def content_checksum(df: DataFrame) -> DataFrame:
 def manifest(df: DataFrame, *, domain: str, source: str, excluded: Sequence[str] = (), seed: int, top: int = 5) -> DataFrame:
     """Dataset manifest as rows (section, name, value): counts, per-source funnel, seed, columns, checksum, top sources."""
     gone = F.coalesce(F.col(source).isin(list(excluded)), F.lit(False))
-    keep = df.filter(~gone)
-    one = lambda section, name, value: F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), value.cast("string").alias("value"))
-    rows = [
-        keep.agg(F.array(one("dataset", "rows", F.count(F.lit(1))), one("dataset", "seed", F.lit(seed)),
-                         one("dataset", "columns", F.lit(",".join(df.columns)))).alias("e")).select(F.explode("e").alias("e")).select("e.*"),
-        keep.groupBy(F.col(domain).alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("domain").alias("section"), "name", "value"),
-        content_checksum(keep).select(F.lit("dataset").alias("section"), F.lit("checksum").alias("name"), F.col("checksum").alias("value")),
-    ]
-    by = df.groupBy(F.col(source).alias("name")).agg(F.count(F.lit(1)).alias("scanned"), F.count_if(gone).alias("excluded"))
-    funnel = by.withColumn("selected", F.col("scanned") - F.col("excluded"))
-    rows.append(funnel.unpivot("name", ["scanned", "excluded", "selected"], "section", "value").select("section", "name", F.col("value").cast("string")))
-    rows.append(funnel.orderBy(F.col("selected").desc(), "name").limit(top).select(F.lit("top_source").alias("section"), "name", F.col("selected").cast("string").alias("value")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    part = F.conv(F.substring(row_digest(df), 1, 8), 16, 10).cast("decimal(38,0)")
+    # one scan: counts and checksum parts per (domain, source), a small table, give every number
+    by = df.groupBy(F.col(domain).alias("d"), F.col(source).alias("s"), gone.alias("gone")).agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("c"))
+    by = materialize(by, "manifest")
+    zero, text = F.lit(0), lambda c: c.cast("string").alias("value")
+    sums = by.agg(F.coalesce(F.sum(F.when(~F.col("gone"), F.col("n"))), zero).alias("rows"), F.coalesce(F.sum(F.when(~F.col("gone"), F.col("c"))), zero).alias("sum"))
+    one = lambda name, value: F.struct(F.lit("dataset").alias("section"), F.lit(name).alias("name"), text(value))
+    head = sums.select(F.explode(F.array(one("rows", F.col("rows")), one("seed", F.lit(seed)), one("columns", F.lit(",".join(df.columns))),
+                                         one("checksum", F.col("sum")))).alias("e")).select("e.*")
+    kept = by.filter(~F.col("gone"))
+    domains = kept.groupBy(F.col("d").alias("name")).agg(F.sum("n").alias("n")).select(F.lit("domain").alias("section"), "name", text(F.col("n")))
+    funnel = by.groupBy(F.col("s").alias("name")).agg(F.sum("n").alias("scanned"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("excluded"))
+    funnel = funnel.withColumn("selected", F.col("scanned") - F.col("excluded"))
+    counts = funnel.unpivot("name", ["scanned", "excluded", "selected"], "section", "value").select("section", "name", text(F.col("value")))
+    best = funnel.orderBy(F.col("selected").desc(), "name").limit(top).select(F.lit("top_source").alias("section"), "name", text(F.col("selected")))
+    return head.unionByName(domains).unionByName(counts).unionByName(best)
 
 
 def with_source_file(df: DataFrame, name: str = "_src_file") -> DataFrame:
@@ -106,9 +107,16 @@ def with_source_file(df: DataFrame, name: str = "_src_file") -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias(name))
 
 
-def write_back_scores(df: DataFrame, path: str, src: str = "_src_file") -> None:
-    """Scored rows to a new path, one folder per source file (the input itself is never overwritten)."""
-    label = F.regexp_extract(F.col(src), r"([^/]+)$", 1)
+def write_back_scores(df: DataFrame, path: str, src: str = "_src_file", root: str | None = None) -> None:
+    """Scored rows to a new path, one folder per source file (the input itself is never overwritten).
+
+    ``source_file`` is the file's path below ``root`` (else its whole path): equal names in different folders stay apart.
+    """
+    label = F.regexp_replace(F.col(src), r"^[a-z0-9]+:/+", "/")
+    if root is not None:
+        below = F.lit("/" + root.split("://")[-1].strip("/").split(":/")[-1].strip("/") + "/")
+        at = F.instr(label, below)
+        label = F.when(at > 0, F.substring(label, at + F.length(below), F.length(label))).otherwise(label)
     df.withColumn("source_file", label).drop(src).write.option("compression", "zstd").partitionBy("source_file").parquet(path)
 
 
