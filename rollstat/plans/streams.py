@@ -26,7 +26,7 @@ def _events(spark, sf, per_batch=2):
 
 @query("stream_score_rates", f"SELECT event_type, count(*)::BIGINT AS scored_rows, count(*) FILTER (value > 40)::BIGINT AS correct, {q8('count(*) FILTER (value > 40) / count(*)', 'live')} FROM events GROUP BY 1")
 def stream_score_rates(spark, sf):
-    return rounded(J.last_state(J.stream_score_rates(_events(spark, sf), "event_type", F.col("value") > 40), "score-rates"), "live")
+    return rounded(J.last_state(J.stream_score_rates(_events(spark, sf), "event_type", F.col("value") > 40), "score-rates", ["event_type"]), "live")
 
 
 @query("stream_group_assembly", "SELECT CAST(user_id AS VARCHAR) AS uid, (count(*) // 8)::BIGINT AS n_groups, 8::INTEGER AS size FROM events GROUP BY 1 HAVING count(*) >= 8")
@@ -36,6 +36,16 @@ def stream_group_assembly(spark, sf):
     return out.groupBy("uid").agg(F.count(F.lit(1)).alias("n_groups"), F.max("size").alias("size"))
 
 
+@query("stream_group_members", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS uid, event_id FROM events), c AS (SELECT uid, count(*) // 8 * 8 AS n FROM e GROUP BY 1)
+SELECT uid, n::BIGINT AS members, n::BIGINT AS known FROM c WHERE n > 0""")
+def stream_group_members(spark, sf):
+    groups = J.stream_group_assembly(_events(spark, sf), "user_id", "ts", "value", 8, "60 days", late="60 days", member="event_id")
+    members = J.collect_to_table(groups, "members").select("uid", F.explode("members").alias("event_id"))
+    members = members.withColumn("event_id", F.col("event_id").cast("bigint")).distinct()
+    owners = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("owner"))
+    return members.join(owners, "event_id").groupBy("uid").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("owner") == F.col("uid")).alias("known"))
+
+
 @query("stream_mixture", f"WITH RECURSIVE {STEPS_SQL} SELECT day, event_type, t::INTEGER AS t, {q8s('raw', 'ema', 'gap', 'velocity', 'signal', 'mixture')} FROM fin")
 def stream_mixture(spark, sf):
     out = J.stream_mixture(_events(spark, sf), F.to_date("ts"), "event_type", -F.col("value") / 100,
@@ -60,14 +70,38 @@ def stream_staleness_filter(spark, sf):
     version = F.get_json_object("props", "$.k").cast("bigint")
     versions = table(spark, sf, "events").groupBy("event_type").agg(F.max(version).alias("current"))
     tagged = J.stream_staleness_filter(_events(spark, sf).withColumn("version", version), versions, "event_type", "version", 60)
-    return J.last_state(J.staleness_counts(tagged, "event_type"), "staleness")
+    return J.last_state(J.staleness_counts(tagged, "event_type"), "staleness", ["event_type"])
 
 
 @query("stream_step_metrics", f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type || CASE WHEN user_id % 2 = 0 THEN '/max' ELSE '/mean' END AS metric,
  {q8("CASE WHEN user_id % 2 = 0 THEN max(value) ELSE avg(value) END", 'value')} FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type, user_id % 2""")
 def stream_step_metrics(spark, sf):
     log = _events(spark, sf).withColumn("metric", F.concat("event_type", F.when(F.col("user_id") % 2 == 0, "/max").otherwise("/mean")))
-    # complete mode keeps every interval, so the last state is the whole log
-    out = J.last_state(J.stream_step_metrics(log, "ts", "metric", "value", "1 hour", "40 days"), "step-metrics")
-    out = out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = J.last_state(J.stream_step_metrics(log, "ts", "metric", "value", "1 hour", "40 days"), "step-metrics", ["start", "end", "metric"])
+    out = out.select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "value")
     return rounded(out, "value")
+
+
+@query("stream_sliding_metrics", f"""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts) - to_hours(12 * k) AS start FROM events, range(2) t(k))
+SELECT start, event_type AS metric, {q8('avg(value)', 'value')}, count(*)::BIGINT AS n FROM w GROUP BY 1, 2""")
+def stream_sliding_metrics(spark, sf):
+    log = _events(spark, sf).select("ts", F.col("event_type").alias("metric"), "value")
+    out = J.last_state(J.stream_step_metrics(log, "ts", "metric", "value", "24 hours", "40 days", slide="12 hours"), "sliding", ["start", "end", "metric"])
+    return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "value", "n"), "value")
+
+
+@query("stream_session_metrics", f"""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)
+SELECT min(ts) AS start, event_type || '/' || (user_id % 50) AS metric, {q8('avg(value)', 'value')}, count(*)::BIGINT AS n FROM s GROUP BY event_type, user_id % 50, sid""")
+def stream_session_metrics(spark, sf):
+    # sessions come out when the watermark closes them; the mark of a far later row closes the last
+    end = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts")).select(
+        (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), F.lit("end").alias("metric"), F.lit(0.0).alias("value"))
+    place = J.Place.new(spark, "sessions")
+    path = shared_dir(spark, "session-files")
+    table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "event_type", F.col("user_id") % 50).alias("metric"), "value").write.parquet(path)
+    run = lambda: J.collect_to_table(J.stream_step_metrics(J.read_files(spark, path, end.schema), "ts", "metric", "value", "6 hours", "1 day", session=True), "sessions", place=place)
+    run()
+    end.write.mode("append").parquet(path)
+    out = run().filter("metric <> 'end'")  # goes on from the checkpoint
+    return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "value", "n"), "value")

@@ -1,12 +1,14 @@
 """Structured Streaming jobs over arriving rollout files.
 
-Every job ends when the files present at its start are read (``availableNow``); the
-same code runs without an end by giving another trigger.  Sinks and checkpoints lie in
-the shared folder, so a lost executor or a restarted driver continues where it was.
+Every job takes a ``Place``: the folders of its sink and its checkpoint, and a trigger.  With the
+same place a stopped or restarted job goes on where it was; a batch that is repeated overwrites
+what it wrote.  The default place is new and in the shared folder, and the job ends when the files
+present are read (``availableNow``).
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rollstat.session import shared_dir
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a stream keeps its result and its progress, and when it runs."""
+
+    sink: str
+    checkpoint: str
+    trigger: Mapping[str, object] = field(default_factory=lambda: {"availableNow": True})
+
+    @classmethod
+    def new(cls, spark: SparkSession, label: str) -> Place:
+        return cls(shared_dir(spark, label), shared_dir(spark, f"{label}-state"))
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -24,28 +39,36 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_b
     return reader.parquet(path)
 
 
-def run_to_end(stream: DataFrame, label: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_dir(spark, f"{label}-state")).trigger(
-        availableNow=True).foreachBatch(each).start()
+def run_stream(stream: DataFrame, place: Place, mode: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Run to the end of what is there, or for good with another trigger."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", place.checkpoint).trigger(
+        **place.trigger).foreachBatch(each).start()
     query.awaitTermination()
 
 
-def collect_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run the stream into a table of the shared folder and read it back.
-
-    A repeated batch overwrites its own folder, so each batch counts once.
-    """
-    spark, schema = stream.sparkSession, stream.schema
-    path = shared_dir(spark, label)
-    run_to_end(stream, label, mode, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}"))
-    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+def _read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
-        return spark.read.schema(empty.schema).parquet(path)
+        return spark.read.schema(with_batch).parquet(path)
     except Exception as err:  # no batch was written: the source was empty
         if "PATH_NOT_FOUND" not in str(err):
             raise
-        return empty
+        return spark.createDataFrame([], with_batch)
+
+
+def collect_to_table(stream: DataFrame, label: str, mode: str = "append", place: Place | None = None) -> DataFrame:
+    """Run the stream into a table, one folder per batch, and read it back."""
+    place = place or Place.new(stream.sparkSession, label)
+    run_stream(stream, place, mode, lambda df, i: df.write.mode("overwrite").parquet(f"{place.sink}/batch={i}"))
+    return _read_batches(stream.sparkSession, place.sink, stream.schema)
+
+
+def last_state(stream: DataFrame, label: str, keys: Sequence[str], place: Place | None = None) -> DataFrame:
+    """The newest row of every key; a batch writes only the rows it changed."""
+    out = collect_to_table(stream, label, "update", place)
+    rest = [c for c in stream.columns if c not in keys]
+    newest = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(*keys, "_r.*").select(*stream.columns)
 
 
 # ---- running scorecard ------------------------------------------------------------------
@@ -57,25 +80,17 @@ def stream_score_rates(rows: DataFrame, dataset: str, correct: Column) -> DataFr
                                      (F.count_if(correct) / scored).alias("live"))
 
 
-def last_state(stream: DataFrame, label: str) -> DataFrame:
-    """The complete result after the last batch."""
-    out = collect_to_table(stream, label, "complete")
-    newest = out.agg(F.max("batch").alias("b")).scalar()
-    return out.filter(F.col("batch") == newest).drop("batch")
-
-
 # ---- group assembly ---------------------------------------------------------------------
 
-GROUP_OUT = "uid string, group_no bigint, size int, score double"
-GROUP_STATE = "done bigint, pending int, total double, deadline bigint"
-
+GROUP_OUT = "uid string, group_no bigint, size int, score double, members array<string>"
+GROUP_STATE = "done bigint, ids array<string>, scores array<double>, deadline bigint"
 
-def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int, timeout: str, late: str = "1 day") -> DataFrame:
-    """Emit a prompt group once n responses are in; a group without news for ``timeout`` is dropped.
 
-    Rows later than ``late`` are left out.
+def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int, timeout: str, late: str = "1 day", member: str | None = None) -> DataFrame:
+    """Emit a prompt group with its ``members`` once n responses are in; a group without news for ``timeout`` is dropped.
 
-    The state of a prompt is four numbers, however many responses it gets.
+    Rows later than ``late`` are left out.  The state of a prompt is fewer than n members, however
+    many responses it gets; full groups are cut from a batch at once.
     """
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
@@ -83,52 +98,61 @@ def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int
         if state.hasTimedOut:
             state.remove()
             return
-        done, pending, total, deadline = state.get if state.exists else (0, 0, 0.0, 0)
-        if pending and state.getCurrentWatermarkMs() > deadline:
-            pending, total = 0, 0.0  # new rows came in the batch that would have timed out
-        out, newest = [], 0
+        done, ids, scores, deadline = state.get if state.exists else (0, [], [], 0)
+        ids, scores = list(ids), list(scores)
+        if ids and state.getCurrentWatermarkMs() > deadline:
+            ids, scores = [], []  # new rows came in the batch that would have timed out
+        newest = 0
         for batch in batches:
             newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-            for value in batch["score"].tolist():
-                pending, total = pending + 1, total + value
-                if pending == n:
-                    out.append((key[0], done, n, total))
-                    done, pending, total = done + 1, 0, 0.0
+            ids += batch["member"].tolist()
+            scores += batch["score"].tolist()
+            full = len(ids) // n
+            if full:
+                cut = [slice(k * n, (k + 1) * n) for k in range(full)]
+                yield pd.DataFrame({"uid": key[0], "group_no": range(done, done + full), "size": n,
+                                    "score": [float(sum(scores[c])) for c in cut], "members": [ids[c] for c in cut]})
+                done, ids, scores = done + full, ids[full * n:], scores[full * n:]
         deadline = max(newest, state.getCurrentWatermarkMs()) + wait
-        state.update((done, pending, total, deadline))
+        state.update((done, ids, scores, deadline))
         state.setTimeoutTimestamp(deadline)
-        yield pd.DataFrame(out, columns=["uid", "group_no", "size", "score"])
 
-    slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.col(score).cast("double").alias("score"))
+    name = F.col(member).cast("string") if member else F.lit(None).cast("string")
+    slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.col(score).cast("double").alias("score"), name.alias("member"))
     return slim.withWatermark("ts", late).groupBy("uid").applyInPandasWithState(
         assemble, GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- mixture per finished step ----------------------------------------------------------
 
-def stream_mixture(rows: DataFrame, step: Column, domain: str, reward: Column, schedule: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def stream_mixture(
+    rows: DataFrame, step: Column, domain: str, reward: Column, schedule: Callable[[DataFrame], DataFrame], label: str, place: Place | None = None,
+) -> DataFrame:
     """Mixture schedule updated as steps arrive.
 
-    A batch adds its (sum, count) per step and domain to a small table in the shared folder
-    (one row per step, domain and batch); the schedule is computed from that table.
+    A batch adds its (sum, count) per step and domain to a small table (one row per step, domain
+    and batch) and writes the schedule of all steps so far to ``schedule`` beside it, where a
+    sampler reads the newest; the last one is returned.
     """
     sums = rows.select(step.alias("step"), F.col(domain).alias("domain"), reward.alias("r"))
     spark = rows.sparkSession
-    path = shared_dir(spark, label)
+    place = place or Place.new(spark, label)
 
     def add(batch: DataFrame, i: int) -> None:
-        batch.groupBy("step", "domain").agg(F.sum("r").alias("s"), F.count("r").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={i}")
+        batch.groupBy("step", "domain").agg(F.sum("r").alias("s"), F.count("r").alias("n")).write.mode("overwrite").parquet(f"{place.sink}/sums/batch={i}")
+        state = spark.read.parquet(f"{place.sink}/sums").groupBy("step", "domain").agg(
+            F.greatest(F.lit(0.0), F.try_divide(-F.sum("s"), F.sum("n"))).alias("raw"))
+        schedule(state).write.mode("overwrite").parquet(f"{place.sink}/schedule/batch={i}")
 
-    run_to_end(sums, label, "append", add)
-    state = spark.read.parquet(path).groupBy("step", "domain").agg(
-        F.greatest(F.lit(0.0), F.try_divide(-F.sum("s"), F.sum("n"))).alias("raw"))
-    return schedule(state)
+    run_stream(sums, place, "append", add)
+    every = spark.read.parquet(f"{place.sink}/schedule")
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
 
 
 # ---- dynamic sampling -------------------------------------------------------------------
 
 def stream_dynamic_sampling(
-    rows: DataFrame, uid: str, acc: str, domain: str, quotas: Mapping[str, int], max_rounds: int, label: str
+    rows: DataFrame, uid: str, acc: str, domain: str, quotas: Mapping[str, int], max_rounds: int, label: str, place: Place | None = None
 ) -> DataFrame:
     """Collect informative groups round by round until every domain quota is met, then emit a batch.
 
@@ -139,10 +163,15 @@ def stream_dynamic_sampling(
     from rollstat.operators.sampling import informative_groups
 
     spark = rows.sparkSession
-    path, kept_path = shared_dir(spark, label), shared_dir(spark, f"{label}-kept")
-    # the driver holds only the numbers of the open rounds; the rows lie in the shared folder
-    open_rounds: list[int] = []
-    emitted = [0]
+    place = place or Place.new(spark, label)
+    path, kept_path, state_path = f"{place.sink}/batches", f"{place.sink}/kept", f"{place.sink}/state"
+
+    def state_before(i: int) -> tuple[list[int], int]:
+        """Open rounds and emitted batches before round ``i``, from the table of states: one row per round."""
+        if i == 0:
+            return [], 0
+        row = spark.read.schema("open array<int>, emitted int, round int").parquet(state_path).filter(F.col("round") == i - 1).first()
+        return (list(row["open"]), row["emitted"]) if row else ([], 0)
 
     def pick(pool: DataFrame) -> DataFrame:
         heads = pool.groupBy(uid).agg(F.min("round").alias("_round"), F.min(domain).alias("_d"))
@@ -157,10 +186,11 @@ def stream_dynamic_sampling(
         return pool.join(chosen.select(uid), uid, "left_semi")
 
     def enough(pool: DataFrame) -> bool:
-        have = {r[0]: r[1] for r in pool.groupBy(domain).agg(F.countDistinct(uid)).collect()}
+        have = {r[0]: r[1] for r in pool.filter(F.col(domain).isin(list(quotas))).groupBy(domain).agg(F.countDistinct(uid)).collect()}
         return all(have.get(d, 0) >= q for d, q in quotas.items())
 
     def on_round(batch: DataFrame, i: int) -> None:
+        open_rounds, emitted = state_before(i)
         tagged = batch.withColumn("round", F.lit(i).cast("bigint"))
         informative_groups(tagged, uid, acc).write.mode("overwrite").parquet(f"{kept_path}/r{i}")
         open_rounds.append(i)
@@ -170,12 +200,13 @@ def stream_dynamic_sampling(
         elif len(open_rounds) >= max_rounds:
             out, filtered = pick(tagged), False
         else:
-            return
-        out.withColumn("filtered", F.lit(filtered)).write.mode("overwrite").parquet(f"{path}/batch_no={emitted[0]}")
-        emitted[0] += 1
-        open_rounds.clear()
+            out = None
+        if out is not None:
+            out.withColumn("filtered", F.lit(filtered)).write.mode("overwrite").parquet(f"{path}/batch_no={emitted}")
+            open_rounds, emitted = [], emitted + 1
+        spark.createDataFrame([(open_rounds, emitted)], "open array<int>, emitted int").write.mode("overwrite").parquet(f"{state_path}/round={i}")
 
-    run_to_end(rows, label, "append", on_round)
+    run_stream(rows, place, "append", on_round)
     return spark.read.parquet(path)
 
 
@@ -197,9 +228,16 @@ def staleness_counts(tagged: DataFrame, run: str) -> DataFrame:
 
 # ---- step metrics -----------------------------------------------------------------------
 
-def stream_step_metrics(log: DataFrame, ts: str, metric: str, value: str, interval: str, late: str) -> DataFrame:
-    """Metrics reduced by name over each reporting interval; rows later than ``late`` are left out."""
+def stream_step_metrics(
+    log: DataFrame, ts: str, metric: str, value: str, interval: str, late: str, *, slide: str | None = None, session: bool = False,
+) -> DataFrame:
+    """Metrics reduced by name over each reporting interval; rows later than ``late`` are left out.
+
+    Intervals follow each other, start every ``slide``, or (``session``) last until ``interval``
+    passes without a row.
+    """
     name = F.col(metric)
     out = F.when(F.contains(name, F.lit("max")), F.max(value)).when(F.contains(name, F.lit("min")), F.min(value)).otherwise(F.avg(value))
-    return log.withWatermark(ts, late).groupBy(F.window(ts, interval).alias("w"), metric).agg(out.alias("value")).select(
-        F.col("w.start").alias("start"), metric, "value")
+    window = F.session_window(ts, interval) if session else F.window(ts, interval, slide) if slide else F.window(ts, interval)
+    return log.withWatermark(ts, late).groupBy(window.alias("w"), metric).agg(out.alias("value"), F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), metric, "value", "n")

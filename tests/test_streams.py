@@ -30,7 +30,7 @@ def test_staleness(spark):
     stream = files(spark, [[("r", 1)], [("r", 5), ("r", 4)]], "run string, v long")
     versions = spark.createDataFrame([("r", 5)], "run string, current long")
     tagged = J.stream_staleness_filter(stream, versions, "run", "v", 2)
-    got = J.last_state(J.staleness_counts(tagged, "run"), "test-stale").first()
+    got = J.last_state(J.staleness_counts(tagged, "run"), "test-stale", ["run"]).first()
     assert (got["seen"], got["dropped"], got["stale_kept"]) == (3, 1, 1)
 
 
@@ -44,3 +44,50 @@ def test_dynamic_sampling_emits_full_or_unfiltered(spark):
     assert first == {1, 3} and all(r["filtered"] for r in out if r["batch_no"] == 0)
     second = [r for r in out if r["batch_no"] == 1]
     assert len(second) == 4 and not any(r["filtered"] for r in second)
+
+
+def append(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_a_stopped_stream_goes_on(spark):
+    """Group state, running counts and the schedule go on from their checkpoint; nothing counts twice."""
+    t = lambda d: dt.datetime(2024, 1, d)
+    schema, path = "uid string, ts timestamp, score double", shared_dir(spark, "restart-files")
+    groups, rates = J.Place.new(spark, "restart-groups"), J.Place.new(spark, "restart-rates")
+    read = lambda: J.read_files(spark, path, spark.createDataFrame([], schema).schema, 1)
+    assemble = lambda: {(r["uid"], r["score"], tuple(r["members"])) for r in J.collect_to_table(
+        J.stream_group_assembly(read(), "uid", "ts", "score", 2, "9 days", late="9 days", member="score"), "x", place=groups).collect()}
+    count = lambda: {r["uid"]: r["scored_rows"] for r in J.last_state(J.stream_score_rates(read(), "uid", F.col("score") > 1), "x", ["uid"], place=rates).collect()}
+    append(spark, path, [("a", t(1), 1.0), ("b", t(1), 1.0)], schema)
+    assert assemble() == set() and count() == {"a": 1, "b": 1}
+    append(spark, path, [("a", t(2), 2.0)], schema)
+    assert assemble() == {("a", 3.0, ("1.0", "2.0"))} and count() == {"a": 2, "b": 1}
+    assert assemble() == {("a", 3.0, ("1.0", "2.0"))} and count() == {"a": 2, "b": 1}
+    append(spark, path, [("b", t(3), 5.0)], schema)
+    assert assemble() == {("a", 3.0, ("1.0", "2.0")), ("b", 6.0, ("1.0", "5.0"))}
+
+
+def test_dynamic_sampling_goes_on(spark):
+    schema, path = "uid long, domain string, acc double", shared_dir(spark, "restart-rounds")
+    mixed = lambda u: [(u, "d", 0.0), (u, "d", 1.0)]
+    place = J.Place.new(spark, "restart-dynamic")
+    run = lambda: J.stream_dynamic_sampling(J.read_files(spark, path, spark.createDataFrame([], schema).schema, 1), "uid", "acc", "domain", {"d": 2}, 3, "x", place=place)
+    append(spark, path, mixed(1) + mixed(2), schema)
+    assert {(r["batch_no"], r["uid"]) for r in run().collect()} == {(0, 1), (0, 2)}
+    append(spark, path, mixed(3), schema)
+    assert {(r["batch_no"], r["uid"]) for r in run().collect()} == {(0, 1), (0, 2)}
+    append(spark, path, mixed(4), schema)  # the open round of the run before counts
+    assert {(r["batch_no"], r["uid"]) for r in run().collect()} == {(0, 1), (0, 2), (1, 3), (1, 4)}
+
+
+def test_late_rows_are_left_out(spark):
+    t = lambda h: dt.datetime(2024, 1, 1 + h // 24, h % 24)
+    schema, path = "ts timestamp, metric string, value double", shared_dir(spark, "late-files")
+    place = J.Place.new(spark, "late")
+    run = lambda: {(r["start"], r["value"], r["n"]) for r in J.last_state(J.stream_step_metrics(
+        J.read_files(spark, path, spark.createDataFrame([], schema).schema, 1), "ts", "metric", "value", "1 hour", "2 hours"), "x", ["start", "end", "metric"], place=place).collect()}
+    append(spark, path, [(t(1), "m", 1.0), (t(10), "m", 2.0)], schema)
+    run()
+    append(spark, path, [(t(1), "m", 9.0), (t(9), "m", 4.0)], schema)  # the first is eight hours behind the mark, the second is in time
+    assert run() == {(t(1), 1.0, 1), (t(10), 2.0, 1), (t(9), 4.0, 1)}
