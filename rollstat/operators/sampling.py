@@ -53,10 +53,10 @@ def govern_rows(
         F.when(F.coalesce(question, F.lit("")) == "", "prompt_schema")
         .when(level.isNull() | ~level.between(min_difficulty, max_difficulty), "difficulty")
         .when(answer.isNull(), "answer").when(tokens > max_tokens, "prompt_too_long").otherwise("ok"))
-    rows = df.withColumn("reject_reason", reason).withColumn("prompt_sha256", F.sha2(collapse_ws(question), 256))
-    ok = rows.filter("reject_reason = 'ok'").drop("reject_reason")
-    # dedup and ranking run on (hash, row id); the texts are only fetched for the chosen rows
-    unique = ok.groupBy("prompt_sha256").agg(F.min(source_row).alias(source_row)).withColumn(
+    # one pass over the texts: (row id, reason, hash) gives the funnel, the dedup and the ranking
+    hashed = F.when(F.col("reject_reason") == "ok", F.sha2(collapse_ws(question), 256))
+    rows = materialize(df.withColumn("reject_reason", reason).select(source_row, "reject_reason", hashed.alias("prompt_sha256")), "funnel")
+    unique = rows.filter("reject_reason = 'ok'").groupBy("prompt_sha256").agg(F.min(source_row).alias(source_row)).withColumn(
         "sample_key", sha(F.lit(seed), "prompt_sha256"))
     picked = hash_position(unique, "sample_key", keep=target_rows, name="index").withColumn(
         "index", F.col("index") - 1)
@@ -65,7 +65,7 @@ def govern_rows(
     stats = rows.agg(
         F.count(F.lit(1)).alias("raw_rows"), hit("prompt_schema"), hit("difficulty"), hit("answer"), hit("prompt_too_long"),
         F.count_if(F.col("reject_reason") == "ok").alias("eligible"))
-    distinct = rows.filter("reject_reason = 'ok'").agg(F.countDistinct("prompt_sha256").alias("u")).scalar()
+    distinct = rows.agg(F.countDistinct("prompt_sha256").alias("u")).scalar()
     counters = stats.withColumn("unique_rows", distinct).withColumn(
         "deduplicated", F.col("eligible") - F.col("unique_rows")).withColumn(
         "selected", F.when(F.col("unique_rows") < target_rows, F.raise_error(F.concat(
