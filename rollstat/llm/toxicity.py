@@ -34,18 +34,25 @@ from rollstat.llm.common import blocks, bounded_batches, fold
 from rollstat.session import materialize
 
 STARTS = (4, 5, 6)
+SHARED = (2, 3, 5)
 _EDGE = ".,;:!?\"'()[]{}<>*#%&|"
 
 
 def features(text: str | None) -> set[str]:
-    """Words (lower case, bare of marks) as ``=word`` and the beginnings of longer words."""
+    """Words (lower case, bare of marks) as ``=word``, the beginnings of longer words, and beginnings that several words share.
+
+    A beginning that clean words have now and then still tells when many words of a text have it.
+    """
     data, words = (text or "").encode("utf-8", "surrogatepass"), set()
     for block in blocks(data):
         words.update(block.decode("utf-8", "replace").lower().split())
     words = {w.strip(_EDGE) for w in words}
     out = {"=" + w for w in words if w and len(w) <= 40}
     for n in STARTS:
-        out.update({w[:n] for w in words if len(w) > n})
+        shared = Counter([w[:n] for w in words if len(w) > n])
+        out.update(shared)
+        for many in SHARED:
+            out.update([f"{many}{start}" for start, c in shared.items() if c >= many])
     return out
 
 
@@ -59,7 +66,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"feature": list(found), "positive": positive, "n": list(found.values())})
 
 
-def vocabulary(sample: DataFrame, size: int, prior: float, purity: float = 0.4, deviations: float = 4.0) -> list[str]:
+def vocabulary(sample: DataFrame, size: int, prior: float, purity: float = 0.7, deviations: float = 4.0) -> list[str]:
     """The features most over-represented in the positives, at most ``size``.
 
     A feature's purity is the share of the rows with it that must be toxic, by the prior and the
