@@ -1,8 +1,10 @@
 """Evaluation aggregates and behaviour metrics of completions."""
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,23 +172,70 @@ def validation_metrics(df: DataFrame, source: str, uid: str, variables: Sequence
     return both.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 
 
-def majority_metrics(df: DataFrame, source: str, uid: str, pos: str, pred: str, value: str, *, rounds: int, seed: int) -> DataFrame:
-    """maj@n mean and deviation over seeded rounds of n draws, then the mean over prompts.
+def _win_chances(counts: Sequence[int], n: int) -> list[float]:
+    """Chance of each answer to be the most frequent of ``n`` draws with replacement; equals share it.
 
-    Draw j of a round picks a row of the prompt by hash; the most frequent prediction wins,
-    the one drawn first among equals, and its first drawn value counts.
+    Draw counts are independent Poisson numbers that add up to n.  An answer wins with t draws if
+    every other has fewer, or as many: then each of these is the first drawn equally often.
     """
-    rows = position(df.select(source, uid, pos, pred, F.col(value).cast("double").alias("_v")), [pos], [uid], name="_i")
-    sizes = df.groupBy(source, uid).agg(F.count(F.lit(1)).alias("N"))
-    plan = sizes.select("*", F.explode(_sizes(F.col("N"))).alias("k")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).select(
-        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k"))).alias("j"))
-    h = F.conv(F.substring(sha(F.lit(seed), uid, "k", "b", "j"), 1, 12), 16, 10).cast("bigint")
-    drawn = plan.withColumn("_i", h % F.col("N") + 1).join(rows.drop(source, pos), [uid, "_i"])
-    votes = drawn.groupBy(source, uid, "k", "b", pred).agg(
-        F.count(F.lit(1)).alias("c"), F.min("j").alias("f"), F.min_by("_v", "j").alias("v"))
-    won = votes.groupBy(source, uid, "k", "b").agg(F.max_by("v", F.struct("c", -F.col("f"))).alias("v"))
-    per = won.groupBy(source, uid, "k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    import numpy as np
+
+    mean = n * np.asarray(counts, float) / sum(counts)
+    steps = np.arange(n + 1)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    mass = np.exp(steps[None, :] * np.log(mean)[:, None] - mean[:, None] - log_factorial[None, :])
+    total = math.exp(n * math.log(n) - n - log_factorial[n])
+    chances = np.zeros(len(counts))
+    for t in range(1, n + 1):
+        ties = n // t
+
+        def times(poly, j):  # rows: how many others have t; columns: draws so far
+            out = np.array([np.convolve(row, mass[j, :t])[: n + 1] for row in poly])
+            out[1:, t:] += poly[:-1, : n + 1 - t] * mass[j, t]
+            return out
+
+        one = np.zeros((ties + 1, n + 1))
+        one[0, 0] = 1.0
+        before = [one]
+        for j in range(len(counts) - 1):
+            before.append(times(before[-1], j))
+        after = one
+        for j in range(len(counts) - 1, -1, -1):
+            share = 0.0
+            for s in range(ties):  # s others with as many draws
+                share += sum(float(before[j][u, : n - t + 1] @ after[s - u, n - t :: -1]) for u in range(s + 1)) / (s + 1)
+            chances[j] += mass[j, t] * share / total
+            after = times(after, j)
+    return chances.tolist()
+
+
+def majority_metrics(df: DataFrame, source: str, uid: str, pred: str, value: str) -> DataFrame:
+    """maj@n: exact mean and deviation of the value that the most frequent of n drawn predictions has, then the mean over prompts.
+
+    Draws are with replacement; of equally frequent predictions the one drawn first wins, and its
+    first drawn row counts, which is any of its rows equally often.  A prompt is its distinct
+    predictions with their counts: nothing is drawn, and nothing grows with a number of rounds.
+    """
+    v = F.col(value).cast("double")
+    votes = df.groupBy(source, uid, pred).agg(F.count(F.lit(1)).alias("c"), F.avg(v).alias("m"), F.avg(v * v).alias("q"))
+    prompts = votes.groupBy(source, uid).agg(F.sum("c").alias("N"), F.array_sort(F.collect_list(F.struct("c", "m", "q"))).alias("answers"))
+    drawn = prompts.select(source, "answers", F.explode(_sizes(F.col("N"))).alias("k"))
+
+    @F.pandas_udf("array<double>")
+    def chances(counts: pd.Series, sizes: pd.Series) -> pd.Series:
+        known: dict[tuple, list[float]] = {}
+        out = []
+        for c, k in zip(counts, sizes, strict=True):
+            key = (tuple(int(x) for x in c), int(k))
+            if key not in known:
+                known[key] = _win_chances(*key)
+            out.append(known[key])
+        return pd.Series(out)
+
+    won = drawn.withColumn("w", chances(F.col("answers.c"), F.col("k")))
+    expected = lambda field: F.aggregate(F.zip_with("answers", "w", lambda a, w: a[field] * w), F.lit(0.0), lambda s, x: s + x)
+    spread = expected("q") - expected("m") * expected("m")
+    per = won.select(source, "k", expected("m").alias("m"), F.when(spread > 1e-12, F.sqrt(spread)).otherwise(0.0).alias("s"))
     return per.groupBy(source, "k").agg(F.avg("m").alias("maj_mean"), F.avg("s").alias("maj_std"))
 
 

@@ -182,7 +182,7 @@ CHECKS: dict[str, Callable[[Column, Args, Column, Shared], Column]] = {
 # JVM; those with pattern signs may be unreadable, and are tried one by one: an unreadable one
 # is a failed check and a checker error, never a failed job.
 
-_SIGNS = F.lit(r"[\\^$.|?*+()\[\]{}]")
+_SIGNS = r"[\\^$.|?*+()\[\]{}]"
 
 
 def _patterns(instruction: Column, a: Args) -> Column:
@@ -205,7 +205,6 @@ def _plain_hits(text: Column, patterns: Column) -> Column:
     return F.transform(patterns, lambda p: F.regexp_count(text, F.concat(flags(p), p["before"], p["user"], p["after"])))
 
 
-@F.pandas_udf("array<array<int>>")
 def _tried_hits(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     """Number of matches of each pattern of each instruction, -1 for an unreadable one; rows without a text have none.
 
@@ -271,7 +270,7 @@ def check_instructions(
     patterned = any(n.startswith("keywords:") or n in ("detectable_format:multiple_sections", "detectable_content:postscript") for n in names)
     if patterned:
         of = lambda i: _patterns(i["id"], lambda name: F.get_json_object(i["kwargs"], f"$.{name}"))
-        odd = lambda ps: F.exists(ps, lambda p: F.coalesce(F.rlike(p["user"], _SIGNS), F.lit(True)))
+        odd = lambda ps: F.exists(ps, lambda p: F.coalesce(F.rlike(p["user"], F.lit(_SIGNS)), F.lit(True)))
         rows = rows.withColumn("_pats", F.transform("_is", of))
         rows = rows.withColumn("_odd", F.transform("_pats", lambda ps: F.when(odd(ps), F.to_json(ps))))
         carried = ["_pats", "_odd", F.exists("_odd", lambda ps: ps.isNotNull()).alias("_any")]
@@ -279,7 +278,8 @@ def check_instructions(
     needs_language = any(n.startswith(("language:", "change_case:english")) for n in names)
     rows = rows.withColumn("_lang", detect_language(F.col("_t")) if needs_language else F.lit(None).cast("string"))
     if patterned:
-        rows = rows.withColumn("_tried", _tried_hits(F.when(F.col("_any"), F.col("_t")), F.when(F.col("_any"), F.col("_odd"))))
+        rows = rows.withColumn("_tried", F.pandas_udf(_tried_hits, "array<array<int>>")(
+            F.when(F.col("_any"), F.col("_t")), F.when(F.col("_any"), F.col("_odd"))))
     rows = rows.select("*", F.posexplode("_is").alias("ordinal", "_i")).withColumns(
         {"instruction_id": F.col("_i.id"), "_k": F.col("_i.kwargs")})
     hits = F.lit(None).cast("array<int>")

@@ -163,7 +163,11 @@ def exact_quantiles(
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One whole row per key, the smallest in ``order``; duplicates shrink before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    """One whole row per key, the smallest in ``order`` (ties by the row's hash).
+
+    The choice is made on (keys, order, hash); rows are fetched for the chosen ones only.
+    """
+    tagged = df.withColumn("_row", F.xxhash64(*df.columns))
+    best = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("_row").alias("row")))
+    chosen = tagged.groupBy(*keys).agg(best.alias("_best")).select(*keys, F.col("_best.row").alias("_row"))
+    return join_null_safe(tagged, chosen, [*keys, "_row"], "left_semi").dropDuplicates([*keys, "_row"]).select(*df.columns)

@@ -12,7 +12,7 @@ from rollstat.operators import offpolicy as G
 from rollstat.plans.registry import query
 from rollstat.plans.views import ROLL, TOK, TOPK, q8, q8s, rounded, table, v_roll, v_tok, v_topk, with_ctes
 
-LR = F.col("logp_old") - F.col("logp_rollout")
+LR = lambda: F.col("logp_old") - F.col("logp_rollout")
 LEVELS = ("token", "sequence", "geometric")
 W_SQL = {
     "token": "d", "sequence": "sum(d * mask) OVER (PARTITION BY sample_id)",
@@ -28,13 +28,13 @@ lr AS (SELECT *, {W_SQL[level]} AS lr FROM d), w AS (SELECT *, exp(greatest(-20,
 for _level in LEVELS[:2]:
     @query(f"importance_weights_{_level}", with_ctes(TOK, w_cte(_level)) + f"SELECT sample_id, pos::INTEGER AS pos, {q8('least(w * mask, 2.0)', 'weight')} FROM w")
     def importance_weights(spark, sf, level=_level):
-        out = G.importance_weights(v_tok(spark, sf), "sample_id", LR, "mask", level=level, threshold=2.0)
+        out = G.importance_weights(v_tok(spark, sf), "sample_id", LR(), "mask", level=level, threshold=2.0)
         return rounded(out.select("sample_id", "pos", "weight"), "weight")
 
 for _level in LEVELS:
     @query(f"rejection_mask_{_level}", with_ctes(TOK, w_cte(_level)) + "SELECT sample_id, pos::INTEGER AS pos, CAST(CASE WHEN w BETWEEN 1 / 1.7 AND 1.7 THEN mask ELSE 0 END AS INTEGER) AS kept FROM w")
     def rejection_mask(spark, sf, level=_level):
-        out = G.rejection_mask(v_tok(spark, sf), "sample_id", LR, "mask", level=level, upper=1.7)
+        out = G.rejection_mask(v_tok(spark, sf), "sample_id", LR(), "mask", level=level, upper=1.7)
         return out.select("sample_id", "pos", "kept")
 
     @query(f"weight_metrics_{_level}", with_ctes(TOK, w_cte(_level)) + f"""
@@ -51,21 +51,21 @@ SELECT {q8("(SELECT sum(w * mask) / (sum(mask) + 1e-8) FROM w)", "w_mean")},
 {q8("(SELECT min(sm) FROM s)", "seq_min")}, {q8("(SELECT max(abs(sm - 1)) FROM s)", "seq_max_deviation")},
 {q8("(SELECT avg(CASE WHEN sm > 1.7 THEN 1.0 ELSE 0.0 END) FROM s)", "seq_frac_high")}, {q8("(SELECT avg(CASE WHEN sm < 1 / 1.7 THEN 1.0 ELSE 0.0 END) FROM s)", "seq_frac_low")}""".replace("\n, s AS", ", s AS"))
     def weight_metrics(spark, sf, level=_level):
-        out = G.weight_metrics(v_tok(spark, sf), "sample_id", LR, "mask", level=level, upper=1.7)
+        out = G.weight_metrics(v_tok(spark, sf), "sample_id", LR(), "mask", level=level, upper=1.7)
         return rounded(out, *out.columns)
 
 
 @query("veto_mask", with_ctes(TOK, w_cte("token")) + """SELECT sample_id, pos::INTEGER AS pos, CAST(d < ln(0.5) AND mask = 1 AS INTEGER) AS catastrophic,
  CAST(CASE WHEN max(CASE WHEN d < ln(0.5) AND mask = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id) = 1 THEN 0 ELSE mask END AS INTEGER) AS kept FROM w""")
 def veto_mask(spark, sf):
-    return G.veto_mask(v_tok(spark, sf), "sample_id", LR, "mask", threshold=0.5).select("sample_id", "pos", "catastrophic", "kept")
+    return G.veto_mask(v_tok(spark, sf), "sample_id", LR(), "mask", threshold=0.5).select("sample_id", "pos", "catastrophic", "kept")
 
 
 @query("veto_fractions", with_ctes(TOK, w_cte("token")) + f"""
 , s AS (SELECT sample_id, max(b) AS v, sum(b) AS b, sum(mask) AS m FROM (SELECT *, CASE WHEN d < ln(0.5) AND mask = 1 THEN 1 ELSE 0 END AS b FROM w) GROUP BY 1)
 SELECT {q8("avg(v)", "veto_fraction")}, {q8("sum(b) / (sum(m) + 1e-8)", "catastrophic_fraction")} FROM s""".replace("\n, s AS", ", s AS"))
 def veto_fractions(spark, sf):
-    out = G.veto_fractions(v_tok(spark, sf), "sample_id", LR, "mask", threshold=0.5)
+    out = G.veto_fractions(v_tok(spark, sf), "sample_id", LR(), "mask", threshold=0.5)
     return rounded(out, *out.columns)
 
 
@@ -232,27 +232,27 @@ for _name, _kw in {
 
 
 SPREAD = "sp AS (SELECT *, greatest(t1[1], t2[1], t3[1]) - least(t1[1], t2[1], t3[1]) AS s, CASE WHEN token % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS m FROM v_topk)"
-M4 = F.when(F.col("token") % 4 == 0, 0).otherwise(1)
+M4 = lambda: F.when(F.col("token") % 4 == 0, 0).otherwise(1)
 T3 = ["t1", "t2", "t3"]
 
 
 @query("teacher_conflict", with_ctes(TOPK, SPREAD) + f"""SELECT CAST(domain AS VARCHAR) AS domain, {q8("sum(s * m) / sum(m)", "spread_mean")}, {q8("max(s * m)", "spread_max")},
  {q8("sum(CASE WHEN s > 0.2 THEN m ELSE 0 END) / sum(m)", "contested_frac")} FROM sp GROUP BY GROUPING SETS ((), (domain))""")
 def teacher_conflict(spark, sf):
-    out = H.teacher_conflict(v_topk(spark, sf), T3, M4, "domain", nats=0.2)
+    out = H.teacher_conflict(v_topk(spark, sf), T3, M4(), "domain", nats=0.2)
     return rounded(out, "spread_mean", "spread_max", "contested_frac")
 
 
 @query("teacher_conflict_mask", with_ctes(TOPK, SPREAD) + f"""SELECT token, {q8("CASE WHEN s <= 0.2 THEN (SELECT sum(m) / sum(CASE WHEN s <= 0.2 THEN m ELSE 0 END) FROM sp) ELSE 0 END", "token_weight")} FROM sp""")
 def teacher_conflict_mask(spark, sf):
-    out = H.teacher_conflict_policy(v_topk(spark, sf), T3, "t1", M4, policy="mask", nats=0.2)
+    out = H.teacher_conflict_policy(v_topk(spark, sf), T3, "t1", M4(), policy="mask", nats=0.2)
     return rounded(out.select("token", "token_weight"), "token_weight")
 
 
 @query("teacher_conflict_consensus", with_ctes(TOPK, SPREAD, "c AS (SELECT token, s, unnest(range(8)) AS slot, unnest(t1) AS a, unnest(t2) AS b, unnest(t3) AS d FROM sp)") + f"""
 SELECT token, slot::INTEGER AS slot, {q8("CASE WHEN s <= (SELECT quantile_cont(s, 0.6) FROM sp WHERE m = 1) THEN (a + b + d) / 3 ELSE a END", "target")} FROM c""")
 def teacher_conflict_consensus(spark, sf):
-    out = H.teacher_conflict_policy(v_topk(spark, sf), T3, "t1", M4, policy="consensus", quantile=0.6)
+    out = H.teacher_conflict_policy(v_topk(spark, sf), T3, "t1", M4(), policy="consensus", quantile=0.6)
     return rounded(out.select("token", F.posexplode("target").alias("slot", "target")), "target")
 
 

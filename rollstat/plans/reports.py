@@ -117,16 +117,16 @@ def validation_metrics(spark, sf):
     return _six(_valid(spark, sf))
 
 
-@query("majority_metrics", with_ctes(ROLL) + f""", r AS (SELECT domain, uid, pred, acc, row_number() OVER (PARTITION BY uid ORDER BY sample_id) AS i FROM (SELECT '' AS domain, uid, sample_id, pred, acc FROM v_roll)),
-s AS (SELECT uid, count(*) AS n FROM r GROUP BY 1), ks AS (SELECT uid, n, unnest(CASE WHEN n > 1 THEN list_append(list_filter([2, 4, 8, 16, 32, 64, 128], lambda x: x < n), n) ELSE [] END) AS k FROM s),
-d AS (SELECT uid, k, b, j, CAST('0x' || substr(sha256('31:' || uid || ':' || k || ':' || b || ':' || j), 1, 12) AS BIGINT) % n + 1 AS i FROM (SELECT uid, n, k, b, unnest(range(1, k + 1)) AS j FROM (SELECT uid, n, k, unnest(range(4)) AS b FROM ks))),
-v AS (SELECT d.uid, k, b, pred, count(*) AS c, min(j) AS f, arg_min(acc, j) AS v FROM d JOIN r ON d.uid = r.uid AND d.i = r.i GROUP BY ALL),
-w AS (SELECT uid, k, b, v FROM (SELECT *, row_number() OVER (PARTITION BY uid, k, b ORDER BY c DESC, f) AS rn FROM v) WHERE rn = 1),
-p AS (SELECT uid, k, avg(v) AS m, stddev_pop(v) AS s FROM w GROUP BY ALL)
-SELECT 'all' AS source, k::BIGINT AS k, {q8("avg(m)", "maj_mean")}, {q8("avg(s)", "maj_std")} FROM p GROUP BY k""")
+@query("majority_metrics", with_ctes(ROLL) + f""", r AS (SELECT uid, count(*) AS n, count(*) FILTER (pred = 'F') AS f, count(*) FILTER (pred = 'O') AS o, count(*) FILTER (pred = 'P') AS p FROM v_roll GROUP BY 1),
+ks AS (SELECT *, unnest(CASE WHEN n > 1 THEN list_append(list_filter([2, 4, 8, 16, 32, 64, 128], lambda x: x < n), n) ELSE [] END) AS k FROM r),
+a AS (SELECT *, unnest(range(k + 1)) AS i FROM ks), b AS (SELECT *, unnest(range(k - i + 1)) AS j FROM a), c AS (SELECT *, k - i - j AS l, greatest(i, j, k - i - j) AS top FROM b),
+e AS (SELECT uid, k, exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(j + 1) - lgamma(l + 1)) * pow(f / n, i) * pow(o / n, j) * pow(p / n, l) AS chance, (i = top)::INTEGER / ((i = top)::INTEGER + (j = top)::INTEGER + (l = top)::INTEGER) AS v FROM c),
+m AS (SELECT uid, k, sum(chance * v) AS m FROM e GROUP BY ALL)
+SELECT 'all' AS source, k::BIGINT AS k, {q8("avg(m)", "maj_mean")}, {q8("avg(CASE WHEN m - m * m > 1e-12 THEN sqrt(m - m * m) ELSE 0 END)", "maj_std")} FROM m GROUP BY k""")
 def majority_metrics(spark, sf):
+    # the value is 1 for one of the three predictions
     rows = v_roll(spark, sf).withColumn("source", F.lit("all"))
-    return rounded(E.majority_metrics(rows, "source", "uid", "sample_id", "pred", "acc", rounds=4, seed=31), "maj_mean", "maj_std")
+    return rounded(E.majority_metrics(rows, "source", "uid", "pred", "acc"), "maj_mean", "maj_std")
 
 
 LABELLED = VALID + """, tn AS (SELECT domain, variable, max(regexp_extract(metric, '@(\\d+)', 1)::INTEGER) AS n FROM vm GROUP BY ALL),

@@ -142,7 +142,7 @@ def test_self_overlap(s):
 
 def test_majority_of_one_answer(spark):
     df = spark.createDataFrame([("s", 1, i, "x", 1.0) for i in range(4)], "src string, uid long, pos long, pred string, acc double")
-    got = {r["k"]: r["maj_mean"] for r in E.majority_metrics(df, "src", "uid", "pos", "pred", "acc", rounds=3, seed=1).collect()}
+    got = {r["k"]: r["maj_mean"] for r in E.majority_metrics(df, "src", "uid", "pred", "acc").collect()}
     assert got == {2: 1.0, 4: 1.0}
 
 
@@ -188,3 +188,19 @@ def test_pad_and_unpad(spark):
     assert padded.count() == 12 and padded.filter("is_pad and id < 2").count() == 2
     assert S.unpad(padded).count() == 10
     assert S.pad_to_divisor(spark.range(3), "id", 8).count() == 8
+
+
+def test_win_chances_against_every_draw():
+    import itertools
+    from collections import Counter
+
+    for counts, n in (((1, 2, 3), 4), ((2, 2), 5), ((1, 1, 1, 2), 3), ((5,), 4)):
+        rows = [p for p, c in enumerate(counts) for _ in range(c)]
+        wins = Counter()
+        for draw in itertools.product(rows, repeat=n):
+            seen = Counter(draw)
+            top = max(seen.values())
+            wins[next(p for p in draw if seen[p] == top)] += 1
+        total = len(rows) ** n
+        assert E._win_chances(counts, n) == pytest.approx([wins[p] / total for p in range(len(counts))])
+    assert sum(E._win_chances((40, 300, 7), 200)) == pytest.approx(1.0)

@@ -57,3 +57,12 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 200"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
