@@ -75,14 +75,22 @@ def classify(text: str | None, names: list[str], compressors: list, narrow: floa
 
 
 def dictionaries(
-    rows: DataFrame, sample_rows: int = 400, excerpt: int = 1000, dictionary_bytes: int = 64_000,
+    rows: DataFrame, sample_rows: int = 400, excerpt: int = 1000, dictionary_bytes: int = 64_000, most_languages: int = 1000,
 ) -> list[tuple[str, bytes]]:
-    """(language, content) from learning rows (id, lang, text), the most frequent language first."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """(language, content) from learning rows (id, lang, text), the most frequent language first.
+
+    Every text is compressed once per language, so there can't be many: more than ``most_languages`` raise.
+    """
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()
+    if len(counted) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    counts = {r["lang"]: r["n"] for r in counted}
+    if not counts:
+        return []
+    # the chance is a literal per language: texts are sampled where they lie
     chance = F.pmod(F.xxhash64(F.lit("dictionary"), "id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(sizes, "lang").filter(chance < F.lit(float(sample_rows)) / F.col("n")).select(
-        "lang", "id", F.substring("text", 1, excerpt).alias("text"), chance.alias("at"))
+    limits = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(sample_rows / n))])
+    sample = rows.filter(chance < F.element_at(limits, F.col("lang"))).select("lang", F.substring("text", 1, excerpt).alias("text"), chance.alias("at"))
     texts: dict[str, list] = {}
     for r in sample.collect():  # about sample_rows excerpts for each language
         texts.setdefault(r["lang"], []).append((r["at"], r["text"]))
