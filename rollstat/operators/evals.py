@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollstat.functions.columns import col, let, sha, strip, text_or_empty
-from rollstat.operators.ranking import cumulative_counts, position
+from rollstat.operators.ranking import cumulate, join_null_safe, with_range_bucket
 
 # Rows of the published evaluation sets.
 DATASET_TOTALS = {
@@ -150,17 +150,21 @@ def validation_metrics(df: DataFrame, source: str, uid: str, variables: Sequence
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("v")) for v in variables])).alias("_z")).select(
         source, uid, "_z.variable", "_z.v")
     group = [source, uid, "variable"]
-    stats = long.groupBy(*group).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("N"))
+    # everything follows from the distinct values of a prompt with their counts: written once, so rows are read once
+    values = with_range_bucket(long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("_c")), "v")
+    v, c = F.col("v"), F.col("_c")
+    mean, square = F.sum(v * c) / F.sum(F.when(v.isNotNull(), c)), F.sum(v * v * c) / F.sum(F.when(v.isNotNull(), c))
+    stats = values.groupBy(*group).agg(
+        mean.alias("m"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("s"), F.sum("_c").alias("N"))
     basic = stats.select(*group, F.explode(F.filter(F.array(
         F.struct(F.concat(F.lit("mean@"), "N").alias("metric"), F.col("m").alias("value"), F.lit(True).alias("ok")),
         F.struct(F.concat(F.lit("std@"), "N").alias("metric"), F.col("s").alias("value"), (F.col("N") > 1).alias("ok"))), lambda x: x["ok"])).alias("_e"))
     basic = basic.select(*group, "_e.metric", "_e.value")
-    cums = cumulative_counts(long, "v", group).withColumnRenamed("n", "_c").join(stats.select(*group, "N"), group)
+    cums = join_null_safe(cumulate(values, [v], group, "cum", weight=c), stats.select(*group, "N"), group)
     drawn = cums.select("*", F.explode(_sizes(F.col("N"))).alias("k"))
     p = lambda c: F.pow(c / F.col("N"), F.col("k"))
     best = p(F.col("cum")) - p(F.col("cum") - F.col("_c"))
     worst = p(F.col("N") - F.col("cum") + F.col("_c")) - p(F.col("N") - F.col("cum"))
-    v = F.col("v")
     moments = drawn.groupBy(*group, "k").agg(
         F.sum(v * best).alias("b1"), F.sum(v * v * best).alias("b2"), F.sum(v * worst).alias("w1"), F.sum(v * v * worst).alias("w2"))
     sd = lambda a, b: F.sqrt(F.greatest(F.col(b) - F.col(a) * F.col(a), F.lit(0.0)))
