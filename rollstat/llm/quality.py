@@ -174,10 +174,9 @@ def keep_good(
     """The rows whose score reaches ``threshold``, whole; texts are scored where they lie, not shuffled."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    learn = rows.filter(fold("id", folds) != held_out_fold).join(labels.select(F.col(id_column).alias("id")).distinct(), "id", "left_semi")
-    stats = learn.select("id", statistics_of(F.col("text")).alias("stats"))
-    model = fit(_learning(stats, labels, id_column, label_column, F.lit(True)))
+    # statistics of all rows, then a narrow join with the labels: reading texts twice costs less than shuffling them
+    stats = materialize(docs.select(F.col(id_column).alias("id"), statistics_of(F.col(text_column)).alias("stats")), "statistics")
+    model = fit(_learning(stats, labels, id_column, label_column, fold("id", folds) != held_out_fold))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
