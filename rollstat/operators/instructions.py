@@ -56,16 +56,18 @@ def detect_language(text: Column) -> Column:
         return F.array_max(F.array(*[F.struct(count(found, marks).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang"))
                                      for i, (lang, marks) in enumerate(LANGUAGE_WORDS.items())]))["lang"]
 
-    marked = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w.isin(*every))
-    letters, latin = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{IsLatin}"))
-    return F.when(letters == 0, F.lit(None)).when(2 * latin < letters, "other").otherwise(let(marked, best))
+    marked = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*every))
+    # what is no Latin letter goes at once; letters are only counted where some stay
+    foreign, letters = F.length(F.regexp_replace(text, r"[\p{IsLatin}\P{L}]++", "")), F.length(F.regexp_replace(text, r"\P{L}++", ""))
+    known = F.when((foreign > 0) & (2 * foreign > letters), "other").otherwise(let(marked, best))
+    return F.when(F.rlike(text, F.lit(r"\p{L}")), known)
 
 
 def in_language(text: Column, language: Column, detected: Column) -> Column:
     """Whether a text is in a language; true where that can't be told: no letter, or a language without markers and script."""
     by_script = F.lit(True)
     for code, letters in LANGUAGE_SCRIPTS.items():
-        by_script = F.when(language == code, 2 * F.regexp_count(text, F.lit(letters)) > F.regexp_count(text, F.lit(r"\p{L}"))).otherwise(by_script)
+        by_script = F.when(language == code, 2 * F.regexp_count(text, F.lit(letters)) > F.length(F.regexp_replace(text, r"\P{L}++", ""))).otherwise(by_script)
     return F.when(detected.isNull(), True).when(language.isin(*LANGUAGE_WORDS), detected == language).otherwise(by_script)
 
 
@@ -278,15 +280,16 @@ def check_instructions(
     needs_language = any(n.startswith(("language:", "change_case:english")) for n in names)
     rows = rows.withColumn("_lang", detect_language(F.col("_t")) if needs_language else F.lit(None).cast("string"))
     if patterned:
-        rows = rows.withColumn("_tried", F.pandas_udf(_tried_hits, "array<array<int>>")(
-            F.when(F.col("_any"), F.col("_t")), F.when(F.col("_any"), F.col("_odd"))))
-    rows = rows.select("*", F.posexplode("_is").alias("ordinal", "_i")).withColumns(
-        {"instruction_id": F.col("_i.id"), "_k": F.col("_i.kwargs")})
+        tried = F.pandas_udf(_tried_hits, "array<array<int>>")(F.when(F.col("_any"), F.col("_t")), F.when(F.col("_any"), F.col("_odd")))
+        rows = rows.withColumn("_tried", F.coalesce(tried, F.array().cast("array<array<int>>")))
+    # the lists go along item by item, not whole
+    lists = F.arrays_zip(F.col("_is").alias("i"), *[F.col(c).alias(c[1:]) for c in (("_pats", "_odd", "_tried") if patterned else ())])
+    rows = rows.select(key, "_p", "_t", "_v", "_lang", F.posexplode(lists).alias("ordinal", "_z")).withColumns(
+        {"instruction_id": F.col("_z.i.id"), "_k": F.col("_z.i.kwargs")})
     hits = F.lit(None).cast("array<int>")
     if patterned:
         seen = F.when(F.col("instruction_id") == "detectable_content:postscript", F.lower("_t")).otherwise(F.col("_t"))
-        hits = F.when(F.get("_odd", F.col("ordinal")).isNotNull(), F.get("_tried", F.col("ordinal"))).otherwise(
-            _plain_hits(seen, F.get("_pats", F.col("ordinal"))))
+        hits = F.when(F.col("_z.odd").isNotNull(), F.col("_z.tried")).otherwise(_plain_hits(seen, F.col("_z.pats")))
     rows = rows.select(key, "ordinal", "instruction_id", "_k", "_p", "_t", "_v", "_lang", hits.alias("_hits"))
     shared = Shared(F.col("_lang"), F.col("_hits"))
     verdict = check_instruction(F.col("_t"), F.col("instruction_id"), F.col("_k"), F.col("_p"), shared, names)
