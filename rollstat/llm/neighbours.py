@@ -7,8 +7,10 @@ The first lists come from blocks of vectors that fall on the same sides of rando
 After the rounds a bounded audit compares hash-chosen vectors with all others in blocks and
 measures recall; while it is too low, further blocks and rounds follow.
 
-Links within the threshold join vectors to components.  Inside a component every pair is settled,
-so a list that was still too short costs nothing:
+Links within the threshold join vectors to components.  A link that no list holds, because both
+its ends have saturated lists, can still join two components: the saturated members of different
+components are compared exactly, but for pairs that the components' means and radii rule out.
+Inside a component every pair is settled, so a list that was still too short costs nothing:
 
 * with all members within half the threshold angle of the component's mean, all are linked (by
   the triangle inequality of angles) and no pair is looked at, whatever the size;
@@ -204,18 +206,114 @@ def near_links(nodes: DataFrame, threshold: float, queries: DataFrame) -> DataFr
     return nodes.mapInPandas(run, "a bigint, b bigint")
 
 
+def _angle(cosine):
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def _dot(left: str, right: str):
+    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def _near_shapes(reach: float):
+    """Pairs of components whose means are within both radii and ``reach`` of each other."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in runs(batches, ["i", "j"]):
+            out, x = [], _matrix(frame["m"])
+            root, radius, side, own = (frame[c].to_numpy() for c in ("root", "radius", "left", "own"))
+            for rows in _groups(frame, ["i", "j"]):
+                a, b = rows[side[rows]], rows[~side[rows] | own[rows]]
+                angle = np.arccos(np.clip(x[a] @ x[b].T, -1, 1))
+                i, j = np.nonzero(angle <= radius[a][:, None] + radius[b][None, :] + reach)
+                i, j = root[a[i]], root[b[j]]
+                differ = i != j if not own[rows[0]] else i < j
+                out.append(np.stack([np.minimum(i, j)[differ], np.maximum(i, j)[differ]], axis=1))
+            yield pd.DataFrame(np.concatenate(out), columns=["p", "q"])
+    return run
+
+
+def _best_across(threshold: float):
+    """The best link of each pair of blocks, if it reaches the threshold."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in runs(batches, ["p", "q", "i", "j"]):
+            parts, x, ids, side = [], _matrix(frame["unit"]), frame["node"].to_numpy(), frame["left"].to_numpy()
+            for rows in _groups(frame, ["p", "q", "i", "j"]):
+                a, b = rows[side[rows]], rows[~side[rows]]
+                if not len(a) or not len(b):
+                    continue
+                sims = x[a] @ x[b].T
+                u, v = np.unravel_index(int(np.argmax(sims)), sims.shape)
+                if sims[u, v] >= threshold:
+                    parts.append((ids[a[[u]]], ids[b[[v]]], sims[[u], [v]]))
+            yield _frame(parts)
+    return run
+
+
+def saturated_links(nodes: DataFrame, lists: DataFrame, roots: DataFrame, threshold: float) -> DataFrame | None:
+    """(a, b, sim) that join all components linked through vectors whose lists are saturated.
+
+    Angles obey the triangle inequality, so what the means and radii rule out has no link.
+    """
+    ends = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"), F.first("k").alias("k"))
+    full = ends.filter((F.col("n") >= F.col("k")) & (F.col("low") >= threshold)).select(F.col("a").alias("node"))
+    members = materialize(nodes.select("node", "unit").join(full, "node").join(roots, "node").select("root", "node", "unit"), "saturated")
+    shapes = materialize(_means(members), "means")
+    shapes = members.join(shapes, "root").groupBy("root").agg(F.first("m").alias("m"), F.max(_angle(_dot("unit", "m"))).alias("radius"))
+    shapes = materialize(shapes, "shapes")
+    count = shapes.count()
+    if count < 2:
+        return None
+    slack = 1e-6  # above the rounding of angles
+    reach = math.acos(max(-1.0, min(threshold, 1.0))) + slack
+    blocks = math.ceil(count / BLOCK)
+    dealt = shapes.withColumn("block", F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("int")).select(
+        "root", "m", "radius", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "root", "m", "radius",
+        (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("own"))
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
+    near = materialize(dealt.mapInPandas(_near_shapes(reach), "p bigint, q bigint"), "near")
+    if near.isEmpty():
+        return None
+    sides = near.select("p", "q", F.col("p").alias("root"), F.col("q").alias("far"), F.lit(True).alias("left")).unionByName(
+        near.select("p", "q", F.col("q").alias("root"), F.col("p").alias("far"), F.lit(False).alias("left")))
+    sides = sides.join(shapes.select(F.col("root").alias("far"), "m", "radius"), "far")
+    asked = members.join(sides, "root").withColumn("dot", _dot("unit", "m")).filter(_angle(F.col("dot")) <= F.col("radius") + reach)
+    asked = materialize(asked.select("p", "q", "left", "node", "unit", "dot"), "asked")
+    # most linked components are linked where they face each other
+    best = [F.max_by(F.struct("node", "unit"), F.when(side, F.col("dot"))).alias(name) for name, side in (("l", F.col("left")), ("r", ~F.col("left")))]
+    sizes = [F.ceil(F.count_if(side) / BLOCK).cast("int").alias(name) for name, side in (("nl", F.col("left")), ("nr", ~F.col("left")))]
+    pairs = asked.groupBy("p", "q").agg(*best, *sizes).filter("nl > 0 and nr > 0").select(
+        "p", "q", "nl", "nr", F.col("l.node").alias("a"), F.col("r.node").alias("b"), _dot("l.unit", "r.unit").alias("sim"))
+    pairs = materialize(pairs, "facing")
+    facing = pairs.filter(F.col("sim") >= threshold).select("a", "b", "sim")
+    rest = asked.join(pairs.filter(F.col("sim") < threshold).select("p", "q", "nl", "nr"), ["p", "q"])
+    mine, theirs = F.when(F.col("left"), F.col("nl")).otherwise(F.col("nr")), F.when(F.col("left"), F.col("nr")).otherwise(F.col("nl"))
+    rest = rest.select("p", "q", "left", "node", "unit", F.pmod(F.xxhash64("node"), mine).cast("int").alias("block"),
+                       F.explode(F.sequence(F.lit(0), theirs - 1)).alias("other"))
+    rest = rest.select("p", "q", F.when(F.col("left"), F.col("block")).otherwise(F.col("other")).alias("i"),
+                       F.when(F.col("left"), F.col("other")).otherwise(F.col("block")).alias("j"), "left", "node", "unit")
+    rest = rest.repartition("p", "q", "i", "j").sortWithinPartitions("p", "q", "i", "j")
+    return materialize(facing.unionByName(rest.mapInPandas(_best_across(threshold), "a bigint, b bigint, sim double")), "across")
+
+
 def neighbour_lists(
     nodes: DataFrame, threshold: float, k: int = 12, tables: int = 4, rounds: int = 3, recall: float = 0.98, audit_rows: int = 512,
 ) -> tuple[DataFrame, list[float]]:
-    """Refined lists (a, k, b, sim) of ``nodes`` (node, unit), and the recall of each audit.
+    """Refined lists (a, k, b, sim) of ``nodes`` (node, unit), and the recall of each audit."""
+    lists, _, audits = near_components(nodes, threshold, k, tables, rounds, recall, audit_rows)
+    return lists, audits
 
-    The audit counts the links of about ``audit_rows`` hash-chosen vectors whose two ends are
-    joined in the graph of found links, the form in which components use them.
+
+def near_components(
+    nodes: DataFrame, threshold: float, k: int = 12, tables: int = 4, rounds: int = 3, recall: float = 0.98, audit_rows: int = 512,
+) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Refined lists (a, k, b, sim), components (node, root) of the links, and the recall of each audit.
+
+    Recall is the mean over about ``audit_rows`` hash-chosen vectors, of those with a link, of the
+    share of their links whose two ends are in one component, the form in which links are used.
     """
     n = nodes.count()
     chance = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / float(1 << 30)
     truth = materialize(near_links(nodes, threshold, nodes.filter(chance < F.lit(audit_rows / max(n, 1)))), "truth")
-    wanted = truth.count()
     lists, audits = None, []
     while True:
         first = _first_lists(nodes, n, k, tables, first=tables * len(audits))
@@ -226,11 +324,17 @@ def neighbour_lists(
             found = _refine(nodes, before).unionByName(before.select("a", "b", "sim"))
             lists = materialize(_merge(found, _limits(nodes, before, k, threshold)), "lists")
         roots = components(lists.filter(F.col("sim") >= threshold), "a", "b")
+        roots = materialize(roots, "roots")
+        across = saturated_links(nodes, lists, roots, threshold)
+        if across is not None:
+            links = lists.filter(F.col("sim") >= threshold).select("a", "b").unionByName(across.select("a", "b"))
+            roots = materialize(components(links, "a", "b"), "roots")
         left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        hit = truth.join(left, "a").join(right, "b").filter("ra = rb").count()
-        audits.append(hit / wanted if wanted else 1.0)
+        hit = F.avg(F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).cast("int")).alias("hit")
+        share = truth.join(left, "a", "left").join(right, "b", "left").groupBy("a").agg(hit).agg(F.avg("hit")).first()[0]
+        audits.append(1.0 if share is None else share)
         if audits[-1] >= recall or len(audits) >= 5:
-            return lists, audits
+            return lists, roots, audits
 
 
 def _block_counts(threshold: float):
@@ -253,16 +357,20 @@ def _block_counts(threshold: float):
     return run
 
 
-def component_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): links of each member of a component to the component's other vectors."""
-    members = materialize(nodes.join(roots, "node").select("root", "node", "unit", "copies"), "members")
+def _means(members: DataFrame) -> DataFrame:
+    """(root, m): the mean direction of each component's members (root, unit)."""
     mean = members.select("root", F.posexplode("unit").alias("at", "x")).groupBy("root", "at").agg(F.sum("x").alias("x"))
     mean = mean.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("m")).select("root", F.col("m.x").alias("m"))
-    dot = F.aggregate(F.zip_with("unit", "m", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, v: s + v * v))
+    return mean.select("root", F.transform("m", lambda v: F.coalesce(v / F.nullif(norm, F.lit(0.0)), F.lit(0.0))).alias("m"))
+
+
+def component_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): links of each member of a component to the component's other vectors."""
+    members = materialize(nodes.join(roots, "node").select("root", "node", "unit", "copies"), "members")
     safe = math.cos(math.acos(min(threshold, 1.0)) / 2) + 1e-9
-    shape = members.join(mean, "root").groupBy("root").agg(
-        F.min(dot / norm).alias("nearest"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("size"))
+    shape = members.join(_means(members), "root").groupBy("root").agg(
+        F.min(_dot("unit", "m")).alias("nearest"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("size"))
     shape = materialize(shape.withColumn("tight", F.coalesce(F.col("nearest") >= safe, F.lit(False))), "shape")
     tight = members.join(shape.filter("tight"), "root").select("node", (F.col("total") - F.col("copies")).alias("links"))
     # others: block against block, at most BLOCK x BLOCK vectors at a time
@@ -287,8 +395,7 @@ def embedding_near_duplicates(
     # numbers of their own: ids may be null or repeat
     distinct = materialize(numbered(distinct.withColumn("hash", F.xxhash64("unit")), ["first", "hash", "unit"], "node").drop("hash"), "distinct")
     nodes = distinct.select("node", "unit", "copies")
-    lists, _ = neighbour_lists(nodes.select("node", "unit"), threshold, k, tables, rounds, recall)
-    roots = materialize(components(lists.filter(F.col("sim") >= threshold), "a", "b"), "roots")
+    _, roots, _ = near_components(nodes.select("node", "unit"), threshold, k, tables, rounds, recall)
     links = component_links(nodes, roots, threshold)
     named = distinct.select("node", "first", "copies").join(roots, "node", "left").join(links, "node", "left")
     named = named.select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))

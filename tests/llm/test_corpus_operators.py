@@ -437,6 +437,25 @@ def test_embeddings(spark):
     assert not plain(neighbours.embedding_near_duplicates(df.limit(0)))
 
 
+def test_embedding_groups_that_fill_their_lists_are_joined(spark):
+    """Two dense groups linked only across: every list is full of its own group's members.
+
+    A third group has so many links that those across are below two in a hundred.
+    """
+    rng = np.random.default_rng(3)
+    centers = np.zeros((3, 64))
+    centers[0, 0], centers[1, :2], centers[2, 2] = 1, (np.cos(0.25), np.sin(0.25)), 1
+    of = np.repeat([0, 1, 2], [110, 110, 1200])
+    x = centers[of] + 0.009 * rng.standard_normal((len(of), 64))
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    near = units @ units.T >= 0.95
+    across = (units @ units.T)[:110, 110:220]
+    assert across.max() >= 0.95 and np.sort(units[:110] @ units[:110].T, axis=1)[:, -98].min() > across.max()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    want = [(i, int(near[i].sum()) - 1, 0 if i < 220 else 220, i in (0, 220)) for i in range(len(x))]
+    assert sorted(plain(neighbours.embedding_near_duplicates(df))) == want
+
+
 def test_embedding_audit_sees_missing_links(spark, sf):
     units = neighbours.unit_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding").withColumnRenamed("id", "node")
     lists, audits = neighbours.neighbour_lists(units, threshold=0.3, k=12, rounds=2)
