@@ -4,8 +4,11 @@ A graph of near neighbours is refined round by round: whoever shares a neighbour
 (the neighbours-of-neighbours join), and each vector keeps its ``k`` best.  A list whose ``k``
 entries all reach the threshold is saturated and grows to twice its length in the next round.
 The first lists come from blocks of vectors that fall on the same sides of random hyperplanes.
-After the rounds a bounded audit compares hash-chosen vectors with all others in blocks and
-measures recall; while it is too low, further blocks and rounds follow.
+After the rounds an audit compares hash-chosen vectors with all others in blocks and measures
+recall; while it is too low, further blocks and rounds follow, and if they stop helping, all
+vectors are compared block against block.  Vectors are drawn until ``AUDIT_LINKED`` of them have
+links or ``AUDIT_MOST`` are drawn; with fewer links seen, there are also so many tables that a
+pair at the threshold shares a code in one of them with a chance of ``recall``.
 
 Links within the threshold join vectors to components.  A link that no list holds, because both
 its ends have saturated lists, can still join two components: the saturated members of different
@@ -25,6 +28,7 @@ table gives an empty result; further columns are ignored.
 """
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -33,14 +37,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollstat.llm.common import runs
+from rollstat.llm.common import local_components, runs
 from rollstat.llm.components import components
 from rollstat.llm.positions import numbered
 from rollstat.session import materialize
 
+_LOG = logging.getLogger(__name__)
+
 BLOCK = 512
 #: In-neighbours of a hub that one task compares with its list.
 FAN = 256
+#: An audit with this many linked vectors is enough; it draws no more than so many vectors.
+AUDIT_LINKED, AUDIT_MOST = 100, 8192
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -120,9 +128,18 @@ def _block_lists(k: int):
     return run
 
 
+def _planes(n: int) -> int:
+    return max(1, math.ceil(math.log2(max(n, 2) / 64)))
+
+
+def _least_tables(n: int, threshold: float, recall: float) -> int:
+    """Tables in one of which a pair at the threshold shares its code with a chance of ``recall``."""
+    same = (1 - math.acos(max(-1.0, min(threshold, 1.0))) / math.pi) ** _planes(n)
+    return 1 if same >= 1 else math.ceil(math.log(max(1 - recall, 1e-6)) / math.log1p(-max(same, 1e-9)))
+
+
 def _first_lists(nodes: DataFrame, n: int, k: int, tables: int, first: int) -> DataFrame:
-    planes = max(1, math.ceil(math.log2(max(n, 2) / 64)))
-    coded = nodes.select("node", "unit", F.posexplode(_codes(planes, tables, first)("unit")).alias("table", "code"))
+    coded = nodes.select("node", "unit", F.posexplode(_codes(_planes(n), tables, first)("unit")).alias("table", "code"))
     sizes = coded.groupBy("table", "code").agg(F.count(F.lit(1)).alias("size"))
     # a crowded side is dealt out by hash; its members are near each other anyway
     part = F.pmod(F.xxhash64("node", "table"), F.ceil(F.col("size") / BLOCK).cast("bigint"))
@@ -198,14 +215,72 @@ def near_links(nodes: DataFrame, threshold: float, queries: DataFrame) -> DataFr
             for n, rows in frame.groupby(frame["unit"].map(len)):
                 if n in blocks:
                     ids, x = blocks[n]
-                    i, j = np.nonzero(x @ _matrix(rows["unit"]).T >= threshold)
-                    parts.append((ids[i], rows["node"].to_numpy()[j], np.ones(len(i))))
+                    y, others = _matrix(rows["unit"]), rows["node"].to_numpy()
+                    for at in range(0, len(x), BLOCK):
+                        i, j = np.nonzero(x[at:at + BLOCK] @ y.T >= threshold)
+                        parts.append((ids[at + i], others[j], np.ones(len(i))))
             out = _frame(parts)
             yield out[out["a"] != out["b"]][["a", "b"]]
 
     return nodes.mapInPandas(run, "a bigint, b bigint")
 
 
+def _audit_links(nodes: DataFrame, n: int, threshold: float, rows: int) -> tuple[DataFrame, bool]:
+    """Exact links of hash-chosen vectors, and whether enough were seen."""
+    chance = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / float(1 << 30)
+    low, high, truth = 0.0, rows / max(n, 1), None
+    while True:
+        drawn = materialize(near_links(nodes, threshold, nodes.filter((chance >= low) & (chance < high))), "truth")
+        truth = drawn if truth is None else truth.unionByName(drawn)
+        if high >= 1 or truth.select("a").distinct().count() >= AUDIT_LINKED:
+            return truth, True
+        if high >= AUDIT_MOST / n:
+            return truth, False
+        low, high = high, min(high * 4, max(high, AUDIT_MOST / n))
+
+
+def _exact_blocks(threshold: float):
+    """The links of two blocks as stars."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in runs(batches, ["i", "j"]):
+            units, ids, side, own = frame["unit"], frame["node"].to_numpy(), frame["left"].to_numpy(), frame["own"].to_numpy()
+            length, out = units.map(len).to_numpy(), []
+            for rows in _groups(frame, ["i", "j"]):
+                for n in np.unique(length[rows]):
+                    some = rows[length[rows] == n]
+                    a, b = some[side[some]], some[~side[some] | own[some]]
+                    x, y = _matrix(units.iloc[a]), _matrix(units.iloc[b])
+                    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                    for at in range(0, len(a) if len(b) else 0, BLOCK):
+                        i, j = np.nonzero(x[at:at + BLOCK] @ y.T >= threshold)
+                        left.append(a[at + i])
+                        right.append(b[j])
+                    star = local_components(len(frame), np.concatenate(left), np.concatenate(right))
+                    far = some[star[some] != some]
+                    out.append(pd.DataFrame({"a": ids[far], "b": ids[star[far]]}, dtype=np.int64))
+            yield pd.concat(out)
+    return run
+
+
+def exact_links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b) that join whatever vectors reach the threshold: every block against every block."""
+    blocks = math.ceil(max(n, 1) / (4 * BLOCK))
+    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).select(
+        "node", "unit", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "unit",
+        (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("own"))
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
+    return materialize(dealt.mapInPandas(_exact_blocks(threshold), "a bigint, b bigint"), "exact")
+
+
+def _joined_share(truth: DataFrame, roots: DataFrame) -> float:
+    """Mean over the audited vectors with links of the share of the links inside a component."""
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    hit = F.avg(F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).cast("int")).alias("hit")
+    share = truth.join(left, "a", "left").join(right, "b", "left").groupBy("a").agg(hit).agg(F.avg("hit")).first()[0]
+    return 1.0 if share is None else share
+
+
 def _angle(cosine):
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
@@ -308,12 +383,12 @@ def near_components(
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """Refined lists (a, k, b, sim), components (node, root) of the links, and the recall of each audit.
 
-    Recall is the mean over about ``audit_rows`` hash-chosen vectors, of those with a link, of the
+    Recall is the mean over hash-chosen vectors with a link (of ``audit_rows`` or more drawn) of the
     share of their links whose two ends are in one component, the form in which links are used.
     """
     n = nodes.count()
-    chance = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / float(1 << 30)
-    truth = materialize(near_links(nodes, threshold, nodes.filter(chance < F.lit(audit_rows / max(n, 1)))), "truth")
+    truth, enough = _audit_links(nodes, n, threshold, audit_rows)
+    least = 0 if enough else _least_tables(n, threshold, recall)
     lists, audits = None, []
     while True:
         first = _first_lists(nodes, n, k, tables, first=tables * len(audits))
@@ -329,11 +404,14 @@ def near_components(
         if across is not None:
             links = lists.filter(F.col("sim") >= threshold).select("a", "b").unionByName(across.select("a", "b"))
             roots = materialize(components(links, "a", "b"), "roots")
-        left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        hit = F.avg(F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).cast("int")).alias("hit")
-        share = truth.join(left, "a", "left").join(right, "b", "left").groupBy("a").agg(hit).agg(F.avg("hit")).first()[0]
-        audits.append(1.0 if share is None else share)
-        if audits[-1] >= recall or len(audits) >= 5:
+        audits.append(_joined_share(truth, roots))
+        _LOG.info("recall of the audits: %s", audits)
+        if audits[-1] >= recall and tables * len(audits) >= least:
+            return lists, roots, audits
+        if audits[-1] < recall and len(audits) > 2 and audits[-1] <= audits[-3]:
+            roots = materialize(components(exact_links(nodes, n, threshold), "a", "b"), "roots")
+            audits.append(_joined_share(truth, roots))
+            _LOG.warning("further rounds found nothing, all vectors compared; recall of the audits: %s", audits)
             return lists, roots, audits
 
 

@@ -456,6 +456,22 @@ def test_embedding_groups_that_fill_their_lists_are_joined(spark):
     assert sorted(plain(neighbours.embedding_near_duplicates(df))) == want
 
 
+def test_embedding_search_goes_on_for_rare_links_and_ends_exact(spark):
+    """Isolated pairs that a first audit can't see; a recall out of reach ends with all compared."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1600, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((40, 64))
+    y -= (y * x[:40]).sum(axis=1)[:, None] * x[:40]
+    pairs = 0.955 * x[:40] + math.sqrt(1 - 0.955 ** 2) * y / np.linalg.norm(y, axis=1)[:, None]
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *pairs])], "node bigint, unit array<double>").localCheckpoint()
+    lists, audits = neighbours.neighbour_lists(units, threshold=0.95, tables=1, rounds=0, audit_rows=8)
+    found = {(r["a"], r["b"]) for r in lists.filter("sim >= 0.95").collect()}
+    assert sum((i, 1600 + i) in found for i in range(40)) >= 39 and audits[-1] >= 0.98 and audits[0] < 0.98
+    _, roots, audits = neighbours.near_components(units, threshold=0.95, tables=1, rounds=0, recall=1.01)
+    assert audits[-1] == 1.0 and sorted(plain(roots)) == sorted([(i, i) for i in range(40)] + [(1600 + i, i) for i in range(40)])
+
+
 def test_embedding_audit_sees_missing_links(spark, sf):
     units = neighbours.unit_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding").withColumnRenamed("id", "node")
     lists, audits = neighbours.neighbour_lists(units, threshold=0.3, k=12, rounds=2)
