@@ -52,7 +52,16 @@ AUDIT_LINKED, AUDIT_MOST = 100, 8192
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
+    """One row per vector; vectors of several lengths stay an array of arrays."""
+    units = column.to_numpy()
+    if len({len(u) for u in units}) > 1:
+        return units
+    return np.stack(units).astype(np.float64) if len(units) else np.empty((0, 0))
+
+
+def _rows(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The chosen rows, which have one length, as a matrix."""
+    return x[rows] if x.ndim == 2 or not len(rows) else np.stack(x[rows]).astype(np.float64)
 
 
 def unit_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -76,14 +85,14 @@ def _codes(planes: int, tables: int, first: int):
     """Side of ``planes`` random hyperplanes in each of ``tables`` tables."""
     @F.pandas_udf("array<bigint>")
     def of(column: pd.Series) -> pd.Series:
-        out = []
-        x = _matrix(column)
-        codes = np.zeros((len(x), tables), np.int64)
-        for t in range(tables):
-            normal = np.random.default_rng([11, first + t]).standard_normal((x.shape[1] if len(x) else 0, planes))
-            codes[:, t] = ((x @ normal) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if len(x) else 0
-        out.extend(codes.tolist())
-        return pd.Series(out)
+        codes, length = np.zeros((len(column), tables), np.int64), column.map(len).to_numpy()
+        for n in np.unique(length):
+            rows = np.flatnonzero(length == n)
+            x = _matrix(column.iloc[rows])
+            for t in range(tables):
+                normal = np.random.default_rng([11, first + t]).standard_normal((n, planes))
+                codes[rows, t] = ((x @ normal) > 0) @ (1 << np.arange(planes, dtype=np.int64))
+        return pd.Series(codes.tolist())
 
     return of
 
@@ -114,14 +123,14 @@ def _groups(frame: pd.DataFrame, keys: list[str]) -> Iterator[np.ndarray]:
 
 def _block_lists(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in runs(batches, ["table", "code", "part"]):
+        for frame in runs(batches, ["length", "table", "code", "part"]):
             parts, x, ids = [], _matrix(frame["unit"]), frame["node"].to_numpy()
-            for rows in _groups(frame, ["table", "code", "part"]):
+            for rows in _groups(frame, ["length", "table", "code", "part"]):
                 if len(rows) < 2:
                     continue
                 for at in range(0, len(rows), BLOCK):
                     asking = rows[at:at + BLOCK]
-                    sims = x[asking] @ x[rows].T
+                    sims = _rows(x, asking) @ _rows(x, rows).T
                     sims[np.arange(len(asking)), at + np.arange(len(asking))] = -9
                     parts.append(_best(sims, ids[rows], ids[asking], np.full(len(asking), k)))
             yield _frame(parts)
@@ -139,12 +148,12 @@ def _least_tables(n: int, threshold: float, recall: float) -> int:
 
 
 def _first_lists(nodes: DataFrame, n: int, k: int, tables: int, first: int) -> DataFrame:
-    coded = nodes.select("node", "unit", F.posexplode(_codes(_planes(n), tables, first)("unit")).alias("table", "code"))
-    sizes = coded.groupBy("table", "code").agg(F.count(F.lit(1)).alias("size"))
+    coded = nodes.select("node", "unit", F.size("unit").alias("length"), F.posexplode(_codes(_planes(n), tables, first)("unit")).alias("table", "code"))
+    sizes = coded.groupBy("length", "table", "code").agg(F.count(F.lit(1)).alias("size"))
     # a crowded side is dealt out by hash; its members are near each other anyway
     part = F.pmod(F.xxhash64("node", "table"), F.ceil(F.col("size") / BLOCK).cast("bigint"))
-    placed = coded.join(sizes, ["table", "code"]).select("table", "code", part.alias("part"), "node", "unit")
-    placed = placed.repartition("table", "code", "part").sortWithinPartitions("table", "code", "part")
+    placed = coded.join(sizes, ["length", "table", "code"]).select("length", "table", "code", part.alias("part"), "node", "unit")
+    placed = placed.repartition("length", "table", "code", "part").sortWithinPartitions("length", "table", "code", "part")
     return placed.mapInPandas(_block_lists(k), "a bigint, b bigint, sim double")
 
 
@@ -169,7 +178,7 @@ def _join_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in sets:
                 if not len(some):
                     continue
-                sims = x[some] @ x[listed].T
+                sims = _rows(x, some) @ _rows(x, listed).T
                 sims[ids[some][:, None] == ids[listed][None, :]] = -9
                 sims[sims <= floor[some][:, None]] = -9  # no better than what the list ends with
                 parts.append(_best(sims, ids[listed], ids[some], k[some]))
@@ -292,17 +301,19 @@ def _dot(left: str, right: str):
 def _near_shapes(reach: float):
     """Pairs of components whose means are within both radii and ``reach`` of each other."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in runs(batches, ["i", "j"]):
+        for frame in runs(batches, ["length", "i", "j"]):
             out, x = [], _matrix(frame["m"])
             root, radius, side, own = (frame[c].to_numpy() for c in ("root", "radius", "left", "own"))
-            for rows in _groups(frame, ["i", "j"]):
+            for rows in _groups(frame, ["length", "i", "j"]):
                 a, b = rows[side[rows]], rows[~side[rows] | own[rows]]
-                angle = np.arccos(np.clip(x[a] @ x[b].T, -1, 1))
+                if not len(a) or not len(b):
+                    continue
+                angle = np.arccos(np.clip(_rows(x, a) @ _rows(x, b).T, -1, 1))
                 i, j = np.nonzero(angle <= radius[a][:, None] + radius[b][None, :] + reach)
                 i, j = root[a[i]], root[b[j]]
                 differ = i != j if not own[rows[0]] else i < j
                 out.append(np.stack([np.minimum(i, j)[differ], np.maximum(i, j)[differ]], axis=1))
-            yield pd.DataFrame(np.concatenate(out), columns=["p", "q"])
+            yield pd.DataFrame(np.concatenate([*out, np.empty((0, 2), np.int64)]), columns=["p", "q"])
     return run
 
 
@@ -315,7 +326,7 @@ def _best_across(threshold: float):
                 a, b = rows[side[rows]], rows[~side[rows]]
                 if not len(a) or not len(b):
                     continue
-                sims = x[a] @ x[b].T
+                sims = _rows(x, a) @ _rows(x, b).T
                 u, v = np.unravel_index(int(np.argmax(sims)), sims.shape)
                 if sims[u, v] >= threshold:
                     parts.append((ids[a[[u]]], ids[b[[v]]], sims[[u], [v]]))
@@ -341,10 +352,10 @@ def saturated_links(nodes: DataFrame, lists: DataFrame, roots: DataFrame, thresh
     reach = math.acos(max(-1.0, min(threshold, 1.0))) + slack
     blocks = math.ceil(count / BLOCK)
     dealt = shapes.withColumn("block", F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("int")).select(
-        "root", "m", "radius", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "root", "m", "radius",
+        "root", "m", "radius", "block", F.size("m").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "length", "root", "m", "radius",
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("own"))
-    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
+    dealt = dealt.repartition("length", "i", "j").sortWithinPartitions("length", "i", "j")
     near = materialize(dealt.mapInPandas(_near_shapes(reach), "p bigint, q bigint"), "near")
     if near.isEmpty():
         return None
@@ -423,12 +434,12 @@ def _block_counts(threshold: float):
             for rows in _groups(frame, ["root", "i", "j"]):
                 a, b = rows[side[rows]], rows[~side[rows]]
                 if not len(b):  # a block with itself
-                    near = x[a] @ x[a].T >= threshold
+                    near = _rows(x, a) @ _rows(x, a).T >= threshold
                     np.fill_diagonal(near, False)
                     nodes.append(ids[a])
                     links.append(near @ count[a])
                     continue
-                near = x[a] @ x[b].T >= threshold
+                near = _rows(x, a) @ _rows(x, b).T >= threshold
                 nodes += [ids[a], ids[b]]
                 links += [near @ count[b], near.T @ count[a]]
             yield pd.DataFrame({"node": np.concatenate(nodes), "links": np.concatenate(links).astype(np.int64)})

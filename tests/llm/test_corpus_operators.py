@@ -437,6 +437,17 @@ def test_embeddings(spark):
     assert not plain(neighbours.embedding_near_duplicates(df.limit(0)))
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for length in (3, 16, 24):
+        x = rng.standard_normal((30, length))
+        rows += [*x, *(x[:9] + 0.02 * rng.standard_normal((9, length))), *(x[0] + 0.01 * rng.standard_normal((20, length))), np.r_[x[1], 0.0]]
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.permutation(np.array([*rows, None], object))) if v is not None]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(plain(neighbours.embedding_near_duplicates(df))) == vector_truth(rows)
+
+
 def test_embedding_groups_that_fill_their_lists_are_joined(spark):
     """Two dense groups linked only across: every list is full of its own group's members.
 
