@@ -7,8 +7,10 @@ shards are cut by the distance over a band of the bits, which is a metric of its
 that band's tree the two lie within that many rings of each other, for every vantage point
 (triangle bound).  A fingerprint is stored in its own shard and queries the shards that its
 bound overlaps; at 3 bits over four bands the bound is 0 and its own shard is the only one.
-A shard above ``SHARD`` fingerprints is split again in the same way by the bits outside its
-band, until it is small or those bits run out; so no task holds more than one small shard.
+A shard above ``SHARD`` fingerprints is split again by itself, by bands of the bits outside its
+own (so many bands that the bound is 0), until it is small or those bits run out.  Each row carries
+the ``path`` of shards it comes from, so shards of different sources or values never pool and none
+is larger than the one it comes from.
 In a shard a vantage-point tree over all 64 bits, pruned by the full bound, finds the pairs.
 Each shard returns its links as stars, one row per linked fingerprint; components join them.
 
@@ -133,63 +135,65 @@ def _star_rows(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> pd.DataFr
 
 def _search(max_bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in runs(batches, ["tree", "shard"]):
-            key = frame["tree"].to_numpy() * np.int64(1_000_003) + frame["shard"].to_numpy()
-            yield _star_rows(key, frame["fp"].to_numpy().view(np.uint64), max_bits)
+        for frame in runs(batches, ["path"]):
+            yield _star_rows(frame["path"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), max_bits)
     return run
 
 
-def _shards(prints: DataFrame, masks: dict[int, int], bound: int) -> DataFrame:
-    """(parent, fp) to (tree, shard, fp): one row per band, and one per overlapped shard beyond its own.
+def _shards(prints: DataFrame, masks: dict[int, int], bands: int, bound: int) -> DataFrame:
+    """(parent, path, fp) to (tree, path, fp): one row per band, and one per overlapped shard beyond its own.
 
-    ``masks`` has the bits of each tree's band; a parent's trees are its number times ``BANDS`` and on.
+    ``masks`` has the bits of each tree's band; a parent's trees are its number times ``bands`` and on.
+    ``path`` is a hash of the parent's path, the tree and the shard.  Equal hashes would only be
+    searched together.
     """
     # at bound 0 more points cost nothing: fifteen tell the values of a 16-bit band apart
     points = _vantage_points(15 if bound == 0 else 2)
     width = BITS // BANDS + 1 if bound == 0 else BITS + 1 + 2 * bound
     known = F.array(*[F.lit(masks.get(t, 0)) for t in range(max(masks) + 1)])
-    rows = prints.select("fp", F.explode(F.transform(
-        F.array(*[F.lit(k) for k in range(BANDS)]), lambda k: F.col("parent") * BANDS + k)).alias("tree"))
+    rows = prints.select("fp", "path", F.explode(F.transform(
+        F.array(*[F.lit(k) for k in range(bands)]), lambda k: F.col("parent") * bands + k)).alias("tree"))
     rows = rows.withColumn("mask", F.element_at(known, F.col("tree") + 1))
     shard = F.lit(0).cast("bigint")
     for p in points:
         shard = shard * width + F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.col("mask"))).cast("bigint")
-    rows = rows.select("tree", shard.alias("shard"), "fp")
+    rows = rows.select("tree", "path", shard.alias("shard"), "fp")
     if bound == 0:
-        return rows
+        return rows.select("tree", F.xxhash64("path", "tree", "shard").alias("path"), "fp")
     # every ring the bound reaches; a pair meets in the shards that both reach
     shifts = [a * width + b for a in range(-bound, bound + 1) for b in range(-bound, bound + 1)]
     return rows.withColumn("shift", F.explode(F.array(*[F.lit(s) for s in shifts]))).select(
-        "tree", (F.col("shard") + F.col("shift")).alias("shard"), "fp")
+        "tree", F.xxhash64("path", "tree", F.col("shard") + F.col("shift")).alias("path"), "fp")
 
 
 def linked_prints(prints: DataFrame, max_bits: int = 3, shard_rows: int = SHARD) -> DataFrame:
     """Links between distinct fingerprints ``fp`` within ``max_bits``, as stars (fp, root)."""
-    bound, level = max_bits // BANDS, 0
+    bands = BANDS
     #: tree -> bits not used by its ancestors
     free = {0: list(range(BITS))}
-    rows, found = prints.select("fp", F.lit(0).alias("parent")), []
+    rows, found = prints.select("fp", F.lit(0).alias("parent"), F.lit(0).cast("bigint").alias("path")), []
     while True:
         masks, rest = {}, {}
         for parent, bits in free.items():
-            for k, band in enumerate(_parts(bits, BANDS)):
-                masks[parent * BANDS + k] = _mask(band)
-                rest[parent * BANDS + k] = [b for b in bits if b not in band]
-        shards = materialize(_shards(rows, masks, bound), "shards")
-        sizes = shards.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shards = shards.join(sizes, ["tree", "shard"])
-        # behind the last bits a shard holds no more than the values of the bits left
+            for k, band in enumerate(_parts(bits, bands)):
+                masks[parent * bands + k] = _mask(band)
+                rest[parent * bands + k] = [b for b in bits if b not in band]
+        shards = materialize(_shards(rows, masks, bands, max_bits // bands), "shards")
+        sizes = shards.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shards = shards.join(sizes, "path")
+        # all but the last bits are equal in a shard now, so it holds no more than the values of those
         last = min(len(b) for b in rest.values()) <= 12
         fits = shards if last else shards.filter(F.col("n") <= shard_rows)
-        grouped = fits.select("tree", "shard", "fp").repartition("tree", "shard").sortWithinPartitions("tree", "shard", "fp")
+        grouped = fits.select("path", "fp").repartition("path").sortWithinPartitions("path", "fp")
         found.append(materialize(grouped.mapInPandas(_search(max_bits), "fp bigint, root bigint"), "stars"))
         if last:
             break
-        rows = shards.filter(F.col("n") > shard_rows).select("fp", F.col("tree").alias("parent")).distinct()
-        wide = [r["parent"] for r in rows.select("parent").distinct().collect()]  # at most 4**level tree numbers
+        rows = shards.filter(F.col("n") > shard_rows).select("fp", F.col("tree").alias("parent"), "path")
+        wide = [r["parent"] for r in rows.select("parent").distinct().collect()]  # at most bands**level tree numbers
         if not wide:
             break
-        free, level = {t: rest[t] for t in wide}, level + 1
+        # at bound 0 a fingerprint is in one shard a tree; overlapping ones would multiply it by level
+        free, bands = {t: rest[t] for t in wide}, max(BANDS, max_bits + 1)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -195,6 +195,24 @@ def test_links_are_complete(spark, max_bits, shard_rows):
     assert [got.get(v, v) for v in values] == [values[k] for k in root]
 
 
+def test_large_shards_are_split_by_themselves(spark, monkeypatch):
+    """Twelve sources that share twelve bodies: no level has a larger shard than the one before."""
+    rng = np.random.default_rng(12)
+    heads, bodies = rng.integers(0, 1 << 16, 12).tolist(), rng.integers(0, 1 << 47, 12).tolist()
+    values = [(h | b << 16,) for h in heads for b in bodies]
+    sizes, write = [], simhash.materialize
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "shards":
+            sizes.append(out.groupBy(*[c for c in out.columns if c != "fp"]).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    simhash.linked_prints(spark.createDataFrame(values, "fp bigint"), 3, 8)
+    assert len(sizes) > 2 and sizes == sorted(sizes, reverse=True)
+
+
 def test_vantage_tree_prunes_exactly():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
