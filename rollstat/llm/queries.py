@@ -14,9 +14,12 @@ from rollstat.llm.licenses import TEMPLATES, scan_licenses
 from rollstat.llm.mixing import mixture
 from rollstat.llm.neighbours import embedding_near_duplicates
 from rollstat.llm.packing import pack
+from rollstat.llm.periods import periodic_runs, run_digest, with_planted_tails
 from rollstat.llm.quality import score_quality
+from rollstat.llm.rules import judge_quality
 from rollstat.llm.simhash import simhash_near_duplicates
 from rollstat.llm.toxicity import score_toxicity
+from rollstat.llm.variants import count_words, spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +202,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_embeddings")
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@register("op11_periods")
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = with_planted_tails(F.col("text"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return run_digest(periodic_runs(docs, "doc_id", text, least=24, exponent=3))
+
+
+@register("op12_variants")
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(table(spark, sf_dir, "documents"), shortest=5, slip=97)
+    return spelling_variants(words.filter("n >= 3"), ratio=2)
+
+
+@register("op13_rules")
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & F.col("good")).alias("kept"), "posterior")
