@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from rollstat.functions.columns import clamp
 from rollstat.operators.ranking import (
-    cumulative_counts, position, scalar_struct, with_group_stats,
+    cumulative_counts, join_null_safe, position, scalar_struct, with_group_stats,
 )
 from rollstat.operators.scans import (
     advantage_recursion, discounted_return, running_sum, running_sums, suffix_sum,
 )
+from rollstat.session import materialize
 
 MASK_EPS = 1e-8
 
@@ -115,7 +116,7 @@ def adv_pass_k(
     gap = F.col("_gap") / (F.col("_sd") + eps) if by_std else F.col("_gap")
     checked = F.when(F.col("_n") < 2, F.raise_error(F.lit("a group needs at least 2 rows")).cast("double")
                      ).otherwise(F.when(F.col(pos) == F.col("_best"), gap).otherwise(0.0))
-    return df.join(best.join(stats, group), group).withColumn("advantage", checked).drop(
+    return join_null_safe(df, join_null_safe(best, stats, [group]), [group]).withColumn("advantage", checked).drop(
         "_best", "_gap", "_n", "_sd")
 
 
@@ -174,8 +175,8 @@ def adv_group_baseline_whitened(df: DataFrame, group: str, seq: str, reward: str
     """Sequence score minus group mean, spread over the tokens and whitened."""
     scores = df.groupBy(group, seq).agg(F.sum(reward).alias("_score"))
     base = with_group_stats(scores, [group], _n=F.count(F.lit(1)), _mean=F.avg("_score")).select(
-        seq, (F.col("_score") - _singleton(F.col("_n"), F.lit(0.0), F.col("_mean"))).alias("_adv"))
-    tokens = df.join(base, seq).withColumn("_adv", F.col("_adv") * F.col(mask))
+        group, seq, (F.col("_score") - _singleton(F.col("_n"), F.lit(0.0), F.col("_mean"))).alias("_adv"))
+    tokens = join_null_safe(df, base, [group, seq]).withColumn("_adv", F.col("_adv") * F.col(mask))
     white = whiten(tokens, "_adv", mask, "advantage")
     return white.withColumn("advantage", F.col("advantage") * F.col(mask)).drop("_adv")
 
@@ -192,7 +193,7 @@ def adv_discounted_return(
 def adv_greedy_baseline(df: DataFrame, baselines: DataFrame, seq: str, pos: str, reward: str, mask: str) -> DataFrame:
     """Suffix reward sum minus a per-sequence baseline (columns seq, baseline)."""
     rows = suffix_sum(df, seq, pos, F.col(reward) * F.col(mask), name="returns")
-    joined = rows.join(baselines, seq)
+    joined = join_null_safe(rows, baselines, [seq])
     return joined.withColumn("advantage", F.col("returns") - F.col("baseline") * F.col(mask)).drop("baseline")
 
 
@@ -216,12 +217,13 @@ def adv_process_loo(
     valid = F.when(F.col(mask) > 0, F.col(reward))
     seqs = df.groupBy(group, seq).agg(
         F.avg(valid).alias("_sm"), F.max(F.when(F.col(mask) > 0, F.col(pos))).alias("_last"),
-    ).filter("_last is not null").join(outcomes.select(seq, F.col("acc").cast("double").alias("_acc")), seq)
+    ).filter("_last is not null")
+    seqs = join_null_safe(seqs, outcomes.select(seq, F.col("acc").cast("double").alias("_acc")), [seq])
     base = with_group_stats(seqs, [group], _n=F.count(F.lit(1)), _ps=F.sum("_sm"), _as=F.sum("_acc")).select(
-        seq, "_last", "_acc", "_n", "_ps", "_as")
+        group, seq, "_last", "_acc", "_n", "_ps", "_as")
     n = F.col("_n")
     loo = lambda x, total: F.when(n > 1, x * n / (n - 1) - total / (n - 1)).otherwise(x)
-    rows = df.join(base, seq, "left")
+    rows = join_null_safe(df, base, [group, seq], "left")
     token = F.coalesce(F.when(F.col(mask) > 0, loo(F.col(reward), F.col("_ps"))), F.lit(0.0))
     final = F.when(F.col(pos) == F.col("_last"), loo(F.col("_acc"), F.col("_as"))).otherwise(0.0)
     rows = rows.withColumn("_r", (process_coef * token + outcome_coef * final) * F.col(mask)).drop(
@@ -299,7 +301,7 @@ def kl_penalised_reward(
     """reward = score - beta(step) * kl * mask, with the adaptive coefficient path."""
     kl = kl_estimate(F.col(a), F.col(b), kind)
     path = kl_path(df, step, seq, kl, mask, beta=beta, target=target, horizon=horizon)
-    return df.join(path.select(step, "beta"), step).withColumn(
+    return join_null_safe(df, path.select(step, "beta"), [step]).withColumn(
         "penalised", F.col(reward) - F.col("beta") * kl * F.col(mask))
 
 
@@ -417,30 +419,28 @@ def pairwise_ranking_accuracy(df: DataFrame, group: str, score: str, acc: str, p
     lower side give the agreeing weight: n log(levels) rows instead of n squared.
     """
     ranked = position(df.select(group, pos, score, acc), [score, pos], [group], name="_pos")
-    levels = position(df.select(group, acc).distinct(), [acc], [group], name="_lv").withColumn(
-        "_lv", F.col("_lv") - 1)
-    sizes = levels.groupBy(group).agg(F.max("_lv").alias("_top"))
-    rows = ranked.join(levels, [group, acc]).join(sizes, group)
+    levels = position(df.select(group, acc).distinct(), [acc], [group], name="_lv").withColumn("_lv", F.col("_lv") - 1)
+    levels = materialize(with_group_stats(levels, [group], _top=F.max("_lv")), "levels")
+    rows = join_null_safe(ranked, levels, [group, acc])
     bits = F.when(F.col("_top") > 0, F.floor(F.log2(F.col("_top").cast("double"))).cast("int"))
     digit = F.col("_b")
     split = rows.select("*", F.explode(F.sequence(F.lit(0), bits)).alias("_b")).select(
-        group, "_pos", F.col(acc).alias("_a"),
-        F.concat_ws(":", group, digit, F.call_function("shiftright", F.col("_lv"), digit + 1)).alias("_cell"),
-        (F.call_function("shiftright", F.col("_lv"), digit) % 2 == 1).alias("_hi"),
+        F.struct(F.col(group).alias("g"), digit.alias("b"), F.call_function("shiftright", F.col("_lv"), digit + 1).alias("p")).alias("_cell"),
+        "_pos", F.col(acc).alias("_a"), (F.call_function("shiftright", F.col("_lv"), digit) % 2 == 1).alias("_hi"),
     )
     low = ~F.col("_hi")
     counted = running_sums(split, "_cell", "_pos", {
         "_lc": low.cast("bigint"), "_ls": F.when(low, F.col("_a")).otherwise(0.0)})
-    cells = counted.groupBy(group, "_cell").agg(
+    cells = counted.groupBy("_cell").agg(
         F.sum(F.when(F.col("_hi"), F.col("_a") * F.col("_lc") - F.col("_ls")).otherwise(0.0)).alias("_agree"),
         F.count_if("_hi").alias("_nh"), F.count_if(low).alias("_nl"),
         F.sum(F.when(F.col("_hi"), F.col("_a")).otherwise(0.0)).alias("_sh"),
         F.sum(F.when(low, F.col("_a")).otherwise(0.0)).alias("_sl"),
     )
-    weights = cells.groupBy(group).agg(
+    weights = cells.groupBy(F.col("_cell.g").alias(group)).agg(
         F.sum("_agree").alias("_agree"),
         F.sum(F.col("_sh") * F.col("_nl") - F.col("_sl") * F.col("_nh")).alias("_all"))
-    return df.select(group).distinct().join(weights, group, "left").select(
+    return join_null_safe(df.select(group).distinct(), weights, [group], "left").select(
         group, F.coalesce(F.try_divide("_agree", "_all"), F.lit(0.5)).alias("pair_accuracy"))
 
 
@@ -453,7 +453,7 @@ def best_of_n_weights(df: DataFrame, group: str, score: str) -> DataFrame:
     """n * P(score <= own)^(n-1) within the group."""
     cums = cumulative_counts(df, score, [group]).drop("n")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.join(cums.join(sizes, group), [group, score])
+    rows = join_null_safe(df, join_null_safe(cums, sizes, [group]), [group, score])
     return rows.withColumn("weight", F.col("_n") * F.pow(F.col("cum") / F.col("_n"), F.col("_n") - 1)).drop(
         "cum", "_n")
 

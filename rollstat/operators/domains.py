@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollstat.operators.distill import array_sum
-from rollstat.operators.ranking import cumulative_counts, exact_quantiles, scalar_struct
+from rollstat.operators.ranking import cumulative_counts, exact_quantiles, join_null_safe, scalar_struct
 from rollstat.session import materialize
 
 
@@ -59,7 +59,7 @@ def _magnitudes(df: DataFrame, domain: str, mask: str, reward: str, stat: str) -
     k = F.greatest(F.lit(1), F.floor(F.col("_total") / 10))
     # rows of a value that fall into the last k places
     take = F.greatest(F.lit(0), F.least(F.col("n"), F.col("cum") - (F.col("_total") - k)))
-    return cums.join(sizes, domain).withColumn("_k", take).groupBy(domain).agg(
+    return join_null_safe(cums, sizes, [domain]).withColumn("_k", take).groupBy(domain).agg(
         (F.sum(F.col("_a") * F.col("_k")) / F.sum("_k")).alias("magnitude"))
 
 
@@ -84,7 +84,7 @@ def domain_loss_weights(
     by = by.select(domain, "tokens", share.alias("token_share"), target.alias("target_share"),
                    F.try_divide(target, share).alias("_scale"))
     if alpha > 0:
-        by = by.join(materialize(_magnitudes(df, domain, mask, reward, stat), "magnitudes"), domain, "left")
+        by = join_null_safe(by, materialize(_magnitudes(df, domain, mask, reward, stat), "magnitudes"), [domain], "left")
         mag = F.col("magnitude")
         if direction == "divide":
             by = by.withColumn("_scale", F.when(mag > 1e-8, F.col("_scale") / F.pow(mag, F.lit(alpha))).otherwise(F.col("_scale")))

@@ -248,7 +248,7 @@ def core_aux_labels(metrics: DataFrame, source: str) -> DataFrame:
     n = F.regexp_extract("metric", r"@(\d+)", 1).cast("int")
     main = metrics.groupBy(source).agg(F.max(F.when(F.col("variable") == "acc", 1).otherwise(0)).alias("_acc"))
     top = metrics.groupBy(source, "variable").agg(F.max(n).alias("_n"))
-    rows = metrics.join(main, source).join(top, [source, "variable"])
+    rows = join_null_safe(join_null_safe(metrics, main, [source]), top, [source, "variable"])
     core = (F.col("variable") == F.when(F.col("_acc") == 1, "acc").otherwise("reward")) & F.rlike("metric", F.lit("^(mean|maj|best)")) & (n == F.col("_n"))
     section = F.when(core, "val-core").otherwise("val-aux")
     return rows.withColumn("section", section).withColumn("name", F.concat_ws("/", section, source, "variable", "metric")).drop("_acc", "_n")
@@ -284,7 +284,7 @@ def domain_macro_recovery(df: DataFrame, method: str, domain: str, benchmark: st
                               F.max(F.when(F.col(method) == reference, F.col("total"))).alias("r")).alias("e")).scalar()
     rec = total.withColumn("_e", ends).withColumn("recovery", F.when(F.col(method) != base, F.try_divide(
         F.col("total") - F.col("_e.b"), F.col("_e.r") - F.col("_e.b")))).drop("_e")
-    return dom.join(rec, method)
+    return join_null_safe(dom, rec, [method])
 
 
 def special_token_counts(tokens: Column, special: Sequence) -> Column:

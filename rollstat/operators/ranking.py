@@ -108,6 +108,20 @@ def with_range_bucket(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
 _WIDE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of the whole row, for every column type: rows that differ nowhere share it."""
+    parts = [F.to_json(F.struct(f.name)) if _has_map(f.dataType) else F.col(f.name) for f in df.schema]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.hash(*parts).alias("b"))
+
+
 def position(
     df: DataFrame,
     order: Sequence[str],
@@ -116,18 +130,37 @@ def position(
     name: str = "position",
     keep: int | None = None,
 ) -> DataFrame:
-    """1-based position in the ascending order of ``order`` (a total order), per group.
+    """1-based position in the ascending order of ``order``, per group.
 
-    Texts and nested columns are fetched for the ranked rows afterwards; then ``order`` has
-    to tell the rows of a group apart, and raises where it does not.
+    Rows that tie follow the hash of the whole row, whatever their columns are; rows that are
+    equal throughout all stay and take neighbouring positions.  Texts and nested columns are
+    fetched for the ranked keys afterwards, and are hashed only where keys do tie.
     """
     keys = list(dict.fromkeys([*group, *order]))
-    wide = any(isinstance(f.dataType, _WIDE) for f in df.schema if f.name not in keys)
-    rows = with_range_bucket(df.select(*keys) if wide else df, order)
-    if wide and not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
-        raise ValueError(f"rows share one place in the order of {keys}")
-    ranked = cumulate(rows, [F.col(c) for c in order], group, name, keep=keep)
-    return join_null_safe(df, ranked, keys) if wide else ranked
+    others = [f for f in df.schema if f.name not in keys]
+
+    def ranked(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        return cumulate(rows, [F.col(c) for c in by], group, name, keep=keep)
+
+    if not others:
+        return ranked(with_range_bucket(df, order), order)
+    tagged = df.withColumn("_tie", row_hash(df))
+    by = [*order, "_tie"]
+    if not any(isinstance(f.dataType, _WIDE) for f in others):
+        return ranked(with_range_bucket(tagged, by), by).drop("_tie")
+    rows = with_range_bucket(df.select(*keys), order)
+    if rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        return join_null_safe(df, ranked(rows, order), keys)
+    rows = with_range_bucket(tagged.select(*keys, "_tie"), by)
+    # equal rows are one row with several places, of which ``keep`` may cut some
+    copies = rows.groupBy(*keys, "_tie").agg(F.count(F.lit(1)).alias("_copies"))
+    places = ranked(rows, by).groupBy(*keys, "_tie").agg(F.min(name).alias("_first"), F.max(name).alias("_last"))
+    places = materialize(join_null_safe(places, copies, [*keys, "_tie"]), "places")
+    found = join_null_safe(tagged, places, [*keys, "_tie"])
+    one = found.filter("_copies = 1").select(*df.columns, F.col("_first").alias(name))
+    more = found.filter("_copies > 1").dropDuplicates([*keys, "_tie"]).select(
+        *df.columns, F.explode(F.sequence("_first", "_last")).alias(name))
+    return one.unionByName(more)
 
 
 def cumulative_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:

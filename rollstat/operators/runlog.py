@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollstat.operators.ranking import exact_quantiles, scalar_struct
+from rollstat.operators.ranking import exact_quantiles, join_null_safe, scalar_struct
 
 
 def batch_data_metrics(
@@ -30,7 +30,7 @@ def batch_data_metrics(
         (1 - F.var_samp(err) / (F.var_samp(r) + 1e-5)).alias("explained_var"),
         *[F.avg(F.when(m & (F.col(pos) <= c), F.col(adv))).alias(f"adv_mean_first_{c}") for c in cutoffs])
     lengths = tokens.groupBy(step, seq).agg(F.sum(F.col(mask)).alias("_len"))
-    s = samples.join(lengths, [step, seq], "left").withColumn("_len", F.coalesce("_len", F.lit(0)))
+    s = join_null_safe(samples, lengths, [step, seq], "left").withColumn("_len", F.coalesce("_len", F.lit(0)))
     alive = F.col("_len") > 0
     spread = lambda c, n, w=None: [f(F.when(w, F.col(c)) if w is not None else F.col(c)).alias(f"{n}_{k}")
                                    for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
@@ -39,7 +39,7 @@ def batch_data_metrics(
         *spread(score, "score", alive), *spread(reward, "reward", alive), *spread("_len", "length"), *spread("_len", "length_alive", alive),
         share(F.col("_len") == max_response).alias("length_clip"), share(~alive).alias("aborted_share"),
         *spread(prompt_length, "prompt"), share(F.col(prompt_length) == max_prompt).alias("prompt_clip"), *spread(turns, "turns"))
-    return smp.join(tok, step, "left")
+    return join_null_safe(smp, tok, [step], "left")
 
 
 def timing_throughput(timings: DataFrame, totals: DataFrame, step: str, stage: str, seconds: str, devices: int) -> DataFrame:
@@ -47,7 +47,7 @@ def timing_throughput(timings: DataFrame, totals: DataFrame, step: str, stage: s
 
     ``totals`` has (step, prompt_tokens, response_tokens); the stage "step" is the whole step.
     """
-    rows = timings.groupBy(step, stage).agg(F.sum(seconds).alias("seconds")).join(totals, step)
+    rows = join_null_safe(timings.groupBy(step, stage).agg(F.sum(seconds).alias("seconds")), totals, [step])
     everything = F.col("prompt_tokens") + F.col("response_tokens")
     used = F.when(F.col(stage) == "gen", F.col("response_tokens")).otherwise(everything)
     return rows.select(step, stage, "seconds", F.try_divide(F.col("seconds") * 1000, used).alias("ms_per_token"),
@@ -94,7 +94,7 @@ def reduce_run(log: DataFrame, run: str, step: str, metric: str, value: str, *,
         F.struct(F.lit("global_seqlen/minmax_diff").alias("metric"), F.when(F.col("diff").isNotNull(), F.col("hi") - F.col("lo")).alias("value")),
         F.struct(F.lit("perf/throughput").alias("metric"), F.when(F.col("thr").isNotNull(), F.try_divide(F.col("tok"), F.col("sec") * devices)).alias("value")),
         F.struct(F.lit("trainer/idle_ratio").alias("metric"), F.try_divide("gen", "st").alias("value")))).alias("e")).select(run, "e.*").filter("value is not null")
-    return by.join(fixed.select(run, "metric"), [run, "metric"], "left_anti").unionByName(fixed)
+    return join_null_safe(by, fixed.select(run, "metric"), [run, "metric"], "left_anti").unionByName(fixed)
 
 
 def staleness_metrics(df: DataFrame, *, current: int, version_start: str, version_end: str, seconds: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,7 +108,7 @@ def staleness_metrics(df: DataFrame, *, current: int, version_start: str, versio
         F.countDistinct(version_start).alias("version_diversity"))
     quant = exact_quantiles(df, seconds, {"time_p50": 0.5, "time_p95": 0.95, "time_p99": 0.99}, keys)
     if keys:
-        return counts.join(quant, list(keys))
+        return join_null_safe(counts, quant, list(keys))
     return counts.withColumn("_q", quant.select(F.struct("*").alias("q")).scalar()).select("*", "_q.*").drop("_q")
 
 

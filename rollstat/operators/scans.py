@@ -1,10 +1,15 @@
 """Ordered running values over token sequences.
 
-Everything is windows over (sequence, chunk of positions): one shuffle and one sort,
-and no task ever holds more of a sequence than one chunk.  Sequences longer than a
-chunk get a carry: chunk summaries (one row per chunk) are folded per sequence and
-joined back.  Where no sequence is longer the join has an empty side, which adaptive
-execution drops.
+Everything is windows over (sequence, chunk of positions): one shuffle and one sort, and no
+task ever holds more of a sequence than one chunk.  The rows with their values inside the
+chunk are written once; the input is read once.
+
+What a chunk does to the state that enters it is an affine map with a few numbers, and maps
+compose.  Sequences of more than one chunk have their maps composed by doubling: after round
+j a chunk's map covers the 2**j chunks before it, by one join of the chunk table with itself, so
+a sequence of a million chunks takes twenty rounds and never meets in one row or task.  The
+composed maps give the carries, which are joined to the written rows.  Rows without a
+sequence form one.
 """
 from __future__ import annotations
 
@@ -14,8 +19,13 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollstat.operators.ranking import join_null_safe, position, with_group_stats
+from rollstat.session import materialize
+
 CHUNK = 4096
 
+Map = Mapping[str, Column]
+
 
 def _chunked(df: DataFrame, pos: str, size: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor((F.col(pos) - 1) / size))
@@ -27,54 +37,71 @@ def _to_end(seq: str, pos: str, *more: str):
         Window.unboundedPreceding, Window.currentRow)
 
 
-def _carry(
-    chunked: DataFrame, seq: str, summary: Mapping[str, Column], start: Mapping[str, Column],
-    step: Callable[[Column, Column], Mapping[str, Column]],
+def compose_before(
+    steps: DataFrame, group: list[str], at: str, fields: list[str], then: Callable[[Map, Map], Map], first: int = 1,
 ) -> DataFrame:
-    """Carry into every chunk of a long sequence, folded from its last chunk to its first.
+    """The maps of steps ``first`` .. ``at``, composed; ``at`` counts from ``first`` without gaps per group.
 
-    ``step(state, chunk)`` gives the state after the chunk; the result has (seq, _chunk,
-    and the state fields *before* the chunk, as ``_in_<field>``).
+    ``then(near, far)`` is the map that applies ``far``, the earlier steps, and ``near`` after them.
+    """
+    last = steps.agg(F.max(at)).first()[0]
+    span = 1
+    while last is not None and span <= last - first:
+        far = steps.select(*group, (F.col(at) + span).alias(at), *[F.col(f).alias(f"_far_{f}") for f in fields])
+        joined = join_null_safe(steps, far, [*group, at], "left")
+        both = then({f: F.col(f) for f in fields}, {f: F.col(f"_far_{f}") for f in fields})
+        # steps that reach back to the first one are done
+        steps = materialize(joined.select(*group, at, *[
+            F.when(F.col(at) - span >= first, both[f]).otherwise(F.col(f)).alias(f) for f in fields]), "maps")
+        span *= 2
+    return steps
+
+
+def _carries(
+    rows: DataFrame, seq: str, summary: Map, then: Callable[[Map, Map], Map], state: Callable[[Map], Map], *, reverse: bool,
+) -> DataFrame | None:
+    """(seq, _chunk, state fields that enter the chunk) for chunks behind another one; None if there are none.
+
+    ``summary`` aggregates a chunk's rows to its map, ``state`` gives the state behind a map that nothing entered.
     """
-    names = list(start)
-    long = chunked.filter("_chunk > 0").select(seq).distinct()
-    parts = chunked.join(long, seq, "left_semi").groupBy(seq, "_chunk").agg(
-        *[a.alias(f"_q_{n}") for n, a in summary.items()])
-    chain = parts.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("_chunk")).alias("k"), *[F.col(f"_q_{n}").alias(n) for n in summary]))).alias("_list"))
-    fields = ",".join(f"{n}:double" for n in names)
-    init = F.struct(*[start[n].cast("double").alias(n) for n in names], F.expr(
-        f"cast(array() as array<struct<_chunk:bigint,{fields}>>)").alias("out"))
-
-    def fold(acc: Column, c: Column) -> Column:
-        after = step(acc, c)
-        here = F.struct((-c["k"]).alias("_chunk"), *[acc[n].alias(n) for n in names])
-        return F.struct(*[after[n].cast("double").alias(n) for n in names],
-                        F.concat(acc["out"], F.array(here)).alias("out"))
-
-    states = F.explode(F.aggregate("_list", init, fold, lambda a: a["out"])).alias("_c")
-    return chain.select(seq, states).select(seq, "_c._chunk", *[F.col(f"_c.{n}").alias(f"_in_{n}") for n in names])
+    parts = rows.groupBy(seq, "_chunk").agg(*[v.alias(n) for n, v in summary.items()])
+    parts = with_group_stats(parts, [seq], _chunks=F.count(F.lit(1))).filter("_chunks > 1").drop("_chunks")
+    parts = materialize(parts.withColumn("_order", -F.col("_chunk") if reverse else F.col("_chunk")), "chunks")
+    if parts.isEmpty():
+        return None
+    steps = materialize(position(parts, ["_order"], [seq], name="_k"), "chunks")
+    done = compose_before(steps.select(seq, "_k", *summary), [seq], "_k", list(summary), then)
+    into = done.select(seq, (F.col("_k") + 1).alias("_k"), *[v.alias(n) for n, v in state({f: F.col(f) for f in summary}).items()])
+    return join_null_safe(steps.select(seq, "_chunk", "_k"), into, [seq, "_k"]).drop("_k")
+
+
+def _entered(
+    rows: DataFrame, seq: str, summary: Map, then: Callable[[Map, Map], Map], state: Callable[[Map], Map], *, reverse: bool = True,
+) -> DataFrame:
+    """``rows`` written once, with the state that enters their chunk (0 where nothing does)."""
+    rows = materialize(rows, "scan")
+    carries = _carries(rows, seq, summary, then, state, reverse=reverse)
+    names = list(state({f: F.lit(0.0) for f in summary}))
+    if carries is None:
+        return rows.withColumns({n: F.lit(0.0) for n in names})
+    out = join_null_safe(rows, carries, [seq, "_chunk"], "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in names})
 
 
 def running_sums(
-    df: DataFrame, seq: str, pos: str, values: Mapping[str, Column], *, reverse: bool = False, chunk: int = CHUNK
+    df: DataFrame, seq: str, pos: str, values: Map, *, reverse: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
     """Inclusive running sums of several columns, from the start or (``reverse``) to the end."""
-    chunked = _chunked(df, pos, chunk).select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    sort = (lambda c: F.col(c).desc()) if reverse else F.col
-    inside = Window.partitionBy(seq, "_chunk").orderBy(sort(pos)).rowsBetween(
+    rows = _chunked(df, pos, chunk).select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
+    inside = Window.partitionBy(seq, "_chunk").orderBy(F.col(pos).desc() if reverse else F.col(pos)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = chunked.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in values])
-    earlier = Window.partitionBy(seq).orderBy(sort("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    long = chunked.filter("_chunk > 0").select(seq).distinct()
-    totals = (
-        chunked.join(long, seq, "left_semi").groupBy(seq, "_chunk")
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-        .select(seq, "_chunk", *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in values])
-    )
-    out = out.join(totals, [seq, "_chunk"], "left")
-    return out.select(*df.columns, *[
-        (F.col(f"_i_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in values])
+    rows = rows.select(*df.columns, "_chunk", *[F.col(f"_v_{n}") for n in values], *[F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in values])
+    # a chunk adds its total
+    out = _entered(
+        rows, seq, {f"_t_{n}": F.coalesce(F.sum(f"_v_{n}"), F.lit(0)) for n in values},
+        lambda near, far: {f: near[f] + far[f] for f in near}, lambda m: {f"_c_{n}": m[f"_t_{n}"] for n in values}, reverse=reverse)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return out.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_c_{n}")).cast(kinds[f"_i_{n}"]).alias(n) for n in values])
 
 
 def running_sum(
@@ -99,27 +126,23 @@ def discounted_return(
     df: DataFrame, seq: str, pos: str, reward: Column, mask: str, *, gamma: float, name: str, chunk: int = CHUNK
 ) -> DataFrame:
     """x_t = r_t + gamma * mask_{t+1} * x_{t+1}: a token with mask 0 ends what reaches further left."""
-    size = _safe_chunk(gamma, chunk)
-    rows = _chunked(df, pos, size).withColumn("_r", reward.cast("double"))
-    cut = Window.partitionBy(seq, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_seg", F.sum(1 - F.col(mask)).over(cut))
-    # distance to the end of the segment, counted from the right
-    rows = rows.withColumn("_u", F.row_number().over(
-        Window.partitionBy(seq, "_chunk", "_seg").orderBy(F.col(pos).desc())))
+    rows = _chunked(df, pos, _safe_chunk(gamma, chunk)).withColumn("_r", reward.cast("double"))
+    # tokens of one segment share the number of zeros behind their left neighbour, counted from the right
+    strictly = Window.partitionBy(seq, "_chunk").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_seg", F.coalesce(F.sum(1 - F.col(mask)).over(strictly), F.lit(0)))
+    # one sort by (chunk, segment, position) serves both: a segment is a stretch of positions
+    segment = Window.partitionBy(seq, "_chunk", "_seg").orderBy(F.col(pos).desc())
+    rows = rows.withColumn("_u", F.row_number().over(segment))
     lift = F.pow(F.lit(gamma), -F.col("_u").cast("double"))
-    local = F.sum(F.col("_r") * lift).over(_to_end(seq, pos, "_seg")) / lift
-    whole = Window.partitionBy(seq, "_chunk")
-    rows = rows.withColumn("_x", local)
-    rows = rows.withColumn("_open", F.col("_seg") == F.max("_seg").over(whole))
-    summary = {
-        "n": F.max(F.when(F.col("_open"), F.col("_u"))), "whole": F.min(F.col("_open").cast("int")),
-        "x": F.min_by("_x", pos), "m": F.min_by(mask, pos),
-    }
-    # state: m*x of the first token of the chunk to the right
-    carries = _carry(rows, seq, summary, {"y": F.lit(0.0)}, lambda s, c: {
-        "y": c["m"] * (c["x"] + F.when(c["whole"] == 1, F.pow(F.lit(gamma), c["n"]) * s["y"]).otherwise(0.0))})
-    out = rows.join(carries, [seq, "_chunk"], "left")
-    reach = F.when(F.col("_open"), F.pow(F.lit(gamma), F.col("_u")) * F.coalesce("_in_y", F.lit(0.0))).otherwise(0.0)
+    rows = rows.withColumn("_x", F.sum(F.col("_r") * lift).over(_to_end(seq, pos, "_seg")) / lift)
+    # y, mask times x of the token to the right, enters the first segment only: y' = shift + scale * y
+    opens = F.min(F.col("_seg") == 0)
+    left_mask, left_x = F.min_by(mask, pos).cast("double"), F.min_by("_x", pos)
+    summary = {"_shift": left_mask * left_x, "_scale": F.when(opens, left_mask * F.pow(F.lit(gamma), F.count(F.lit(1)))).otherwise(0.0)}
+    out = _entered(
+        rows, seq, summary, lambda near, far: {"_shift": near["_shift"] + near["_scale"] * far["_shift"], "_scale": near["_scale"] * far["_scale"]},
+        lambda m: {"_y": m["_shift"]})
+    reach = F.when(F.col("_seg") == 0, F.pow(F.lit(gamma), F.col("_u")) * F.col("_y")).otherwise(0.0)
     return out.withColumn(name, F.col("_x") + reach).select(*df.columns, name)
 
 
@@ -132,8 +155,7 @@ def advantage_recursion(
     A masked token takes the value of the next valid token, 0 behind the last one.
     """
     c = gamma * lam
-    size = _safe_chunk(c, chunk)
-    rows = _chunked(df, pos, size)
+    rows = _chunked(df, pos, _safe_chunk(c, chunk))
     valid = F.col(mask) > 0
     right = _to_end(seq, pos)
     strictly = Window.partitionBy(seq, "_chunk").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -142,15 +164,22 @@ def advantage_recursion(
     lift = F.pow(F.lit(c), -F.col("_u").cast("double"))
     delta = F.col(reward) + gamma * F.col("_nv") - F.col(value)
     rows = rows.withColumn("_a", F.sum(F.when(valid, delta * lift).otherwise(0.0)).over(right) / lift)
+    # state: value v and advantage a of the next valid token; a chunk with a valid token sets v,
+    # and a' = shift + of_v * v + of_a * a; one without passes both on
+    some = F.max("_u") > 0
+    power = F.pow(F.lit(c), F.max("_u") - 1)
     summary = {
-        "n": F.max("_u"), "a": F.min_by("_a", pos),
-        "v": F.min_by(F.when(valid, F.col(value)), F.when(valid, F.col(pos))),
+        "_v": F.when(some, F.min_by(F.when(valid, F.col(value)), F.when(valid, F.col(pos)))).otherwise(0.0),
+        "_keep": F.when(some, 0.0).otherwise(1.0), "_shift": F.when(some, F.min_by("_a", pos)).otherwise(0.0),
+        "_of_v": F.when(some, power * gamma).otherwise(0.0), "_of_a": F.when(some, power * c).otherwise(1.0),
     }
-    into = lambda s, n: F.pow(F.lit(c), n - 1) * (gamma * s["nv"] + c * s["ac"])
-    carries = _carry(rows, seq, summary, {"nv": F.lit(0.0), "ac": F.lit(0.0)}, lambda s, k: {
-        "nv": F.when(k["n"] > 0, k["v"]).otherwise(s["nv"]),
-        "ac": F.when(k["n"] > 0, k["a"] + into(s, k["n"])).otherwise(s["ac"])})
-    out = rows.join(carries, [seq, "_chunk"], "left")
-    nv, ac = F.coalesce("_in_nv", F.lit(0.0)), F.coalesce("_in_ac", F.lit(0.0))
-    reach = F.pow(F.lit(c), F.col("_u") - 1) * (gamma * nv + c * ac)
-    return out.withColumn(name, F.when(F.col("_u") > 0, F.col("_a") + reach).otherwise(ac)).select(*df.columns, name)
+
+    def then(near: Map, far: Map) -> Map:
+        return {
+            "_v": near["_v"] + near["_keep"] * far["_v"], "_keep": near["_keep"] * far["_keep"],
+            "_shift": near["_shift"] + near["_of_v"] * far["_v"] + near["_of_a"] * far["_shift"],
+            "_of_v": near["_of_v"] * far["_keep"] + near["_of_a"] * far["_of_v"], "_of_a": near["_of_a"] * far["_of_a"]}
+
+    out = _entered(rows, seq, summary, then, lambda m: {"_in_v": m["_v"], "_in_a": m["_shift"]})
+    reach = F.pow(F.lit(c), F.col("_u") - 1) * (gamma * F.col("_in_v") + c * F.col("_in_a"))
+    return out.withColumn(name, F.when(F.col("_u") > 0, F.col("_a") + reach).otherwise(F.col("_in_a"))).select(*df.columns, name)

@@ -57,8 +57,24 @@ def test_texts_stay_out_of_range_sorts(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "id long, text string")
     got = R.position(df, ["id"])
     assert rows(got, "id", "position") == [(i, i + 1) for i in range(50)] and got.columns == ["id", "text", "position"]
-    with pytest.raises(ValueError):
-        R.position(df.withColumn("k", F.lit(1)), ["k"])
+
+
+def test_ties_and_repeated_rows_keep_their_places(spark):
+    """The same for narrow, text, array and map columns; equal rows all stay."""
+    data = [(i % 2, i // 3) for i in range(24)] + [(0, 99)] * 5
+    df = spark.createDataFrame(data, "k int, v int")
+    kinds = {"v": F.col("v"), "text": F.col("v").cast("string"), "list": F.array("v"), "map": F.create_map(F.lit("x"), F.col("v"))}
+    for kind in kinds.values():
+        rows_ = df.select("k", kind.alias("c"), F.to_json(F.struct(kind.alias("c"))).alias("j"))
+        a, b = (R.position(rows_.repartition(n), ["k"]).select("k", "j", "position").collect() for n in (2, 9))
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))  # ties do not depend on the layout
+        assert [r[2] for r in sorted(a, key=lambda r: r[2])] == list(range(1, 30))
+        assert [r[0] for r in sorted(a, key=lambda r: r[2])] == sorted(k for k, _ in data)
+        assert sorted((r[0], r[1]) for r in a) == sorted((r["k"], r["j"]) for r in rows_.collect())
+        kept = R.position(rows_, ["k"], keep=7).collect()
+        assert sorted(r["position"] for r in kept) == list(range(1, 8))
+        per = R.position(rows_, ["j"], ["k"], keep=2).collect()
+        assert sorted((r["k"], r["position"]) for r in per) == [(0, 1), (0, 2), (1, 1), (1, 2)]
 
 
 def test_tied_values_are_split_over_buckets(spark):
@@ -95,7 +111,7 @@ def test_positions_do_not_depend_on_partitioning(spark):
 
 def token_rows(spark, seed=3):
     rnd = random.Random(seed)
-    data = [(s, p, rnd.randint(0, 1), rnd.random(), rnd.random()) for s, n in ((1, 37), (2, 1), (3, 8), (4, 16)) for p in range(1, n + 1)]
+    data = [(s, p, rnd.randint(0, 1), rnd.random(), rnd.random()) for s, n in ((1, 37), (2, 1), (3, 8), (4, 16), (None, 29)) for p in range(1, n + 1)]
     return data, spark.createDataFrame(data, "s long, pos int, mask int, r double, v double")
 
 
@@ -107,8 +123,8 @@ def test_sequence_recursions_with_carries(spark, chunk):
     suf = scans.suffix_sum(df, "s", "pos", F.col("r"), name="x", chunk=chunk)
     run = scans.running_sum(df, "s", "pos", F.col("mask"), name="x", chunk=chunk)
     got = [{(r["s"], r["pos"]): r["x"] for r in d.collect()} for d in (ret, gae, suf, run)]
-    for s in (1, 2, 3, 4):
-        seq = sorted(d for d in data if d[0] == s)
+    for s in (1, 2, 3, 4, None):  # rows without a sequence form one
+        seq = sorted((d for d in data if d[0] == s), key=lambda d: d[1])
         x = nv = a = t = 0.0
         for _, p, m, r, v in reversed(seq):
             x = r + 0.9 * x
@@ -179,3 +195,40 @@ def test_differencing_beats_row_order():
         assert max(sums) - min(sums) < (max(plain) - min(plain)) / 5
         if equal:
             assert all(shard.count(k) == 8 for k in range(8))
+
+
+def test_null_groups_keep_their_rows(spark):
+    """Rows without a key form one group, in every operator that joins group values back."""
+    from rollstat.operators import domains as H
+    from rollstat.operators import evals as E
+    from rollstat.operators import runlog as L
+
+    schema = "g string, q string, pos int, mask int, r double, s double, a double"
+    data = [(g, f"{g}{q}" if q else None, p, int(p != 2), 0.1 * p + q, 0.3 * p - q, float(q)) for g in (None, "x") for q in (0, 1, 2) for p in (1, 2, 3)]
+    df = spark.createDataFrame(data, schema)
+    named = df.withColumn("g", F.coalesce("g", F.lit("-"))).withColumn("q", F.coalesce("q", F.concat(F.coalesce("g", F.lit("-")), F.lit("?"))))
+
+    def same(fn, keys, *cols, source=df, other=named):
+        """The result with nulls equals the one with names in their place."""
+        fill = lambda d: sorted(tuple("-" if v is None or v in ("-?", "x?") else v if not isinstance(v, float) else round(v, 9) for v in r) for r in d.select(*keys, *cols).collect())
+        got, want = fill(fn(source)), fill(fn(other))
+        assert got == want and got
+
+    one = lambda d: d.filter("pos = 1")
+    same(lambda d: A.adv_pass_k(one(d), "g", "s", "r"), ["g"], "s", "advantage", source=df, other=named)
+    same(lambda d: A.best_of_n_weights(one(d), "g", "s"), ["g"], "s", "weight")
+    same(lambda d: A.pairwise_ranking_accuracy(d, "g", "s", "a", "r"), ["g"], "pair_accuracy")
+    same(lambda d: A.adv_group_baseline_whitened(d, "g", "q", "r", "mask"), ["g", "q"], "pos", "advantage")
+    same(lambda d: A.adv_greedy_baseline(d.filter("g is null or g = '-'"), d.filter("g is null or g = '-'").groupBy("q").agg(F.avg("s").alias("baseline")), "q", "pos", "r", "mask"), ["q"], "pos", "advantage")
+    same(lambda d: A.adv_process_loo(d.filter("g is null or g = '-'"), d.filter("g is null or g = '-'").groupBy("q").agg(F.max("a").alias("acc")), "g", "q", "pos", "r", "mask"), ["g", "q"], "pos", "advantage")
+    same(lambda d: A.kl_penalised_reward(d, "g", "q", "r", "s", "a", "mask", beta=0.1, target=0.2, horizon=10), ["g", "q"], "pos", "penalised")
+    same(lambda d: A.response_mask(d.filter("g is null or g = '-'"), "q", "pos", "mask"), ["q"], "pos", "response_mask")
+    for stat in ("mean", "q90", "top10"):
+        same(lambda d: H.domain_loss_weights(d, "g", "mask", targets=None, reward="r", alpha=0.5, stat=stat), ["g"], "weight")
+    same(lambda d: L.staleness_metrics(d, current=3, version_start="pos", version_end="pos", seconds="s", keys=["g"]), ["g"], "n", "time_p50", "time_p99")
+    same(lambda d: L.timing_throughput(d, d.groupBy("q").agg(F.lit(5).alias("prompt_tokens"), F.lit(6).alias("response_tokens")), "q", "g", "s", 2), ["q", "g"], "ms_per_token")
+    metrics = df.select("g", F.lit("acc").alias("variable"), F.concat(F.lit("mean@"), F.col("pos")).alias("metric"))
+    assert sorted((r["g"] or "-", r["metric"], r["section"]) for r in E.core_aux_labels(metrics.distinct(), "g").collect()) == sorted(
+        (g, f"mean@{p}", "val-core" if p == 3 else "val-aux") for g in ("-", "x") for p in (1, 2, 3))
+    rec = E.domain_macro_recovery(df, "g", "q", "pos", "s", base="x", reference="x")
+    assert {r["g"] for r in rec.collect()} == {None, "x"}
