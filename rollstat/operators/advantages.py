@@ -279,19 +279,20 @@ def kl_path(
     per_seq = df.groupBy(step, seq).agg(
         (F.sum(kl * F.col(mask)) / (F.sum(mask) + MASK_EPS)).alias("_k"))
     steps = per_seq.groupBy(step).agg(F.avg("_k").alias("kl"), F.count(F.lit(1)).alias("n"))
-    # one row per training step: the ordered fold runs over this small table
-    ordered = steps.agg(F.array_sort(F.collect_list(F.struct(step, "kl", "n"))).alias("s"))
-    start = F.struct(F.lit(float(beta)).alias("beta"), F.expr(
-        "cast(array() as array<struct<beta:double,next_beta:double>>)").alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        nxt = acc["beta"] * (1 + clamp(x["kl"] / target - 1, -0.2, 0.2) * x["n"] / horizon)
-        return F.struct(nxt.alias("beta"), F.concat(acc["out"], F.array(
-            F.struct(acc["beta"].alias("beta"), nxt.alias("next_beta")))).alias("out"))
-
-    path = ordered.select("s", F.aggregate("s", start, fold, lambda acc: acc["out"]).alias("o"))
-    z = path.select(F.explode(F.arrays_zip("s", "o")).alias("z"))
-    return z.select(F.col(f"z.s.{step}").alias(step), "z.s.kl", "z.s.n", "z.o.beta", "z.o.next_beta")
+    # the coefficient is a running product over the steps: sums of logarithms, signs and zeros
+    factor = 1 + clamp(F.col("kl") / target - 1, -0.2, 0.2) * F.col("n") / horizon
+    rows = position(steps, [step], name="_t").withColumn("_f", factor).select(
+        "*", F.lit(0).alias("_run"), F.when(F.col("_f") == 0, 0.0).otherwise(F.log(F.abs("_f"))).alias("_l"),
+        (F.col("_f") < 0).cast("int").alias("_n"), (F.col("_f") == 0).cast("int").alias("_z"))
+    sums = running_sums(rows, "_run", "_t", {f"_sum{c}": F.col(c) for c in ("_l", "_n", "_z")})
+
+    def after(log: Column, negatives: Column, zeros: Column) -> Column:
+        size = F.when(zeros > 0, 0.0).otherwise(F.exp(log))
+        return float(beta) * F.when(negatives % 2 == 1, -size).otherwise(size)
+
+    upto = [F.col(f"_sum{c}") for c in ("_l", "_n", "_z")]
+    before = [s - F.col(c) for s, c in zip(upto, ("_l", "_n", "_z"), strict=True)]
+    return sums.select(step, "kl", "n", after(*before).alias("beta"), after(*upto).alias("next_beta"))
 
 
 def kl_penalised_reward(

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollstat.operators.distill import array_sum
-from rollstat.operators.ranking import cumulative_counts, exact_quantiles, join_null_safe, scalar_struct
+from rollstat.operators.ranking import cumulative_counts, exact_quantiles, join_null_safe, scalar_struct, with_group_stats
+from rollstat.operators.scans import discounted_return
 from rollstat.session import materialize
 
 
@@ -173,27 +174,25 @@ def mixture_schedule(
 ) -> DataFrame:
     """Mixture per (step, domain) from the gap and velocity of the smoothed divergence.
 
-    The input has one row per training step and domain: windows and folds run over it.
+    The input has one row per training step and domain.  The moving average is a discounted sum
+    that looks back; a step without a value has none and the next one starts anew.
     """
     alpha = 2.0 / (ema_window + 1.0)
     per = Window.partitionBy(domain).orderBy(step)
-    numbered = steps.withColumn("t", F.row_number().over(per))
-    history = numbered.groupBy(domain).agg(
-        F.array_sort(F.collect_list(F.struct("t", F.col(step), F.col(raw).alias("raw")))).alias("h"))
-    empty = F.expr("cast(array() as array<double>)")
-    ema = F.aggregate(
-        "h", F.struct(F.lit(None).cast("double").alias("e"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            F.coalesce(alpha * x["raw"] + (1 - alpha) * acc["e"], x["raw"]).alias("e"),
-            F.concat(acc["out"], F.array(F.coalesce(alpha * x["raw"] + (1 - alpha) * acc["e"], x["raw"]))).alias("out")),
-        lambda acc: acc["out"])
-    first = F.slice("h", 1, initial_steps)
-    initial = F.when(F.size("h") >= initial_steps, F.aggregate(
-        first, F.lit(0.0), lambda a, x: a + x["raw"]) / initial_steps)
-    z = history.select(domain, initial.alias("initial"), F.explode(F.arrays_zip("h", ema.alias("e"))).alias("z"))
-    rows = z.select(domain, "initial", "z.h.t", F.col(f"z.h.{step}").alias(step), F.col("z.h.raw").alias("raw"),
-                    F.col("z.e").alias("ema"))
-    rows = rows.withColumn("initial", F.when(F.col("t") >= initial_steps, F.col("initial")))
+    rows = steps.select(domain, step, F.col(raw).cast("double").alias("raw")).withColumn("t", F.row_number().over(per))
+    known = F.col("raw").isNotNull()
+    fresh = ~F.coalesce(F.lag(known.cast("boolean")).over(per), F.lit(False))
+    rows = rows.withColumn("_in", F.when(fresh, F.col("raw")).otherwise(alpha * F.col("raw"))).withColumn("_known", known.cast("int"))
+    rows = rows.withColumn("_in", F.coalesce("_in", F.lit(0.0))).withColumn("_back", -F.col("t"))
+    if alpha < 1:
+        rows = discounted_return(rows, domain, "_back", F.col("_in"), "_known", gamma=1 - alpha, name="ema")
+    else:
+        rows = rows.withColumn("ema", F.col("raw"))
+    early = F.col("t") <= initial_steps
+    rows = with_group_stats(
+        rows, [domain], _sum=F.sum(F.when(early, F.col("raw"))), _seen=F.count(F.when(early, F.col("raw"))))
+    initial = F.when((F.col("_seen") == initial_steps) & (F.col("t") >= initial_steps), F.col("_sum") / initial_steps)
+    rows = rows.withColumn("ema", F.when(F.col("raw").isNotNull(), F.col("ema"))).withColumn("initial", initial).drop("_in", "_known", "_back", "_sum", "_seen")
     avail = F.least(F.lit(velocity_windows), F.floor(F.col("t") / velocity_window) - 1)
     changes, used = F.lit(0.0), F.greatest(avail, F.lit(1))
     for k in range(velocity_windows):

@@ -176,40 +176,54 @@ def validation_metrics(df: DataFrame, source: str, uid: str, variables: Sequence
     return both.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 
 
-def _win_chances(counts: Sequence[int], n: int) -> list[float]:
-    """Chance of each answer to be the most frequent of ``n`` draws with replacement; equals share it.
-
-    Draw counts are independent Poisson numbers that add up to n.  An answer wins with t draws if
-    every other has fewer, or as many: then each of these is the first drawn equally often.
+def win_chances(counts: Sequence[int], copies: Sequence[int], n: int) -> list[float]:
+    """Chance of one answer to be the most frequent of ``n`` draws with replacement; equals share it.
+
+    Class i has ``copies[i]`` answers of ``counts[i]`` rows each.  Draw counts are independent Poisson
+    numbers that add up to n.  An answer wins with t draws if every other has fewer, or as many: then
+    each of these is the first drawn equally often.  With y marking the others that tie, 1 / (ties + 1)
+    is the integral of y ** ties from 0 to 1, so a Gauss rule over y replaces the sum over ties.  What remains is one
+    coefficient of a product of powers of one polynomial per class, read off at the roots of
+    unity.  Numbers of draws t whose chance is below 1e-20 add nothing to a double and are left out.
     """
     import numpy as np
 
-    mean = n * np.asarray(counts, float) / sum(counts)
+    counts, copies = np.asarray(counts, float), np.asarray(copies, np.int64)
+    if copies.sum() == 1:
+        return [1.0]
+    mean = n * counts / (counts * copies).sum()
     steps = np.arange(n + 1)
     log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
     mass = np.exp(steps[None, :] * np.log(mean)[:, None] - mean[:, None] - log_factorial[None, :])
     total = math.exp(n * math.log(n) - n - log_factorial[n])
+    # sums beyond n by this much have no weight, so the coefficient does not wrap
+    points = n + 64 + int(40 * math.sqrt(n))
+    roots = np.exp(-2j * np.pi * np.arange(points // 2 + 1) / points)
+    twice = np.full(len(roots), 2.0)
+    twice[0] = 1.0
+    if points % 2 == 0:
+        twice[-1] = 1.0
+    up_to = np.cumsum(mass, axis=1)
+    with np.errstate(divide="ignore"):
+        all_below = np.exp((copies[:, None] * np.log(np.minimum(up_to, 1.0))).sum(axis=0))  # all have t at most
+    some_at = (copies[:, None] * mass).sum(axis=0)
     chances = np.zeros(len(counts))
     for t in range(1, n + 1):
-        ties = n // t
-
-        def times(poly, j):  # rows: how many others have t; columns: draws so far
-            out = np.array([np.convolve(row, mass[j, :t])[: n + 1] for row in poly])
-            out[1:, t:] += poly[:-1, : n + 1 - t] * mass[j, t]
-            return out
-
-        one = np.zeros((ties + 1, n + 1))
-        one[0, 0] = 1.0
-        before = [one]
-        for j in range(len(counts) - 1):
-            before.append(times(before[-1], j))
-        after = one
-        for j in range(len(counts) - 1, -1, -1):
-            share = 0.0
-            for s in range(ties):  # s others with as many draws
-                share += sum(float(before[j][u, : n - t + 1] @ after[s - u, n - t :: -1]) for u in range(s + 1)) / (s + 1)
-            chances[j] += mass[j, t] * share / total
-            after = times(after, j)
+        if min(all_below[t], some_at[t]) / total < 1e-20:
+            continue
+        less = np.fft.rfft(mass[:, :t], points, axis=1)
+        as_many = mass[:, t, None] * roots[None, :] ** t
+        read = twice * np.conj(roots ** (n - t)) / points
+        ties = (n - t) // t
+        spots, weights = np.polynomial.legendre.leggauss(min(ties // 2 + 1, 32 + int(some_at[t])))
+        for spot, weight in zip((spots + 1) / 2, weights / 2, strict=True):
+            one = less + spot * as_many
+            fewer = one ** (copies - 1)[:, None]
+            whole = fewer * one
+            # the product over the other classes, from both sides
+            ahead = np.cumprod(np.vstack([np.ones_like(whole[:1]), whole[:-1]]), axis=0)
+            behind = np.cumprod(np.vstack([np.ones_like(whole[:1]), whole[:0:-1]]), axis=0)[::-1]
+            chances += weight * mass[:, t] / total * ((fewer * ahead * behind) @ read).real
     return chances.tolist()
 
 
@@ -217,26 +231,29 @@ def majority_metrics(df: DataFrame, source: str, uid: str, pred: str, value: str
     """maj@n: exact mean and deviation of the value that the most frequent of n drawn predictions has, then the mean over prompts.
 
     Draws are with replacement; of equally frequent predictions the one drawn first wins, and its
-    first drawn row counts, which is any of its rows equally often.  A prompt is its distinct
-    predictions with their counts: nothing is drawn, and nothing grows with a number of rounds.
+    first drawn row counts, which is any of its rows equally often.  Predictions of a prompt that
+    occur equally often have the same chance, so a prompt is its distinct frequencies: at most the square root
+    of twice its rows.
     """
     v = F.col(value).cast("double")
     votes = df.groupBy(source, uid, pred).agg(F.count(F.lit(1)).alias("c"), F.avg(v).alias("m"), F.avg(v * v).alias("q"))
-    prompts = votes.groupBy(source, uid).agg(F.sum("c").alias("N"), F.array_sort(F.collect_list(F.struct("c", "m", "q"))).alias("answers"))
+    classes = votes.groupBy(source, uid, "c").agg(F.count(F.lit(1)).alias("r"), F.sum("m").alias("m"), F.sum("q").alias("q"))
+    prompts = classes.groupBy(source, uid).agg(
+        F.sum(F.col("c") * F.col("r")).alias("N"), F.array_sort(F.collect_list(F.struct("c", "r", "m", "q"))).alias("answers"))
     drawn = prompts.select(source, "answers", F.explode(_sizes(F.col("N"))).alias("k"))
 
     @F.pandas_udf("array<double>")
-    def chances(counts: pd.Series, sizes: pd.Series) -> pd.Series:
+    def chances(counts: pd.Series, copies: pd.Series, sizes: pd.Series) -> pd.Series:
         known: dict[tuple, list[float]] = {}
         out = []
-        for c, k in zip(counts, sizes, strict=True):
-            key = (tuple(int(x) for x in c), int(k))
+        for c, r, k in zip(counts, copies, sizes, strict=True):
+            key = (tuple(int(x) for x in c), tuple(int(x) for x in r), int(k))
             if key not in known:
-                known[key] = _win_chances(*key)
+                known[key] = win_chances(*key)
             out.append(known[key])
         return pd.Series(out)
 
-    won = drawn.withColumn("w", chances(F.col("answers.c"), F.col("k")))
+    won = drawn.withColumn("w", chances(F.col("answers.c"), F.col("answers.r"), F.col("k")))
     expected = lambda field: F.aggregate(F.zip_with("answers", "w", lambda a, w: a[field] * w), F.lit(0.0), lambda s, x: s + x)
     spread = expected("q") - expected("m") * expected("m")
     per = won.select(source, "k", expected("m").alias("m"), F.when(spread > 1e-12, F.sqrt(spread)).otherwise(0.0).alias("s"))

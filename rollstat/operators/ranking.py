@@ -173,26 +173,59 @@ def cumulative_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> D
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, quantiles: dict[str, float], group: Sequence[str] = (), *, discrete: bool = False,
+    df: DataFrame, value: str, quantiles: dict[str, float], group: Sequence[str] = (), *, discrete: bool = False, accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact quantiles per group: linear interpolation, or the lower value when ``discrete``."""
-    cums = cumulative_counts(df, value, group)
-    sizes = cums.groupBy(*group).agg(F.sum("n").alias("_total"))
-    if group:
-        cums = join_null_safe(cums, sizes, list(group))
-    else:
-        cums = cums.withColumn("_total", sizes.scalar())
-    aggs, v = [], F.col(value)
-    for name, q in quantiles.items():
-        if discrete:
-            rank = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_total")))
-            aggs.append(F.min(F.when(F.col("cum") >= rank, v)).alias(name))
-        else:
-            h = F.lit(q) * (F.col("_total") - 1)
-            low = F.min(F.when(F.col("cum") >= F.floor(h) + 1, v))
-            high = F.min(F.when(F.col("cum") >= F.ceil(h) + 1, v))
-            aggs.append((low + (high - low) * F.max(h - F.floor(h))).alias(name))
-    return cums.groupBy(*group).agg(*aggs)
+    """Exact quantiles per group: linear interpolation, or the lower value when ``discrete``; nulls don't count.
+
+    A mergeable sketch per group brackets each wanted rank.  A second pass counts what lies below a
+    bracket and keeps the distinct values inside, about 4 rows in ``accuracy``, where the rank is
+    selected exactly.  Groups too small for a sketch keep all their values.  A rank outside its
+    bracket shows, as it meets no value inside; then the brackets are opened to all values.
+    """
+    group, qs = list(group), sorted(set(quantiles.values()))
+    rows = df.select(*group, F.col(value).alias("_v"))
+    margin = 2 / accuracy
+    wanted = [min(max(q + side * margin, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    edges = materialize(rows.groupBy(*group).agg(
+        F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.percentile_approx("_v", wanted, accuracy).alias("_p")), "sketches")
+
+    def select(bracketed: bool) -> DataFrame:
+        e = edges if bracketed else edges.withColumn("_p", F.transform("_p", lambda _: F.lit(None)))
+        e = e.select(*group, F.struct("_n", "_lo", "_hi", "_p").alias("_e"))
+        known = rows.filter("_v is not null")
+        known = join_null_safe(known, e, group) if group else known.withColumn("_e", e.scalar())
+        few, v = F.col("_e._n") < 4 * accuracy, F.col("_v")
+        part = lambda x, inside: F.struct(x.alias("v"), F.lit(inside).alias("inside"))
+        key = F.when(F.lit(False), part(v, 1))
+        for j in range(len(qs)):
+            low = F.coalesce(F.when(~few, F.col("_e._p")[2 * j]), F.col("_e._lo"))
+            high = F.coalesce(F.when(~few, F.col("_e._p")[2 * j + 1]), F.col("_e._hi"))
+            key = key.when(v < low, part(low, 0)).when(v <= high, part(v, 1))
+        counts = known.select(*group, key.alias("_key")).filter("_key is not null").groupBy(*group, "_key").agg(F.count(F.lit(1)).alias("n"))
+        cums = cumulate(with_range_bucket(counts, "_key"), [F.col("_key")], group, "cum", weight=F.col("n"))
+        total = F.col("_e._n")
+        cums = join_null_safe(cums, e, group) if group else cums.withColumn("_e", e.scalar())
+        at = lambda rank: F.min(F.when(F.col("cum") >= rank, F.col("_key")))
+        aggs = []
+        for name, q in quantiles.items():
+            if discrete:
+                aggs.append(F.struct(at(F.greatest(F.lit(1), F.ceil(F.lit(q) * total))).alias("low"), F.lit(0.0).alias("between")).alias(name))
+            else:
+                h = F.lit(q) * (total - 1)
+                aggs.append(F.struct(at(F.floor(h) + 1).alias("low"), at(F.ceil(h) + 1).alias("high"), F.max(h - F.floor(h)).alias("between")).alias(name))
+        per = cums.groupBy(*group).agg(*aggs)
+        sizes = edges.select(*group, "_n")
+        return materialize(join_null_safe(sizes, per, group, "left") if group else per.withColumn("_n", sizes.scalar()), "quantiles")
+
+    found = select(True)
+    ends = [f"{n}.{end}.inside" for n in quantiles for end in (("low",) if discrete else ("low", "high"))]
+    missed = reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit(0)) == 0 for c in ends])
+    if not found.filter((F.col("_n") > 0) & missed).isEmpty():
+        found = select(False)
+    low, high = (lambda n: F.col(f"{n}.low.v")), (lambda n: F.col(f"{n}.high.v"))
+    return found.select(*group, *[
+        (low(n) if discrete else low(n) + (high(n) - low(n)) * F.col(f"{n}.between")).alias(n) for n in quantiles])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

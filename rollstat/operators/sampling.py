@@ -474,14 +474,19 @@ def importance_resample(df: DataFrame, key: str, weight: str, draws: int, seed:
 
     Seeded uniform draws and the rows' cumulative weight ends are put on one axis; the
     number of draws up to each end is a running count, so no draw is ever compared with
-    a range of rows.
+    a range of rows.  Weights are whole numbers, 2**40 for the largest, and so are their sums and the
+    draws: where ranges are cut changes nothing.
     """
-    slim = materialize(df.select(key, weight), "weights")
-    ends = cumulate(with_range_bucket(slim, key), [F.col(key)], [], "_end", weight=F.col(weight))
-    total = slim.agg(F.sum(weight)).first()[0]
+    slim = materialize(df.select(key, F.col(weight).cast("double").alias("_w")), "weights")
+    top = slim.agg(F.max("_w")).first()[0]
+    whole = F.floor(F.col("_w") / F.lit(top) * F.lit(float(1 << 40)) + 0.5).cast("decimal(20,0)")
+    slim = materialize(slim.select(key, whole.alias("_w")), "weights")
+    ends = cumulate(with_range_bucket(slim, key), [F.col(key)], [], "_end", weight=F.col("_w")).withColumn("_end", F.col("_end").cast("decimal(38,0)"))
+    total = F.lit(slim.agg(F.sum("_w")).first()[0]).cast("decimal(23,0)")
+    place = F.expr("_h * _total div 281474976710656").cast("decimal(38,0)")
     hits = df.sparkSession.range(draws).select(
-        (hash_unit(sha(F.lit(seed), "id")) * total).alias("_x"), F.lit(1).alias("_d"),
-        F.lit(None).cast(df.schema[key].dataType).alias(key))
+        F.floor(hash_unit(sha(F.lit(seed), "id")) * F.lit(float(1 << 48))).cast("decimal(15,0)").alias("_h"), total.alias("_total")).select(
+        place.alias("_x"), F.lit(1).alias("_d"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     marks = ends.select(F.col("_end").alias("_x"), F.lit(0).alias("_d"), key)
     axis = with_range_bucket(hits.unionByName(marks), "_x")
     # a draw equal to an end belongs to the next row: ends sort first

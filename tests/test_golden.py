@@ -202,5 +202,33 @@ def test_win_chances_against_every_draw():
             top = max(seen.values())
             wins[next(p for p in draw if seen[p] == top)] += 1
         total = len(rows) ** n
-        assert E._win_chances(counts, n) == pytest.approx([wins[p] / total for p in range(len(counts))])
-    assert sum(E._win_chances((40, 300, 7), 200)) == pytest.approx(1.0)
+        classes = Counter(counts)
+        chances = dict(zip(classes, E.win_chances(list(classes), list(classes.values()), n), strict=True))
+        assert [chances[c] for c in counts] == pytest.approx([wins[p] / total for p in range(len(counts))])
+    assert sum(E.win_chances((40, 300, 7), (1, 1, 1), 200)) == pytest.approx(1.0)
+
+
+def test_win_chances_of_a_thousand_answers():
+    import time
+
+    start = time.perf_counter()
+    assert E.win_chances([1], [1024], 1024) == pytest.approx([1 / 1024], rel=1e-9)
+    assert time.perf_counter() - start < 5
+    low, high = E.win_chances([1, 2], [1000, 12], 1024)
+    assert 1000 * low + 12 * high == pytest.approx(1.0, rel=1e-9) and high > 2 * low
+
+
+def test_majority_takes_answers_by_their_frequency(spark):
+    """Three answers once, one twice: 4 draws of 5 rows, every draw listed."""
+    import itertools
+    from collections import Counter
+
+    rows = [("a", 1.0), ("b", 0.0), ("c", 0.5), ("d", 0.25), ("d", 0.75)]
+    df = spark.createDataFrame([(None, 1, p, v) for p, v in rows], "src string, uid int, pred string, v double")
+    got = {r["k"]: (r["maj_mean"], r["maj_std"]) for r in E.majority_metrics(df, "src", "uid", "pred", "v").collect()}
+    values = []
+    for draw in itertools.product(rows, repeat=4):
+        top = Counter(p for p, _ in draw)
+        values.append(next(v for p, v in draw if top[p] == max(top.values())))
+    mean = sum(values) / len(values)
+    assert got[4] == pytest.approx((mean, (sum(v * v for v in values) / len(values) - mean * mean) ** 0.5))

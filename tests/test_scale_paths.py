@@ -102,6 +102,33 @@ def test_quantiles(spark):
         assert got[g] == pytest.approx((np.quantile(vals, 0.5), np.quantile(vals, 0.9)))
 
 
+def test_quantiles_inside_brackets(spark, monkeypatch):
+    """A coarse sketch forces brackets, a wrong one opens them; the values stay exact."""
+    import numpy as np
+    rnd = random.Random(4)
+    data = [(g, None if rnd.random() < 0.05 else rnd.choice([0.0, 0.5, rnd.random()])) for g, n in ((None, 3000), ("a", 500), ("b", 7)) for _ in range(n)] + [("c", None)] * 3
+    df = spark.createDataFrame(data, "g string, v double")
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    pairs = []
+    real = R.with_range_bucket
+    monkeypatch.setattr(R, "with_range_bucket", lambda d, by: pairs.append(d.count()) or real(d, by))
+    sketch = F.percentile_approx
+    for lie in (False, True):
+        if lie:
+            monkeypatch.setattr(R.F, "percentile_approx", lambda c, p, n: F.transform(sketch(c, p, n), lambda x: x * 0 - 1))
+        for discrete in (False, True):
+            got = {r["g"]: r for r in R.exact_quantiles(df, "v", wanted, ["g"], discrete=discrete, accuracy=50).collect()}
+            for g in (None, "a", "b"):
+                vals = [v for k, v in data if k == g and v is not None]
+                want = np.quantile(vals, list(wanted.values()), method="inverted_cdf" if discrete else "linear")
+                assert [got[g][n] for n in wanted] == pytest.approx(list(want))
+            assert got["c"]["a"] is None and len(got) == 4
+    assert pairs[0] < 0.7 * len({d for d in data}) and len(pairs) == 6  # the wrong sketch took the second way
+    plain = R.exact_quantiles(df, "v", {"q": 0.9}, accuracy=50).first()["q"]
+    assert plain == pytest.approx(np.quantile([v for _, v in data if v is not None], 0.9))
+    assert R.exact_quantiles(df.filter("false"), "v", {"q": 0.9}).first()["q"] is None
+
+
 def test_positions_do_not_depend_on_partitioning(spark):
     _, df = skewed(spark)
     a = rows(R.position(df.repartition(3), ["v", "id"], ["g"]), "id", "position")
@@ -177,6 +204,45 @@ def test_restore_equals_sequential_pass(spark, seed):
     assert got == want
 
 
+def sequential(source, picked):
+    want, t = [], 0
+    for p, k in source:
+        if t < len(picked) and k == picked[t]:
+            want.append((t, p))
+            t += 1
+    return want
+
+
+def test_restore_of_a_thousand_backward_targets(spark, monkeypatch):
+    """Every target lies behind the next one in the source; rounds grow with the logarithm."""
+    from rollstat.operators import restore
+
+    picked = [9 - i % 10 for i in range(1000)]
+    source = [(p, p % 10) for p in range(1, 9500)]
+    rounds = []
+    monkeypatch.setattr(restore, "nearest_mark", lambda *a, _f=restore.nearest_mark, **kw: rounds.append(1) or _f(*a, bucket=700, **kw))
+    sel = spark.createDataFrame([(None, i, k) for i, k in enumerate(picked)] + [("one", 0, 4)], "dom string, i long, k int")
+    src = spark.createDataFrame([(None, p, k) for p, k in source] + [("one", 5, None), ("one", 6, 4), ("one", 7, 4)], "dom string, p long, k int")
+    got = rows(ordered_subset_restore(sel, src, domain="dom", index="i", pos="p", key=F.col("k")).filter("dom is null"), "i", "source_pos")
+    assert got == sequential(source, picked) and len(got) == 1000
+    assert len(rounds) <= 3 * 10 + 1  # per level two looks up, one down
+
+
+def test_nearest_marks(spark):
+    rnd = random.Random(8)
+    marks = [(rnd.choice("ab"), rnd.randint(-20, 60)) for _ in range(40)]
+    marks = sorted(set(marks))
+    asks = [(rnd.choice("abc"), rnd.randint(-30, 70), i) for i in range(80)]
+    m = spark.createDataFrame([(h, x, x * 10) for h, x in marks], "h string, x long, value long")
+    a = spark.createDataFrame(asks, "h string, x long, i long")
+    from rollstat.operators.restore import nearest_mark
+    for after in (True, False):
+        got = {r["i"]: r["found"] for r in nearest_mark(a, m, after=after, bucket=7).collect()}
+        for h, x, i in asks:
+            near = [y for k, y in marks if k == h and (y > x if after else y < x)]
+            assert got[i] == (None if not near else 10 * (min(near) if after else max(near)))
+
+
 def test_restore_refuses_gaps_and_misses(spark):
     src = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b")], "dom string, p long, k string")
     for bad in ([("d", 1, "a")], [("d", 0, "b"), ("d", 1, "a")]):
@@ -232,3 +298,64 @@ def test_null_groups_keep_their_rows(spark):
         (g, f"mean@{p}", "val-core" if p == 3 else "val-aux") for g in ("-", "x") for p in (1, 2, 3))
     rec = E.domain_macro_recovery(df, "g", "q", "pos", "s", base="x", reference="x")
     assert {r["g"] for r in rec.collect()} == {None, "x"}
+
+
+def test_resampling_does_not_depend_on_the_layout(spark):
+    from rollstat.operators import sampling as S
+
+    rnd = random.Random(11)
+    data = [(i, rnd.random() ** 3 + 1e-8) for i in range(2000)]
+    df = spark.createDataFrame(data, "id long, w double")
+    got = [rows(S.importance_resample(df.repartition(n), "id", "w", 5000, 3), "id", "copies") for n in (3, 300)]
+    assert got[0] == got[1] and sum(c for _, c in got[0]) == 5000
+    import hashlib
+    import bisect
+    import itertools
+    ends = list(itertools.accumulate(w for _, w in data))
+    want = {}
+    for i in range(5000):
+        x = int(hashlib.sha256(f"3:{i}".encode()).hexdigest()[:12], 16) / 2 ** 48 * ends[-1]
+        k = bisect.bisect_right(ends, x)
+        want[k] = want.get(k, 0) + 1
+    assert dict(got[0]) == want
+
+
+def test_paths_over_a_million_steps(spark):
+    """The coefficient and the moving average of a long run, against plain loops."""
+    import numpy as np
+
+    from rollstat.operators import domains as H
+
+    n = 1_000_000
+    log = spark.range(1, n + 1).select(F.col("id").alias("step"), F.lit(1).alias("seq"), (F.sin(F.col("id") * 0.7) + 0.2).alias("kl"), F.lit(1).alias("mask"))
+    got = A.kl_path(log, "step", "seq", F.col("kl"), "mask", beta=0.3, target=0.2, horizon=50.0)
+    t = np.arange(1, n + 1)
+    kl = (np.sin(t * 0.7) + 0.2) / (1 + A.MASK_EPS)
+    path = 0.3 * np.cumprod(1 + np.clip(kl / 0.2 - 1, -0.2, 0.2) / 50)
+    picks = [1, 2, 4096, 4097, 123_456, 999_999, n]
+    found = {r["step"]: (r["beta"], r["next_beta"]) for r in got.filter(F.col("step").isin(picks)).collect()}
+    for p in picks:
+        assert found[p] == pytest.approx((path[p - 2] if p > 1 else 0.3, path[p - 1]), rel=1e-8)
+    steps = spark.range(1, n + 1).select(F.col("id").alias("step"), F.lit("d").alias("dom"), F.when(F.col("id") % 250_007 != 0, F.abs(F.sin(F.col("id") * 0.3))).alias("raw"))
+    out = H.mixture_schedule(steps, "step", "dom", "raw", ema_window=19, initial_steps=5, velocity_window=3, velocity_windows=2, update_interval=4, floor=0.1, temperature=1.0)
+    ema, e = {}, None
+    for i in range(1, n + 1):
+        r = None if i % 250_007 == 0 else abs(np.sin(i * 0.3))
+        e = None if r is None else r if e is None else 0.1 * r + 0.9 * e
+        ema[i] = e
+    more = [*picks, 250_006, 250_007, 250_008, 250_010]
+    for r in out.filter(F.col("step").isin(more)).collect():
+        assert r["ema"] == (None if ema[r["step"]] is None else pytest.approx(ema[r["step"]], rel=1e-9)) and r["mixture"] == 1.0
+
+
+def test_coefficient_path_with_zero_and_negative_factors(spark):
+    log = spark.createDataFrame([(s, q, kl, 1) for s, kl, n in ((1, 0.3, 2), (2, 0.0, 5), (3, 0.5, 1), (4, 0.0, 10)) for q in [f"{s}-{i}" for i in range(n)]], "step int, seq string, kl double, mask int")
+    for stop in (3, 4):  # 1 - 0.2 * 5 = 0 at step 2; 1 - 0.2 * 10 = -1 at step 4
+        part = log.filter(F.col("step") != (2 if stop == 4 else 4))
+        got = {r["step"]: (r["beta"], r["next_beta"]) for r in A.kl_path(part, "step", "seq", F.col("kl"), "mask", beta=1.0, target=0.2, horizon=1.0).collect()}
+        beta = 1.0
+        for s, kl, n in ((1, 0.3, 2), (2, 0.0, 5), (3, 0.5, 1), (4, 0.0, 10)):
+            if s in got:
+                after = beta * (1 + max(-0.2, min(0.2, kl / 0.2 - 1)) * n)
+                assert got[s] == pytest.approx((beta, after), abs=1e-6)
+                beta = after
