@@ -167,6 +167,19 @@ def step_divergence(df: DataFrame, step: str, domain: str, reward: Column, mask:
         F.greatest(F.lit(0.0), F.try_divide(F.sum(-reward * mask), n)).alias("raw"))
 
 
+def with_due_mixture(rows: DataFrame, step: str, *, update_interval: int, floor: float, temperature: float) -> DataFrame:
+    """``_due``: the mixture over the domains of a step (t, signal, _ready) if the step updates it; ``_k``: their number."""
+    at = Window.partitionBy(step)
+    k = F.count(F.lit(1)).over(at)
+    top = F.max("signal").over(at)
+    norm = F.when(top > 0, F.col("signal") / top).otherwise(0.0)
+    rows = rows.withColumn("_norm", norm).withColumn("_k", k).withColumn("_all", F.min(F.col("_ready").cast("int")).over(at))
+    weight = F.exp((F.col("_norm") - F.max("_norm").over(at)) / temperature)
+    mix = floor + (1 - F.col("_k") * floor) * weight / F.sum(weight).over(at)
+    due = F.when(F.col("_all") == 1, mix).otherwise(1.0 / F.col("_k"))
+    return rows.withColumn("_due", F.when(F.col("t") % update_interval == 0, due)).drop("_norm", "_all")
+
+
 def mixture_schedule(
     steps: DataFrame, step: str, domain: str, raw: str, *, ema_window: int, initial_steps: int,
     velocity_window: int, velocity_windows: int, update_interval: int, floor: float, temperature: float,
@@ -205,15 +218,7 @@ def mixture_schedule(
         "velocity", F.when(ready, F.greatest(F.lit(0.0), -changes / used)).otherwise(0.0)).withColumn(
         "gap", F.when(ready, F.greatest(F.lit(0.0), F.col("ema") / F.greatest("initial", F.lit(kl_floor)))).otherwise(0.0))
     rows = rows.withColumn("signal", F.col("gap") * F.col("velocity"))
-    at = Window.partitionBy(step)
-    k = F.count(F.lit(1)).over(at)
-    top = F.max("signal").over(at)
-    norm = F.when(top > 0, F.col("signal") / top).otherwise(0.0)
-    rows = rows.withColumn("_norm", norm).withColumn("_k", k).withColumn("_all", F.min(F.col("_ready").cast("int")).over(at))
-    weight = F.exp((F.col("_norm") - F.max("_norm").over(at)) / temperature)
-    mix = floor + (1 - F.col("_k") * floor) * weight / F.sum(weight).over(at)
-    due = F.when(F.col("_all") == 1, mix).otherwise(1.0 / F.col("_k"))
-    rows = rows.withColumn("_due", F.when(F.col("t") % update_interval == 0, due))
+    rows = with_due_mixture(rows, step, update_interval=update_interval, floor=floor, temperature=temperature)
     held = F.last("_due", ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.select(step, domain, "t", "raw", "ema", "gap", "velocity", "signal",
                        F.coalesce(held, 1.0 / F.col("_k")).alias("mixture"))

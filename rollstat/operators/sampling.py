@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollstat.functions.columns import col, collapse_ws, hash_unit, sha
 from rollstat.operators.ranking import (
-    cumulate, first_per_key, hash_position, position, scalar_struct, with_range_bucket,
+    cumulate, first_per_key, hash_position, join_null_safe, position, scalar_struct, with_range_bucket,
 )
 from rollstat.session import materialize
 
@@ -17,14 +17,14 @@ from rollstat.session import materialize
 def informative_groups(df: DataFrame, group: str, metric: str) -> DataFrame:
     """Groups whose metric varies (population std above zero); single-row groups are kept."""
     keep = df.groupBy(group).agg(F.stddev_pop(metric).alias("s"), F.count(F.lit(1)).alias("n"))
-    return df.join(keep.filter("s > 0 or n = 1").select(group), group, "left_semi")
+    return join_null_safe(df, keep.filter("s > 0 or n = 1").select(group), [group], "left_semi")
 
 
 def chosen_of_pair(df: DataFrame, pair: str, pos: str, score: str) -> DataFrame:
     """Complete pairs with ``chosen`` = 1 for the higher score; a tie goes to the first row."""
     best = df.groupBy(pair).agg(
         F.max_by(pos, F.struct(F.col(score), -F.col(pos))).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    return df.join(best.filter("_n = 2"), pair).withColumn(
+    return join_null_safe(df, best.filter("_n = 2"), [pair]).withColumn(
         "chosen", (F.col(pos) == F.col("_b")).cast("int")).drop("_b", "_n")
 
 
@@ -428,7 +428,7 @@ def take_complete_groups(
         short = {d: n for d, n in domain_quotas.items() if got.get(d, 0) < n}
         if short:
             raise ValueError(f"domain quota unavailable: required {short}, available {got}")
-    return df.join(keep.select(group), group, "left_semi")
+    return join_null_safe(df, keep.select(group), [group], "left_semi")
 
 
 def band_filter_downsample(
@@ -446,7 +446,7 @@ def band_filter_downsample(
     runs = runs.withColumn("_t", totals).withColumn(
         "_start", F.col("_until") - F.col("_n") + F.when(F.col("_pass"), 0).otherwise(F.col("_t.ok")))
     runs = runs.withColumn("_limit", F.floor(F.col("_t.all") / oversample)).filter("_start < _limit")
-    rows = df.join(runs.select(group, "_start", "_limit", "_pass"), group)
+    rows = join_null_safe(df, runs.select(group, "_start", "_limit", "_pass"), [group])
     inside = position(rows, [pos], [group], name="_i")
     return inside.withColumn("out_position", F.col("_start") + F.col("_i")).filter(
         "out_position <= _limit").withColumnRenamed("_pass", "passed").drop("_start", "_limit", "_i")
@@ -564,7 +564,7 @@ def sharding_report(sharded: DataFrame, batch: str, pos: str, shards: int, rows_
     before = sharded.groupBy(batch, F.floor((F.col(pos) % rows_per_batch) / size).alias("_g")).agg(F.sum("cost").alias("c"))
     after = sharded.groupBy(batch, "shard").agg(F.sum("cost").alias("c"))
     stats = lambda d, p: d.groupBy(batch).agg(F.min("c").alias(f"{p}min"), F.max("c").alias(f"{p}max"), F.sum("c").alias(f"{p}sum"))
-    both = stats(before, "").join(stats(after, "balanced_"), batch)
+    both = join_null_safe(stats(before, ""), stats(after, "balanced_"), [batch])
     return both.select(batch, "min", "max", (F.col("max") - F.col("min")).alias("spread"), "balanced_min", "balanced_max",
                        (F.col("balanced_max") - F.col("balanced_min")).alias("balanced_spread"),
                        (F.col("sum") / shards).alias("mean"))
@@ -577,7 +577,7 @@ def pack_micro_batches(
     sums = df.groupBy(batch).agg(F.sum(tokens).alias("_t"), F.count(F.lit(1)).alias("_n"))
     packs = F.greatest(F.least(F.col("_n"), F.ceil(F.col("_t") / budget)), F.lit(min_packs))
     packs = F.ceil(packs / multiple) * multiple
-    rows = df.join(sums.select(batch, packs.cast("bigint").alias("n_packs")), batch)
+    rows = join_null_safe(df, sums.select(batch, packs.cast("bigint").alias("n_packs")), [batch])
     by_cost = Window.partitionBy(batch).orderBy(F.col("_c").desc(), F.col(pos).asc())
     rows = rows.withColumn("_c", row_cost(F.col(tokens))).withColumn("_r", F.row_number().over(by_cost) - 1)
     turn = F.col("_r") % (2 * F.col("n_packs"))

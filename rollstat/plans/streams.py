@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollstat.operators import domains as H
 from rollstat.plans.correction import MIX, STEPS_SQL
 from rollstat.plans.registry import query
 from rollstat.plans.views import ROLL, q8, q8s, rounded, table, v_roll, with_ctes
@@ -24,6 +23,17 @@ def _events(spark, sf, per_batch=2):
     return J.read_files(spark, path, schema, per_batch)
 
 
+def _weeks(spark, df, label: str, *later):
+    """The rows of one week after the other, then the further tables: files in the order of arrival."""
+    path = shared_dir(spark, label)
+    weeks = sorted(r[0] for r in df.select(F.date_trunc("week", "ts")).distinct().collect())  # a handful of weeks
+    for week in weeks:
+        df.filter(F.date_trunc("week", "ts") == F.lit(week)).repartition(4).write.mode("append").parquet(path)
+    for more in later:
+        more.repartition(4).write.mode("append").parquet(path)
+    return path
+
+
 @query("stream_score_rates", f"SELECT event_type, count(*)::BIGINT AS scored_rows, count(*) FILTER (value > 40)::BIGINT AS correct, {q8('count(*) FILTER (value > 40) / count(*)', 'live')} FROM events GROUP BY 1")
 def stream_score_rates(spark, sf):
     return rounded(J.last_state(J.stream_score_rates(_events(spark, sf), "event_type", F.col("value") > 40), "score-rates", ["event_type"]), "live")
@@ -32,7 +42,7 @@ def stream_score_rates(spark, sf):
 @query("stream_group_assembly", "SELECT CAST(user_id AS VARCHAR) AS uid, (count(*) // 8)::BIGINT AS n_groups, 8::INTEGER AS size FROM events GROUP BY 1 HAVING count(*) >= 8")
 def stream_group_assembly(spark, sf):
     groups = J.stream_group_assembly(_events(spark, sf), "user_id", "ts", "value", 8, "60 days", late="60 days")
-    out = J.collect_to_table(groups, "groups")
+    out = J.collect_to_table(groups, "groups").filter("not dropped")
     return out.groupBy("uid").agg(F.count(F.lit(1)).alias("n_groups"), F.max("size").alias("size"))
 
 
@@ -40,26 +50,65 @@ def stream_group_assembly(spark, sf):
 SELECT uid, n::BIGINT AS members, n::BIGINT AS known FROM c WHERE n > 0""")
 def stream_group_members(spark, sf):
     groups = J.stream_group_assembly(_events(spark, sf), "user_id", "ts", "value", 8, "60 days", late="60 days", member="event_id")
-    members = J.collect_to_table(groups, "members").select("uid", F.explode("members").alias("event_id"))
+    members = J.collect_to_table(groups, "members").filter("not dropped").select("uid", F.explode("members").alias("event_id"))
     members = members.withColumn("event_id", F.col("event_id").cast("bigint")).distinct()
     owners = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("owner"))
     return members.join(owners, "event_id").groupBy("uid").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("owner") == F.col("uid")).alias("known"))
 
 
+# groups of 3 responses, 12 hours of patience; every tenth old row comes weeks too late
+@query("stream_group_timeouts", f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS uid, CAST(event_id AS VARCHAR) AS id, epoch_ms(ts) AS ms, value FROM events
+ WHERE NOT (event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY)),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY uid ORDER BY ms, id) > 43200000 THEN 1 ELSE 0 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY ms, id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+n AS (SELECT *, (row_number() OVER (PARTITION BY uid, sid ORDER BY ms, id) - 1) // 3 AS part FROM s),
+p AS (SELECT uid, sid, part, count(*) < 3 AS dropped, count(*) AS size, sum(value) AS score FROM n GROUP BY uid, sid, part)
+SELECT uid, dropped, count(*)::BIGINT AS n_groups, sum(size)::BIGINT AS members, {q8('sum(score)', 'score')} FROM p GROUP BY uid, dropped""")
+def stream_group_timeouts(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts", "value")
+    top = e.agg(F.max("ts").alias("m")).scalar()
+    tardy = (F.col("event_id") % 10 == 0) & (F.col("ts") < top - F.expr("INTERVAL 20 DAYS"))
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(0.0).alias("value"))
+    path = _weeks(spark, e.filter(~tardy), "timeouts", e.filter(tardy), end)
+    groups = J.stream_group_assembly(J.read_files(spark, path, e.schema, 4), "user_id", "ts", "value", 3, "12 hours", late="8 days", member="event_id")
+    out = J.collect_to_table(groups, "timeouts").filter("uid <> '-1'")
+    return rounded(out.groupBy("uid", "dropped").agg(
+        F.count(F.lit(1)).alias("n_groups"), F.sum(F.size("members")).alias("members"), F.sum("score").alias("score")), "score")
+
+
 @query("stream_mixture", f"WITH RECURSIVE {STEPS_SQL} SELECT day, event_type, t::INTEGER AS t, {q8s('raw', 'ema', 'gap', 'velocity', 'signal', 'mixture')} FROM fin")
 def stream_mixture(spark, sf):
-    out = J.stream_mixture(_events(spark, sf), F.to_date("ts"), "event_type", -F.col("value") / 100,
-                           lambda s: H.mixture_schedule(s, "step", "domain", "raw", **MIX), "mixture")
-    out = out.withColumnRenamed("step", "day").withColumnRenamed("domain", "event_type")
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    # the mark of a far later row finishes the last steps
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select("ts", F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    path = _weeks(spark, e, "mixture-files", end)
+    # a reward is minus the value; a step is a day
+    out = J.stream_mixture(J.read_files(spark, path, e.schema, 4), "ts", "1 day", "event_type", -F.col("value") / 100, "mixture", late="8 days", **MIX)
+    out = out.select(F.to_date("step").alias("day"), F.col("domain").alias("event_type"), F.col("t").cast("int").alias("t"), "raw", "ema", "gap", "velocity", "signal", "mixture")
     return rounded(out, "raw", "ema", "gap", "velocity", "signal", "mixture")
 
 
-@query("stream_dynamic_sampling")
+# four rounds, quotas of 6, 6 and 4 groups, at most 3 rounds for a batch; go holds the state after each round
+@query("stream_dynamic_sampling", """WITH RECURSIVE v AS (SELECT o_custkey AS uid, o_orderkey AS sample_id, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS acc,
+ (o_custkey % 8 // 2)::BIGINT AS round, 'd' || (o_custkey % 3) AS domain FROM orders),
+u AS (SELECT uid, round, domain, count(*) = 1 OR min(acc) < max(acc) AS varies FROM v GROUP BY uid, round, domain),
+c AS (SELECT r, count(*) FILTER (varies AND domain = 'd0' AND round = r) AS a, count(*) FILTER (varies AND domain = 'd1' AND round = r) AS b,
+ count(*) FILTER (varies AND domain = 'd2' AND round = r) AS c FROM range(4) t(r) CROSS JOIN u GROUP BY r),
+go(r, first, a, b, c, no, out, filtered) AS (SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false, false
+ UNION ALL SELECT r, CASE WHEN out THEN r ELSE first END, a, b, c, no + CASE WHEN out THEN 1 ELSE 0 END, full_ OR r - CASE WHEN out THEN r ELSE first END + 1 >= 3, full_ FROM
+  (SELECT c.r, go.first, go.out, go.no, CASE WHEN go.out THEN 0 ELSE go.a END + c.a AS a, CASE WHEN go.out THEN 0 ELSE go.b END + c.b AS b, CASE WHEN go.out THEN 0 ELSE go.c END + c.c AS c,
+   CASE WHEN go.out THEN 0 ELSE go.a END + c.a >= 6 AND CASE WHEN go.out THEN 0 ELSE go.b END + c.b >= 6 AND CASE WHEN go.out THEN 0 ELSE go.c END + c.c >= 4 AS full_
+   FROM go JOIN c ON c.r = go.r + 1) z),
+p AS (SELECT go.no, go.filtered, u.*, row_number() OVER (PARTITION BY go.no, domain ORDER BY u.round, sha256(CAST(uid AS VARCHAR))) AS place
+ FROM go JOIN u ON go.out AND u.round BETWEEN CASE WHEN go.filtered THEN go.first ELSE go.r END AND go.r AND (u.varies OR NOT go.filtered))
+SELECT p.no AS batch_no, p.filtered, p.round, p.domain, p.uid, v.sample_id, v.acc FROM p JOIN v USING (uid) WHERE place <= CASE p.domain WHEN 'd2' THEN 4 ELSE 6 END""")
 def stream_dynamic_sampling(spark, sf):
-    rows = v_roll(spark, sf).withColumn("part", (F.col("uid") % 8).cast("int")).withColumn("domain", F.concat(F.lit("d"), F.col("uid") % 3))
-    path, schema = _files(spark, rows.drop("step"), "part", "rollouts")
-    stream = J.read_files(spark, path, schema, 2)
-    out = J.stream_dynamic_sampling(stream, "uid", "acc", "domain", {"d0": 6, "d1": 6, "d2": 4}, 3, "dynamic")
+    rows = v_roll(spark, sf).drop("step").withColumn("round", F.floor(F.col("uid") % 8 / 2)).withColumn("domain", F.concat(F.lit("d"), F.col("uid") % 3))
+    path, place = shared_dir(spark, "rollouts"), J.Place.new(spark, "dynamic")
+    for r in range(4):  # a round is what is there when the job goes on
+        rows.filter(F.col("round") == r).drop("round").write.mode("append").parquet(path)
+        out = J.stream_dynamic_sampling(
+            J.read_files(spark, path, rows.drop("round").schema), "uid", "acc", "domain", {"d0": 6, "d1": 6, "d2": 4}, 3, "dynamic", place)
     return out.select("batch_no", "filtered", "round", "domain", "uid", "sample_id", "acc")
 
 

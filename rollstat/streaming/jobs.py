@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from rollstat.operators.ranking import join_null_safe
 from rollstat.session import shared_dir
 
 
@@ -46,8 +47,8 @@ def run_stream(stream: DataFrame, place: Place, mode: str, each: Callable[[DataF
     query.awaitTermination()
 
 
-def _read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+def _read_batches(spark: SparkSession, path: str, schema: T.StructType, number: str = "batch") -> DataFrame:
+    with_batch = T.StructType([*schema.fields, T.StructField(number, T.LongType())])
     try:
         return spark.read.schema(with_batch).parquet(path)
     except Exception as err:  # no batch was written: the source was empty
@@ -80,73 +81,189 @@ def stream_score_rates(rows: DataFrame, dataset: str, correct: Column) -> DataFr
                                      (F.count_if(correct) / scored).alias("live"))
 
 
+# ---- keyed state ------------------------------------------------------------------------
+
+def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Rows of a watermarked stream through a processor with state and event-time timers per ``key``."""
+    rows.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
 # ---- group assembly ---------------------------------------------------------------------
 
-GROUP_OUT = "uid string, group_no bigint, size int, score double, members array<string>"
-GROUP_STATE = "done bigint, ids array<string>, scores array<double>, deadline bigint"
+GROUP_OUT = "uid string, group_no bigint, size int, score double, members array<string>, dropped boolean"
+
+
+class GroupAssembly(StatefulProcessor):
+    """Members wait in a list, one appended row each; a timer stands at the newest one plus the timeout."""
+
+    def __init__(self, n: int, wait_ms: int):
+        self.n, self.wait = n, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "ts bigint, member string, score double")
+        self.progress = handle.getValueState("progress", "done bigint, deadline bigint")
+
+    def _take(self, uid: str, number: int, members: list[tuple], dropped: bool) -> dict:
+        return {"uid": uid, "group_no": number, "size": len(members), "score": float(sum(m[2] for m in members)),
+                "members": [m[1] for m in members], "dropped": dropped}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, deadline = self.progress.get() if self.progress.exists() else (0, 0)
+        waiting = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        stored, out, before = len(waiting), [], deadline
+        arrived = pd.concat(list(rows), ignore_index=True)
+        arrived = arrived.sort_values(["ms", "member"], kind="stable")
+        for ms, member, score in zip(arrived["ms"].tolist(), arrived["member"].tolist(), arrived["score"].tolist(), strict=True):
+            if waiting and ms > deadline:  # the row comes after the group's time, whichever batch brings it
+                out.append(self._take(key[0], -1, waiting, True))
+                waiting, stored = [], -1
+            waiting.append((ms, member, score))
+            deadline = max(deadline, ms + self.wait)
+            if len(waiting) == self.n:
+                out.append(self._take(key[0], done, waiting, False))
+                done, waiting, stored = done + 1, [], -1
+        if stored < 0:  # the stored members have left; else the new ones are appended to them
+            self.open.clear()
+            stored = 0
+        for member in waiting[stored:]:
+            self.open.appendValue(member)
+        if before:
+            self.handle.deleteTimer(before)
+        if waiting:
+            self.handle.registerTimer(deadline)
+        self.progress.update((done, deadline if waiting else 0))
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        done, _ = self.progress.get()
+        self.open.clear()
+        self.progress.update((done, 0))
+        if waiting:
+            yield pd.DataFrame([self._take(key[0], -1, waiting, True)])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int, timeout: str, late: str = "1 day", member: str | None = None) -> DataFrame:
-    """Emit a prompt group with its ``members`` once n responses are in; a group without news for ``timeout`` is dropped.
+    """Emit a prompt group with its ``members`` once n responses are in; a group without news for ``timeout`` is ``dropped``.
 
-    Rows later than ``late`` are left out.  The state of a prompt is fewer than n members, however
-    many responses it gets; full groups are cut from a batch at once.
+    Dropped groups come out too, with the members they had and group number -1: as soon as a later row of the
+    prompt or the watermark shows that their time is over.  Rows later than ``late`` are left out.  The state of
+    a prompt is fewer than n members, however many responses it gets.
     """
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, ids, scores, deadline = state.get if state.exists else (0, [], [], 0)
-        ids, scores = list(ids), list(scores)
-        if ids and state.getCurrentWatermarkMs() > deadline:
-            ids, scores = [], []  # new rows came in the batch that would have timed out
-        newest = 0
-        for batch in batches:
-            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-            ids += batch["member"].tolist()
-            scores += batch["score"].tolist()
-            full = len(ids) // n
-            if full:
-                cut = [slice(k * n, (k + 1) * n) for k in range(full)]
-                yield pd.DataFrame({"uid": key[0], "group_no": range(done, done + full), "size": n,
-                                    "score": [float(sum(scores[c])) for c in cut], "members": [ids[c] for c in cut]})
-                done, ids, scores = done + full, ids[full * n:], scores[full * n:]
-        deadline = max(newest, state.getCurrentWatermarkMs()) + wait
-        state.update((done, ids, scores, deadline))
-        state.setTimeoutTimestamp(deadline)
-
     name = F.col(member).cast("string") if member else F.lit(None).cast("string")
-    slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.col(score).cast("double").alias("score"), name.alias("member"))
-    return slim.withWatermark("ts", late).groupBy("uid").applyInPandasWithState(
-        assemble, GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"), F.col(score).cast("double").alias("score"), name.alias("member"))
+    return with_state(slim.withWatermark("ts", late), "uid", GroupAssembly(n, wait), GROUP_OUT)
 
 
 # ---- mixture per finished step ----------------------------------------------------------
 
+SIGNAL_OUT = "domain string, step bigint, t bigint, raw double, ema double, gap double, velocity double, signal double, _ready boolean"
+
+
+class DomainSignal(StatefulProcessor):
+    """Per domain: sums of the open steps, the moving average, the initial value and the last averages.
+
+    A step is finished when the watermark passes its end; then its row comes out, once.
+    """
+
+    def __init__(self, step_ms: int, ema_window: int, initial_steps: int, velocity_window: int, velocity_windows: int, kl_floor: float = 1e-6):
+        self.step_ms, self.alpha, self.first = step_ms, 2.0 / (ema_window + 1.0), initial_steps
+        self.window, self.windows, self.floor = velocity_window, velocity_windows, kl_floor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "step bigint", "s double, n bigint")
+        self.path = handle.getValueState("path", "t bigint, first double, ring array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            sums = batch.groupby(batch["ms"] // self.step_ms * self.step_ms)["reward"].agg(["sum", "count"])
+            for step, s, n in zip(sums.index.tolist(), sums["sum"].tolist(), sums["count"].tolist(), strict=True):
+                if self.open.containsKey((step,)):
+                    old = self.open.getValue((step,))
+                    s, n = s + old[0], n + old[1]
+                else:
+                    self.handle.registerTimer(step + self.step_ms)
+                self.open.updateValue((step,), (float(s), int(n)))
+        yield from ()
+
+    def _finish(self, domain: str, step: int) -> dict:
+        s, n = self.open.getValue((step,))
+        self.open.removeKey((step,))
+        t, first, ring = self.path.get() if self.path.exists() else (0, 0.0, [])
+        ring, raw = list(ring), max(0.0, -s / n) if n else None
+        last = ring[-1] if ring else None
+        ema = raw if last is None or raw is None else self.alpha * raw + (1 - self.alpha) * last
+        t += 1
+        if t <= self.first:
+            first = None if raw is None or first is None else first + raw / self.first
+        ring = [*ring, ema][-(self.window * self.windows + 1):]
+        self.path.update((t, first, ring))
+        used = min(self.windows, t // self.window - 1)
+        ready = t >= 2 * self.window and t >= self.first and first is not None and used > 0
+        gap = velocity = 0.0
+        if ready and ema is not None:
+            ends = [ring[-1 - k * self.window] for k in range(used + 1)]
+            changes = [(new - old) / max(old, self.floor) for new, old in zip(ends, ends[1:], strict=False) if new is not None and old is not None]
+            velocity, gap = max(0.0, -sum(changes) / used), max(0.0, ema / max(first, self.floor))
+        return {"domain": domain, "step": step, "t": t, "raw": raw, "ema": ema, "gap": gap, "velocity": velocity,
+                "signal": gap * velocity, "_ready": ready}
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        steps = sorted(k[0] for k in self.open.keys() if k[0] + self.step_ms <= end)
+        if steps:
+            yield pd.DataFrame([self._finish(key[0], step) for step in steps])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_mixture(
-    rows: DataFrame, step: Column, domain: str, reward: Column, schedule: Callable[[DataFrame], DataFrame], label: str, place: Place | None = None,
+    rows: DataFrame, ts: str, every: str, domain: str, reward: Column, label: str, place: Place | None = None, *, late: str = "1 day",
+    ema_window: int, initial_steps: int, velocity_window: int, velocity_windows: int, update_interval: int, floor: float, temperature: float,
+    kl_floor: float = 1e-6,
 ) -> DataFrame:
-    """Mixture schedule updated as steps arrive.
+    """Mixture per step and domain as steps finish; a step is ``every`` of event time.
 
-    A batch adds its (sum, count) per step and domain to a small table (one row per step, domain
-    and batch) and writes the schedule of all steps so far to ``schedule`` beside it, where a
-    sampler reads the newest; the last one is returned.
+    A step is finished when the watermark, ``late`` behind the newest row, passes its end.  A batch writes the
+    rows of the steps that it finished, where a sampler reads them, and the mixture in force (one row per
+    domain); it reads no more than that of the batch before.  Gives the rows of all finished steps so far.
     """
-    sums = rows.select(step.alias("step"), F.col(domain).alias("domain"), reward.alias("r"))
+    from rollstat.operators.domains import with_due_mixture
+
     spark = rows.sparkSession
     place = place or Place.new(spark, label)
+    step_ms = int(pd.Timedelta(every).total_seconds() * 1000)
+    slim = rows.select(F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"), F.col(domain).cast("string").alias("domain"), reward.cast("double").alias("reward"))
+    signals = with_state(slim.withWatermark("ts", late), "domain", DomainSignal(
+        step_ms, ema_window, initial_steps, velocity_window, velocity_windows, kl_floor), SIGNAL_OUT)
+    held_schema = "domain string, held double"
 
     def add(batch: DataFrame, i: int) -> None:
-        batch.groupBy("step", "domain").agg(F.sum("r").alias("s"), F.count("r").alias("n")).write.mode("overwrite").parquet(f"{place.sink}/sums/batch={i}")
-        state = spark.read.parquet(f"{place.sink}/sums").groupBy("step", "domain").agg(
-            F.greatest(F.lit(0.0), F.try_divide(-F.sum("s"), F.sum("n"))).alias("raw"))
-        schedule(state).write.mode("overwrite").parquet(f"{place.sink}/schedule/batch={i}")
-
-    run_stream(sums, place, "append", add)
-    every = spark.read.parquet(f"{place.sink}/schedule")
-    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+        held = spark.read.schema(held_schema).parquet(f"{place.sink}/held/{i - 1}") if i else spark.createDataFrame([], held_schema)
+        due = with_due_mixture(batch, "step", update_interval=update_interval, floor=floor, temperature=temperature)
+        upto = Window.partitionBy("domain").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        due = due.withColumn("_last", F.last("_due", ignorenulls=True).over(upto))
+        now = join_null_safe(due, held, ["domain"], "left").withColumn("_held", F.coalesce("_last", "held"))
+        out = now.withColumn("mixture", F.coalesce("_held", 1.0 / F.col("_k")))
+        out.withColumn("step", F.timestamp_millis("step")).drop("_k", "_due", "_last", "_held", "held", "_ready").write.mode("overwrite").parquet(f"{place.sink}/schedule/batch={i}")
+        newest = now.groupBy("domain").agg(F.max_by("_held", "step").alias("held")).filter("held is not null")
+        rest = join_null_safe(held, newest.select("domain"), ["domain"], "left_anti")
+        newest.unionByName(rest).coalesce(1).write.mode("overwrite").parquet(f"{place.sink}/held/{i}")
+
+    run_stream(signals, place, "append", add)
+    schema = T.StructType([T.StructField("step", T.TimestampType()) if f.name == "step" else f for f in signals.schema if f.name != "_ready"]).add("mixture", "double")
+    return _read_batches(spark, f"{place.sink}/schedule", schema).drop("batch")
 
 
 # ---- dynamic sampling -------------------------------------------------------------------
@@ -170,8 +287,11 @@ def stream_dynamic_sampling(
         """Open rounds and emitted batches before round ``i``, from the table of states: one row per round."""
         if i == 0:
             return [], 0
-        row = spark.read.schema("open array<int>, emitted int, round int").parquet(state_path).filter(F.col("round") == i - 1).first()
-        return (list(row["open"]), row["emitted"]) if row else ([], 0)
+        # written last in its round, so a round that failed half-way is done again as a whole
+        found = spark.read.schema("open array<int>, emitted int, round int").parquet(state_path).filter(F.col("round") == i - 1).take(2)
+        if len(found) != 1:
+            raise RuntimeError(f"the state of round {i - 1} is missing from {state_path}")
+        return list(found[0]["open"]), found[0]["emitted"]
 
     def pick(pool: DataFrame) -> DataFrame:
         heads = pool.groupBy(uid).agg(F.min("round").alias("_round"), F.min(domain).alias("_d"))
@@ -207,7 +327,7 @@ def stream_dynamic_sampling(
         spark.createDataFrame([(open_rounds, emitted)], "open array<int>, emitted int").write.mode("overwrite").parquet(f"{state_path}/round={i}")
 
     run_stream(rows, place, "append", on_round)
-    return spark.read.parquet(path)
+    return _read_batches(spark, path, T.StructType([*rows.schema.fields]).add("round", "long").add("filtered", "boolean"), "batch_no")
 
 
 # ---- staleness --------------------------------------------------------------------------

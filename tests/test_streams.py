@@ -91,3 +91,73 @@ def test_late_rows_are_left_out(spark):
     run()
     append(spark, path, [(t(1), "m", 9.0), (t(9), "m", 4.0)], schema)  # the first is eight hours behind the mark, the second is in time
     assert run() == {(t(1), 1.0, 1), (t(10), 2.0, 1), (t(9), 4.0, 1)}
+
+
+def test_dropped_groups_come_out_with_their_members(spark):
+    """By a later row of the prompt, by the mark alone, and never because of a row that is too late."""
+    t = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    schema, path = "uid string, ts timestamp, score double, id string", shared_dir(spark, "drop-files")
+    place = J.Place.new(spark, "drop")
+
+    def run():
+        groups = J.stream_group_assembly(J.read_files(spark, path, spark.createDataFrame([], schema).schema, 1), "uid", "ts", "score", 3, "2 days", late="1 day", member="id")
+        return {(r["uid"], r["group_no"], r["dropped"], r["score"], "".join(r["members"])) for r in J.collect_to_table(groups, "x", place=place).collect()}
+
+    append(spark, path, [("a", t(1), 1.0, "p"), ("a", t(1, 5), 2.0, "q"), ("b", t(1), 1.0, "u"), ("c", t(1), 1.0, "x"), ("c", t(1), 1.0, "y"), ("c", t(1), 1.0, "z"), ("c", t(1), 1.0, "zz")], schema)
+    first = {("c", 0, False, 3.0, "xyz")}
+    assert run() == first
+    append(spark, path, [("a", t(3), 4.0, "r")], schema)  # in time: 43 hours behind the newest
+    second = first | {("a", 0, False, 7.0, "pqr")}
+    assert run() >= second
+    append(spark, path, [("a", t(9), 1.0, "s"), ("c", t(9), 1.0, "w")], schema)  # c's last one waited for too long
+    third = second | {("c", -1, True, 1.0, "zz"), ("b", -1, True, 1.0, "u")}
+    assert run() == third
+    append(spark, path, [("a", t(1), 50.0, "old"), ("a", t(9, 1), 1.0, "t"), ("a", t(9, 2), 1.0, "v")], schema)  # the first is a week too late
+    assert run() == third | {("a", 1, False, 3.0, "stv")}
+    append(spark, path, [("e", t(30), 1.0, "end")], schema)
+    assert run() == third | {("a", 1, False, 3.0, "stv"), ("c", -1, True, 1.0, "w")}
+
+
+def test_mixture_goes_on_and_writes_new_steps_only(spark):
+    """Stopped after each file or run in one go: the same steps, each written once, equal to the batch schedule."""
+    import random
+
+    from rollstat.operators import domains as H
+
+    rnd, kw = random.Random(3), dict(ema_window=4, initial_steps=2, velocity_window=2, velocity_windows=2, update_interval=2, floor=0.05, temperature=0.5)
+    schema = "ts timestamp, d string, r double"
+    days = [[(dt.datetime(2024, 3, day, rnd.randrange(24)), d, -rnd.random() / day) for d in "xyz" for _ in range(3)] for day in range(1, 15)]
+    parts = [sum(days[:5], []), sum(days[5:6], []), sum(days[6:], []), [(dt.datetime(2024, 6, 1), "end", 0.0)]]
+    paths = [shared_dir(spark, f"mixture-{i}") for i in (0, 1)]
+    places = [J.Place.new(spark, f"mixture-{i}") for i in (0, 1)]
+    run = lambda i: J.stream_mixture(J.read_files(spark, paths[i], spark.createDataFrame([], schema).schema, 1), "ts", "1 day", "d", F.col("r"), "x", places[i], late="1 day", **kw)
+    key = lambda out: sorted((str(r["step"])[:10], r["domain"], r["t"], round(r["ema"], 9), round(r["signal"], 9), round(r["mixture"], 9)) for r in out.collect())
+    seen = []
+    for part in parts:
+        for path in paths:
+            append(spark, path, part, schema)
+        seen.append(key(run(0)))
+    assert seen[-1] == key(run(1)) and len(seen[-1]) == 14 * 3
+    assert 0 < len(seen[0]) < len(seen[2]) < 42 and all(set(a) <= set(b) for a, b in zip(seen, seen[1:]))
+    rows = spark.createDataFrame(sum(days, []), schema).groupBy(F.to_date("ts").alias("step"), F.col("d").alias("domain")).agg((-F.avg("r")).alias("raw"))
+    want = H.mixture_schedule(rows, "step", "domain", "raw", **kw)
+    assert key(want) == seen[-1]
+
+
+def test_a_missing_state_is_an_error(spark):
+    import os
+    import shutil
+
+    import pytest
+
+    schema, path = "uid long, domain string, acc double", shared_dir(spark, "lost-rounds")
+    place = J.Place.new(spark, "lost")
+    run = lambda: J.stream_dynamic_sampling(J.read_files(spark, path, spark.createDataFrame([], schema).schema, 1), "uid", "acc", "domain", {"d": 2}, 3, "x", place=place)
+    append(spark, path, [(1, "d", 0.0), (1, "d", 1.0)], schema)
+    assert run().count() == 0  # nothing is due yet
+    append(spark, path, [(2, "d", 0.0), (2, "d", 1.0)], schema)
+    os.rename(f"{place.sink}/state/round=0", f"{place.sink}/state-lost")
+    with pytest.raises(Exception, match="is missing"):
+        run()
+    shutil.move(f"{place.sink}/state-lost", f"{place.sink}/state/round=0")
+    assert {r["uid"] for r in run().collect()} == {1, 2}
