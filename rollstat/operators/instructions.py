@@ -44,6 +44,49 @@ LANGUAGE_SCRIPTS = {
     "gu": r"\p{IsGujarati}", "pa": r"\p{IsGurmukhi}", "ml": r"\p{IsMalayalam}", "el": r"\p{IsGreek}",
 }
 
+# Frequent words of the languages that share a script, and letters that the others of the script don't use.
+SHARED_SCRIPTS: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
+    "Cyrillic": {
+        "ru": ("ёыэъ", ("и", "не", "что", "он", "как", "это", "но", "из", "или", "был", "было", "они", "мы", "для", "так")),
+        "uk": ("ґєії", ("і", "й", "не", "що", "він", "як", "це", "але", "із", "або", "було", "вони", "ми", "для", "та")),
+        "bg": ("", ("и", "не", "че", "той", "като", "това", "но", "от", "или", "са", "беше", "се", "ще", "на", "за", "със", "във", "как", "сме")),
+    },
+    "Arabic": {
+        "ar": ("ةيىأإؤئ", ("في", "من", "على", "إلى", "أن", "هذا", "هذه", "التي", "الذي", "عن", "مع", "كان", "لا", "ما", "ذلك")),
+        "fa": ("", ("و", "در", "به", "از", "که", "این", "را", "با", "است", "برای", "آن", "یک", "تا", "می", "بود")),
+        "ur": ("ٹڈڑںےہھ", ("کے", "میں", "کی", "ہے", "اور", "سے", "کا", "کو", "اس", "کہ", "نے", "پر", "ہیں", "یہ", "ہو")),
+    },
+    "Devanagari": {
+        "hi": ("", ("के", "में", "की", "है", "और", "से", "का", "को", "इस", "कि", "ने", "पर", "हैं", "यह", "नहीं")),
+        "mr": ("ळ", ("आणि", "आहे", "आहेत", "या", "ते", "हे", "तो", "ती", "मध्ये", "नाही", "होते", "होता", "असे", "म्हणून", "पण")),
+        "ne": ("", ("छ", "छन्", "र", "यो", "हो", "पनि", "लागि", "थियो", "मा", "ले", "गर्न", "तथा", "यस", "भएको", "गरेको")),
+    },
+}
+#: A letter of its own tells more than a frequent word.
+LETTER_WEIGHT = 2
+#: Chinese writes next to no kana, Japanese at least one in so many signs.
+KANA_ONE_IN = 20
+
+
+def script_scores(text: Column, languages: Mapping[str, tuple[str, Sequence[str]]]) -> Column:
+    """Per language of one script: its frequent words plus ``LETTER_WEIGHT`` times its own letters."""
+    low = F.lower(text)
+    count = lambda found, marks: F.size(F.filter(found, lambda w: w.isin(*marks)))
+    own = {code: LETTER_WEIGHT * F.regexp_count(low, F.lit(f"[{letters}]")) if letters else F.lit(0) for code, (letters, _) in languages.items()}
+    return let(F.split(low, r"[^\p{L}\p{M}\p{N}_]+"), lambda found: F.struct(*[
+        (count(found, marks) + own[code]).alias(code) for code, (_, marks) in languages.items()]))
+
+
+def not_outscored(text: Column, code: str) -> Column:
+    """No other language of the script scores higher; without any sign all languages of the script hold."""
+    if code in ("ja", "zh"):
+        kana, every = (F.regexp_count(text, F.lit(p)) for p in (r"[\p{IsHiragana}\p{IsKatakana}]", r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"))
+        return KANA_ONE_IN * kana >= every if code == "ja" else KANA_ONE_IN * kana < every
+    for languages in SHARED_SCRIPTS.values():
+        if code in languages:
+            return let(script_scores(text, languages), lambda s: s[code] >= F.greatest(*[s[other] for other in languages]))
+    return F.lit(True)
+
 
 def detect_language(text: Column) -> Column:
     """Language with the most marker words (ties in the order above); null without a letter, ``other`` if most letters aren't Latin."""
@@ -67,7 +110,8 @@ def in_language(text: Column, language: Column, detected: Column) -> Column:
     """Whether a text is in a language; true where that can't be told: no letter, or a language without markers and script."""
     by_script = F.lit(True)
     for code, letters in LANGUAGE_SCRIPTS.items():
-        by_script = F.when(language == code, 2 * F.regexp_count(text, F.lit(letters)) > F.length(F.regexp_replace(text, r"\P{L}++", ""))).otherwise(by_script)
+        most = 2 * F.regexp_count(text, F.lit(letters)) > F.length(F.regexp_replace(text, r"\P{L}++", ""))
+        by_script = F.when(language == code, most & not_outscored(text, code)).otherwise(by_script)
     return F.when(detected.isNull(), True).when(language.isin(*LANGUAGE_WORDS), detected == language).otherwise(by_script)
 
 

@@ -243,6 +243,41 @@ def check_odd_instructions(spark, sf):
     return _odd_checks(spark, sf).select("doc_id", "ordinal", "strict", "error")
 
 
+# a line in one of eleven languages that share a script with others, several times, behind some of the text; Cyrillic ones stand before the text in Cyrillic letters
+LINES = {
+    "ru": "Это было давно, и он не помнит, как мы жили.", "uk": "Це було давно, і він не знає, як ми жили.", "bg": "Това беше отдавна и той не помни как сме живели.",
+    "ar": "كان ذلك منذ زمن بعيد في هذه المدينة على ضفاف النهر.", "fa": "این شهر در کنار رودخانه است و مردم آن را دوست دارند.", "ur": "یہ شہر دریا کے کنارے ہے اور لوگ اس کو پسند کرتے ہیں۔",
+    "hi": "यह शहर नदी के किनारे है और लोग इस को पसंद करते हैं।", "mr": "हे शहर नदीच्या काठी आहे आणि लोकांना ते आवडते.", "ne": "यो शहर नदीको किनारमा छ र मानिसहरू यसलाई मन पराउँछन्।",
+    "zh": "这座城市在河边，人们非常喜欢它。", "ja": "この町は川のそばにあり、人々はそれが大好きです。",
+}
+LINED = ("concat(repeat(CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{line} '" for i, line in enumerate(LINES.values()))
+         + " END, CAST(1 + doc_id % 5 AS INT)), CASE WHEN doc_id % 11 < 3 THEN translate(lower(text), 'abcdefghijklmnoprstuvz', 'абцдефгхийклмнопрстувз') ELSE substr(text, 1, CAST(doc_id % 150 AS INT)) END)")
+LINE_WORDS = "regexp_extract_all(lower(t), '[\\p{L}\\p{M}\\p{N}_]+')"
+
+
+def _line_sql(code: str) -> str:
+    scripts = {"zh": "\\p{Han}", "ja": "[\\p{Hiragana}\\p{Katakana}\\p{Han}]"}
+    both, kana = (f"len(regexp_extract_all(t, '{p}'))" for p in ("[\\p{Hiragana}\\p{Katakana}\\p{Han}]", "[\\p{Hiragana}\\p{Katakana}]"))
+    told = {"ja": f"{kana} * 20 >= {both}", "zh": f"{kana} * 20 < {both}"}
+    for script, languages in I.SHARED_SCRIPTS.items():
+        if code in languages:
+            scripts[code] = f"\\p{{{script}}}"
+            score = {c: f"(len(list_filter({LINE_WORDS}, lambda w: w IN ({', '.join(repr(m) for m in marks)}))) + " + (
+                f"2 * len(regexp_extract_all(lower(t), '[{letters}]')))" if letters else "0)") for c, (letters, marks) in languages.items()}
+            told[code] = f"{score[code]} >= greatest({', '.join(score.values())})"
+    return f"2 * len(regexp_extract_all(t, '{scripts[code]}')) > length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AND {told[code]}"
+
+
+@query("check_script_languages", f"WITH base AS MATERIALIZED (SELECT doc_id, {STRIP(LINED)} AS t FROM documents) " + " UNION ALL ".join(
+    f"SELECT doc_id, '{code}' AS language, {_line_sql(code)} AS strict FROM base" for code in LINES))
+def check_script_languages(spark, sf):
+    name = "language:response_language"
+    arr = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(f'{{"language": "{code}"}}').alias("kwargs")) for code in LINES])
+    d = documents(spark, sf).withColumn("response", F.expr(LINED)).withColumn("instructions", arr)
+    out = I.check_instructions(d, "doc_id", "response", "lang", "instructions", only=[name], loose=False)
+    return out.select("doc_id", F.element_at(F.array(*[F.lit(c) for c in LINES]), F.col("ordinal") + 1).alias("language"), "strict")
+
+
 @query("instruction_errors", f"WITH {ODD_BASE}, c AS ({ODD_SQL}) SELECT doc_id, count(*) FILTER (strict)::INTEGER AS passed, count(*) FILTER (error)::INTEGER AS errors FROM c GROUP BY 1")
 def instruction_errors(spark, sf):
     inputs = I.reward_inputs(_odd_checks(spark, sf), "doc_id")
