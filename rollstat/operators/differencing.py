@@ -40,13 +40,15 @@ def difference_shards(costs: list[int], shards: int, equal_size: bool) -> list[i
 
 
 def balanced_sharding_exact(df: DataFrame, batch: str, pos: str, cost: str, shards: int, *, equal_size: bool = True) -> DataFrame:
-    """(batch, pos, cost, shard) by differencing; one call handles one batch."""
+    """(batch, pos, cost, shard) by differencing; one call handles one batch.
+
+    Raises for a batch with fewer rows than shards, or (``equal_size``) one that does not divide.
+    """
     slim = df.select(batch, pos, cost)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos, ignore_index=True)
-        fits = equal_size and len(part) % shards == 0
-        return part.assign(shard=difference_shards([int(c) for c in part[cost]], min(shards, len(part)), fits))
+        return part.assign(shard=difference_shards([int(c) for c in part[cost]], shards, equal_size))
 
     fields = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in slim.columns)
     return slim.groupBy(batch).applyInPandas(solve, f"{fields}, shard int")

@@ -92,7 +92,8 @@ def repeated_ngram_ratio(text: Column, n: int = 6) -> Column:
     """Share of word n-grams that occur more than once; 0 below 2n words."""
     def ratio(tokens: Column) -> Column:
         count = F.size(tokens) - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        # compared by a 64-bit hash
+        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(tokens, i, n)))
         return F.when(F.size(tokens) < 2 * n, 0.0).otherwise(_repeated(grams) / count)
 
     return let(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), 0), ratio)
@@ -322,7 +323,8 @@ def sample_browser(df: DataFrame, fields: Sequence[str], text: str, keyword: str
     """Rows that contain the keyword with its number of hits; ``limit`` gives the first ones in order."""
     hit = df.filter(F.contains(F.col(text), F.lit(keyword)))
     out = hit.select(*fields, F.regexp_count(F.col(text), F.lit(r"\Q" + keyword + r"\E")).alias("hits"))
-    return out if limit is None else out.orderBy(*order).limit(limit)
+    # ranges of the order, and of these only as many as hold the first rows
+    return out if limit is None else cumulate(with_range_bucket(out, list(order)), list(order), [], "_p", keep=limit).drop("_p")
 
 
 def distributions(df: DataFrame, columns: Sequence[str], top: int | None = None) -> DataFrame:

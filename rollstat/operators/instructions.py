@@ -2,11 +2,11 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +102,9 @@ def detect_language(text: Column) -> Column:
     marked = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*every))
     # what is no Latin letter goes at once; letters are only counted where some stay
     foreign, letters = F.length(F.regexp_replace(text, r"[\p{IsLatin}\P{L}]++", "")), F.length(F.regexp_replace(text, r"\P{L}++", ""))
-    known = F.when((foreign > 0) & (2 * foreign > letters), "other").otherwise(let(marked, best))
+    # all letters up to U+024F but the micro sign are Latin; most texts need no closer look
+    beyond = F.rlike(text, F.lit(r"[^\x00-\xB4\xB6-\u024F]"))
+    known = F.when(beyond & (foreign > 0) & (2 * foreign > letters), "other").otherwise(let(marked, best))
     return F.when(F.rlike(text, F.lit(r"\p{L}")), known)
 
 
@@ -228,6 +230,8 @@ CHECKS: dict[str, Callable[[Column, Args, Column, Shared], Column]] = {
 # JVM; those with pattern signs may be unreadable, and are tried one by one: an unreadable one
 # is a failed check and a checker error, never a failed job.
 
+#: A pattern whose repeats nest may try for ever; after so long it is a checker error.
+PATTERN_SECONDS = 10.0
 _SIGNS = r"[\\^$.|?*+()\[\]{}]"
 
 
@@ -252,23 +256,26 @@ def _plain_hits(text: Column, patterns: Column) -> Column:
 
 
 def _tried_hits(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-    """Number of matches of each pattern of each instruction, -1 for an unreadable one; rows without a text have none.
+    """Number of matches of each pattern of each instruction, -1 for an unreadable or endless one; rows without a text have none.
 
     ``patterns`` has a JSON list per instruction, or null.
     """
-    known: dict[tuple, re.Pattern | None] = {}
+    known: dict[tuple, regex.Pattern | None] = {}
 
-    def read(pattern: str, flags: str) -> re.Pattern | None:
+    def read(pattern: str, flags: str) -> regex.Pattern | None:
         if (pattern, flags) not in known:
             try:
-                known[pattern, flags] = re.compile(pattern, {"i": re.IGNORECASE, "m": re.MULTILINE}.get(flags, 0))
-            except (re.error, OverflowError, RecursionError):
+                known[pattern, flags] = regex.compile(pattern, {"i": regex.IGNORECASE, "m": regex.MULTILINE}.get(flags, 0))
+            except (regex.error, OverflowError, RecursionError):
                 known[pattern, flags] = None
         return known[pattern, flags]
 
     def count(text: str, p) -> int:
         pattern = None if p.get("user") is None else read(p["before"] + p["user"] + p["after"], p["flags"])
-        return -1 if pattern is None else sum(1 for _ in pattern.finditer(text.lower() if p["flags"] == "m" else text))
+        try:
+            return -1 if pattern is None else sum(1 for _ in pattern.finditer(text.lower() if p["flags"] == "m" else text, timeout=PATTERN_SECONDS))
+        except TimeoutError:
+            return -1
 
     def every(text: str | None, items) -> list | None:
         return None if text is None else [None if ps is None else [count(text, p) for p in json.loads(ps)] for ps in items]

@@ -140,14 +140,17 @@ def subspace_energy(df: DataFrame, vector: str, keys: Sequence[str], ranks: Sequ
 
     keys = list(keys)
 
+    def plain(value, n):
+        return pd.Series([None if pd.isna(value) else value] * n, dtype=object)
+
     def partial_gram(batches):
         for batch in batches:
-            for key, part in (batch.groupby(keys) if keys else [((), batch)]):
+            for key, part in (batch.groupby(keys, dropna=False) if keys else [((), batch)]):
                 x = np.stack(part[vector].to_numpy()).astype(np.float64)
                 i, j = np.triu_indices(x.shape[1])
                 out = pd.DataFrame({"i": i, "j": j, "g": (x.T @ x)[i, j]})
                 for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    out[name] = value
+                    out[name] = plain(value, len(out))
                 yield out[[*keys, "i", "j", "g"]]
 
     kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
@@ -166,7 +169,7 @@ def subspace_energy(df: DataFrame, vector: str, keys: Sequence[str], ranks: Sequ
         out = pd.DataFrame({"rank": list(ranks), "energy": [share(values[:r]) for r in ranks],
                             "random_energy": [share(np.diag(g)[picked[:r]]) for r in ranks]})
         for name in keys:
-            out[name] = part[name].iloc[0]
+            out[name] = plain(part[name].iloc[0], len(out))
         return out[[*keys, "rank", "energy", "random_energy"]]
 
     return gram.groupBy(*keys).applyInPandas(energies, f"{kinds}rank int, energy double, random_energy double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollstat.functions.columns import col, collapse_ws, hash_unit, sha
 from rollstat.operators.ranking import (
-    cumulate, first_per_key, hash_position, join_null_safe, position, scalar_struct, with_range_bucket,
+    cumulate, first_per_key, hash_position, join_null_safe, position, scalar_struct, with_group_stats, with_range_bucket,
 )
 from rollstat.session import materialize
 
@@ -480,7 +480,7 @@ def importance_resample(df: DataFrame, key: str, weight: str, draws: int, seed:
     slim = materialize(df.select(key, F.col(weight).cast("double").alias("_w")), "weights")
     top = slim.agg(F.max("_w")).first()[0]
     whole = F.floor(F.col("_w") / F.lit(top) * F.lit(float(1 << 40)) + 0.5).cast("decimal(20,0)")
-    slim = materialize(slim.select(key, whole.alias("_w")), "weights")
+    slim = slim.select(key, whole.alias("_w"))
     ends = cumulate(with_range_bucket(slim, key), [F.col(key)], [], "_end", weight=F.col("_w")).withColumn("_end", F.col("_end").cast("decimal(38,0)"))
     total = F.lit(slim.agg(F.sum("_w")).first()[0]).cast("decimal(23,0)")
     place = F.expr("_h * _total div 281474976710656").cast("decimal(38,0)")
@@ -488,16 +488,15 @@ def importance_resample(df: DataFrame, key: str, weight: str, draws: int, seed:
         F.floor(hash_unit(sha(F.lit(seed), "id")) * F.lit(float(1 << 48))).cast("decimal(15,0)").alias("_h"), total.alias("_total")).select(
         place.alias("_x"), F.lit(1).alias("_d"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     marks = ends.select(F.col("_end").alias("_x"), F.lit(0).alias("_d"), key)
-    axis = with_range_bucket(hits.unionByName(marks), "_x")
+    axis = with_range_bucket(hits.unionByName(marks), "_x").withColumn("_part", F.col("_bucket"))
     # a draw equal to an end belongs to the next row: ends sort first
     seen = cumulate(axis, [F.col("_x"), F.col("_d"), F.col(key)], [], "_seen", weight=F.col("_d")).filter(F.col(key).isNotNull())
-    seen = materialize(seen.select(key, "_seen"), "draws")
-    ordered = with_range_bucket(seen, key)
-    before = Window.partitionBy("_bucket").orderBy(key)
-    edges = ordered.groupBy("_bucket").agg(F.max("_seen").alias("_m"))
-    edge = edges.select("_bucket", F.coalesce(F.lag("_m").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")), F.lit(0)).alias("_p"))
-    copies = ordered.join(edge, "_bucket").withColumn(
-        "copies", F.col("_seen") - F.coalesce(F.lag("_seen").over(before), F.col("_p")))
+    seen = materialize(seen.select(key, "_x", "_part", "_seen"), "draws")
+    # draws up to this end less those up to the end before; the last end of the ranges before, one row each, stands before a range's first
+    before = Window.partitionBy("_part").orderBy("_x", key)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edge = seen.groupBy("_part").agg(F.max("_seen").alias("_m")).select("_part", F.coalesce(F.max("_m").over(earlier), F.lit(0)).alias("_p"))
+    copies = seen.join(edge, "_part").withColumn("copies", F.col("_seen") - F.coalesce(F.lag("_seen").over(before), F.col("_p")))
     return df.join(copies.filter("copies > 0").select(key, F.col("copies").cast("bigint").alias("copies")), key)
 
 
@@ -540,11 +539,16 @@ def row_cost(tokens: Column) -> Column:
     return F.lit(24576) * t + t * t
 
 
-def balanced_sharding(df: DataFrame, batch: str, pos: str, tokens: str, shards: int) -> DataFrame:
+def balanced_sharding(df: DataFrame, batch: str, pos: str, tokens: str, shards: int, *, equal_size: bool = True) -> DataFrame:
     """Equal-size shards of nearly equal cost per batch, dealt in snake order of falling cost.
 
-    ``shard`` and ``shard_place``: inside a shard the order is small - large - small.
+    ``shard`` and ``shard_place``: inside a shard the order is small - large - small.  Raises for a batch with fewer
+    rows than shards, or (``equal_size``) one that does not divide.
     """
+    n = F.col("_rows")
+    odd = (n < shards) | (F.lit(equal_size) & (n % shards != 0))
+    checked = F.when(odd, F.raise_error(F.lit(f"a batch has too few rows for {shards} shards, or does not divide")).cast("bigint")).otherwise(n)
+    df = with_group_stats(df, [batch], _rows=F.count(F.lit(1))).filter(checked > 0).drop("_rows")
     by_cost = Window.partitionBy(batch).orderBy(F.col("_c").desc(), F.col(pos).asc())
     ranked = df.withColumn("_c", row_cost(F.col(tokens))).withColumn("_r", F.row_number().over(by_cost) - 1)
     turn = F.col("_r") % (2 * shards)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rollstat.operators import evals as E
 from rollstat.operators import runlog as R
 from rollstat.plans.registry import query
-from rollstat.plans.views import DOC, MSG, ROLL, TOK, q8, q8s, rounded, table, v_doc, v_msg, v_roll, v_tok, with_ctes
+from rollstat.plans.views import DOC, MSG, ROLL, TOK, documents, q8, q8s, rounded, table, v_doc, v_msg, v_roll, v_tok, with_ctes
 
 KNOWN = [f"src{i}" for i in range(19)]
 CARD = with_ctes(DOC) + """, t AS (SELECT source, count(*) AS n FROM documents WHERE source <> 'src0' GROUP BY 1),
@@ -74,7 +74,7 @@ rp AS (SELECT t.doc_id, p AS phrase_score, coalesce(gc.r, 0) AS ngram_ratio, coa
 
 @query("repetition_metrics", f"WITH {REPEAT} SELECT doc_id, phrase_score::INTEGER AS phrase_score, {q8s('ngram_ratio', 'line_ratio')}, repetitive FROM rp")
 def repetition_metrics(spark, sf):
-    out = E.repetition_metrics(table(spark, sf, "documents"), "text")
+    out = E.repetition_metrics(documents(spark, sf), "text")
     return rounded(out.select("doc_id", "phrase_score", "ngram_ratio", "line_ratio", "repetitive"), "ngram_ratio", "line_ratio")
 
 
@@ -82,7 +82,7 @@ def repetition_metrics(spark, sf):
 SELECT source, count(*) FILTER (t)::BIGINT AS trunc_rows, count(*) FILTER (r)::BIGINT AS repeat_rows, count(*) FILTER (t AND r)::BIGINT AS trunc_repeat_rows,
  {q8("count(*) FILTER (t) / count(*)", "trunc_rate")}, {q8("count(*) FILTER (r) / count(*)", "repeat_rate")}, {q8("count(*) FILTER (t AND r) / count(*)", "trunc_repeat_rate")} FROM b GROUP BY 1""")
 def behavior_rates(spark, sf):
-    rows = E.repetition_metrics(table(spark, sf, "documents"), "text")
+    rows = E.repetition_metrics(documents(spark, sf), "text")
     out = E.behavior_rates(rows, ["source"], F.col("n_chars") >= 8000, F.col("repetitive"))
     return rounded(out, "trunc_rate", "repeat_rate", "trunc_repeat_rate")
 

@@ -263,6 +263,55 @@ def test_differencing_beats_row_order():
             assert all(shard.count(k) == 8 for k in range(8))
 
 
+def test_sharding_refuses_batches_that_do_not_fit(spark):
+    from rollstat.operators import sampling as S
+    from rollstat.operators.differencing import balanced_sharding_exact
+
+    df = spark.createDataFrame([(b, i, 10 * i) for b, n in ((1, 8), (2, 6)) for i in range(n)], "b int, i int, t long")
+    assert S.balanced_sharding(df.filter("b = 1"), "b", "i", "t", 4).count() == 8
+    assert S.balanced_sharding(df, "b", "i", "t", 4, equal_size=False).count() == 14
+    for bad in (lambda: S.balanced_sharding(df, "b", "i", "t", 4), lambda: S.balanced_sharding(df, "b", "i", "t", 7, equal_size=False),
+                lambda: balanced_sharding_exact(df, "b", "i", "t", 4), lambda: balanced_sharding_exact(df, "b", "i", "t", 7, equal_size=False)):
+        with pytest.raises(Exception, match="too few"):
+            bad().collect()
+
+
+def test_subspace_energy_against_a_plain_decomposition(spark):
+    import numpy as np
+
+    from rollstat.operators import runlog as L
+
+    rng = np.random.default_rng(1)
+    rows_ = [(k, (rng.normal(size=6) * [5, 3, 1, 1, 0.5, 0.1]).tolist()) for k in (None, "a", "b") for _ in range(40)]
+    got = {(r["k"], r["rank"]): (r["energy"], r["random_energy"]) for r in L.subspace_energy(spark.createDataFrame(rows_, "k string, v array<double>"), "v", ["k"], [1, 2, 6], seed=3).collect()}
+    picked = np.random.default_rng(3).permutation(6)
+    for k in (None, "a", "b"):
+        x = np.array([v for key, v in rows_ if key == k])
+        squares = np.linalg.svd(x, compute_uv=False) ** 2
+        for rank in (1, 2, 6):
+            assert got[k, rank] == pytest.approx((squares[:rank].sum() / squares.sum(), (x[:, picked[:rank]] ** 2).sum() / (x ** 2).sum()))
+
+
+def test_first_rows_of_the_browser(spark):
+    from rollstat.operators import evals as E
+
+    df = spark.createDataFrame([(i, i % 4, "key " * (i % 3)) for i in range(60)], "i int, k int, t string")
+    got = E.sample_browser(df, ["i", "k"], "t", "key", [F.col("k").desc(), F.col("i")], 11)
+    want = sorted((r for r in ((i, i % 4, i % 3) for i in range(60)) if r[2]), key=lambda r: (-r[1], r[0]))[:11]
+    assert rows(got, "i", "k", "hits") == sorted(want)
+
+
+def test_endless_patterns_are_errors(monkeypatch):
+    import pandas as pd
+
+    from rollstat.operators import instructions as I
+
+    monkeypatch.setattr(I, "PATTERN_SECONDS", 0.2)
+    pattern = lambda p: f'[{{"user": "{p}", "before": "", "after": "", "flags": ""}}]'
+    out = I._tried_hits(pd.Series(["a" * 40 + "b", "aab"]), pd.Series([[pattern("(a|a|aa)+$"), pattern("a.")], [pattern("("), None]]))
+    assert out.tolist() == [[[-1], [20]], [[-1], None]]
+
+
 def test_null_groups_keep_their_rows(spark):
     """Rows without a key form one group, in every operator that joins group values back."""
     from rollstat.operators import domains as H
