@@ -5,11 +5,12 @@ of its learning rows.  A text is compressed piece by piece with every dictionary
 whose dictionary gives the fewest bytes in all is chosen.  The whole text counts; pieces keep a
 long text from becoming its own dictionary.  Where the two best are close, the row is ``rejected``.
 
-Normalised means lower case with every run of other characters than letters as one blank.
+Normalised means lower case with every run of other characters than letters (Unicode category L) as
+one blank.
 
 Sample per language: ``sample_rows`` rows at most in expectation, chosen by a hash of the id, of
-each the first ``excerpt`` characters; ``dictionary_bytes`` of them are used.  Nothing else is
-bounded: all texts are read whole.
+each at most ``excerpt`` characters at a place that another hash chooses.  Every sampled row fills
+the same part of the ``dictionary_bytes``.  Nothing else is bounded: all texts are read whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 (and so are all if
 there is no language to learn); equal sizes go to the language with more learning rows, then the
@@ -19,11 +20,11 @@ are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from rollstat.llm.common import bounded_batches, fold
 
 PIECE = 2000
 LEVEL = 5
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 _BLOCK = 1 << 20
 
 
@@ -89,14 +90,19 @@ def dictionaries(
         return []
     # the chance is a literal per language: texts are sampled where they lie
     chance = F.pmod(F.xxhash64(F.lit("dictionary"), "id", "lang"), F.lit(1 << 30)) / float(1 << 30)
+    # a notice at the top of many texts is no more of the dictionary than of the texts
+    room = F.greatest(F.length("text") - excerpt + 1, F.lit(1))
+    start = (F.pmod(F.xxhash64(F.lit("place"), "id", "lang"), room) + 1).cast("int")
     limits = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(sample_rows / n))])
-    sample = rows.filter(chance < F.element_at(limits, F.col("lang"))).select("lang", F.substring("text", 1, excerpt).alias("text"), chance.alias("at"))
+    sample = rows.filter(chance < F.element_at(limits, F.col("lang"))).select("lang", F.substring(F.col("text"), start, F.lit(excerpt)).alias("text"), chance.alias("at"))
     texts: dict[str, list] = {}
     for r in sample.collect():  # about sample_rows excerpts for each language
         texts.setdefault(r["lang"], []).append((r["at"], r["text"]))
     out = []
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        content = b"".join(normalised(t) for _, t in sorted(texts.get(lang, [])))[:dictionary_bytes]
+        sampled = sorted(texts.get(lang, []))
+        part = dictionary_bytes // max(len(sampled), 1)
+        content = b"".join(normalised(t)[:part] for _, t in sampled)
         if len(content) >= 8:  # zstandard takes no shorter dictionary
             out.append((lang, content))
     return out
