@@ -1,6 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file's units are its lines and its header (the lines up to the first blank one).  Each unit is
+A file's units are its lines, its header (the lines up to the first blank one) and its paragraphs
+(the lines between blank or comment-only ones), so a notice may be wrapped wherever it stands.  A
+licence file is compared as a whole: every window of a template's number of terms is a unit too.  Each unit is
 compared with every template as a sparse vector of term counts times inverse document frequency;
 document frequencies are counted over all files.  Terms that no template has weigh as much as a
 term never seen.  The best template at or above ``threshold`` is the file's licence.
@@ -45,6 +47,8 @@ TEMPLATES = (
 #: Names of licence files.
 LICENSE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)([.\-][^/]*)?$"
 _SPLIT = "[^a-z0-9]+"
+#: Line breaks around lines of blanks and comment marks.
+PARAGRAPH = r"\n(?:[ \t\r]*+[#*/;%!-]*+[ \t\r]*+\n)+"
 
 
 def _terms(text: Column) -> Column:
@@ -94,26 +98,39 @@ def term_weights(texts: DataFrame, templates: Sequence[tuple[str, str]]) -> tupl
 
 
 def own_licenses(texts: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """(k1, k2, license, score, covered) of the texts (k1, k2, text) that a template matches."""
+    """(k1, k2, named, license, score, covered) of the texts (k1, k2, named, text) that a template matches.
+
+    ``named`` says that the text is a licence file's.
+    """
     idf, unseen = term_weights(texts, templates)
     weights = _weights(templates, idf)
     pattern = r"(?:^|[^a-z0-9])(?:" + "|".join(_needed(weights, threshold)) + r")(?:[^a-z0-9]|$)"
-    likely = texts.filter(F.lower("text").rlike(pattern)).dropDuplicates(["k1", "k2"])
+    key = ["k1", "k2", "named"]
+    likely = texts.filter(F.lower("text").rlike(pattern)).dropDuplicates(key).withColumn("terms", _terms(F.col("text")))
     lines = F.split("text", r"[\r\n]+")
     header = F.element_at(F.split("text", r"\r?\n[ \t]*\r?\n"), 1)
-    units = likely.select("k1", "k2", F.size(_terms(F.col("text"))).alias("words"), F.posexplode(F.concat(F.array(header), lines)).alias("unit", "line"))
-    words = units.filter(F.lower("line").rlike(pattern)).select("k1", "k2", "words", "unit", F.explode(_terms(F.col("line"))).alias("w"))
-    counted = words.groupBy("k1", "k2", "words", "unit", "w").agg(F.count(F.lit(1)).alias("tf"))
+    paragraphs = F.split("text", PARAGRAPH)
+    units = likely.select(*key, F.size("terms").alias("words"), F.posexplode(F.concat(F.array(header), lines, paragraphs)).alias("unit", "line"))
+    units = units.filter(F.lower("line").rlike(pattern)).select(*key, "words", "unit", _terms(F.col("line")).alias("terms"))
+    # licence files only: their terms, window by window, behind all other units
+    widths = F.array(*[F.lit(n) for n in sorted({sum(_template_terms(t).values()) for _, t in templates})])
+    windows = likely.filter("named and size(terms) > 0").select(*key, "terms", F.explode(widths).alias("width"))
+    windows = windows.withColumn("width", F.least("width", F.size("terms")))
+    windows = windows.select(*key, F.size("terms").alias("words"), "terms", "width", F.posexplode(F.sequence(F.lit(1), F.size("terms") - F.col("width") + 1)).alias("at", "start"))
+    windows = windows.select(*key, "words", (F.col("width") * (1 << 24) + F.col("at")).alias("unit"), F.slice("terms", F.col("start"), F.col("width")).alias("terms")).distinct()
+    units = units.unionByName(windows.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in _needed(weights, threshold)]))))
+    words = units.select(*key, "words", "unit", F.explode("terms").alias("w"))
+    counted = words.groupBy(*key, "words", "unit", "w").agg(F.count(F.lit(1)).alias("tf"))
     value = F.col("tf") * F.coalesce(F.element_at(_map(idf), F.col("w")), F.lit(unseen))
     dots = [F.sum(F.coalesce(F.element_at(_map(v), F.col("w")), F.lit(0.0)) * value).alias(f"d{i}") for i, (_, v) in enumerate(weights)]
-    scored = counted.groupBy("k1", "k2", "words", "unit").agg(F.sqrt(F.sum(value * value)).alias("norm"), F.sum("tf").alias("length"), *dots)
+    scored = counted.groupBy(*key, "words", "unit").agg(F.sqrt(F.sum(value * value)).alias("norm"), F.sum("tf").alias("length"), *dots)
     options = F.array(*[F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("name"))
                         for i, (name, _) in enumerate(weights)])
     best = F.array_max(options).alias("b")
-    found = scored.select("k1", "k2", "words", "length", "unit", best).filter(F.col("b.score") >= threshold)
+    found = scored.select(*key, "words", "length", "unit", best).filter(F.col("b.score") >= threshold)
     # the best unit of a text: its score, then the first template, then the longest unit
-    top = found.groupBy("k1", "k2").agg(F.max(F.struct("b.score", "b.i", "length", (-F.col("unit")).alias("u"), "b.name", "words")).alias("t"))
-    return top.select("k1", "k2", F.col("t.name").alias("license"), "t.score", (F.col("t.length") / F.col("t.words")).alias("covered"))
+    top = found.groupBy(*key).agg(F.max(F.struct("b.score", "b.i", "length", (-F.col("unit")).alias("u"), "b.name", "words")).alias("t"))
+    return top.select(*key, F.col("t.name").alias("license"), "t.score", (F.col("t.length") / F.col("t.words")).alias("covered"))
 
 
 def scan_licenses(
@@ -123,9 +140,10 @@ def scan_licenses(
     """One row per file: id, path, license, score, inherited, inherited_from (the directory)."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = files.select(F.col(id_column).alias("id"), path.alias("path"), text.alias("text"))
-    rows = rows.select("id", "path", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    found = materialize(own_licenses(rows.select("k1", "k2", "text"), templates, threshold), "licenses")
-    own = rows.select("id", "path", "k1", "k2").join(found, ["k1", "k2"], "left").select(
+    rows = rows.select("id", "path", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"),
+                       F.coalesce(F.col("path").rlike(LICENSE_NAMES), F.lit(False)).alias("named"))
+    found = materialize(own_licenses(rows.select("k1", "k2", "named", "text"), templates, threshold), "licenses")
+    own = rows.select("id", "path", "k1", "k2", "named").join(found, ["k1", "k2", "named"], "left").select(
         "id", "path", "license", "score", "covered", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
     own = materialize(own, "own")
     speaks = F.col("license").isNotNull() & F.col("path").contains("/") & ((F.col("covered") >= covers) | F.col("path").rlike(LICENSE_NAMES))

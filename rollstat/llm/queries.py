@@ -87,7 +87,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql(threshold: float = 0.75, covers: float = 0.5) -> str:
-    """The scan without its pruning: every line and header of every document against every template."""
+    """The scan without its pruning: every line, header and paragraph of every document against every template.
+
+    No document's path names a licence file, so there are no windows; the rule for names is stated all the same.
+    """
     rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
     return rf"""
 with templates(i, license, body) as (values {rows}),
@@ -112,6 +115,9 @@ df as (
   select doc_id, path, unnest(range(1, len(string_split_regex(body, '[
 ]+')) + 1)) as unit, unnest(string_split_regex(body, '[
 ]+')) as line, body from files
+  union all
+  select doc_id, path, 1000000 + unnest(range(1, len(string_split_regex(body, chr(10) || '(?:[ \t\r]*[#*/;%!-]*[ \t\r]*' || chr(10) || ')+')) + 1)) as unit,
+         unnest(string_split_regex(body, chr(10) || '(?:[ \t\r]*[#*/;%!-]*[ \t\r]*' || chr(10) || ')+')) as line, body from files
 ), uw as (
   select doc_id, unit, w, count(*) as tf from (select doc_id, unit, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) as w from units) where w <> '' group by all
 ), uv as (
@@ -130,7 +136,7 @@ df as (
 ), own as (
   select f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') as dir, license, score, covered from files f left join best b on f.doc_id = b.doc_id
 ), declared as (
-  select dir, license from own where license is not null and covered >= {covers}
+  select dir, license from own where license is not null and (covered >= {covers} or regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)([.\-][^/]*)?$'))
   qualify row_number() over (partition by dir order by score desc, path) = 1
 ), up as (
   select doc_id, declared.license as inherited, declared.dir as from_dir from own join declared on own.dir = declared.dir or starts_with(own.dir, declared.dir || '/')

@@ -525,6 +525,34 @@ def test_licenses(spark):
     assert not plain(licenses.scan_licenses(df.limit(0), F.col("path")))
 
 
+def test_wrapped_notices_and_licence_files(spark):
+    """Notices wrapped below the first blank line, with and without comment marks; a licence's text in a file of that name."""
+    body = "some words of the program that stand first\nand go on for a while here\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met"
+    cc = "This work is licensed under a Creative Commons\nAttribution 4.0 International License."
+    marked = lambda text: "# x = 1\n#\n" + "\n".join(f"# {line}" for line in text.split("\n")) + "\n#\n# more words behind it that say nothing\n"
+    whole = ("MIT License copyright someone in some year all rights held " * 3 + mit.replace("\n", " ")
+             + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute")
+    texts = {f"s/{i}/{k}.py": body + "\n" + t + "\n\n" + body if k == "plain" else marked(t) for i, t in enumerate((mit, bsd, cc)) for k in ("plain", "marked")}
+    texts |= {"w/LICENSE": whole, "w/a/b.py": "nothing of the kind", "v/other.txt": whole, "u/long.py": "license " * 20_000, "u/gap.py": "x\n" + " " * 100_000 + "y\n"}
+    texts |= {f"fill/{i}.py": f"common words of files number {i} with the and for use in this work of source and are that" for i in range(40)}
+    df = spark.createDataFrame([(p, t) for p, t in texts.items()], "doc_id string, text string")
+    got = {r["path"]: (r["license"], r["inherited"]) for r in licenses.scan_licenses(df, F.col("doc_id")).collect()}
+    for i, name in enumerate(("MIT", "BSD-3-Clause", "CC-BY-4.0")):
+        assert got[f"s/{i}/plain.py"] == got[f"s/{i}/marked.py"] == (name, None)
+    assert got["w/LICENSE"] == ("MIT", None) and got["w/a/b.py"] == (None, "MIT")
+    assert got["v/other.txt"] == got["u/long.py"] == got["u/gap.py"] == (None, None)
+
+
+def test_letters_are_of_category_l(spark, docs):
+    rows = docs.select("doc_id", "text", "lang").limit(60).collect()
+    signs = ["²", "½ 3", "Ⅷ ⅷ", "١٢٣", "_ 1 -", "ª"]
+    df = spark.createDataFrame([tuple(r) for r in rows] + [(10_000 + i, t, None) for i, t in enumerate(signs)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df).collect()}
+    assert [got[10_000 + i] == "und" for i in range(6)] == [True] * 5 + [False]
+
+
 def test_chats(spark):
     turns = {
         1: ["hi", "hello"], 2: ["hi", "hello", "more"], 3: ["hi", "hello", "more"], 4: ["other"], 5: ["hello", "hi"], None: ["hi", "hello", "more", "end"],
