@@ -400,6 +400,69 @@ def test_toxicity(spark, odd, none):
     assert len(toxicity.score_toxicity(odd, labels).collect()) == odd.count()
     assert {r["predicted"] for r in toxicity.score_toxicity(odd, labels.filter("toxic = 0")).collect()} == {0}
     assert not plain(toxicity.score_toxicity(none, labels))
+    # labels of the held-out rows teach nothing, and neither does which of the other rows are confirmed clean
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, flipped).collect()}
+    assert all(math.isclose(again[r["doc_id"]], r["score"], abs_tol=1e-9) for r in got)
+    # in a text without blanks the same beginnings count, wherever they are
+    clean = ["".join(f"w{rng.integers(400)}" for _ in range(30)) for _ in range(9)]
+    unbroken = [(5000 + 10 * i + bad, text[:20 * i] + "badwording" * bad + text[20 * i:]) for i, text in enumerate(clean) for bad in (0, 1)]
+    both = docs.unionByName(spark.createDataFrame(unbroken, docs.schema))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(both, labels).collect()}
+    assert all(scores[5001 + 10 * i] > scores[5000 + 10 * i] for i in range(9))
+
+
+def test_unlabelled_rows_include_the_positives(spark, monkeypatch):
+    """Every learning row is unlabelled, the confirmed toxic ones too; held-out rows are neither."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words here "), F.when(F.col("id") % 4 == 0, "vile slur").otherwise("fine")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "vocabulary", lambda sample, size, prior: seen.append((plain(sample.select("id", "positive")), prior)) or [])
+    toxicity.score_toxicity(docs, labels)
+    learning = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows, prior = seen[0]
+    toxic = [i for i in learning if i % 4 == 0]
+    assert sorted(rows) == sorted([(i, False) for i in learning] + [(i, True) for i in toxic]) and math.isclose(prior, len(toxic) / len(learning))
+
+
+def test_toxicity_vocabulary_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(rng.choice(["alpha", "beta", "gamma", "vilest", "viler", "x" * 50], 4)) + (" vilest" if p and rng.random() < 0.8 else ""), bool(p)) for p in rng.random(300) < 0.3]
+    size, prior = 40, 0.3
+    found = {f for text, _ in rows for f in toxicity.features(text)}
+    n_p = sum(p for _, p in rows)
+    n_u, chosen = len(rows) - n_p, []
+    for f in found:
+        p, u = (sum(f in toxicity.features(t) for t, toxic in rows if toxic is kind) for kind in (True, False))
+        expected = u / n_u * n_p
+        if p >= expected + toxicity.DEVIATIONS * math.sqrt(expected + 1) and prior * (p + 0.5) / (n_p + 1) > toxicity.PURITY * (u + 0.5) / (n_u + 1):
+            chosen.append((u / (n_u + 1) - p / (n_p + 1), f))
+    want = sorted(f for _, f in sorted(chosen)[:size])
+    got = toxicity.vocabulary(spark.createDataFrame(rows, "text string, positive boolean"), size, prior)
+    assert got == want and want
+
+
+def test_corrected_risk_is_the_written_out_one():
+    rng = np.random.default_rng(3)
+    turned = set()
+    for trial in range(20):
+        g, positive, prior = rng.normal(0, 2, 40), rng.random(40) < 0.5, (0.1, 0.9)[trial % 2]
+
+        def parts(margins, positive=positive, prior=prior):
+            loss = lambda x: 1 / (1 + np.exp(x))
+            first = prior * loss(margins[positive]).mean()
+            return first, loss(-margins[~positive]).mean() - prior * loss(-margins[positive]).mean()
+
+        first, rest = parts(g)
+        turned.add(rest < 0)
+        risk, slope = toxicity.corrected_risk(g, positive, prior)
+        assert math.isclose(risk, first + max(0, rest))
+        for i in range(40):
+            step = np.eye(40)[i] * 1e-6
+            high, low = parts(g + step), parts(g - step)
+            want = high[0] - low[0] + (high[1] - low[1] if rest >= 0 else 0)
+            assert math.isclose(slope[i], want / 2e-6, abs_tol=1e-7)
+    assert turned == {True, False}
 
 
 def test_corrected_risk_never_goes_negative():
