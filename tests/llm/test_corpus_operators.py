@@ -489,6 +489,40 @@ def test_language(docs, odd, none):
 # ---- embeddings
 
 
+def test_language_learns_from_its_own_rows_only(docs):
+    """Other languages on the held-out rows, or none, change nothing."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs).collect()}
+    for other in (F.lit("zz"), F.lit(None).cast("string")):
+        changed = docs.withColumn("lang", F.when(held, other).otherwise(F.col("lang")))
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(changed).collect()} == want
+
+
+def test_language_is_the_smallest_compression(docs):
+    """Against sizes from a compressor of each language made here, over pieces cut here."""
+    import zstandard
+
+    rows = docs.select(F.col("doc_id").alias("id"), "lang", "text").filter("lang is not null and text is not null")
+    learned = language.dictionaries(rows)
+    names = [n for n, _ in learned]
+    made = [zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, c in learned]
+    for content in made:
+        content.precompute_compress(level=language.LEVEL)
+    compressors = language._compressors(learned)
+    for r in rows.limit(40).collect():
+        plain_text = " " + re.sub(r"[^\w]|[\d_]", " ", r["text"].lower()) + " "
+        data = re.sub(" +", " ", plain_text).encode()
+        sizes = [sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(
+            data[i:i + language.PIECE])) for i in range(0, len(data), language.PIECE)) for d in made]
+        got = language.classify(r["text"], names, compressors, 0.01)
+        assert sizes[names.index(got[0])] == min(sizes)
+        first, second = sorted(sizes)[:2]
+        assert math.isclose(got[2], (second - first) / second) and got[3] == (got[2] < 0.01)
+    same = [compressors[0], compressors[0]]
+    assert language.classify("words of any kind", ["x", "y"], same, 0.01)[0::2] == ("x", 0.0)
+    assert language.classify("words of any kind", ["x", "y"], same, 0.01)[3] and language.classify(None, ["x"], same[:1], 0.01)[0] == "und"
+
+
 def vector_truth(rows):
     units = []
     for _, v in rows:
@@ -518,6 +552,15 @@ def test_embeddings(spark):
     assert not plain(neighbours.embedding_near_duplicates(df.limit(0)))
 
 
+def test_embeddings_of_repeated_and_null_ids(spark):
+    """Every row is a vector; a null id is the component's name only where no other is there."""
+    near, alone, odd = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, near), (7, near), (None, near), (9, [1.0, 0.01, 0.0]), (None, alone), (3, odd), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.embedding_near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(7, 3, 7), (7, 3, 7), (None, 3, 7), (9, 3, 7), (None, 0, None), (3, 0, 3), (3, 0, 3)], key=str)
+
+
 def test_embeddings_of_several_lengths(spark):
     rng = np.random.default_rng(6)
     rows = []
@@ -608,6 +651,21 @@ def test_wrapped_notices_and_licence_files(spark):
     assert got["v/other.txt"] == got["u/long.py"] == got["u/gap.py"] == (None, None)
 
 
+def test_license_ties_and_file_names(spark):
+    """Equal templates: the first one. Equal files of a directory: the smaller path. A licence file speaks whatever else it holds."""
+    notice = "Released under the MIT License."
+    filler = "\n".join(f"word{i} of the other text in line {i}" for i in range(40))
+    files = [
+        ("t/b.txt", notice), ("t/a.txt", "licensed under the Zed Terms of software use"), ("t/c/x.py", "nothing"),
+        ("n/LICENSE", notice + "\n" + filler), ("n/x.py", "nothing"), ("o/notes.txt", notice + "\n" + filler), ("o/x.py", "nothing")]
+    df = spark.createDataFrame(files, "doc_id string, text string")
+    twins = [("first", notice), ("second", notice), ("zed", "licensed under the Zed Terms of software use")]
+    got = {r["path"]: (r["license"], r["inherited"]) for r in licenses.scan_licenses(df, F.col("doc_id"), templates=twins).collect()}
+    assert got["t/b.txt"] == ("first", None) and got["t/a.txt"] == ("zed", None) and got["t/c/x.py"] == (None, "zed")
+    assert got["n/LICENSE"] == got["o/notes.txt"] == ("first", None)
+    assert got["n/x.py"] == (None, "first") and got["o/x.py"] == (None, None)
+
+
 def test_letters_are_of_category_l(spark, docs):
     rows = docs.select("doc_id", "text", "lang").limit(60).collect()
     signs = ["²", "½ 3", "Ⅷ ⅷ", "١٢٣", "_ 1 -", "ª"]
@@ -634,6 +692,17 @@ def test_chats(spark):
     assert not plain(chat.format_chats(df.limit(0)))
 
 
+def test_chats_of_long_texts_and_null_turns(spark):
+    """Turns without a number come last, by role and text; texts of any length stay whole."""
+    loose = [f"n{i:04d}" for i in range(2500)]
+    rows = [(1, None, "user", t) for t in loose] + [(1, 0, "user", "first")] + [(2, 0, "user", "y" * 300_000), (2, 1, None, None)] + [(3, 0, "user", "y" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    got = {(r["conv_id"], r["part"]): (r["n_turns"], r["text"]) for r in chat.format_chats(df, part_turns=1024).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (2, 0)} and got[1, 0][0] == 2501
+    assert "".join(got[1, p][1] for p in range(3)) == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in ["first", *loose])
+    assert got[2, 0] == (2, "<|im_start|>user\n" + "y" * 300_000 + "<|im_end|>\n<|im_start|>\n<|im_end|>\n")
+
+
 # ---- pipeline
 
 
