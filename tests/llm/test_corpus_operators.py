@@ -510,8 +510,7 @@ def test_language_is_the_smallest_compression(docs):
         content.precompute_compress(level=language.LEVEL)
     compressors = language._compressors(learned)
     for r in rows.limit(40).collect():
-        plain_text = " " + re.sub(r"[^\w]|[\d_]", " ", r["text"].lower()) + " "
-        data = re.sub(" +", " ", plain_text).encode()
+        data = (" " + re.sub(r"(?:[^\w]|[\d_])+", " ", r["text"].lower()) + " ").encode()
         sizes = [sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(
             data[i:i + language.PIECE])) for i in range(0, len(data), language.PIECE)) for d in made]
         got = language.classify(r["text"], names, compressors, 0.01)
