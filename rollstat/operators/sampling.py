@@ -539,16 +539,20 @@ def row_cost(tokens: Column) -> Column:
     return F.lit(24576) * t + t * t
 
 
-def balanced_sharding(df: DataFrame, batch: str, pos: str, tokens: str, shards: int, *, equal_size: bool = True) -> DataFrame:
+def balanced_sharding(
+    df: DataFrame, batch: str, pos: str, tokens: str, shards: int, *, equal_size: bool = True, partial: bool = False,
+) -> DataFrame:
     """Equal-size shards of nearly equal cost per batch, dealt in snake order of falling cost.
 
     ``shard`` and ``shard_place``: inside a shard the order is small - large - small.  Raises for a batch with fewer
-    rows than shards, or (``equal_size``) one that does not divide.
+    rows than shards, or (``equal_size``) one that does not divide.  With ``partial`` such a batch, like the last one
+    of a table, is dealt as far as it goes: its shards differ by one row.
     """
-    n = F.col("_rows")
-    odd = (n < shards) | (F.lit(equal_size) & (n % shards != 0))
-    checked = F.when(odd, F.raise_error(F.lit(f"a batch has too few rows for {shards} shards, or does not divide")).cast("bigint")).otherwise(n)
-    df = with_group_stats(df, [batch], _rows=F.count(F.lit(1))).filter(checked > 0).drop("_rows")
+    if not partial:
+        n = F.col("_rows")
+        odd = (n < shards) | (F.lit(equal_size) & (n % shards != 0))
+        checked = F.when(odd, F.raise_error(F.lit(f"a batch has too few rows for {shards} shards, or does not divide")).cast("bigint")).otherwise(n)
+        df = with_group_stats(df, [batch], _rows=F.count(F.lit(1))).filter(checked > 0).drop("_rows")
     by_cost = Window.partitionBy(batch).orderBy(F.col("_c").desc(), F.col(pos).asc())
     ranked = df.withColumn("_c", row_cost(F.col(tokens))).withColumn("_r", F.row_number().over(by_cost) - 1)
     turn = F.col("_r") % (2 * shards)

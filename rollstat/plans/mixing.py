@@ -321,7 +321,7 @@ def _batched(spark, sf):
 @query("balanced_sharding", f"""WITH {SNAKE} SELECT batch, doc_id, cost::BIGINT AS cost, shard::INTEGER AS shard,
  CASE WHEN u % 2 = 0 THEN u // 2 ELSE n - 1 - u // 2 END::INTEGER AS shard_place FROM u""")
 def balanced_sharding(spark, sf):
-    return S.balanced_sharding(_batched(spark, sf), "batch", "doc_id", "tokens", 8).select("batch", "doc_id", "cost", "shard", "shard_place")
+    return S.balanced_sharding(_batched(spark, sf), "batch", "doc_id", "tokens", 8, partial=True).select("batch", "doc_id", "cost", "shard", "shard_place")
 
 
 @query("sharding_report", f"""WITH {SNAKE}, x AS (SELECT batch, (doc_id % 256) // 32 AS g, sum(cost) AS c FROM u GROUP BY ALL), y AS (SELECT batch, shard, sum(cost) AS c FROM u GROUP BY ALL),
