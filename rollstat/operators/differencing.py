@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def difference_shards(costs: list[int], shards: int, equal_size: bool) -> list[int]:
-    """Shard of every item: the two partitions with the largest spread are merged, big sums onto small ones."""
-    if len(costs) < shards or (equal_size and len(costs) % shards):
+def difference_shards(costs: list[int], shards: int, equal_size: bool, partial: bool = False) -> list[int]:
+    """Shard of every item: the two partitions with the largest spread are merged, big sums onto small ones.
+
+    With ``partial`` the smallest items make up a group that does not fill all shards.
+    """
+    if not partial and (len(costs) < shards or (equal_size and len(costs) % shards)):
         raise ValueError("too few items, or not divisible into equal shards")
     order = sorted(range(len(costs)), key=lambda i: (costs[i], i))
     if equal_size:
-        starts = [order[i: i + shards] for i in range(0, len(order), shards)]
+        rest = len(order) % shards
+        starts = [order[:rest]] * (rest > 0) + [order[i: i + shards] for i in range(rest, len(order), shards)]
     else:
         starts = [[i] for i in order]
     heap = []
@@ -39,16 +43,19 @@ def difference_shards(costs: list[int], shards: int, equal_size: bool) -> list[i
     return out
 
 
-def balanced_sharding_exact(df: DataFrame, batch: str, pos: str, cost: str, shards: int, *, equal_size: bool = True) -> DataFrame:
+def balanced_sharding_exact(
+    df: DataFrame, batch: str, pos: str, cost: str, shards: int, *, equal_size: bool = True, partial: bool = False,
+) -> DataFrame:
     """(batch, pos, cost, shard) by differencing; one call handles one batch.
 
-    Raises for a batch with fewer rows than shards, or (``equal_size``) one that does not divide.
+    Raises for a batch with fewer rows than shards, or (``equal_size``) one that does not divide.  With ``partial``
+    such a batch, like the last one of a table, is dealt as far as it goes: its shards differ by one row.
     """
     slim = df.select(batch, pos, cost)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos, ignore_index=True)
-        return part.assign(shard=difference_shards([int(c) for c in part[cost]], shards, equal_size))
+        return part.assign(shard=difference_shards([int(c) for c in part[cost]], shards, equal_size, partial))
 
     fields = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in slim.columns)
     return slim.groupBy(batch).applyInPandas(solve, f"{fields}, shard int")

@@ -407,7 +407,7 @@ def balanced_sharding_exact(spark, sf):
     from rollstat.operators.differencing import balanced_sharding_exact as exact
 
     rows = _batched(spark, sf).withColumn("cost", S.row_cost(F.col("tokens")))
-    return exact(rows, "batch", "doc_id", "cost", 8)
+    return exact(rows, "batch", "doc_id", "cost", 8, partial=True)
 
 
 # the selection is the last copy of every labelled document, in order; copies share a key
