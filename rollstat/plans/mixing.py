@@ -329,7 +329,7 @@ m AS (SELECT batch, min(c) AS lo, max(c) AS hi, sum(c) AS t FROM x GROUP BY 1),
 SELECT batch, m.lo::BIGINT AS "min", m.hi::BIGINT AS "max", (m.hi - m.lo)::BIGINT AS spread, n.lo::BIGINT AS balanced_min, n.hi::BIGINT AS balanced_max,
  (n.hi - n.lo)::BIGINT AS balanced_spread, {q8("m.t / 8", "mean")} FROM m JOIN n USING (batch)""")
 def sharding_report(spark, sf):
-    sharded = S.balanced_sharding(_batched(spark, sf), "batch", "doc_id", "tokens", 8)
+    sharded = S.balanced_sharding(_batched(spark, sf), "batch", "doc_id", "tokens", 8, partial=True)
     return rounded(S.sharding_report(sharded, "batch", "doc_id", 8, 256), "mean")
 
 

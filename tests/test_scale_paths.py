@@ -276,6 +276,24 @@ def test_sharding_refuses_batches_that_do_not_fit(spark):
             bad().collect()
 
 
+def test_sharding_queries_deal_the_last_batch(spark, tmp_path):
+    """82 rows are left behind the whole batches, or 3: all of them get a shard, evenly."""
+    from collections import Counter
+
+    from rollstat.plans import load_all
+
+    for name, n in (("a", 2 * 256 + 82), ("b", 256 + 3)):
+        spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") * 37 % 1009 + 40).alias("n_chars")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for query in ("balanced_sharding", "balanced_sharding_exact"):
+            rows = load_all()[0][query](spark, f"{tmp_path}/{name}").collect()
+            assert sorted(r["doc_id"] for r in rows) == list(range(n))
+            for batch in {r["batch"] for r in rows}:
+                sizes = Counter(r["shard"] for r in rows if r["batch"] == batch)
+                assert max(sizes.values()) - min(sizes.get(k, 0) for k in range(8)) <= 1
+        report = load_all()[0]["sharding_report"](spark, f"{tmp_path}/{name}").collect()
+        assert len(report) == -(-n // 256) and all(r["balanced_spread"] <= r["spread"] or n % 256 < 8 for r in report)
+
+
 def test_subspace_energy_against_a_plain_decomposition(spark):
     import numpy as np
 
