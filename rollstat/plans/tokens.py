@@ -39,7 +39,7 @@ def whiten(spark, sf):
 
 @query("response_mask", with_ctes(TOK) + """SELECT sample_id, pos::INTEGER AS pos, CAST(sum(is_end) OVER (PARTITION BY sample_id ORDER BY pos) - is_end = 0 AS INTEGER) AS response_mask FROM v_tok""")
 def response_mask(spark, sf):
-    return A.response_mask(v_tok(spark, sf), "sample_id", "pos", "is_end").select("sample_id", "pos", "response_mask")
+    return A.response_mask(v_tok(spark, sf, "sample_id", "pos", "is_end"), "sample_id", "pos", "is_end").select("sample_id", "pos", "response_mask")
 
 
 @query("adv_process", with_ctes(TOK) + f"""
@@ -47,7 +47,7 @@ def response_mask(spark, sf):
 z AS (SELECT t.sample_id, t.pos, t.mask, CASE WHEN t.mask = 0 THEN 0 WHEN g.n <= 1 THEN t.reward / (1 + 1e-6) ELSE (t.reward - g.m) / (g.sd + 1e-6) END AS r FROM v_tok t JOIN g USING (uid))
 SELECT sample_id, pos::INTEGER AS pos, {q8("mask * sum(r) OVER (PARTITION BY sample_id ORDER BY pos DESC)", "advantage")} FROM z""".replace("\n, g AS", ", g AS"))
 def adv_process(spark, sf):
-    out = A.adv_process(v_tok(spark, sf), "uid", "sample_id", "pos", "reward", "mask")
+    out = A.adv_process(v_tok(spark, sf, "uid", "sample_id", "pos", "reward", "mask"), "uid", "sample_id", "pos", "reward", "mask")
     return rounded(out.select("sample_id", "pos", "advantage"), "advantage")
 
 
@@ -70,7 +70,7 @@ go(sample_id, pos, mask, ret) AS (SELECT t.sample_id, t.pos, t.mask, t.reward FR
 src AS (SELECT sample_id, pos, mask, ret AS x FROM go), {MOMENTS}
 SELECT sample_id, pos::INTEGER AS pos, {q8("x", "returns")}, {q8(f"mask * {WHITE}", "advantage")} FROM src""".replace("\n, last AS", ", last AS"))
 def adv_discounted_return(spark, sf):
-    out = A.adv_discounted_return(v_tok(spark, sf), "sample_id", "pos", "reward", "mask", gamma=0.9)
+    out = A.adv_discounted_return(v_tok(spark, sf, "sample_id", "pos", "reward", "mask"), "sample_id", "pos", "reward", "mask", gamma=0.9)
     return rounded(out.select("sample_id", "pos", "returns", "advantage"), "returns", "advantage")
 
 
@@ -80,7 +80,7 @@ SELECT sample_id, pos::INTEGER AS pos, {q8("ret", "returns")}, {q8("ret - o_tota
 FROM r JOIN orders ON sample_id = o_orderkey""".replace("\n, r AS", ", r AS"))
 def adv_greedy_baseline(spark, sf):
     base = v_roll(spark, sf).select("sample_id", F.col("score").alias("baseline"))
-    out = A.adv_greedy_baseline(v_tok(spark, sf), base, "sample_id", "pos", "reward", "mask")
+    out = A.adv_greedy_baseline(v_tok(spark, sf, "sample_id", "pos", "reward", "mask"), base, "sample_id", "pos", "reward", "mask")
     return rounded(out.select("sample_id", "pos", "returns", "advantage"), "returns", "advantage")
 
 
@@ -95,7 +95,7 @@ go(sample_id, pos, mask, value, nv, adv) AS (
 src AS (SELECT sample_id, pos, mask, value, adv AS x FROM go), {MOMENTS}
 SELECT sample_id, pos::INTEGER AS pos, {q8("x + value", "returns")}, {q8(WHITE, "advantage")} FROM src""".replace("\n, last AS", ", last AS"))
 def adv_gae(spark, sf):
-    out = A.adv_gae(v_tok(spark, sf), "sample_id", "pos", "reward", "value", "mask", gamma=0.99, lam=0.95)
+    out = A.adv_gae(v_tok(spark, sf, "sample_id", "pos", "reward", "value", "mask"), "sample_id", "pos", "reward", "value", "mask", gamma=0.99, lam=0.95)
     return rounded(out.select("sample_id", "pos", "returns", "advantage"), "returns", "advantage")
 
 

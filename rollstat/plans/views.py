@@ -40,8 +40,11 @@ SELECT o_custkey AS uid, o_orderkey AS sample_id, o_orderpriority AS domain,
 FROM orders)"""
 
 
-def v_tok(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per token. A sequence is one order: its length is bounded by the context size."""
+def v_tok(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """One row per token, or the named columns of it: operators that write rows in between write all they get.
+
+    A sequence is one order: its length is bounded by the context size.
+    """
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     log = l.select(
@@ -59,7 +62,8 @@ def v_tok(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderpriority").alias("domain"),
         F.date_trunc("month", "o_orderdate").cast("date").alias("step"),
     )
-    return log.join(heads, "sample_id")
+    out = log.join(heads, "sample_id")
+    return out.select(*columns) if columns else out
 
 
 TOK = """v_tok AS (
