@@ -111,7 +111,7 @@ src AS (SELECT sample_id, pos, mask, sum(r) OVER (PARTITION BY sample_id ORDER B
 SELECT sample_id, pos::INTEGER AS pos, {q8("x", "returns")}, {q8(WHITE, "advantage")} FROM src""".replace("\n, s AS", ", s AS"))
 def adv_process_loo(spark, sf):
     outcomes = v_roll(spark, sf).select("sample_id", "acc")
-    out = A.adv_process_loo(v_tok(spark, sf), outcomes, "uid", "sample_id", "pos", "reward", "mask", outcome_coef=0.5)
+    out = A.adv_process_loo(v_tok(spark, sf, "uid", "sample_id", "pos", "reward", "mask"), outcomes, "uid", "sample_id", "pos", "reward", "mask", outcome_coef=0.5)
     return rounded(out.select("sample_id", "pos", "returns", "advantage"), "returns", "advantage")
 
 

@@ -294,6 +294,24 @@ def test_sharding_queries_deal_the_last_batch(spark, tmp_path):
         assert len(report) == -(-n // 256) and all(r["balanced_spread"] <= r["spread"] or n % 256 < 8 for r in report)
 
 
+def test_token_queries_write_only_what_they_need(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from rollstat.plans import load_all
+
+    spark.createDataFrame([(k, k % 3, "FO"[k % 2], 100.0 * k, dt.datetime(2024, 1, 1), "p") for k in range(12)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, k, k, line, 1.0 * line, 9.0, 0.1, 0.1, "R", "FO"[line % 2]) for k in range(12) for line in range(5)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                          "l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    keep = scans.materialize
+    monkeypatch.setattr(scans, "materialize", lambda df, label: written.append(set(df.columns)) or keep(df, label))
+    for name in ("adv_process", "adv_process_loo", "adv_discounted_return", "adv_greedy_baseline", "adv_gae", "response_mask"):
+        assert load_all()[0][name](spark, str(tmp_path)).count() == 60
+    assert written and not any({"domain", "step", "token_id", "logp_old", "logp_rollout", "logp_ref"} & columns for columns in written)
+
+
 def test_subspace_energy_against_a_plain_decomposition(spark):
     import numpy as np
 
