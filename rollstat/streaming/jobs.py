@@ -7,11 +7,12 @@ present are read (``availableNow``).
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -83,11 +84,15 @@ def stream_score_rates(rows: DataFrame, dataset: str, correct: Column) -> DataFr
 
 # ---- keyed state ------------------------------------------------------------------------
 
-def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Rows of a watermarked stream through a processor with state and event-time timers per ``key``."""
+def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, *, pandas: bool = True) -> DataFrame:
+    """Rows of a watermarked stream through a processor with state and event-time timers per ``key``.
+
+    The processor gets data frames, for many rows of few keys, or else rows, for few rows of many keys.
+    """
     rows.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(
+    grouped = rows.groupBy(key)
+    return (grouped.transformWithStateInPandas if pandas else grouped.transformWithState)(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
@@ -97,55 +102,48 @@ GROUP_OUT = "uid string, group_no bigint, size int, score double, members array<
 
 
 class GroupAssembly(StatefulProcessor):
-    """Members wait in a list, one appended row each; a timer stands at the newest one plus the timeout."""
+    """All that a prompt keeps is one value, read and written once per batch; a timer stands at the newest member plus the timeout."""
 
     def __init__(self, n: int, wait_ms: int):
         self.n, self.wait = n, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "ts bigint, member string, score double")
-        self.progress = handle.getValueState("progress", "done bigint, deadline bigint")
-
-    def _take(self, uid: str, number: int, members: list[tuple], dropped: bool) -> dict:
-        return {"uid": uid, "group_no": number, "size": len(members), "score": float(sum(m[2] for m in members)),
-                "members": [m[1] for m in members], "dropped": dropped}
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, deadline = self.progress.get() if self.progress.exists() else (0, 0)
-        waiting = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        stored, out, before = len(waiting), [], deadline
-        arrived = pd.concat(list(rows), ignore_index=True)
-        arrived = arrived.sort_values(["ms", "member"], kind="stable")
-        for ms, member, score in zip(arrived["ms"].tolist(), arrived["member"].tolist(), arrived["score"].tolist(), strict=True):
-            if waiting and ms > deadline:  # the row comes after the group's time, whichever batch brings it
+        self.group = handle.getValueState("group", "done bigint, deadline bigint, members array<string>, scores array<double>")
+
+    def _take(self, uid: str, number: int, members: list[tuple], dropped: bool) -> Row:
+        scores = [score for _, score in members]
+        total = None if None in scores else float(sum(scores))
+        return Row(uid=uid, group_no=number, size=len(members), score=None if total is None or math.isnan(total) else total,
+                   members=[member for member, _ in members], dropped=dropped)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        done, deadline, members, scores = self.group.get() or (0, 0, [], [])
+        waiting, out, before = list(zip(members, scores, strict=True)), [], deadline
+        arrived = sorted(((r["ms"], r["member"], r["score"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+        for ms, member, score in arrived:
+            if waiting and ms is not None and ms > deadline:  # the row comes after the group's time, whichever batch brings it
                 out.append(self._take(key[0], -1, waiting, True))
-                waiting, stored = [], -1
-            waiting.append((ms, member, score))
-            deadline = max(deadline, ms + self.wait)
+                waiting = []
+            waiting.append((member, score))
+            deadline = deadline if ms is None else max(deadline, ms + self.wait)
             if len(waiting) == self.n:
                 out.append(self._take(key[0], done, waiting, False))
-                done, waiting, stored = done + 1, [], -1
-        if stored < 0:  # the stored members have left; else the new ones are appended to them
-            self.open.clear()
-            stored = 0
-        for member in waiting[stored:]:
-            self.open.appendValue(member)
-        if before:
-            self.handle.deleteTimer(before)
-        if waiting:
-            self.handle.registerTimer(deadline)
-        self.progress.update((done, deadline if waiting else 0))
-        if out:
-            yield pd.DataFrame(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        done, _ = self.progress.get()
-        self.open.clear()
-        self.progress.update((done, 0))
-        if waiting:
-            yield pd.DataFrame([self._take(key[0], -1, waiting, True)])
+                done, waiting = done + 1, []
+        deadline = deadline if waiting else 0
+        if before != deadline:
+            if before:
+                self.handle.deleteTimer(before)
+            if deadline:
+                self.handle.registerTimer(deadline)
+        self.group.update((done, deadline, [member for member, _ in waiting], [score for _, score in waiting]))
+        return iter(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        done, _, members, scores = self.group.get()
+        self.group.update((done, 0, [], []))
+        if members:
+            yield self._take(key[0], -1, list(zip(members, scores, strict=True)), True)
 
     def close(self) -> None:
         pass
@@ -161,7 +159,7 @@ def stream_group_assembly(rows: DataFrame, uid: str, ts: str, score: str, n: int
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
     name = F.col(member).cast("string") if member else F.lit(None).cast("string")
     slim = rows.select(F.col(uid).cast("string").alias("uid"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"), F.col(score).cast("double").alias("score"), name.alias("member"))
-    return with_state(slim.withWatermark("ts", late), "uid", GroupAssembly(n, wait), GROUP_OUT)
+    return with_state(slim.withWatermark("ts", late), "uid", GroupAssembly(n, wait), GROUP_OUT, pandas=False)
 
 
 # ---- mixture per finished step ----------------------------------------------------------

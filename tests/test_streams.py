@@ -118,6 +118,42 @@ def test_dropped_groups_come_out_with_their_members(spark):
     assert run() == third | {("a", 1, False, 3.0, "stv"), ("c", -1, True, 1.0, "w")}
 
 
+def test_a_batch_of_a_prompt_reads_and_writes_its_state_once():
+    from pyspark.sql import Row
+
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+        def deleteTimer(self, ms):
+            self.timers.remove(ms)
+
+    processor, handle = J.GroupAssembly(4, 100), Handle()
+    processor.init(handle)
+    feed = lambda *ms: [(r["size"], r["dropped"], r["score"], "".join(r["members"])) for r in processor.handleInputRows(
+        ("a",), iter([Row(uid="a", ts=None, ms=m, score=1.0, member=chr(97 + m % 26)) for m in ms]), None)]
+    assert feed(30, 10, 20) == [] and handle.timers == [130]
+    assert feed(40, 50) == [(4, False, 4.0, "".join(chr(97 + m % 26) for m in (10, 20, 30, 40)))] and handle.timers == [150]
+    assert feed(500) == [(1, True, 1.0, chr(97 + 50 % 26))] and handle.timers == [600]
+    assert State.calls == ["get", "update"] * 3
+
+
 def test_mixture_goes_on_and_writes_new_steps_only(spark):
     """Stopped after each file or run in one go: the same steps, each written once, equal to the batch schedule."""
     import random
