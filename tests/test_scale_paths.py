@@ -312,6 +312,34 @@ def test_token_queries_write_only_what_they_need(spark, tmp_path, monkeypatch):
     assert written and not any({"domain", "step", "token_id", "logp_old", "logp_rollout", "logp_ref"} & columns for columns in written)
 
 
+def test_loose_verdicts_equal_those_of_every_variant(spark):
+    """Variants are judged where the text failed and only those that may pass; the texts are exploded per instruction only."""
+    from rollstat.operators import instructions as I
+    from rollstat.plans.scores import INSTRUCTIONS
+
+    checks = [*INSTRUCTIONS.items(), ("keywords:frequency", '{"keyword": "un", "frequency": 2, "relation": "at least"}'), ("keywords:existence", '{"keywords": ["f("]}'),
+              ("keywords:frequency", '{"keyword": "th.", "frequency": 3, "relation": "less than"}'),
+              *[(n, k.replace("at least", "less than")) for n, k in INSTRUCTIONS.items() if "at least" in k],
+              *[("language:response_language", f'{{"language": "{code}"}}') for code in ("fr", "ru", "uk", "ja", "zh", "ar")]]
+    pool = ["the cat and the dog is in it.", "un chat, et le chien est dans la rue", "ALL CAPS HERE", "P.S. bye", "* one", "- two", "", " ", "SECTION 1 x", "SECTION 2", "de un un un", "\"", "<<T>>",
+            '{"a": 1}', "```json", "th*e a*nd", "***", "******", "x [a] [b]", "\u042d\u0442\u043e \u0431\u044b\u043b\u043e \u0438 \u043d\u0435 \u043e\u043d", "\u3053\u306e\u753a\u306f\u5ddd", "SECTION", "1 p. s. x", "word " * 60]
+    rnd = random.Random(5)
+    texts = ["", "a", *["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 5))) for _ in range(150)]]
+    arr = F.array(*[F.struct(F.lit(n).alias("id"), F.lit(k).alias("kwargs")) for n, k in checks])
+    run = lambda rows_, schema, loose: I.check_instructions(spark.createDataFrame(rows_, schema).withColumn("is", arr), "k", "t", "p", "is", loose=loose)
+    checked = run([(i, t, "p") for i, t in enumerate(texts)], "k long, t string, p string", True)
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    variants = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").withColumn("t", I.strip_think("t")).select(
+        "k", F.posexplode(F.concat(F.array("t"), I.loose_variants(F.col("t")))).alias("v", "t")).collect()
+    each = run([(1000 * r["k"] + r["v"], r["t"], "p") for r in variants], "k long, t string, p string", False).collect()
+    want = {}
+    for r in each:
+        want.setdefault((r["k"] // 1000, r["ordinal"]), []).append((r["k"] % 1000, r["strict"]))
+    got = {(r["k"], r["ordinal"]): (r["strict"], r["loose"]) for r in checked.collect()}
+    assert len(got) == len(texts) * len(checks)
+    assert {k: v for k, v in got.items() if v != (min(want[k])[1], any(ok for _, ok in want[k]))} == {}
+
+
 def test_subspace_energy_against_a_plain_decomposition(spark):
     import numpy as np
 
