@@ -257,7 +257,8 @@ def stream_mixture(
         out.withColumn("step", F.timestamp_millis("step")).drop("_k", "_due", "_last", "_held", "held", "_ready").write.mode("overwrite").parquet(f"{place.sink}/schedule/batch={i}")
         newest = now.groupBy("domain").agg(F.max_by("_held", "step").alias("held")).filter("held is not null")
         rest = join_null_safe(held, newest.select("domain"), ["domain"], "left_anti")
-        newest.unionByName(rest).coalesce(1).write.mode("overwrite").parquet(f"{place.sink}/held/{i}")
+        # never coalesced: that task would do the joins of all partitions and keep the memory of each until its end
+        newest.unionByName(rest).write.mode("overwrite").parquet(f"{place.sink}/held/{i}")
 
     run_stream(signals, place, "append", add)
     schema = T.StructType([T.StructField("step", T.TimestampType()) if f.name == "step" else f for f in signals.schema if f.name != "_ready"]).add("mixture", "double")

@@ -180,6 +180,30 @@ def test_mixture_goes_on_and_writes_new_steps_only(spark):
     assert key(want) == seen[-1]
 
 
+def test_no_task_does_the_joins_of_all_partitions_of_the_mixture_in_force(spark):
+    """It is written by the tasks of its partitions; domains without news keep theirs."""
+    import glob
+    import random
+
+    from rollstat.operators import domains as H
+
+    rnd, kw = random.Random(5), dict(ema_window=4, initial_steps=2, velocity_window=2, velocity_windows=2, update_interval=2, floor=0.01, temperature=0.5)
+    schema, path, place = "ts timestamp, d string, r double", shared_dir(spark, "held-files"), J.Place.new(spark, "held")
+    names = [f"d{k}" for k in range(20)]
+    days = [[(dt.datetime(2024, 3, day, 12), d, -rnd.random() / day) for d in [*names, *["early"] * (day < 4)]] for day in range(1, 13)]
+    for part in (sum(days[:5], []), sum(days[5:9], []), sum(days[9:], []), [(dt.datetime(2024, 6, 1), "end", 0.0)]):
+        append(spark, path, part, schema)
+    out = J.stream_mixture(J.read_files(spark, path, spark.createDataFrame([], schema).schema, 1), "ts", "1 day", "d", F.col("r"), "x", place, late="1 day", **kw)
+    key = lambda df: sorted((str(r["step"])[:10], r["domain"], r["t"], round(r["mixture"], 9)) for r in df.collect())
+    rows = spark.createDataFrame(sum(days, []), schema).groupBy(F.to_date("ts").alias("step"), F.col("d").alias("domain")).agg((-F.avg("r")).alias("raw"))
+    want = key(H.mixture_schedule(rows, "step", "domain", "raw", **kw))
+    assert key(out) == want and len(want) == 12 * 20 + 3
+    last = max(int(at.rsplit("/", 1)[1]) for at in glob.glob(f"{place.sink}/held/*"))
+    held = {r["domain"]: round(r["held"], 9) for r in spark.read.parquet(f"{place.sink}/held/{last}").collect()}
+    assert held == {domain: mixture for _, domain, t, mixture in want if t == 12 or (domain, t) == ("early", 3)}
+    assert all(len(glob.glob(f"{place.sink}/held/{i}/part-*")) > 1 for i in (last - 1, last))
+
+
 def test_a_missing_state_is_an_error(spark):
     import os
     import shutil
