@@ -1,6 +1,7 @@
 """The paths taken on large or skewed tables, forced on small ones and checked by brute force."""
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -340,6 +341,24 @@ def test_loose_verdicts_equal_those_of_every_variant(spark):
     assert {k: v for k, v in got.items() if v != (min(want[k])[1], any(ok for _, ok in want[k]))} == {}
 
 
+def test_every_looser_variant_goes_through_its_check(spark, monkeypatch):
+    """No check leaves out a variant for what it found in the response: each passes here on one variant alone, one after the other."""
+    from rollstat.operators import instructions as I
+    from rollstat.plans.scores import INSTRUCTIONS
+
+    variants = {
+        "first\nmiddle\nlast": ("middle", "middle\nlast", "first\nmiddle"),
+        "*first\nmid*dle\nlast": ("mid*dle", "mid*dle\nlast", "*first\nmid*dle", "first\nmiddle\nlast", "middle", "middle\nlast", "first\nmiddle"),
+    }
+    for name in I.CHECKS:
+        monkeypatch.setitem(I.CHECKS, name, lambda t, a, p, s: t == a("passes"))
+    asked = {t: [(n, json.dumps(json.loads(k) | {"passes": v})) for n, k in INSTRUCTIONS.items() for v in vs] for t, vs in variants.items()}
+    df = spark.createDataFrame([(t, "p", checks) for t, checks in asked.items()], "t string, p string, is array<struct<id string, kwargs string>>")
+    got = I.check_instructions(df, "t", "t", "p", "is").collect()
+    assert len(got) == sum(map(len, asked.values())) and set(INSTRUCTIONS) == set(I.CHECKS)
+    assert {asked[r["t"]][r["ordinal"]] for r in got if r["strict"] or r["error"] or not r["loose"]} == set()
+
+
 def test_subspace_energy_against_a_plain_decomposition(spark):
     import numpy as np
 
